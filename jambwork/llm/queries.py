@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from jambwork.llm import jaccard, toxicity
+from jambwork.llm import jaccard, mixing, suffixes, toxicity
 
 QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {
     "op3_jaccard_join": jaccard.ORACLE,
+    "op8_mix_sources": mixing.ORACLE,
 }
