@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from jambwork.llm import jaccard, mixing, suffixes, toxicity
+from jambwork.llm import jaccard, mixing, packing, suffixes, toxicity
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
