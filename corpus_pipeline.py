@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jambwork.llm import jaccard, toxicity
+from jambwork.llm import jaccard, mixing, packing, suffixes, toxicity
 from jambwork.llm.common import stored, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
     ("n-gram Jaccard join", jaccard.stage),
+    ("suffix-array dedup", suffixes.stage),
+    ("mixing sources to target weights", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: SQL can't express the models and the packing; tests compare the stages with brute force.
