@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from jambwork.llm import jaccard, mixing, packing, suffixes, toxicity
+from jambwork.llm import fertility, jaccard, mixing, packing, suffixes, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op4_fertility": fertility.op4_fertility,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_jaccard_join": jaccard.ORACLE,
+    "op4_fertility": fertility.op4_fertility,
     "op8_mix_sources": mixing.ORACLE,
 }
