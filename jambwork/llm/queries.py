@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from jambwork.llm import fertility, jaccard, mixing, packing, suffixes, toxicity
+from jambwork.llm import fertility, fingerprints, jaccard, mixing, packing, suffixes, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_fertility": fertility.op4_fertility,
     "op8_mix_sources": mixing.op8_mix_sources,
