@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from jambwork.llm import fertility, fingerprints, jaccard, mixing, packing, suffixes, toxicity
+from jambwork.llm import fertility, fingerprints, jaccard, katz, mixing, packing, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_fertility": fertility.op4_fertility,
+    "op5_katz": katz.op5_katz,
+    "op6_warc": warc.op6_warc,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
