@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jambwork.llm import fertility, fingerprints, jaccard, katz, mixing, packing, suffixes, toxicity, warc
+from jambwork.llm import fertility, fingerprints, jaccard, katz, mixing, packing, suffixes, toolcalls, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fertility": fertility.op4_fertility,
     "op5_katz": katz.op5_katz,
     "op6_warc": warc.op6_warc,
+    "op7_tool_calls": toolcalls.op7_tool_calls,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
@@ -19,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_jaccard_join": jaccard.ORACLE,
     "op4_fertility": fertility.op4_fertility,
+    "op7_tool_calls": toolcalls.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
