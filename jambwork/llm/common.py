@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,10 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables stored within, but those stored to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows written to the shared folder and read again: cuts lineage, and is computed once."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +63,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_groups(rows: DataFrame, key: str, *sums: Column) -> DataFrame:
+    """rows with aggregates of their key's group, in one shuffle and one computation of rows.
+
+    The grouping reads all columns, so that both uses have the same exchange, which Spark then makes once.
+    """
+    rows = rows.repartition(parts(rows.sparkSession), key)
+    rest = [F.max(x).alias(f"_{x}") for x in rows.columns if x != key]
+    groups = rows.groupBy(key).agg(*sums, *rest)
+    for x in rows.columns:
+        if x != key:
+            groups = groups.where(F.col(f"_{x}").isNotNull()).drop(f"_{x}")
+    return rows.join(groups, key)
+
+
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """mapInArrow with f from a record batch to record batches (or tuples of columns)."""
     names = [x.strip().split()[0] for x in schema.split(",")]

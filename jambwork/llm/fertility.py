@@ -29,6 +29,8 @@ MIN_WORDS, MOST_REPEATED, SPAN = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("piece_chars", "byte_chars", "fallback", "entropy")
 U64 = np.uint64
+#: Bytes whose distinct words are encoded at once.
+AT_ONCE = 4 << 20
 #: ASCII punctuation and symbols, which don't count as characters of a token.
 PUNCTUATION = np.array([0x20 < x < 0x7F and not chr(x).isalnum() for x in range(256)])
 #: First code points of scripts; what lies between belongs to the script before.
@@ -124,7 +126,7 @@ def measured(docs: DataFrame, pieces: str, byte_pairs: str) -> DataFrame:
     def run(batch):
         v = Vocabularies(pieces, byte_pairs)
         ids, lang = batch.column("doc_id"), batch.column("lang")
-        for i, buf, off in K.pieces(K.strings(batch.column("text"))):
+        for i, buf, off in K.pieces(K.strings(batch.column("text")), AT_ONCE):
             words = K.Words(buf, off, lower=False)
             b, m = base(words), measure(words, v)
             yield ids.slice(i, len(off) - 1), lang.slice(i, len(off) - 1), *(pa.array(b[x].astype(np.int64)) for x in longs), *(pa.array(m[x], from_pandas=True) for x in MEASURES), pa.array(m["script"], pa.string())
@@ -162,14 +164,15 @@ def judged(docs: DataFrame, pieces: str, byte_pairs: str) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = stored(stats.withColumn("base_failed", failed).withColumn("key", F.when(F.length("lang") > 0, F.col("lang")).otherwise(F.col("script"))))
     band = stored(bands(stats))
-    every = band.where("key = ''").select(F.col("band").alias("all_bands"), F.lit(1).alias("one"))
-    rows = stats.withColumn("one", F.lit(1)).join(band.where("key <> ''"), "key", "left").join(F.broadcast(every), "one", "left")
+    every = band.where("key = ''").first()  # one row of four pairs
+    rows = stats.join(band.where("key <> ''"), "key", "left")
     inside = F.lit(True)
     for x, floor in FLOORS.items():
-        at = F.coalesce(F.col("band")[x], F.col("all_bands")[x])
-        least = F.lit(floor) if x == "fallback" else floor * at["median"]
-        inside &= F.coalesce(F.abs(F.col(x) - at["median"]) <= REACH * F.greatest(at["spread"] / F.sqrt("n_words"), least), F.lit(True))
-    return rows.withColumn("kept", ~F.col("base_failed") & inside).drop("one", "band", "all_bands", "lang")
+        of_all = every["band"].get(x) if every else None
+        median, spread = (F.coalesce(F.col("band")[x][k], F.lit(of_all[k] if of_all else None)) for k in ("median", "spread"))
+        least = F.lit(floor) if x == "fallback" else floor * median
+        inside &= F.coalesce(F.abs(F.col(x) - median) <= REACH * F.greatest(spread / F.sqrt("n_words"), least), F.lit(True))
+    return rows.withColumn("kept", ~F.col("base_failed") & inside).drop("band", "lang")
 
 
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jambwork.llm import kernels as K
-from jambwork.llm.common import arrow_map, components, stored, table
+from jambwork.llm.common import arrow_map, components, scratch, stored, table, with_groups
 
 WORDS, PERCENT = 5, 80
 #: Tokens of which the frequency is known to all tasks, in at least so many texts of one task.
@@ -64,12 +65,8 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 n = len(off) - 1
                 g, at = K.sets(*K.shingles(K.Words(buf, off), words), n)
                 size = np.diff(at)
-                two = [np.add.reduceat(np.append(K.mix(g ^ U64(s)), U64(0)), np.minimum(at[:-1], len(g))) for s in (1, 2)]
-                two = [K.mix(x + size.astype(U64)) for x in two]
-                zero = size == 0
-                for x in two:
-                    x[zero] = 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), ids.slice(i, n).cast(pa.int64()), *(pa.array(x) for x in (size, two[0].view(np.int64), two[1].view(np.int64)))], names=names)
+                two = _nodes(g, at, 1), _nodes(g, at, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), ids.slice(i, n).cast(pa.int64()), *(pa.array(x) for x in (size, *two))], names=names)
                 kept.append(g)
                 held += len(g)
                 if held > AT_ONCE:
@@ -81,89 +78,134 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, a long, b long")
 
 
-def _prefixes(texts: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """token, node, n, pos of the prefix tokens of each set; rows whose text isn't the node's are dropped."""
-    shared = texts.sparkSession.sparkContext.broadcast(heavy)
+def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
+    """key (48 bits of a token and its place in the set, at most 65535), node and n of the prefix tokens of each set.
 
-    def run(batch):
+    A task passes over the copies of a set that it has seen; shared bits of different tokens only add comparisons.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches):
         token, count = shared.value
-        node = np.asarray(batch.column("node"))
-        for i, buf, off in K.pieces(K.strings(batch.column("text"))):
-            n = len(off) - 1
-            g, at = K.sets(*K.shingles(K.Words(buf, off), words), n)
-            size = np.diff(at)
-            sums = np.add.reduceat(np.append(K.mix(g ^ U64(1)), U64(0)), np.minimum(at[:-1], len(g)))
-            good = (K.mix(sums + size.astype(U64)).view(np.int64) == node[i : i + n]) & (size > 0)
-            d = np.repeat(np.arange(n), size)
-            c = np.zeros(len(g), np.int64)
-            if len(token):
-                j = np.minimum(np.searchsorted(token, g), len(token) - 1)
-                c = np.where(token[j] == g, count[j], 0)
-            order = np.lexsort((g, c, d))
-            pos = np.arange(len(g)) - np.repeat(at[:-1], size)
-            keep = (pos < (size - -(-percent * size // 100) + 1)[d]) & good[d]
-            d = d[keep]
-            yield g[order][keep].view(np.int64), node[i + d], size[d], pos[keep]
-
-    return arrow_map(texts, run, "token long, node long, n long, pos long")
+        seen: set[int] = set()
+        for batch in batches:
+            for _, buf, off in K.pieces(K.strings(batch.column("text"))):
+                n = len(off) - 1
+                g, at = K.sets(*K.shingles(K.Words(buf, off), words), n)
+                size = np.diff(at)
+                node = _nodes(g, at, 1)
+                fresh = np.zeros(n, bool)
+                for i, x in enumerate(node.tolist()):
+                    if size[i] and x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                d = np.repeat(np.arange(n), size)
+                order = np.arange(len(g))
+                if len(token):
+                    j = np.minimum(np.searchsorted(token, g), len(token) - 1)
+                    c = np.where(token[j] == g, count[j], 0)
+                    often = np.flatnonzero(c)
+                    rare = np.flatnonzero(c == 0)
+                    both = np.concatenate([rare, often[np.lexsort((g[often], c[often]))]])
+                    order = both[np.argsort(d[both], kind="stable")]
+                pos = order * 0 + np.arange(len(g)) - np.repeat(at[:-1], size)
+                keep = (pos < (size - -(-percent * size // 100) + 1)[d]) & fresh[d]
+                d = d[keep]
+                key = (g[order][keep] & ~U64(0xFFFF)) | np.minimum(pos[keep], 0xFFFF).astype(U64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[d]), pa.array(size[d].astype(np.int32))], names=["key", "node", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, n int")
+
+
+def _nodes(g: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each set; 0 of the empty set."""
+    size = np.diff(at)
+    total = np.add.reduceat(np.append(K.mix(g ^ U64(seed)), U64(0)), np.minimum(at[:-1], len(g)))
+    return np.where(size > 0, K.mix(total + size.astype(U64)), U64(0)).view(np.int64)
+
+
+def _pressed(docs: DataFrame) -> DataFrame:
+    """doc_id, and the text compressed: what is moved and kept of texts."""
+
+    def run(batch):
+        press = zstandard.ZstdCompressor(level=1)
+        yield batch.column("doc_id"), pa.array([press.compress(x.as_buffer()) for x in batch.column("text").cast(pa.binary())], pa.binary())
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, text binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link, with their overlap."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts.join(need, "node", "left_semi")
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
 
     def run(batch):
+        press = zstandard.ZstdDecompressor()
         a, b = np.asarray(batch.column("a")), np.asarray(batch.column("b"))
-        left, right = K.strings(batch.column("left")), K.strings(batch.column("right"))
-        size = K.flat(left)[1][1:] + K.flat(right)[1][1:]
+        left, right = batch.column("left"), batch.column("right")
         at = 0
         while at < len(a):
-            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + K.PIECE_BYTES, "right")))
+            x, y, size, to = [], [], 0, at
+            while to < len(a) and (to == at or size < K.PIECE_BYTES):
+                x.append(press.decompress(left[to].as_py()))
+                y.append(press.decompress(right[to].as_py()))
+                size += len(x[-1]) + len(y[-1])
+                to += 1
             n = to - at
-            (g, x), (h, y) = (K.sets(*K.shingles(K.Words(*K.flat(s.slice(at, n))), words), n) for s in (left, right))
-            d = np.concatenate([np.repeat(np.arange(n), np.diff(x)), np.repeat(np.arange(n), np.diff(y))])
+            (g, u), (h, v) = (K.sets(*K.shingles(K.Words(np.frombuffer(b"".join(t), np.uint8), np.append(0, np.cumsum([len(z) for z in t]))), words), n) for t in (x, y))
+            d = np.concatenate([np.repeat(np.arange(n), np.diff(u)), np.repeat(np.arange(n), np.diff(v))])
             t = np.concatenate([g, h])
-            order = np.lexsort((t, d))
+            order = K.by_text(t, d)
             t, d = t[order], d[order]
             both = np.bincount(d[1:][(t[1:] == t[:-1]) & (d[1:] == d[:-1])], minlength=n)
-            ok = 100 * both >= percent * (np.diff(x) + np.diff(y) - both)
+            ok = 100 * both >= percent * (np.diff(u) + np.diff(v) - both)
             yield a[at:to][ok], b[at:to][ok], both[ok]
             at = to
 
     return arrow_map(both, run, "a long, b long, overlap long")
 
 
-def _classes(links: DataFrame, postings: DataFrame) -> DataFrame:
+def _mixed(entries: DataFrame, class_: str = "class") -> DataFrame:
+    """The entries of tokens that lie in more than one class."""
+    both = with_groups(entries, "token", F.min(class_).alias("low"), F.max(class_).alias("high"))
+    return stored(both.where("low < high").drop("low", "high"))
+
+
+def _classes(links: DataFrame, entries: DataFrame) -> DataFrame:
     """The entries of lists that hold more than one class, with the class of each."""
     root = components(links).select("node", F.col("root").alias("class"))
-    e = postings.join(root, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = e.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("token")
-    return stored(e.join(mixed, "token"))
+    return _mixed(entries.drop("class").join(root, "node", "left").withColumn("class", F.coalesce("class", "node")))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    with scratch(docs.sparkSession):
+        return stored(_joined(docs, words, percent), keep=True)
+
+
+def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     profile = stored(_profile(docs, words))
     own = profile.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"))
     frequent = profile.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("c"))
-    top = frequent.orderBy(F.desc("c"), "token").limit(HEAVY).toPandas().sort_values("token")
+    top = frequent.orderBy(F.desc("c"), "token").limit(HEAVY).toPandas()
     token = top["token"].to_numpy(np.int64).view(U64)
     order = np.argsort(token)
     heavy = token[order], top["c"].to_numpy(np.int64)[order]
 
     sets = stored(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    texts = docs.join(sets.select("doc_id", "node"), "doc_id").select("node", "text").repartition("node")
-    entry = _prefixes(texts, heavy, words, percent)
-    count = entry.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    postings = stored(entry.join(count, "token"))
+    entry = _prefixes(docs, heavy, words, percent)
+    entry = entry.select(F.shiftrightunsigned("key", 16).alias("token"), "node", "n", F.expr("cast(key & 65535 as int)").alias("pos"))
+    postings = _mixed(entry, "node")
 
     same = own.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     links = stored(own.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
-    entries = _classes(links, postings)
+    near = sets.join(postings.select("node").distinct(), "node").select("doc_id", "node")
+    texts = stored(_own_text(_pressed(docs).join(near, "doc_id"), words))
+    entries = postings.withColumn("class", F.col("node")) if links.isEmpty() else _classes(links, postings)
     for turn in range(LEADER_ROUNDS):
         if entries.isEmpty():
             break
@@ -171,11 +213,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         leader = entries.groupBy("token").agg(F.min(at).alias("to")).select("token", F.col("to.node").alias("to"), F.col("to.class").alias("to_class"), F.col("to.n").alias("m"), F.col("to.pos").alias("at"))
         met = entries.join(leader, "token").where(F.col("class") != F.col("to_class")).where(_possible(percent))
         best = met.groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("to"))
-        found = _verified(best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), texts, words, percent)
+        found = _verified(stored(best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()), texts, words, percent)
         links = stored(links.unionByName(found.select("a", "b")))
-        entries = _classes(links, postings)
+        entries = _classes(links, entries)
     if not entries.isEmpty():
-        links = links.unionByName(_verified(_rest(entries, percent), texts, words, percent).select("a", "b"))
+        links = links.unionByName(_verified(stored(_rest(entries, percent)), texts, words, percent).select("a", "b"))
     root = components(links)
     group = sets.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = group.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -184,6 +226,23 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _own_text(texts: DataFrame, words: int) -> DataFrame:
+    """node and text of rows whose text makes the node's set: rows that share a doc_id can have others."""
+
+    def run(batch):
+        press = zstandard.ZstdDecompressor()
+        node, text = np.asarray(batch.column("node")), batch.column("text")
+        good = []
+        for i in range(0, len(node), 256):
+            raw = [press.decompress(x.as_py()) for x in text[i : i + 256]]
+            off = np.append(0, np.cumsum([len(x) for x in raw]))
+            good.append(_nodes(*K.sets(*K.shingles(K.Words(np.frombuffer(b"".join(raw), np.uint8), off), words), len(raw)), 1) == node[i : i + 256])
+        keep = pa.array(np.concatenate(good))
+        yield batch.column("node").filter(keep), text.filter(keep)
+
+    return arrow_map(texts.select("node", "text"), run, "node long, text binary").dropDuplicates(["node"])
+
+
 def _possible(percent: int) -> Column:
     """Whether sets of n and m tokens with a common token at pos and at can link, given that it is their first."""
     need = _overlap(F.col("n"), F.col("m"), percent)

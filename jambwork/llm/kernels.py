@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(BASE, -1, 1 << 64)
 
@@ -110,10 +110,11 @@ def ngrams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, U64)
-    total = np.full(m, seed, U64)
-    for k in range(n):
-        total = mix(total ^ h[k : k + m]) if k else mix(h[:m] + U64(seed))
-    return total
+    p, _ = powers(n + 1)
+    total = h[:m] + U64(seed)
+    for k in range(1, n):
+        total += h[k : k + m] * p[k]
+    return mix(total)
 
 
 def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +135,16 @@ def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return g, d
 
 
+def by_text(g: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The order by (d, g) of hashes g of texts d; equal pairs in any order."""
+    first = np.argsort(g)
+    d = d[first]
+    return first[np.argsort(d.astype(np.uint16) if not len(d) or d.max() < 1 << 16 else d, kind="stable")]
+
+
 def sets(g: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each of n texts, ascending, and the n + 1 offsets into them."""
-    order = np.lexsort((g, d))
+    order = by_text(g, d)
     g, d = g[order], d[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])

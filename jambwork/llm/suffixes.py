@@ -31,11 +31,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jambwork.llm import kernels as K
-from jambwork.llm.common import arrow_map, parts, stored, table
+from jambwork.llm.common import arrow_map, parts, stored, table, with_groups
 
 LENGTH, ANCHOR = 200, 64
 #: Runs of windows that one anchor may have in one index; bytes that are indexed at once.
@@ -78,16 +79,21 @@ def _runs(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.nda
 
 
 def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
-    def run(batch):
-        a, b = batch.column("k1"), batch.column("k2")
-        for i, buf, off in K.pieces(K.strings(batch.column("text"))):
-            for lo, hi in _slices(buf, length):  # windows of one very long text lie in one slice each
-                part = off if hi - lo == len(buf) else np.array([0, hi - lo])
-                d, start, n, h = _runs(buf[lo:hi], part, length, k)
-                at = pa.array(i + d)
-                yield h.view(np.int64), a.take(at), b.take(at), (start + lo).astype(np.int32), n.astype(np.int32)
+    """anchor, text, at (first window's start and number of windows, packed); a task passes over copies of a text that it has seen."""
 
-    return arrow_map(docs.select("k1", "k2", "text"), run, "anchor long, k1 long, k2 long, start int, n int")
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            ids = np.asarray(batch.column("text_id"))
+            fresh = np.array([x not in seen and not seen.add(x) for x in ids.tolist()], bool)
+            batch, ids = batch.filter(pa.array(fresh)), ids[fresh]
+            for i, buf, off in K.pieces(K.strings(batch.column("text"))):
+                for lo, hi in _slices(buf, length):  # windows of one very long text lie in one slice each
+                    part = off if hi - lo == len(buf) else np.array([0, hi - lo])
+                    d, start, n, h = _runs(buf[lo:hi], part, length, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i + d]), pa.array(((start + lo) << 20) | n)], names=["anchor", "text_id", "at"])
+
+    return docs.select("text_id", "text").mapInArrow(run, "anchor long, text_id long, at long")
 
 
 def _slices(buf: np.ndarray, length: int, most: int = 12 << 20):
@@ -216,11 +222,11 @@ def _marked(strings: pa.Array, anchor: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _indexed(strings: DataFrame, length: int) -> DataFrame:
-    """Repeated byte ranges (k1, k2, lo, hi), from strings that lie together by anchor."""
+    """Repeated byte ranges (text_id, check, lo, hi), from strings that lie together by anchor."""
 
     def run(batches):
         held, size = [], 0
-        done = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+        done = pa.schema([("text_id", pa.int64()), ("check", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
         def found(t: pa.Table):
             t = t.combine_chunks()
@@ -228,7 +234,7 @@ def _indexed(strings: DataFrame, length: int) -> DataFrame:
             row, first, last = _marked(b.column("string"), np.asarray(b.column("anchor")), length)
             start = np.asarray(b.column("start"))[row]
             at = pa.array(row)
-            return pa.RecordBatch.from_arrays([b.column("k1").take(at), b.column("k2").take(at), pa.array((start + first).astype(np.int32)), pa.array((start + last + length).astype(np.int32))], schema=done)
+            return pa.RecordBatch.from_arrays([b.column("text_id").take(at), b.column("check").take(at), pa.array((start + first).astype(np.int32)), pa.array((start + last + length).astype(np.int32))], schema=done)
 
         for batch in batches:
             if not batch.num_rows:
@@ -248,62 +254,87 @@ def _indexed(strings: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return strings.mapInArrow(run, "k1 long, k2 long, lo int, hi int")
+    return strings.mapInArrow(run, "text_id long, check long, lo int, hi int")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(keys, cut): docs with the two hashes of their text; and k1, k2, n_bytes, n_removed, n_spans, kept (binary) of each text."""
+    """(keys, cut): docs with the two hashes of their text; and text_id, check, n_bytes, n_removed, n_spans, kept (binary) of each text."""
     text = F.coalesce("text", F.lit(""))
-    keys = docs.withColumn("text", text).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64("text", F.lit(1)))
+    keys = docs.withColumn("text", text).withColumn("text_id", F.xxhash64("text")).withColumn("check", F.xxhash64("text", F.lit(1)))
     n = parts(docs.sparkSession)
-    anchors = stored(_anchors(keys, length, anchor))
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > hot).alias("hot"))
-    hits = stored(anchors.join(again, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "start", "n", "hot")).alias("hits")))
-    texts = keys.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    held = texts.join(hits, ["k1", "k2"])
+    anchors = with_groups(_anchors(keys, length, anchor), "anchor", F.count("*").alias("c")).where("c > 1")
+    hits = stored(anchors.withColumn("hot", F.col("c") > hot).groupBy("text_id").agg(F.collect_set(F.struct("anchor", "at", "hot")).alias("hits")))
+
+    def press(batches):
+        """Each text of a task once, compressed, and at its end how many more copies the task has."""
+        z, more = zstandard.ZstdCompressor(level=1), {}
+        names = ["text_id", "check", "text", "copies"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        for batch in batches:
+            ids = [*zip(batch.column("text_id").to_pylist(), batch.column("check").to_pylist(), strict=True)]
+            fresh = []
+            for x in ids:
+                fresh.append(x not in more)
+                more[x] = more.get(x, -1) + 1
+            got = batch.filter(pa.array(fresh, pa.bool_()))
+            text = pa.array([z.compress(x.as_buffer()) for x in got.column("text").cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([got.column("text_id"), got.column("check"), text, pa.array([1] * got.num_rows, pa.int64())], names=names)
+        rest = [(*x, None, n) for x, n in more.items() if n]
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rest, strict=True), types, strict=True)], names=names)
+
+    pressed = keys.select("text_id", "check", "text").mapInArrow(press, "text_id long, check long, text binary, copies long").repartition(n, "text_id")
+    texts = pressed.groupBy("text_id", "check").agg(F.first("text", ignorenulls=True).alias("text"), F.sum("copies").alias("copies"))
+    held = texts.join(hits, "text_id")
 
     def strings(batch):
-        lists = batch.column("hits")
-        text = [x.encode() for x in batch.column("text").to_pylist()]
-        row = np.repeat(np.arange(len(text)), np.asarray(pa.compute.list_value_length(lists)))
+        z, lists = zstandard.ZstdDecompressor(), batch.column("hits")
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(lists)))
         flat = lists.flatten()
-        h, start, m, hot = (np.asarray(flat.field(x)) for x in ("anchor", "start", "n", "hot"))
+        h, at, hot = (np.asarray(flat.field(x)) for x in ("anchor", "at", "hot"))
+        start, m = at >> 20, at & 0xFFFFF
+        end = start + m + length - 1
+        cut, last, own = [], -1, b""
+        for r, a, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
+            if r != last:
+                last, own = r, z.decompress(batch.column("text")[r].as_py())
+            cut.append(own[a:e])
+        ids, checks = batch.column("text_id"), batch.column("check")
         for lo in range(0, len(row), 20_000):
             s = slice(lo, lo + 20_000)
-            cut = [text[r][a:e] for r, a, e in zip(row[s].tolist(), start[s].tolist(), (start[s] + m[s] + length - 1).tolist(), strict=True)]
-            at = pa.array(row[s])
-            yield h[s], hot[s], batch.column("k1").take(at), batch.column("k2").take(at), start[s], pa.array(cut, pa.binary())
+            i = pa.array(row[s])
+            yield h[s], hot[s], ids.take(i), checks.take(i), start[s].astype(np.int32), pa.array(cut[s], pa.binary())
 
-    cut_out = arrow_map(held.select("k1", "k2", "text", "hits"), strings, "anchor long, hot boolean, k1 long, k2 long, start int, string binary")
+    cut_out = arrow_map(held.select("text_id", "check", "text", "hits"), strings, "anchor long, hot boolean, text_id long, check long, start int, string binary")
     cool = cut_out.where("not hot").drop("hot").repartition(n, "anchor").sortWithinPartitions("anchor")
     ranges = _indexed(cool, length).unionByName(_one_by_one(held, length))
-    ranges = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return keys, _cut(texts.join(ranges, ["k1", "k2"], "left"), length)
+    ranges = ranges.groupBy("text_id", "check").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return keys, _cut(texts.join(ranges, ["text_id", "check"], "left"), length)
 
 
 def _one_by_one(held: DataFrame, length: int) -> DataFrame:
     """Repeated ranges among the windows of anchors that are too frequent for one index."""
-    some = held.select("k1", "k2", "text", F.filter("hits", lambda x: x["hot"]).alias("hits")).where(F.size("hits") > 0)
+    some = held.select("text_id", "check", "text", F.filter("hits", lambda x: x["hot"]).alias("hits")).where(F.size("hits") > 0)
 
     def windows(batch):
-        lists = batch.column("hits")
-        for r, (t, hits) in enumerate(zip(batch.column("text").to_pylist(), lists.to_pylist(), strict=True)):
-            buf = np.frombuffer(t.encode(), np.uint8)
+        z, lists = zstandard.ZstdDecompressor(), batch.column("hits")
+        for r, (t, hits) in enumerate(zip(batch.column("text"), lists.to_pylist(), strict=True)):
+            buf = np.frombuffer(z.decompress(t.as_py()), np.uint8)
             one, two = _grams(buf, length), _grams(buf[::-1], length)[::-1]
-            at = np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in hits])
+            at = np.concatenate([np.arange(x["at"] >> 20, (x["at"] >> 20) + (x["at"] & 0xFFFFF)) for x in hits])
             same = pa.array(np.full(len(at), r))
-            yield batch.column("k1").take(same), batch.column("k2").take(same), at.astype(np.int32), one[at].view(np.int64), two[at].view(np.int64)
+            yield batch.column("text_id").take(same), batch.column("check").take(same), at.astype(np.int32), one[at].view(np.int64), two[at].view(np.int64)
 
-    w = arrow_map(some, windows, "k1 long, k2 long, at int, w1 long, w2 long")
+    w = arrow_map(some, windows, "text_id long, check long, at int, w1 long, w2 long")
     twice = w.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    return w.join(twice, ["w1", "w2"]).select("k1", "k2", F.col("at").alias("lo"), (F.col("at") + length).cast("int").alias("hi"))
+    return w.join(twice, ["w1", "w2"]).select("text_id", "check", F.col("at").alias("lo"), (F.col("at") + length).cast("int").alias("hi"))
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:
     def run(batch):
-        out = []
-        for text, copies, ranges in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            b = text.encode()
+        z, out = zstandard.ZstdDecompressor(), []
+        for text, copies, ranges in zip(batch.column("text"), batch.column("copies").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            b = z.decompress(text.as_py())
             if copies > 1 and len(b) >= length:
                 out.append((len(b), len(b), 1, b""))
                 continue
@@ -320,23 +351,23 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
             kept.append(b[at:])
             out.append((len(b), removed, spans, b"".join(kept)))
         cols = [*zip(*out, strict=True)]
-        yield batch.column("k1"), batch.column("k2"), *(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in cols[3]])
+        yield batch.column("text_id"), batch.column("check"), *(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in cols[3]])
 
-    return arrow_map(texts.select("k1", "k2", "text", "copies", "ranges"), run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return arrow_map(texts.select("text_id", "check", "text", "copies", "ranges"), run, "text_id long, check long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     keys, cut = repeats(docs)
-    return keys.select("doc_id", "k1", "k2").join(cut.drop("kept"), ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return keys.select("doc_id", "text_id", "check").join(cut.drop("kept"), ["text_id", "check"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated bytes go from each text, and characters that a cut has split."""
     keys, cut = repeats(docs)
-    kept = cut.select("k1", "k2", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept", "n_removed")
+    kept = cut.select("text_id", "check", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept", "n_removed")
     text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.coalesce("whole", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")))
-    out = keys.drop("text").join(kept.select("k1", "k2", text.alias("text")), ["k1", "k2"])
+    out = keys.drop("text").join(kept.select("text_id", "check", text.alias("text")), ["text_id", "check"])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
