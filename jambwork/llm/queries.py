@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_jaccard_join": jaccard.ORACLE,
-    "op4_fertility": fertility.op4_fertility,
     "op7_tool_calls": toolcalls.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
