@@ -1,14 +1,14 @@
 """Quality rules on tokeniser fertility.
 
 Public vocabularies tokenise each distinct word once; a text's measures follow
-from its words: characters (punctuation aside) per token of two vocabularies, the share of tokens
-that fall back to single bytes, and the entropy of its tokens relative to the
-most that so many tokens can have. A text is rejected if a measure lies outside
+from its words: characters (punctuation aside) per token of two vocabularies,
+the share of tokens that fall back to single bytes, and the entropy of its
+tokens relative to the most that so many tokens can have. A text is rejected if a measure lies outside
 the band of its language, or of its script where the language is not given.
 
 A band is the median over all texts of the language that pass the base rules,
 and so many median absolute deviations to both sides, at least a part of the
-median. Languages of fewer than `LEAST` such texts take the band of all texts.
+median. For languages of fewer than `LEAST` such texts the base rules decide alone.
 
 Null texts count as without words: they fail the base rules, and their measures
 are null.
@@ -136,25 +136,23 @@ def measured(docs: DataFrame, pieces: str, byte_pairs: str) -> DataFrame:
 
 
 #: Deviations that a band reaches to both sides; texts that a language's own band needs.
-REACH, LEAST = 5.0, 200
+REACH, LEAST = 5.0, 10
 #: A deviation is at least so much of the median, or of 1 for shares.
 FLOORS = {"piece_chars": 0.01, "byte_chars": 0.01, "fallback": 0.02, "entropy": 0.08}
 
 
 def _medians(rows: DataFrame, value) -> DataFrame:
-    """key, measure and the median of value, from counts of values to four digits."""
+    """key, measure, the median of value and the number of texts, from counts of values to four digits."""
     counts = rows.groupBy("key", "measure", F.round(value, 4).alias("v")).count()
-    both = counts.unionByName(counts.withColumn("key", F.lit(""))).groupBy("key", "measure", "v").agg(F.sum("count").alias("count"))
-    return both.groupBy("key", "measure").agg(F.expr("percentile(v, 0.5, count)").alias("median"), F.sum("count").alias("texts"))
+    return counts.groupBy("key", "measure").agg(F.expr("percentile(v, 0.5, count)").alias("median"), F.sum("count").alias("texts"))
 
 
 def bands(stats: DataFrame) -> DataFrame:
-    """key (language or script; '' for all), and the median and deviation of each measure, a text's deviation times the root of its words."""
+    """key (language or script), and the median and spread (a text's deviation times the root of its words) of each measure."""
     long = stats.where("not base_failed").select("key", "n_words", F.explode(F.map_from_arrays(F.array(*map(F.lit, MEASURES)), F.array(*MEASURES))).alias("measure", "x")).where("x is not null")
-    middle = stored(_medians(long, F.col("x")))
-    at = middle.select("key", "measure", "median")
-    spread = _medians(long.join(at, ["key", "measure"]), F.abs(F.col("x") - F.col("median")) * F.sqrt("n_words"))
-    band = middle.join(spread.select("key", "measure", (F.col("median") * 1.4826).alias("spread")), ["key", "measure"]).where((F.col("key") == "") | (F.col("texts") >= LEAST))
+    middle = stored(_medians(long, F.col("x")).where(F.col("texts") >= LEAST).drop("texts"))
+    spread = _medians(long.join(middle, ["key", "measure"]), F.abs(F.col("x") - F.col("median")) * F.sqrt("n_words"))
+    band = middle.join(spread.select("key", "measure", (F.col("median") * 1.4826).alias("spread")), ["key", "measure"])
     return band.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("median", "spread")))).alias("band"))
 
 
@@ -163,15 +161,12 @@ def judged(docs: DataFrame, pieces: str, byte_pairs: str) -> DataFrame:
     stats = measured(docs, pieces, byte_pairs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats = stored(stats.withColumn("base_failed", failed).withColumn("key", F.when(F.length("lang") > 0, F.col("lang")).otherwise(F.col("script"))))
-    band = stored(bands(stats))
-    every = band.where("key = ''").first()  # one row of four pairs
-    rows = stats.join(band.where("key <> ''"), "key", "left")
+    rows = stats.join(stored(bands(stats)), "key", "left")
     inside = F.lit(True)
     for x, floor in FLOORS.items():
-        of_all = every["band"].get(x) if every else None
-        median, spread = (F.coalesce(F.col("band")[x][k], F.lit(of_all[k] if of_all else None)) for k in ("median", "spread"))
-        least = F.lit(floor) if x == "fallback" else floor * median
-        inside &= F.coalesce(F.abs(F.col(x) - median) <= REACH * F.greatest(spread / F.sqrt("n_words"), least), F.lit(True))
+        median, spread = F.col("band")[x]["median"], F.col("band")[x]["spread"]
+        away = F.greatest(spread / F.sqrt("n_words"), F.lit(floor) if x == "fallback" else floor * median)
+        inside &= F.coalesce(F.abs(F.col(x) - median) <= REACH * away, F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & inside).drop("band", "lang")
 
 

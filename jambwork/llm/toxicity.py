@@ -2,10 +2,11 @@
 
 One interpolated Kneser-Ney bigram model of all labelled text is shared by two
 class models, of toxic and of ordinary text. A class model multiplies the
-shared probability of an n-gram by its own rate: texts of the class that hold
-the n-gram over those that the shared model expects, both completed by
-`STRENGTH` counts at the rate of the shorter n-gram, and below words at 1. So an
-expression of few texts backs off to the shared counts and tells nothing. A
+shared probability of an n-gram by its own rate: what the class's texts with the
+n-gram have over those that the shared model and the shorter n-gram's rate
+expect, discounted by `DISCOUNT` standard errors and completed by `STRENGTH`
+counts. So an expression of few texts, or one that both classes use alike, backs
+off to the shared counts and tells nothing. A
 text's score is the logistic of the difference of both log-likelihoods per
 token, with the two coefficients fitted on labelled texts that the counted ones
 don't contain.
@@ -36,7 +37,9 @@ from jambwork.llm.common import arrow_map, bucket_of, stored, table
 
 MAX_DOCS = 8_000
 #: Texts that an n-gram needs to be kept; counts at the shared rate that complete a class's own.
-LEAST, STRENGTH = 4, 10.0
+LEAST, STRENGTH = 4, 3.0
+#: Standard errors of an expected count by which class counts are discounted; weight of the prior slope, in texts.
+DISCOUNT, PRIOR = 6.0, 0.003
 U64 = np.uint64
 START = U64(0x1234567)
 
@@ -50,6 +53,12 @@ def _pairs(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
     return h, w
 
 
+def _excess(c: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """The rate of counts over what is expected: 1 within the discount, and shrunk to 1 by `STRENGTH` counts."""
+    away = np.maximum(np.abs(c - expected) - DISCOUNT * np.sqrt(expected), 0)
+    return 1 + np.sign(c - expected) * away / (expected + STRENGTH)
+
+
 @dataclass
 class Ratios:
     """log(toxic rate / ordinary rate) of kept words and bigrams, by sorted key."""
@@ -68,13 +77,13 @@ class Ratios:
         own = ["ordinary", "toxic"]
         w, h = words["w"].to_numpy(U64), hist["h"].to_numpy(U64)
         c = words[own].to_numpy(float)
-        rate = (c + STRENGTH) / (c.sum(1, keepdims=True) * total / total.sum() + STRENGTH)
+        rate = _excess(c, c.sum(1, keepdims=True) * total / total.sum())
         ph, pw, pc = pairs["h"].to_numpy(U64), pairs["w"].to_numpy(U64), pairs[own].to_numpy(float)
         i, j = np.searchsorted(w, pw), np.searchsorted(h, ph)
         hc = hist[own].to_numpy(float)[j]
         back = discount * hist["types"].to_numpy(float)[j] / hc.sum(1)
         shared = (pc.sum(1) - discount) / hc.sum(1) + back * words["types"].to_numpy(float)[i] / types
-        prate = (pc + STRENGTH * rate[i]) / (hc * shared[:, None] + STRENGTH)
+        prate = rate[i] * _excess(pc, hc * shared[:, None] * rate[i])
         key = K.mix(ph * U64(3) + pw)
         order = np.argsort(key)
         return cls(w, np.log(rate[:, 1] / rate[:, 0]), key[order], np.log(prate[:, 1] / prate[:, 0])[order])
@@ -99,18 +108,22 @@ class Ratios:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with a small ridge, on standardised x."""
+    """Slope and intercept by Newton's method, on standardised x.
+
+    A prior of `PRIOR` texts' weight holds the standardised slope near 1, so that few texts can't turn it round.
+    """
     if not len(x) or y.min() == y.max():
         return 0.0, -30.0
     m, s = x.mean(), x.std() or 1.0
     a = np.stack([(x - m) / s, np.ones(len(x))], 1)
-    b = np.zeros(2)
+    b, mean, weight = np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([PRIOR, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * b)
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(weight), a.T @ (y - p) - weight * (b - mean))
         b += step
         if abs(step).max() < 1e-9:
             break
+    b[0] = max(b[0], 0.5)
     return b[0] / s, b[1] - b[0] * m / s
 
 
