@@ -108,7 +108,7 @@ class Ratios:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with bounded steps, on standardised x.
+    """Slope and intercept by Newton's method with halved steps, on standardised x.
 
     A prior of `PRIOR` texts' weight holds the standardised slope near 1, so that few texts can't turn it round.
     """
@@ -117,10 +117,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     m, s = x.mean(), x.std() or 1.0
     a = np.stack([(x - m) / s, np.ones(len(x))], 1)
     b, mean, weight = np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([PRIOR, 1e-3])
-    for _ in range(200):
+    loss = lambda b: np.logaddexp(0, np.where(y > 0, -1, 1) * (a @ b)).sum() + (weight * (b - mean) ** 2).sum() / 2
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(weight), a.T @ (y - p) - weight * (b - mean))
-        b += np.clip(step, -1, 1)
+        while abs(step).max() > 1e-9 and loss(b + step) > loss(b):
+            step /= 2
+        b += step
         if abs(step).max() < 1e-9:
             break
     b[0] = max(b[0], 0.5)
