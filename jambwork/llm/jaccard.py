@@ -14,8 +14,8 @@ of each set is indexed: linked sets share a token of both prefixes.
   of similar sets costs one comparison a member, not all pairs. Lists in which
   one class remains are done.
 
-When `LEADER_ROUNDS` rounds are over, all pairs of different classes that the
-index still has are compared exactly, so no link between classes is missed.
+When rounds no longer pay, all pairs of different classes that the index still
+has are compared exactly, so no link between classes is missed.
 
 Null and empty texts, and those without a word, have an empty set and link with
 nothing. Texts of fewer than n words are one shingle. Rows that share a doc_id
@@ -34,9 +34,12 @@ from jambwork.llm import kernels as K
 from jambwork.llm.common import arrow_map, components, scratch, stored, table, with_groups
 
 WORDS, PERCENT = 5, 80
-#: Tokens of which the frequency is known to all tasks, in at least so many texts of one task.
+#: Tokens of which the frequency is known to all tasks, the most frequent ones, and in at least so many sets.
 HEAVY, LEAST = 100_000, 6
-LEADER_ROUNDS = 2
+#: Prefixes' lengths of each set that are counted for it, as tokens go to the end of a set when they are found to be frequent.
+MORE = 1.6
+#: Leader rounds at most, and pairs for each entry of the lists above which a round pays.
+ROUNDS, PAIRS = 6, 2
 #: Tokens that a task counts at once.
 AT_ONCE = 4_000_000
 U64 = np.uint64
@@ -48,34 +51,52 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: doc_id, set size n, and the set's two hashes; kind 1: token and texts of this task with it."""
+    """doc_id, set size n, and a hash of the set, of each text."""
+
+    def run(batch):
+        ids = batch.column("doc_id")
+        for i, buf, off in K.pieces(K.strings(batch.column("text"))):
+            n = len(off) - 1
+            g, at = K.sets(*K.shingles(K.Words(buf, off), words), n)
+            yield ids.slice(i, n).cast(pa.int64()), np.diff(at), _nodes(g, at, 1)
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, node long")
+
+
+def _prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
+    return size - -(-percent * size // 100) + 1
+
+
+def _counted(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """token and c: sets with the token among their first ones by hash, `MORE` times a prefix of them.
+
+    A task counts the copies of a set that it has seen once.
+    """
 
     def run(batches):
-        names = ["kind", "doc_id", "n", "a", "b"]
-        rows, kept, held = [], [], 0
+        seen: set[int] = set()
+        kept, held = [], 0
 
-        def heavy():
+        def counts():
             t, c = np.unique(np.concatenate(kept), return_counts=True)
-            t, c = t[c >= LEAST], c[c >= LEAST]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ones(len(t), np.int32), np.zeros(len(t), np.int64), c.astype(np.int64), t.view(np.int64), np.zeros(len(t), np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c.astype(np.int32))], names=["token", "c"])
 
         for batch in batches:
-            ids = batch.column("doc_id")
-            for i, buf, off in K.pieces(K.strings(batch.column("text"))):
-                n = len(off) - 1
-                g, at = K.sets(*K.shingles(K.Words(buf, off), words), n)
+            for _, buf, off in K.pieces(K.strings(batch.column("text"))):
+                g, at = K.sets(*K.shingles(K.Words(buf, off), words), len(off) - 1)
                 size = np.diff(at)
-                two = _nodes(g, at, 1), _nodes(g, at, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), ids.slice(i, n).cast(pa.int64()), *(pa.array(x) for x in (size, *two))], names=names)
-                kept.append(g)
-                held += len(g)
+                fresh = np.array([x not in seen and not seen.add(x) for x in _nodes(g, at, 1).tolist()], bool)
+                take = np.minimum(size, (MORE * _prefix_size(size, percent)).astype(np.int64)) * (fresh & (size > 0))
+                first = np.repeat(at[:-1], take)
+                kept.append(g[first + np.arange(len(first)) - np.repeat(np.cumsum(take) - take, take)])
+                held += len(first)
                 if held > AT_ONCE:
-                    yield heavy()
+                    yield counts()
                     kept, held = [], 0
         if kept:
-            yield heavy()
+            yield counts()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, a long, b long")
+    return docs.select("text").mapInArrow(run, "token long, c int").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
 
 
 def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
@@ -109,7 +130,7 @@ def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int,
                     both = np.concatenate([rare, often[np.lexsort((g[often], c[often]))]])
                     order = both[np.argsort(d[both], kind="stable")]
                 pos = order * 0 + np.arange(len(g)) - np.repeat(at[:-1], size)
-                keep = (pos < (size - -(-percent * size // 100) + 1)[d]) & fresh[d]
+                keep = (pos < _prefix_size(size, percent)[d]) & fresh[d]
                 d = d[keep]
                 key = (g[order][keep] & ~U64(0xFFFF)) | np.minimum(pos[keep], 0xFFFF).astype(U64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[d]), pa.array(size[d].astype(np.int32))], names=["key", "node", "n"])
@@ -188,10 +209,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    profile = stored(_profile(docs, words))
-    own = profile.where("kind = 0").select("doc_id", "n", F.col("a").alias("node"))
-    frequent = profile.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("c"))
-    top = frequent.orderBy(F.desc("c"), "token").limit(HEAVY).toPandas()
+    own = stored(_profile(docs, words))
+    top = _counted(docs, words, percent).orderBy(F.desc("c"), "token").limit(HEAVY).toPandas()
     token = top["token"].to_numpy(np.int64).view(U64)
     order = np.argsort(token)
     heavy = token[order], top["c"].to_numpy(np.int64)[order]
@@ -206,15 +225,19 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     near = sets.join(postings.select("node").distinct(), "node").select("doc_id", "node")
     texts = stored(_own_text(_pressed(docs).join(near, "doc_id"), words))
     entries = postings.withColumn("class", F.col("node")) if links.isEmpty() else _classes(links, postings)
-    for turn in range(LEADER_ROUNDS):
-        if entries.isEmpty():
+    for turn in range(ROUNDS):
+        size = entries.groupBy("token").count().agg(F.sum("count").alias("entries"), F.sum(F.expr("double(count) * (count - 1) / 2")).alias("pairs")).first()
+        if (size.pairs or 0) <= PAIRS * (size.entries or 0):
             break
         at = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class"), F.xxhash64("node", F.lit(turn)).alias("k"), F.col("node"), F.col("n"), F.col("pos"))
         leader = entries.groupBy("token").agg(F.min(at).alias("to")).select("token", F.col("to.node").alias("to"), F.col("to.class").alias("to_class"), F.col("to.n").alias("m"), F.col("to.pos").alias("at"))
         met = entries.join(leader, "token").where(F.col("class") != F.col("to_class")).where(_possible(percent))
         best = met.groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("to"))
         found = _verified(stored(best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()), texts, words, percent)
-        links = stored(links.unionByName(found.select("a", "b")))
+        found = stored(found.select("a", "b"))
+        if found.isEmpty():
+            break
+        links = stored(links.unionByName(found))
         entries = _classes(links, entries)
     if not entries.isEmpty():
         links = links.unionByName(_verified(stored(_rest(entries, percent)), texts, words, percent).select("a", "b"))
