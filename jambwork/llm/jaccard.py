@@ -39,7 +39,7 @@ HEAVY, LEAST = 100_000, 6
 #: Prefixes' lengths of each set that are counted for it, as tokens go to the end of a set when they are found to be frequent.
 MORE = 1.6
 #: Leader rounds at most, and pairs for each entry of the lists above which a round pays.
-ROUNDS, PAIRS = 6, 2
+ROUNDS, PAIRS = 2, 2
 #: Tokens that a task counts at once.
 AT_ONCE = 4_000_000
 U64 = np.uint64
@@ -235,8 +235,6 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
         best = met.groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("to"))
         found = _verified(stored(best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()), texts, words, percent)
         found = stored(found.select("a", "b"))
-        if found.isEmpty():
-            break
         links = stored(links.unionByName(found))
         entries = _classes(links, entries)
     if not entries.isEmpty():
