@@ -24,6 +24,12 @@ def bucket_of(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """docs with `row1` and `row2`, two hashes of the whole row: rows have both in common if they are equal in all columns."""
+    values = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumns({"row1": F.xxhash64(*values), "row2": F.xxhash64(F.lit(1), *values)})
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share; a local one only where none is set and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -19,7 +19,8 @@ has are compared exactly, so no link between classes is missed.
 
 Null and empty texts, and those without a word, have an empty set and link with
 nothing. Texts of fewer than n words are one shingle. Rows that share a doc_id
-stay rows, and count as linked.
+stay rows, and count as linked. Rows whose doc_id is null link by their sets
+only; a class without any doc_id has none as its component_id.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jambwork.llm import kernels as K
-from jambwork.llm.common import arrow_map, components, scratch, stored, table, with_groups
+from jambwork.llm.common import arrow_map, components, scratch, stored, table, with_groups, with_row_keys
 
 WORDS, PERCENT = 5, 80
 #: Tokens of which the frequency is known to all tasks, the most frequent ones, and in at least so many sets.
@@ -51,16 +52,16 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, set size n, and a hash of the set, of each text."""
+    """The columns of docs but text, which are longs, with set size n and a hash of the set."""
+    own = [x for x in docs.columns if x != "text"]
 
     def run(batch):
-        ids = batch.column("doc_id")
         for i, buf, off in K.pieces(K.strings(batch.column("text"))):
             n = len(off) - 1
             g, at = K.sets(*K.shingles(K.Words(buf, off), words), n)
-            yield ids.slice(i, n).cast(pa.int64()), np.diff(at), _nodes(g, at, 1)
+            yield *(batch.column(x).slice(i, n) for x in own), np.diff(at), _nodes(g, at, 1)
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n long, node long")
+    return arrow_map(docs.select(*own, "text"), run, "".join(f"{x} long, " for x in own) + "n long, node long")
 
 
 def _prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
@@ -155,6 +156,22 @@ def _pressed(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, text binary")
 
 
+def _nameless(docs: DataFrame, words: int) -> DataFrame:
+    """node and compressed text of the rows without a doc_id, each set once in a task."""
+
+    def run(batches):
+        press, seen = zstandard.ZstdCompressor(level=1), set()
+        for batch in batches:
+            texts = K.strings(batch.column("text"))
+            for i, buf, off in K.pieces(texts):
+                node = _nodes(*K.sets(*K.shingles(K.Words(buf, off), words), len(off) - 1), 1)
+                at = [k for k, x in enumerate(node.tolist()) if x and x not in seen and not seen.add(x)]
+                text = [press.compress(buf[off[k] : off[k + 1]].tobytes()) for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(text, pa.binary())], names=["node", "text"])
+
+    return docs.where("doc_id is null").select("text").mapInArrow(run, "node long, text binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link, with their overlap."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -204,11 +221,12 @@ def _classes(links: DataFrame, entries: DataFrame) -> DataFrame:
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links lead to) of each row of docs (doc_id, text)."""
     with scratch(docs.sparkSession):
-        return stored(_joined(docs, words, percent), keep=True)
+        return stored(_joined(docs, words, percent).select("doc_id", "n_shingles", "component_id"), keep=True)
 
 
-def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _joined(docs: DataFrame, words: int, percent: int, *keys: str) -> DataFrame:
+    """What join returns, the root that linked sets share (null without a set), and the keys (longs), of each row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keys)
     own = stored(_profile(docs, words))
     top = _counted(docs, words, percent).orderBy(F.desc("c"), "token").limit(HEAVY).toPandas()
     token = top["token"].to_numpy(np.int64).view(U64)
@@ -220,10 +238,11 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     entry = entry.select(F.shiftrightunsigned("key", 16).alias("token"), "node", "n", F.expr("cast(key & 65535 as int)").alias("pos"))
     postings = _mixed(entry, "node")
 
-    same = own.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    links = stored(own.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
+    first = own.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    links = stored(own.where("n > 0").join(first.where("a < b").select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
     near = sets.join(postings.select("node").distinct(), "node").select("doc_id", "node")
-    texts = stored(_own_text(_pressed(docs).join(near, "doc_id"), words))
+    nameless = _nameless(docs, words).join(sets.where("doc_id is null"), "node", "left_semi")
+    texts = stored(_own_text(_pressed(docs).join(near, "doc_id").select("node", "text").unionByName(nameless), words))
     entries = postings.withColumn("class", F.col("node")) if links.isEmpty() else _classes(links, postings)
     for turn in range(ROUNDS):
         size = entries.groupBy("token").count().agg(F.sum("count").alias("entries"), F.sum(F.expr("double(count) * (count - 1) / 2")).alias("pairs")).first()
@@ -242,9 +261,11 @@ def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
     root = components(links)
     group = sets.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = group.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = group.join(least, "root").select("node", "component_id")
-    out = own.join(known, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = group.join(least, "root").select("node", "root", "component_id")
+    # rows without a set go with the sets of their doc_id
+    bare = own.where("n = 0").drop("node").join(first.select("doc_id", F.col("a").alias("node")), "doc_id", "left")
+    out = own.where("n > 0").unionByName(bare).join(known, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", *keys)
 
 
 def _own_text(texts: DataFrame, words: int) -> DataFrame:
@@ -290,9 +311,18 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of linked ones, that with the smallest id."""
-    keep = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: one row of each group of linked ones, that with the smallest id (any id before none), then by a hash.
+
+    Rows without a set are groups by their doc_id, or if that is null by the whole row.
+    """
+    keyed = with_row_keys(docs)
+    with scratch(spark):
+        rows = _joined(keyed, WORDS, PERCENT, "row1", "row2")
+        alone = F.col("root").isNull()
+        group = [F.col("root"), F.when(alone, F.col("doc_id")).alias("id"), F.when(alone & F.col("doc_id").isNull(), F.col("row1")).alias("row")]
+        first = rows.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row1", "row2")).alias("at"))
+        keep = stored(first.select("at.row1", "at.row2"), keep=True)
+    return keyed.join(keep, ["row1", "row2"], "left_semi").dropDuplicates(["row1", "row2"]).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jambwork.llm.common import WORD, stored, table
+from jambwork.llm.common import WORD, stored, table, with_row_keys
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -69,8 +69,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "nr", "source_size", "target", F.floor("target").cast("long").alias("words"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *keys: str) -> DataFrame:
+    return docs.select("doc_id", "source", *keys, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def plan(sources: DataFrame) -> DataFrame:
@@ -104,21 +104,21 @@ def schedule(sources: DataFrame) -> DataFrame:
     return out.select("slot", "nr", "rank", "block_nr", size.alias("size"), F.least(size, F.col("words") - F.col("at")).alias("taken"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of each row of docs (doc_id, source, text)."""
-    sizes = stored(sized(docs))
+def mix(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted) and the keys of each row of docs (doc_id, source, text)."""
+    sizes = stored(sized(docs, *keys))
     sources = stored(targets(sizes))
     planned = stored(plan(sources))
     slots = schedule(planned)
     use = slots.groupBy("nr", "block_nr").agg(F.count(F.when(F.col("taken") == F.col("size"), 1)).alias("times"), F.sum(F.when(F.col("taken") < F.col("size"), F.col("taken")).otherwise(0)).alias("part"))
-    rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "nr", "source_size", "target", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("turn"))
-    laid = _running(rows.where("size > 0").drop("target", "source_size"), "size", ["nr"], ["turn", "doc_id", "size"], F.substring("turn", 1, 3))
+    rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", *keys, "size", "nr", "source_size", "target", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("turn"))
+    laid = _running(rows.where("size > 0").drop("target", "source_size"), "size", ["nr"], ["turn", "doc_id", "size", *keys], F.substring("turn", 1, 3))
     laid = laid.join(planned.select("nr", "block", "source_size", "target"), "nr")
     piece = laid.withColumn("block_nr", F.explode(F.expr("sequence(before div block, (before + size - 1) div block)")))
     piece = piece.withColumn("lo", F.greatest(F.col("before") - F.col("block_nr") * F.col("block"), F.lit(0))).withColumn("hi", F.least(F.col("before") + F.col("size") - F.col("block_nr") * F.col("block"), F.col("block")))
     words = F.col("times") * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least(F.col("part"), F.col("hi")) - F.col("lo"))
-    taken = piece.join(use, ["nr", "block_nr"], "left").groupBy("doc_id", "nr", "before", "size", "source_size", "target").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    taken = piece.join(use, ["nr", "block_nr"], "left").groupBy("doc_id", *keys, "nr", "before", "size", "source_size", "target").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
+    columns = ["doc_id", "size", "source_size", "target", "taken", *keys]
     none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return taken.select(columns).unionByName(none.select(columns))
 
@@ -128,9 +128,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it, a part of a document as a whole one; never if not at all."""
-    times = mix(docs).groupBy("doc_id").agg(F.expr("cast(ceil(sum(taken) / greatest(sum(size), 1)) as int)").alias("times"))
-    return docs.join(times.where("times > 0"), "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """Pipeline stage: each row as often as the mix takes it, a part of a row as a whole one; never if not at all."""
+    keyed, keys = with_row_keys(docs), ["row1", "row2"]
+    times = mix(keyed, *keys).groupBy(*keys).agg(F.sum(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias("times"))
+    rows = keyed.join(times.where("times > 0"), keys).dropDuplicates(keys)
+    return rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
 ORACLE = r"""
