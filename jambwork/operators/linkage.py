@@ -117,3 +117,14 @@ def typo_pairs(names: DataFrame, block: str) -> DataFrame:
     keys = rows.withColumn("k", F.explode(F.array_distinct(less)))
     met = keys.select(block, "k", F.col("name").alias("a")).join(keys.select(block, "k", F.col("name").alias("b")), [block, "k"]).where("a < b")
     return met.select(block, "a", "b").distinct().where(F.levenshtein("a", "b") == 1)
+
+
+def jaccard_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Jaccard of the token sets of every row of left (a, text) with every row of right (b, text), where they share a token.
+
+    Rows meet by an equi-join on tokens; intersections are counted, unions follow from the sizes.
+    """
+    sides = [(left, a, "ra", "n"), (right, b, "rb", "m")]
+    x, y = (d.select(k, F.monotonically_increasing_id().alias(r), T.tokens(F.col("text")).alias("t")).select(k, r, F.size("t").alias(n), F.explode("t").alias("t")) for d, k, r, n in sides)
+    both = x.join(y, "t").groupBy("ra", "rb", a, b, "n", "m").agg(F.count("*").alias("k"))
+    return both.select(a, b, F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("jaccard"))

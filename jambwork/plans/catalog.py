@@ -338,6 +338,14 @@ def u10_jaccard(spark, sf):
     return d.join(b, "i").select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"SELECT doc_id, item_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM (SELECT doc_id, {WORDS} AS a FROM documents) JOIN (SELECT item_id, {WORDS} AS b FROM benchmark) ON list_has_any(a, b)")
+def u10_jaccard_all(spark, sf):
+    return linkage.jaccard_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id")
+
+
 @query("SELECT opening_id, coalesce(o.door_number, '') AS door_number, coalesce(o.location, '') AS location, coalesce(i.item_id::VARCHAR, '') AS item_id, coalesce(i.qty::VARCHAR, '') AS qty FROM openings o LEFT JOIN items i USING (opening_id)")
 def k02_export(spark, sf):
     return sinks.export_rows(frame(spark, sf, "openings").select("opening_id", "door_number", "location"), frame(spark, sf, "items").select("opening_id", "item_id", "qty"), ["door_number", "location", "item_id", "qty"])

@@ -62,6 +62,16 @@ def test_ambiguous_names_do_not_match(spark):
     assert got == {"Door Closer": None, "Lockset": "lockset", "Kick Plate": None}
 
 
+def test_all_documents_meet_all_items(spark, sf):
+    items = spark.createDataFrame([(i, f"w{i} common") for i in range(45)] + [(99, ""), (98, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"W{i} common") for i in range(50)] + [(7, "w44 alone"), (7, "w44 alone"), (None, "w3"), (60, "")], "doc_id long, text string")
+    got = [tuple(r) for r in linkage.jaccard_pairs(docs, items, "doc_id", "item_id").collect()]
+    want = [(d, i, 1.0 if d == i else 0.333333) for d in range(50) for i in range(45)] + [(7, 44, 0.333333)] * 2 + [(None, 3, 0.5)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    seen = catalog.QUERIES["u10_jaccard_all"](spark, sf).select("item_id").distinct().count()
+    assert seen == spark.read.parquet(f"{sf}/benchmark.parquet").count()
+
+
 def test_coalescing_join(spark):
     fields = "door string, location string, hand string, fire_rating string, hw_set string"
     left = spark.createDataFrame([("1", "", None, "", "A"), ("2", "", "", "", "")], fields)
