@@ -128,3 +128,14 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     x, y = (d.select(k, F.monotonically_increasing_id().alias(r), T.tokens(F.col("text")).alias("t")).select(k, r, F.size("t").alias(n), F.explode("t").alias("t")) for d, k, r, n in sides)
     both = x.join(y, "t").groupBy("ra", "rb", a, b, "n", "m").agg(F.count("*").alias("k"))
     return both.select(a, b, F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6).alias("jaccard"))
+
+
+def typo_candidates(families: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs a < b at edit distance 1 of the names in a category of a maker, case aside, neither of which is known.
+
+    families are (category, manufacturer, name), known ones (manufacturer, name); null is a blank maker or category.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit(""))).alias(c)
+    new = families.select(F.coalesce("category", F.lit("")).alias("category"), low("manufacturer"), low("name")).join(known.select(low("manufacturer"), low("name")), ["manufacturer", "name"], "left_anti")
+    pairs = typo_pairs(new.select(F.struct("category", "manufacturer").alias("block"), "name"), "block")
+    return pairs.select("block.category", "block.manufacturer", "a", "b")

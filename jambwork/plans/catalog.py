@@ -191,6 +191,17 @@ def j24_typo_pairs(spark, sf):
     return linkage.typo_pairs(table(spark, sf, "supplier").selectExpr("'DH' AS block", "substr(s_name, length(s_name) - 4) AS name"), "block")
 
 
+@query("WITH n AS (SELECT DISTINCT s_name AS name FROM supplier) SELECT 'DH' AS block, x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name WHERE levenshtein(x.name, y.name) = 1")
+def j24_typo_names(spark, sf):
+    return linkage.typo_pairs(table(spark, sf, "supplier").selectExpr("'DH' AS block", "s_name AS name"), "block")
+
+
+@query("WITH k AS (SELECT manufacturer, model FROM products GROUP BY 1, 2 HAVING count(*) > 2), n AS (SELECT DISTINCT category, lower(manufacturer) AS manufacturer, lower(model) AS name FROM products p WHERE NOT EXISTS (SELECT 1 FROM k WHERE lower(k.manufacturer) = lower(p.manufacturer) AND lower(k.model) = lower(p.model))) SELECT category, manufacturer, x.name AS a, y.name AS b FROM n x JOIN n y USING (category, manufacturer) WHERE x.name < y.name AND levenshtein(x.name, y.name) = 1")
+def j24_typo_products(spark, sf):
+    p = frame(spark, sf, "products").select("category", "manufacturer", F.col("model").alias("name"))
+    return linkage.typo_candidates(p, p.groupBy("manufacturer", "name").count().where("count > 2"))
+
+
 @query("SELECT project_id, opening_id, created_at FROM openings QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at NULLS LAST, opening_id) = 1")
 def w02_first_per_group(spark, sf):
     return sets.first_per_group(frame(spark, sf, "openings").select("project_id", "opening_id", "created_at"), ["project_id"], *sets.nulls_last(F.col("created_at")), F.col("opening_id"))

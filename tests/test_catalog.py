@@ -72,6 +72,21 @@ def test_all_documents_meet_all_items(spark, sf):
     assert seen == spark.read.parquet(f"{sf}/benchmark.parquet").count()
 
 
+def test_whole_names_are_compared_for_typos(spark, tmp_path):
+    names = ["Supplier#000000001", "Supplier#100000001", "Supplier#000000011", "Supplier#200000001x"]
+    spark.createDataFrame([(x,) for x in names], "s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["a"], r["b"]) for r in catalog.QUERIES["j24_typo_names"](spark, str(tmp_path)).collect()}
+    assert got == {("Supplier#000000001", "Supplier#100000001"), ("Supplier#000000001", "Supplier#000000011")}
+
+
+def test_typos_by_category_and_maker(spark):
+    rows = [("hinge", "Ives", "5BB1"), ("hinge", "IVES", "5bb2"), ("closer", "Ives", "5BB3"), ("hinge", "LCN", "5BB1"), ("hinge", "Ives", "5BB12"), ("hinge", None, "x1"), ("hinge", "", "x2")]
+    families = spark.createDataFrame(rows, "category string, manufacturer string, name string")
+    known = spark.createDataFrame([("ives", "5bb12"), ("lcn", "5BB2")], "manufacturer string, name string")
+    got = {tuple(r) for r in linkage.typo_candidates(families, known).collect()}
+    assert got == {("hinge", "ives", "5bb1", "5bb2"), ("hinge", "", "x1", "x2")}
+
+
 def test_coalescing_join(spark):
     fields = "door string, location string, hand string, fire_rating string, hw_set string"
     left = spark.createDataFrame([("1", "", None, "", "A"), ("2", "", "", "", "")], fields)
