@@ -77,17 +77,32 @@ def tiered_lookup(keys: DataFrame, known: DataFrame, suffix: str = r"[:\-](WI|EX
     return rows.select("key").join(best, "key", "left").select("key", "m.tier", "m.name", "m.value")
 
 
+def _meeting_keys(name: Column, tokens: Column, own: str, other: str) -> Column:
+    """Keys that two names share if they share a token, are equal, or one holds the other and that has 8 characters at least.
+
+    The first 8 characters of a name are marked as its own, all its substrings of 8 as what the other side's first may be.
+    """
+    marked = lambda mark, x: F.concat(F.lit(mark), x)
+    grams = F.transform(F.sequence(F.lit(1), F.length(name) - 7), lambda i: marked(other, F.substr(name, i, F.lit(8))))
+    inside = F.when(F.length(name) >= 8, F.array_append(grams, marked(own, F.substr(name, F.lit(1), F.lit(8)))))
+    keys = F.concat(F.transform(tokens, lambda t: marked("t", t)), F.array(marked("=", name)), F.coalesce(inside, F.array().cast("array<string>")))
+    return F.array_distinct(F.array_compact(keys))
+
+
 def match_names(wanted: DataFrame, offered: DataFrame, block: str) -> DataFrame:
     """For each wanted (block, a_id, a) the one offered (block, b_id, b) of the best tier, or none if that tier ties.
 
     Tiers: equal; equal but for case; normalised (best Jaccard); one holds the
     other (8 characters at least, half as long at least); Jaccard above one half.
     Names are compared once each within a block, and only with names that share a
-    token or are equal: an equi-join on (block, token), no product of the sides.
+    token, are equal when normalised, or hold the other's first 8 characters: an
+    equi-join on (block, key), no product of the sides.
     """
     a = wanted.select(block, "a").distinct().withColumn("ta", T.tokens(T.item_name(F.col("a"))))
     b = offered.select(block, "b").distinct().withColumn("tb", T.tokens(T.item_name(F.col("b"))))
-    met = a.withColumn("t", F.explode("ta")).join(b.withColumn("t", F.explode("tb")), [block, "t"]).groupBy(block, "a", "b").agg(F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    a = a.withColumn("t", F.explode(_meeting_keys(T.item_name(F.col("a")), F.col("ta"), "<", ">")))
+    b = b.withColumn("t", F.explode(_meeting_keys(T.item_name(F.col("b")), F.col("tb"), ">", "<")))
+    met = a.join(b, [block, "t"]).groupBy(block, "a", "b").agg(F.first("ta").alias("ta"), F.first("tb").alias("tb"))
     na, nb, score = T.item_name(F.col("a")), T.item_name(F.col("b")), T.jaccard(F.col("ta"), F.col("tb"))
     short, long = F.least(F.length(na), F.length(nb)), F.greatest(F.length(na), F.length(nb))
     inside = (na.contains(nb) | nb.contains(na)) & (short >= 8) & (2 * short >= long)

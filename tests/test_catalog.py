@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,54 @@ def test_ambiguous_names_do_not_match(spark):
     assert got == {"Door Closer": None, "Lockset": "lockset", "Kick Plate": None}
 
 
+def matched(wanted: list[tuple], offered: list[tuple]) -> dict:
+    """(tier, score, b) of each wanted (block, a), by comparing all names of a block."""
+    def name(x):
+        for pattern, to in [(r"\([^)]*\)", " "), (r"\s+[0-9][0-9./\"' x-]*$", ""), (r"[\s.,;:]+$", ""), (r"\s+", " ")]:
+            x = re.sub(pattern, to, x.lower() if x != x.lower() else x)
+        return x.strip(" ")
+
+    out = {}
+    for block, a in {*wanted}:
+        found = []
+        for b in {y for x, y in offered if x == block and y is not None and a is not None}:
+            na, nb = name(a), name(b)
+            x, y = {*na.split()}, {*nb.split()}
+            score = round(len(x & y) / len(x | y), 6) if x | y else 1.0
+            short, long = sorted([len(na), len(nb)])
+            inside = (na in nb or nb in na) and short >= 8 and 2 * short >= long
+            tier = 1 if a == b else 2 if a.lower() == b.lower() else 3 if na == nb else 4 if inside else 5 if score > 0.5 else None
+            if tier:
+                found.append((tier, -score, b))
+        found.sort()
+        tied = len(found) > 1 and found[0][:2] == found[1][:2]
+        out[block, a] = (found[0][0], -found[0][1], found[0][2]) if found and not tied else (None, None, None)
+    return out
+
+
+NAMES_TO_MATCH = ["electromagnetic", "electromagnetics", "doorcloser", "heavy doorclosers", "(left)", "(LEFT)", "(right)", "closers", "closer", "Door Closer (left)", "door closer", "DOOR CLOSER 4 1/2", "flush bolt set", "flush bolt", "exitdevice", "xexitdevicex", "kick plate 10", "plate kick", "", "  ", "a", "A", "aaaaaaaaaa", "aaaaaaaaa", "overhead stop holder", "overhead stop"]
+
+
+def test_names_match_as_when_all_are_compared(spark):
+    for turn in range(3):
+        wanted = [("x", n) for i, n in enumerate(NAMES_TO_MATCH) if i % 3 != turn] + [("y", "doorcloser"), ("x", None)]
+        offered = [("x", n) for i, n in enumerate(NAMES_TO_MATCH) if i % 3 == turn or i % 5 == turn] + [("z", "doorcloser"), ("x", None)]
+        got = linkage.match_names(spark.createDataFrame(wanted, "block string, a string"), spark.createDataFrame(offered, "block string, b string"), "block").collect()
+        assert {(r["block"], r["a"]): (r["tier"], r["score"], r["b"]) for r in got} == matched(wanted, offered)
+
+
+def test_names_that_share_no_token_match(spark):
+    pairs = [("electromagnetic", "electromagnetics"), ("doorclosers", "doorcloser"), ("(left)", "(LEFT)")]
+    wanted, offered = (spark.createDataFrame([(str(i), p[k]) for i, p in enumerate(pairs)], f"block string, {'ab'[k]} string") for k in (0, 1))
+    assert {r["a"]: (r["b"], r["tier"]) for r in linkage.match_names(wanted, offered, "block").collect()} == {"electromagnetic": ("electromagnetics", 4), "doorclosers": ("doorcloser", 4), "(left)": ("(LEFT)", 2)}
+
+
+def test_matches_of_the_query(spark, sf):
+    got = {(r["manufacturer"], r["a"]): (r["tier"], r["score"], r["b"]) for r in catalog.QUERIES["j16_match_names"](spark, sf).collect()}
+    p = [r for r in catalog.frame(spark, sf, "products").select("manufacturer", "name").distinct().collect()]
+    assert got == matched([*got], [tuple(r) for r in p])
+
+
 def test_all_documents_meet_all_items(spark, sf):
     items = spark.createDataFrame([(i, f"w{i} common") for i in range(45)] + [(99, ""), (98, None)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"W{i} common") for i in range(50)] + [(7, "w44 alone"), (7, "w44 alone"), (None, "w3"), (60, "")], "doc_id long, text string")
