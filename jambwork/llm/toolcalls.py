@@ -14,15 +14,22 @@ identifiers or conversations link with nothing and are left out of the calls
 that others may depend on; they are rows of status "no_id", one for each
 different position and text.
 
-In a conversation whose calls depend on earlier positions only, the positions
-are the order. Others are levelled: a call comes after all that it depends on,
-and those on a cycle, or after one, come last with level -1. Dependencies that
-name no call of the conversation are dropped from the order and reported.
+Calls are ordered topologically: by level, 0 without dependencies and else one
+more than the highest of these, then by position. Those on a cycle, or after
+one, come last with level -1. Dependencies that name no call of the conversation
+are dropped from the order and reported. Conversations of up to `AT_ONCE`
+dependencies are levelled in one go, longer ones level by level over all tasks.
+
+Arguments that are no JSON (NaN and infinite numbers, or nested too deep, are
+none), and types that no schema can have, are errors of their call. Halves of
+surrogate pairs are written as U+FFFD.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +38,7 @@ from pyspark.sql import functions as F
 from jambwork.llm.common import arrow_map, stored, table
 from jambwork.llm.mixing import _running
 
+AT_ONCE = 100_000
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
@@ -38,7 +46,7 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     """What is wrong with a value by a JSON schema's type, enum, required, properties, additionalProperties, items, minLength and minimum."""
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
-    fits = lambda k: isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number"))
+    fits = lambda k: isinstance(value, TYPES.get(k, ())) and not (isinstance(value, bool) and k in ("integer", "number"))
     if kinds and not any(map(fits, kinds)):
         return [f"{at}: not {' or '.join(kinds)}"]
     out = [f"{at}: not one of the enum"] if "enum" in schema and value not in schema["enum"] else []
@@ -58,14 +66,79 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of the nodes: 0 without dependencies, else one more than the highest of these; -1 on or after cycles.
-
-    A round for each level; only conversations with a dependency on a later position come here.
-    """
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _number(text: str) -> float:
+    if not math.isfinite(x := float(text)):
+        raise ValueError(text)
+    return x
+
+
+def _no_constant(text: str):
+    raise ValueError(text)
+
+
+def parsed(text: str):
+    """The value of a JSON text that can be written again; else a ValueError."""
+    try:
+        value = json.loads(text, parse_float=_number, parse_constant=_no_constant)
+        canonical(value)
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+    return value
+
+
+def ordered(on: dict[str, list[str]]) -> dict[str, int]:
+    """The level of each call that depends on others (those that only others depend on have 0), -1 on or after cycles."""
+    wait, after = {}, {}
+    for call, needs in on.items():
+        wait[call] = len(needs)
+        for x in needs:
+            after.setdefault(x, []).append(call)
+    level = {x: 0 for x in after if x not in wait}
+    ready = deque(level)
+    while ready:
+        x = ready.popleft()
+        for call in after.get(x, ()):
+            wait[call] -= 1
+            level[call] = max(level.get(call, 0), level[x] + 1)
+            if not wait[call]:
+                ready.append(call)
+    return {call: -1 if wait[call] else level[call] for call in on}
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of the calls that depend on others, by edges (conv_id, call_id, on)."""
+    size = edges.groupBy("conv_id").count()
+    long = stored(size.where(F.col("count") > AT_ONCE).select("conv_id"))
+    each = edges.join(long, "conv_id", "left_anti").groupBy("conv_id", "call_id").agg(F.collect_list("on").alias("on"))
+
+    def run(batches):
+        now, held = None, {}
+        for batch in batches:
+            out = []
+            for conv, call, on in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "call_id", "on")), strict=True):
+                if conv != now:
+                    out += [(now, *x) for x in ordered(held).items()]
+                    now, held = conv, {}
+                held[call] = on
+            yield rows(out)
+        yield rows([(now, *x) for x in ordered(held).items()])
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["conv_id", "call_id", "level"])
+
+    short = each.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(run, "conv_id long, call_id string, level int")
+    if long.isEmpty():
+        return short
+    left = stored(edges.join(long, "conv_id", "left_semi"))
+    nodes = left.select("conv_id", "call_id").union(left.select("conv_id", "on")).distinct()
+    return short.unionByName(by_rounds(left, nodes))
+
+
+def by_rounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of the nodes: a round for each level, in which all conversations take part."""
     key = ["conv_id", "call_id"]
     left, done, level = stored(edges), None, 0
     rest = stored(nodes.select(*key))
@@ -93,16 +166,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     rows = stored(rows.unionByName(lost).unionByName(lost2))
 
     there = rows.where(known & F.col("call").isNotNull())
-    edges = there.select(*key, F.col("call.position").alias("position"), F.explode(F.array_distinct("call.depends_on")).alias("on"))
-    edges = edges.join(there.select("conv_id", F.col("call_id").alias("on"), F.col("call.position").alias("earlier")), ["conv_id", "on"])
-    ahead = stored(edges.where("not (earlier < position)").select("conv_id").distinct())
+    edges = there.select(*key, F.explode(F.array_distinct("call.depends_on")).alias("on"))
+    edges = stored(edges.join(there.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]))
     found = edges.groupBy(key).agg(F.array_sort(F.collect_set("on")).alias("on"))
-    rows = rows.join(found, key, "left")
-    if ahead.isEmpty():
-        rows = rows.withColumn("level", F.lit(0))
-    else:
-        level = levels(edges.join(ahead, "conv_id", "left_semi").select(*key, "on"), there.join(ahead, "conv_id", "left_semi"))
-        rows = rows.join(level, key, "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    rows = rows.join(found, key, "left").join(levels(edges), key, "left").withColumn("level", F.coalesce("level", F.lit(0)))
     rows = rows.withColumn("position", F.coalesce("call.position", "result.position")).withColumn("last", (F.col("level") == -1).cast("int"))
     rows = rows.withColumn("one", F.lit(1)).withColumn("tie", F.xxhash64("call_id", "call", "result"))
     ranked = _running(rows.withColumn("group", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), "one", ["group"], ["last", "level", "position", "call_id", "tie"], F.struct("last", "level", F.floor(F.col("position") / 4096)))
@@ -114,7 +181,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             wrong, call, args = [], x["call"], None
             if call:
                 try:
-                    args = json.loads(call["arguments"]) if call["arguments"] is not None else {}
+                    args = parsed(call["arguments"]) if call["arguments"] is not None else {}
                 except ValueError:
                     wrong.append("$: not JSON")
                 schema = schemas.get(call["name"])
@@ -161,15 +228,16 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text FROM conversations),
 r AS (SELECT conv_id, turn, min(role) AS role FROM t GROUP BY ALL),
 c AS (SELECT t.conv_id, t.conv_id || ':' || t.turn AS call_id, min({'turn': t.turn, 'name': CASE WHEN t.role = 'system' THEN 'instruct' ELSE 'ask' END, 'text': t.text}) AS x, count(*) AS n_calls FROM t WHERE t.role IN ('user', 'system') GROUP BY t.conv_id, t.turn),
 a AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, min({'turn': turn, 'text': text}) AS y, count(*) AS n_results FROM t WHERE role = 'assistant' GROUP BY conv_id, turn),
 j AS (SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, x, y, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, coalesce(x.turn, y.turn) AS position, CASE WHEN x IS NULL THEN 'orphan' WHEN y IS NULL THEN 'no_result' ELSE 'linked' END AS status FROM c FULL JOIN a ON c.conv_id = a.conv_id AND c.call_id = a.call_id),
 d AS (SELECT j.*, CASE WHEN x IS NULL THEN NULL WHEN r.role = 'assistant' THEN j.conv_id || ':' || (x.turn - 2) WHEN r.role IS NOT NULL THEN j.conv_id || ':' || (x.turn - 1) END AS dep FROM j LEFT JOIN r ON r.conv_id = j.conv_id AND r.turn = x.turn - 1),
-e AS (SELECT d.*, c.call_id AS met FROM d LEFT JOIN c ON c.conv_id = d.conv_id AND c.call_id = d.dep)
-SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY position, call_id) - 1 AS rank, 0::INTEGER AS level, status, n_calls, n_results,
+e AS (SELECT d.*, c.call_id AS met FROM d LEFT JOIN c ON c.conv_id = d.conv_id AND c.call_id = d.dep),
+v AS (SELECT conv_id, call_id, 0::INTEGER AS level FROM e WHERE met IS NULL UNION ALL SELECT e.conv_id, e.call_id, v.level + 1 FROM v JOIN e ON e.conv_id = v.conv_id AND e.met = v.call_id)
+SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY level, position, call_id) - 1 AS rank, level, status, n_calls, n_results,
   (x IS NOT NULL AND (dep IS NULL OR met IS NOT NULL) AND x.text IS NOT NULL AND (x.name = 'instruct' OR (length(x.text) > 0 AND x.turn >= 0))) AS valid,
   '{"arguments":' || CASE WHEN x IS NULL THEN 'null' ELSE '{' || CASE WHEN x.text IS NULL THEN '' ELSE '"text":' || to_json(x.text)::VARCHAR || ',' END || '"turn":' || x.turn || '}' END || ',"depends_on":[' || CASE WHEN met IS NULL THEN '' ELSE '"' || met || '"' END || '],"id":"' || call_id || '","name":' || CASE WHEN x IS NULL THEN 'null' ELSE '"' || x.name || '"' END || ',"result":' || coalesce(to_json(y.text)::VARCHAR, 'null') || '}' AS json
-FROM e
+FROM e JOIN v USING (conv_id, call_id)
 """
