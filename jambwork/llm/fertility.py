@@ -3,15 +3,19 @@
 Public vocabularies tokenise each distinct word once; a text's measures follow
 from its words: characters (punctuation aside) per token of two vocabularies,
 the share of tokens that fall back to single bytes, and the entropy of its
-tokens relative to the most that so many tokens can have. A text is rejected if a measure lies outside
-the band of its language, or of its script where the language is not given.
-
-A band is the median over all texts of the language that pass the base rules,
-and so many median absolute deviations to both sides, at least a part of the
-median. For languages of fewer than `LEAST` such texts the base rules decide alone.
-
-Null texts count as without words: they fail the base rules, and their measures
-are null.
+tokens relative to the most that so many tokens can have. A text is rejected if
+a measure lies outside the band of its language; where the language is not given,
+or has fewer than `LEAST` texts, of its script; and if that has too few as well,
+of all texts.
+
+A band is the median over all texts of the language (or script) that pass the
+base rules, and so many median absolute deviations to both sides, at least a part
+of the median. Medians are those of histograms with cells of fixed width, or of
+one half percent for deviations, so their size doesn't follow the corpus.
+
+Null and empty texts count as without words: they fail the base rules, and their
+measures are null. Repeated rows count like others. Texts are taken whole, the
+very long ones one at a time. Rows without a doc_id are judged like others.
 """
 
 from __future__ import annotations
@@ -141,33 +145,44 @@ REACH, LEAST = 5.0, 10
 FLOORS = {"piece_chars": 0.01, "byte_chars": 0.01, "fallback": 0.02, "entropy": 0.08}
 
 
-def _medians(rows: DataFrame, value) -> DataFrame:
-    """key, measure, the median of value and the number of texts, from counts of values to four digits."""
-    counts = rows.groupBy("key", "measure", F.round(value, 4).alias("v")).count()
-    return counts.groupBy("key", "measure").agg(F.expr("percentile(v, 0.5, count)").alias("median"), F.sum("count").alias("texts"))
+#: What a text's bands can belong to, the first with enough texts counts.
+SCOPES = ("lang", "script", "every")
+
+
+def _medians(rows: DataFrame, cell, value) -> DataFrame:
+    """scope, key, measure, the median of value (of a cell) and the number of texts."""
+    counts = rows.groupBy("scope", "key", "measure", cell.alias("cell")).count().withColumn("v", value(F.col("cell")))
+    return counts.groupBy("scope", "key", "measure").agg(F.expr("percentile(v, 0.5, count)").alias("median"), F.sum("count").alias("texts"))
 
 
 def bands(stats: DataFrame) -> DataFrame:
-    """key (language or script), and the median and spread (a text's deviation times the root of its words) of each measure."""
-    long = stats.where("not base_failed").select("key", "n_words", F.explode(F.map_from_arrays(F.array(*map(F.lit, MEASURES)), F.array(*MEASURES))).alias("measure", "x")).where("x is not null")
-    middle = stored(_medians(long, F.col("x")).where(F.col("texts") >= LEAST).drop("texts"))
-    spread = _medians(long.join(middle, ["key", "measure"]), F.abs(F.col("x") - F.col("median")) * F.sqrt("n_words"))
-    band = middle.join(spread.select("key", "measure", (F.col("median") * 1.4826).alias("spread")), ["key", "measure"])
-    return band.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("median", "spread")))).alias("band"))
+    """scope and key, number of texts, median and spread (a text's deviation times the root of its words) of each measure."""
+    measures = F.explode(F.map_from_arrays(F.array(*map(F.lit, MEASURES)), F.array(*MEASURES))).alias("measure", "x")
+    long = stats.where("not base_failed").select(*SCOPES, "n_words", measures).where("x is not null")
+    long = long.select("measure", "x", "n_words", F.explode(F.map_from_arrays(F.array(*map(F.lit, SCOPES)), F.array(*SCOPES))).alias("scope", "key")).where("key is not null")
+    middle = stored(_medians(long, F.round("x", 4), lambda c: c))
+    away = F.abs(F.col("x") - F.col("median")) * F.sqrt("n_words")
+    spread = _medians(long.join(middle.drop("texts"), ["scope", "key", "measure"]), F.when(away > 1e-6, F.floor(F.log(away) * 200)), lambda c: F.coalesce(F.exp((c + 0.5) / 200), F.lit(0.0)))
+    band = middle.join(spread.select("scope", "key", "measure", (F.col("median") * 1.4826).alias("spread")), ["scope", "key", "measure"])
+    return band.groupBy("scope", "key").agg(F.max("texts").alias("texts"), F.map_from_entries(F.collect_list(F.struct("measure", F.struct("median", "spread")))).alias("band"))
 
 
 def judged(docs: DataFrame, pieces: str, byte_pairs: str) -> DataFrame:
     """Base counts, measures, base_failed and kept of each row of docs (doc_id, lang, text)."""
     stats = measured(docs, pieces, byte_pairs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    stats = stored(stats.withColumn("base_failed", failed).withColumn("key", F.when(F.length("lang") > 0, F.col("lang")).otherwise(F.col("script"))))
-    rows = stats.join(stored(bands(stats)), "key", "left")
+    stats = stored(stats.withColumn("base_failed", failed).withColumn("lang", F.nullif("lang", F.lit(""))).withColumn("every", F.lit("all")))
+    found, rows = stored(bands(stats)), stats
+    for scope in SCOPES:
+        own = found.where(F.col("scope") == scope).where(F.col("texts") >= (1 if scope == "every" else LEAST))
+        rows = rows.join(own.select(F.col("key").alias(scope), F.col("band").alias(f"band_{scope}")), scope, "left")
+    rows = rows.withColumn("band", F.coalesce(*(f"band_{x}" for x in SCOPES)))
     inside = F.lit(True)
     for x, floor in FLOORS.items():
         median, spread = F.col("band")[x]["median"], F.col("band")[x]["spread"]
         away = F.greatest(spread / F.sqrt("n_words"), F.lit(floor) if x == "fallback" else floor * median)
         inside &= F.coalesce(F.abs(F.col(x) - median) <= REACH * away, F.lit(True))
-    return rows.withColumn("kept", ~F.col("base_failed") & inside).drop("band", "lang")
+    return rows.withColumn("kept", ~F.col("base_failed") & inside).drop("band", "lang", "every", *(f"band_{x}" for x in SCOPES))
 
 
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
