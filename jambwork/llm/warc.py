@@ -5,8 +5,13 @@ largest id is a response, the others are revisits that refer to it and carry no
 payload. Archives are gzip files of a bounded number of records, each sorted by
 URL key and time, so each is a locally sorted run of captures. They are read
 again by their lengths, checked by their digests, and their runs are merged:
-ranges of (URL key, time, id) are dealt out by samples, and in each range a
-loser tree merges the runs' parts. The result is in one global order.
+ranges of (URL key, time, id) are dealt out by samples, so many that each holds
+about `RANGE` captures, and in each range a loser tree merges the runs' parts,
+reading each run piece by piece. The result is in one global order.
+
+Pages of more than `LONG` bytes go to archives of their own, of so many records
+that `AT_MOST` bytes aren't exceeded by more than one page. Which pages repeat
+is found by ids and digests; payloads are moved once, by their ids.
 
 Null payloads are empty. Control characters and spaces in URLs are percent-encoded; null
 URLs have no URI header and the empty key. Rows that repeat an id and a payload
@@ -20,8 +25,10 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import batched
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +37,8 @@ from pyspark.sql import functions as F
 from jambwork.llm.common import arrow_map, parts, shared_dir, stored, table
 
 RECORDS = 2_000
+#: Bytes of a page that goes to archives of long pages, and of all records of one of these; captures of a range.
+LONG, AT_MOST, RANGE = 1 << 16, 1 << 27, 1 << 16
 #: Pages have no capture time: a page's is so many seconds after this as its id says.
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 SECONDS = 10**9
@@ -95,8 +104,10 @@ def write(pages: DataFrame, path: str) -> None:
     """Archives of pages (page_id, url, html) in the folder, each sorted by URL key, time and id."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha1"), F.octet_length(payload).cast("long").alias("size"))
-    first = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("first"))
-    rows = rows.join(first, ["sha1", "size"]).withColumn("refers_to", F.when(F.col("page_id") < F.col("first"), F.col("first")))
+    ids = rows.groupBy("page_id", "sha1", "size").agg(F.count("*").alias("n"))
+    first = ids.groupBy("sha1", "size").agg(F.max("page_id").alias("first"))
+    again = ids.join(first, ["sha1", "size"]).where(F.col("page_id") < F.col("first")).select("page_id", "sha1", "size", F.col("first").alias("refers_to"))
+    rows = rows.join(again, ["page_id", "sha1", "size"], "left")
 
     def key(batch):
         yield *(batch.column(x) for x in columns), pa.array([url_key(x) for x in batch.column("url").to_pylist()])
@@ -107,9 +118,15 @@ def write(pages: DataFrame, path: str) -> None:
             yield (pa.array([record(*x) for x in zip(*(c[i : i + 500] for c in cols), strict=True)]),)
 
     columns = ["page_id", "url", "html", "sha1", "size", "refers_to"]
-    keyed = arrow_map(rows.select(columns), key, "page_id long, url string, html string, sha1 string, size long, refers_to long, key string")
-    ordered = keyed.sortWithinPartitions("key", F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS)), "page_id")
-    arrow_map(ordered, build, "value string").write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    def archives(rows: DataFrame, records: int, mode: str) -> None:
+        keyed = arrow_map(rows.select(columns), key, "page_id long, url string, html string, sha1 string, size long, refers_to long, key string")
+        ordered = keyed.sortWithinPartitions("key", F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SECONDS)), "page_id")
+        arrow_map(ordered, build, "value string").write.mode(mode).option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+    archives(rows.where(F.col("size") <= LONG), RECORDS, "error")
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    if longest > LONG:
+        archives(rows.where(F.col("size") > LONG), max(1, AT_MOST // longest), "append")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -164,24 +181,35 @@ class LoserTree:
             self.winner = w
 
 
+def _captures(t: pa.Table, at: np.ndarray, at_once: int = 1024) -> Iterator[tuple]:
+    """(key, time, has an id, id, row) of rows of the table, a piece at a time."""
+    for i in range(0, len(at), at_once):
+        some = t.take(pa.array(at[i : i + at_once]))
+        for key, when, page, row in zip(*(some.column(x).to_pylist() for x in ("url_key", "captured", "page_id")), at[i : i + at_once].tolist(), strict=True):
+            yield key, when, page is not None, page or 0, row
+
+
 def merged(index: DataFrame) -> DataFrame:
     """The captures in one order by url_key, captured and page_id, with their place as `position`: range by range."""
     spark, names = index.sparkSession, index.columns
     schema = index.schema.add("position", "long")
-    rows = index.repartitionByRange(parts(spark), "url_key", "captured", "page_id").sortWithinPartitions("archive", "nr")
+    ranges = max(parts(spark), index.count() // RANGE)
+    rows = index.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("archive", "nr")
 
     def run(batches):
-        batches = [x for x in batches if x.num_rows]  # a range's captures, few enough by the number of ranges
+        batches = [x for x in batches if x.num_rows]
         if not batches:
             return
         t = pa.Table.from_batches(batches)
-        runs: dict[str, list] = {}
-        for i, (file, key, when, page) in enumerate(zip(*(t.column(x).to_pylist() for x in ("archive", "url_key", "captured", "page_id")), strict=True)):
-            runs.setdefault(file, []).append((key, when, (page is not None, page or 0), i))
-        order = [x[-1] for x in LoserTree([*runs.values()])]
-        base = TaskContext.get().partitionId() << 32
-        out = t.take(pa.array(order)).append_column("position", pa.array(range(base, base + len(order)), pa.int64()))
-        yield from out.combine_chunks().to_batches()
+        file = t.column("archive").to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.append(True, file[1:] != file[:-1]))
+        runs = [_captures(t, at) for at in np.split(np.arange(len(file)), begins[1:])]
+        base, at = TaskContext.get().partitionId() << 32, 0
+        order = LoserTree(runs)
+        for some in batched((x[-1] for x in order), 8192):
+            out = t.take(pa.array(some)).append_column("position", pa.array(range(base + at, base + at + len(some)), pa.int64()))
+            at += len(some)
+            yield from out.combine_chunks().to_batches()
 
     return rows.select(names).mapInArrow(run, schema)
 
