@@ -4,8 +4,8 @@ Documents are tokenised once. A range partitioning by a min-hash of their token
 trigrams puts documents with common passages side by side; many with the same
 hash are spread by a hash of their ids. Each partition is cut into shards of
 bounded size. A shard has a BM25 inverted index over token ids: the open window
-asks it for the neighbours of its seed document, by the seed's highest-weighted
-terms, and takes unused ones, best first, until it is full. The document that
+asks it for the neighbours of its seed document, by all of the seed's terms, and
+takes unused ones, best first, until it is full. The document that
 crosses the window's end is cut there and its rest is the next window's seed.
 
 So all windows of a partition are full but for the last one, which is split
@@ -31,8 +31,8 @@ from jambwork.llm import tokens
 from jambwork.llm.common import arrow_map, parts, stored, table
 
 WINDOW, END = 1024, 0
-#: Bounds of a shard, and terms of a query.
-SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 1024, 1_500_000, 48
+#: Bounds of a shard.
+SHARD_DOCS, SHARD_TOKENS = 1024, 1_500_000
 K1, B = 1.2, 0.75
 #: Characters that are encoded at once.
 AT_ONCE = 1 << 20
@@ -74,17 +74,14 @@ class Bm25:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(size.mean(), 1)))
         self.n = n
-        self.terms, self.weights, self.at = term, weight, np.searchsorted(self.doc, np.arange(n + 1))
+        self.terms, self.at = term, np.searchsorted(self.doc, np.arange(n + 1))
         by = np.argsort(term, kind="stable")
         self.posting, self.value = self.doc[by], weight[by]
         self.begin = np.append(0, np.cumsum(df))
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """Documents that are still free, by falling score for the seed's terms; ties by place."""
-        a, b = self.at[seed], self.at[seed + 1]
-        t, w = self.terms[a:b], self.weights[a:b]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS]]
+        t = self.terms[self.at[seed] : self.at[seed + 1]]
         lo, size = self.begin[t], self.begin[t + 1] - self.begin[t]
         i = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
         score = np.bincount(self.posting[i], self.value[i], self.n)
