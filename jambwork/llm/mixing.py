@@ -29,8 +29,8 @@ from jambwork.llm.common import WORD, stored, table, with_row_keys
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-#: The golden ratio's fraction: points k * PHI modulo 1.
-PHI = 0.6180339887498949
+#: The golden ratio's fraction in units of 2**-64: points are k * PHI modulo 2**64, exact for any k.
+PHI = 0x9E3779B97F4A7C15
 #: Cells of the schedule's axis, by which points meet sources; slots that are ranked at once.
 CELLS, AT_ONCE = 4096, 1 << 16
 #: Least and most words of a block; between them, so many blocks as to make about SLOTS slots.
@@ -89,8 +89,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     spark = sources.sparkSession
     total = sources.agg(F.max("all_slots")).first()[0] or 0
     cell = lambda x: F.expr(f"cast({x} as decimal(28,0)) * {CELLS} div {max(total, 1)}").cast("long")
-    point = F.col("slot") * F.lit(PHI) + F.lit(0.5)
-    slots = spark.range(total).select(F.col("id").alias("slot")).withColumn("x", F.least(F.floor((point - F.floor(point)) * total), F.lit(total - 1)).cast("long")).withColumn("cell", cell("x"))
+    point = f"(cast(slot as decimal(19,0)) * cast({PHI} as decimal(20,0)) + {2**63}) % {2**64}"
+    slots = spark.range(total).select(F.col("id").alias("slot")).withColumn("x", F.expr(f"cast({point} as decimal(20,0))")).withColumn("x", F.expr(f"cast(x * cast({total} as decimal(18,0)) div {2**64} as long)")).withColumn("cell", cell("x"))
     where = sources.select("nr", "begin", (F.col("begin") + F.col("slots")).alias("end"), F.explode(F.sequence(cell("begin"), cell("begin + slots - 1"))).alias("cell"))
     met = slots.join(where, "cell").where("x >= begin and x < end").select("slot", "nr", F.lit(1).alias("one"))
     ranked = _running(met, "one", ["nr"], ["slot"], F.floor(F.col("slot") / AT_ONCE)).select("slot", "nr", F.col("before").alias("rank"))
@@ -105,21 +105,30 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *keys: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted) and the keys of each row of docs (doc_id, source, text)."""
+    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), first_slot and n_slots (of the schedule that take from the row), and the keys of each row of docs (doc_id, source, text)."""
     sizes = stored(sized(docs, *keys))
     sources = stored(targets(sizes))
     planned = stored(plan(sources))
     slots = schedule(planned)
-    use = slots.groupBy("nr", "block_nr").agg(F.count(F.when(F.col("taken") == F.col("size"), 1)).alias("times"), F.sum(F.when(F.col("taken") < F.col("size"), F.col("taken")).otherwise(0)).alias("part"))
+    whole = F.col("taken") == F.col("size")
+    use = slots.where("taken > 0").groupBy("nr", "block_nr").agg(
+        F.count(F.when(whole, 1)).alias("times"), F.min(F.when(whole, F.col("slot"))).alias("first"),
+        F.coalesce(F.sum(F.when(~whole, F.col("taken"))), F.lit(0)).alias("part"), F.min(F.when(~whole, F.col("slot"))).alias("last"),
+    )
     rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).select("doc_id", *keys, "size", "nr", "source_size", "target", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("turn"))
     laid = _running(rows.where("size > 0").drop("target", "source_size"), "size", ["nr"], ["turn", "doc_id", "size", *keys], F.substring("turn", 1, 3))
     laid = laid.join(planned.select("nr", "block", "source_size", "target"), "nr")
     piece = laid.withColumn("block_nr", F.explode(F.expr("sequence(before div block, (before + size - 1) div block)")))
     piece = piece.withColumn("lo", F.greatest(F.col("before") - F.col("block_nr") * F.col("block"), F.lit(0))).withColumn("hi", F.least(F.col("before") + F.col("size") - F.col("block_nr") * F.col("block"), F.col("block")))
-    words = F.col("times") * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least(F.col("part"), F.col("hi")) - F.col("lo"))
-    taken = piece.join(use, ["nr", "block_nr"], "left").groupBy("doc_id", *keys, "nr", "before", "size", "source_size", "target").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target", "taken", *keys]
-    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    cut = F.greatest(F.lit(0), F.least(F.col("part"), F.col("hi")) - F.col("lo"))
+    piece = piece.join(use, ["nr", "block_nr"], "left").withColumn("cut", cut)
+    words, sum_ = F.col("times") * (F.col("hi") - F.col("lo")) + F.col("cut"), lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    taken = piece.groupBy("doc_id", *keys, "nr", "before", "size", "source_size", "target").agg(
+        sum_(words).alias("taken"), F.min(F.least("first", F.when(F.col("cut") > 0, F.col("last")))).alias("first_slot"), sum_(F.col("times") + (F.col("cut") > 0).cast("int")).alias("n_slots")
+    )
+    columns = ["doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots", *keys]
+    zero = F.lit(0).cast("long")
+    none = rows.where("size = 0").withColumns({"taken": zero, "first_slot": F.lit(None).cast("long"), "n_slots": zero})
     return taken.select(columns).unionByName(none.select(columns))
 
 
@@ -128,9 +137,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each row as often as the mix takes it, a part of a row as a whole one; never if not at all."""
+    """Pipeline stage: each row as often as the mix takes it, half of a row or more as a whole one.
+
+    Rows aren't cut, so a source's words miss its target by half of one row at most.
+    """
     keyed, keys = with_row_keys(docs), ["row1", "row2"]
-    times = mix(keyed, *keys).groupBy(*keys).agg(F.sum(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias("times"))
+    times = mix(keyed, *keys).groupBy(*keys).agg(F.sum(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int").alias("times"))
     rows = keyed.join(times.where("times > 0"), keys).dropDuplicates(keys)
     return rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
@@ -142,6 +154,18 @@ t AS (SELECT *, CASE nr % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * sou
 f AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER o AS k FROM t WINDOW o AS (ORDER BY cap / w::DOUBLE, nr)),
 m AS (SELECT k, (total - full_)::DOUBLE / rest::DOUBLE AS level FROM f WHERE (total - full_) * w < cap * rest ORDER BY k LIMIT 1),
 g AS (SELECT source, source_size, CASE WHEN (SELECT k FROM m) IS NULL OR f.k < (SELECT k FROM m) THEN cap::DOUBLE ELSE least(w * (SELECT level FROM m), cap::DOUBLE) END AS target FROM f),
-p AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target)::BIGINT AS words, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - before)) END)::BIGINT AS taken FROM p
+n AS (SELECT g.*, s.nr, floor(g.target)::BIGINT AS words, (SELECT sum(source_size) FROM s)::BIGINT AS total FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source),
+b AS (SELECT *, greatest(16, least(8192, sum(source_size) OVER () // 1048576))::BIGINT AS block FROM n WHERE words > 0),
+c AS (SELECT *, (source_size + block - 1) // block AS blocks FROM b),
+e AS (SELECT *, words // source_size * blocks + (words % source_size + block - 1) // block AS slots FROM c),
+h AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_, sum(slots) OVER ()::BIGINT AS all_slots FROM e),
+x AS (SELECT i AS slot, ((i::HUGEINT * 11400714819323198485::HUGEINT + 9223372036854775808::HUGEINT) % 18446744073709551616::HUGEINT * all_slots // 18446744073709551616::HUGEINT)::BIGINT AS x FROM (SELECT max(all_slots) AS all_slots FROM h), range(all_slots) r(i)),
+y AS (SELECT nr, slot, row_number() OVER (PARTITION BY nr ORDER BY slot) - 1 AS rank FROM x JOIN h ON x.x >= begin_ AND x.x < begin_ + slots),
+z AS (SELECT y.nr, y.slot, y.rank FROM y JOIN h USING (nr) WHERE y.rank < h.slots UNION ALL SELECT h.nr, begin_ + i + all_slots, i FROM h, range((SELECT count(*) FROM y WHERE y.nr = h.nr), h.slots) r(i)),
+l AS (SELECT nr, slot, rank % blocks AS block_nr, least(block, source_size - rank % blocks * block, words - rank // blocks * source_size - rank % blocks * block) AS given FROM z JOIN h USING (nr)),
+p AS (SELECT d.doc_id, d.size, d.turn, n.nr, n.source_size, n.target, h.block, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, row_number() OVER () AS row FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN h ON h.nr = n.nr),
+i AS (SELECT *, unnest(generate_series(before // block, (before + size - 1) // block)) AS block_nr FROM p WHERE size > 0),
+k AS (SELECT i.row, l.slot, greatest(0, least(before + size - i.block_nr * block, block, given) - greatest(before - i.block_nr * block, 0)) AS t FROM i JOIN l ON l.nr = i.nr AND l.block_nr = i.block_nr),
+o AS (SELECT row, sum(t) AS taken, min(slot) FILTER (t > 0) AS first_slot, count(*) FILTER (t > 0) AS n_slots FROM k GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots FROM p LEFT JOIN o USING (row)
 """
