@@ -1,26 +1,34 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One interpolated Kneser-Ney bigram model of all labelled text is shared by two
-class models, of toxic and of ordinary text. A class model multiplies the
-shared probability of an n-gram by its own rate: what the class's texts with the
-n-gram have over those that the shared model and the shorter n-gram's rate
-expect, discounted by `DISCOUNT` standard errors and completed by `STRENGTH`
-counts. So an expression of few texts, or one that both classes use alike, backs
-off to the shared counts and tells nothing. A
-text's score is the logistic of the difference of both log-likelihoods per
-token, with the two coefficients fitted on labelled texts that the counted ones
-don't contain.
+One Kneser-Ney bigram model of all labelled text is shared: discounted counts,
+and a backoff to continuation counts (of how many words a word comes after).
+Each class, toxic and ordinary text, has a model of its own that backs off to it:
+
+* words: what the class's texts have of a word beyond its discount, and for the
+  rest the shared continuation probability. Beyond it have to be both the texts
+  with the word and the words that it comes after, so copies of a text don't
+  make their words telling;
+* bigrams: what the class's texts have of a bigram beyond its discount, and for
+  the rest the shared discounted count and the class's word probability.
+
+A discount is `TIMES` what the shared counts let expect in the class, and `ERRORS`
+standard errors. So an expression of few texts, or one that both classes use
+alike, gets its probability from the shared counts and tells nothing. Both
+models sum to one over all words and one type for unknown ones. A text's score
+is the logistic of the difference of both log-likelihoods per token, with the
+two coefficients fitted on labelled texts that the counted ones don't contain.
 
 The models are fitted on a bounded sample of the labelled rows: at most
-`max_docs` of each class, whole texts in the order of a hash of their id. Only
-n-grams of `LEAST` texts or more are kept as arrays, since others tell nothing.
-So what each task gets is bounded by a parameter, whatever the size of the
-corpus; scoring is one pass over the documents without a shuffle.
+`max_docs` of each class, whole texts in the order of a hash of their id. Words
+and bigrams of fewer than `LEAST` texts count as unknown, or as unseen. So what
+each task gets is bounded by a parameter, whatever the size of the corpus;
+scoring is one pass over the documents without a shuffle.
 
 Null and empty texts have no token, hence a difference of 0 and the score of the
 intercept, below 0.5. Labels other than 0 and 1 are passed over. Of a document
 with several labels each label counts. Without labels of both classes the score
-is 0 for all.
+is 0 for all. Rows without a doc_id are scored and aren't held out. Repeated
+rows are scored alike.
 """
 
 from __future__ import annotations
@@ -36,10 +44,12 @@ from jambwork.llm import kernels as K
 from jambwork.llm.common import arrow_map, bucket_of, stored, table
 
 MAX_DOCS = 8_000
-#: Texts that an n-gram needs to be kept; counts at the shared rate that complete a class's own.
+#: Texts that an n-gram needs to be kept; counts that complete a history's.
 LEAST, STRENGTH = 4, 3.0
-#: Standard errors of an expected count by which class counts are discounted; weight of the prior slope, in texts.
-DISCOUNT, PRIOR = 6.0, 0.003
+#: Discounts: so many times a count that the shared ones let expect, and so many standard errors of it.
+TIMES, ERRORS = 2.0, 3.0
+#: Weight of the prior slope, in texts.
+PRIOR = 0.003
 U64 = np.uint64
 START = U64(0x1234567)
 
@@ -53,54 +63,77 @@ def _pairs(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
     return h, w
 
 
-def _excess(c: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """The rate of counts over what is expected: 1 within the discount, and shrunk to 1 by `STRENGTH` counts."""
-    away = np.maximum(np.abs(c - expected) - DISCOUNT * np.sqrt(expected), 0)
-    return 1 + np.sign(c - expected) * away / (expected + STRENGTH)
+def _beyond(c: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Counts less their discounts."""
+    return np.maximum(c - TIMES * expected - ERRORS * np.sqrt(expected), 0)
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The places of keys in a sorted array, -1 where it lacks them."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[i] == wanted, i, -1)
 
 
 @dataclass
-class Ratios:
-    """log(toxic rate / ordinary rate) of kept words and bigrams, by sorted key."""
+class Models:
+    """Both class models (0 and 1 of the last axis: ordinary, toxic), by sorted keys; the last row of each table is for unknown ones.
+
+    word: P(word) of each class; back, left: of a history, the shared weight of its backoff and the class's weight of
+    what is shared; direct, own: of a bigram, the shared and the class's discounted shares.
+    """
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
-    word: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    word: np.ndarray = field(default_factory=lambda: np.ones((1, 2)))
+    hists: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
+    back: np.ndarray = field(default_factory=lambda: np.ones(1))
+    left: np.ndarray = field(default_factory=lambda: np.ones((1, 2)))
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
-    pair: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    direct: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    own: np.ndarray = field(default_factory=lambda: np.zeros((1, 2)))
     slope: float = 0.0
     intercept: float = -30.0
 
     @classmethod
-    def fit(cls, words, hist, pairs, total: np.ndarray, types: float, discount: float) -> Ratios:
-        """Data frames of kept words (w, ordinary, toxic, types), histories (h, ..) and bigrams (h, w, ..)."""
+    def fit(cls, words, hist, pairs, total: np.ndarray, types: np.ndarray, discount: float) -> Models:
+        """Data frames of kept words (w, ordinary, toxic, types, after_ordinary, after_toxic), histories (h, ..) and bigrams (h, w, ..).
+
+        total and types: bigrams of texts and kinds of bigrams of each class, and types' last number those of both.
+        """
         words, hist = words.sort_values("w"), hist.sort_values("h")
-        own = ["ordinary", "toxic"]
+        both, end = ["ordinary", "toxic"], lambda x, v: np.append(x, np.full((1, *x.shape[1:]), v), 0)
         w, h = words["w"].to_numpy(U64), hist["h"].to_numpy(U64)
-        c = words[own].to_numpy(float)
-        rate = _excess(c, c.sum(1, keepdims=True) * total / total.sum())
-        ph, pw, pc = pairs["h"].to_numpy(U64), pairs["w"].to_numpy(U64), pairs[own].to_numpy(float)
-        i, j = np.searchsorted(w, pw), np.searchsorted(h, ph)
-        hc = hist[own].to_numpy(float)[j]
-        back = discount * hist["types"].to_numpy(float)[j] / hc.sum(1)
-        shared = (pc.sum(1) - discount) / hc.sum(1) + back * words["types"].to_numpy(float)[i] / types
-        prate = rate[i] * _excess(pc, hc * shared[:, None] * rate[i])
+        c, follows = words[both].to_numpy(float), words["types"].to_numpy(float)
+        after = words[["after_ordinary", "after_toxic"]].to_numpy(float)
+        continued = np.maximum(follows - discount, 0) / types[2]
+        continued = np.append(continued, max(1 - continued.sum(), 1e-12))
+        texts = _beyond(c, c.sum(1, keepdims=True) * total / total.sum()) / total
+        beyond = np.minimum(texts, _beyond(after, follows[:, None] * types[:2] / types[2]) / types[:2])
+        word = end(beyond, 0.0) + (1 - beyond.sum(0)) * continued[:, None]
+
+        ph, pw, pc = pairs["h"].to_numpy(U64), pairs["w"].to_numpy(U64), pairs[both].to_numpy(float)
+        i, j, n = _at(w, pw), _at(h, ph), len(h)
+        hc = hist[both].to_numpy(float)
+        direct = np.maximum(pc.sum(1) - discount, 0) / hc.sum(1)[j]
+        back = 1 - np.bincount(j, direct, n)
+        shared = direct[:, None] + back[j, None] * word[i]
+        own = _beyond(pc, hc[j] * shared) / (hc[j] + STRENGTH)
+        left = 1 - np.stack([np.bincount(j, own[:, k], n) for k in (0, 1)], 1)
         key = K.mix(ph * U64(3) + pw)
         order = np.argsort(key)
-        return cls(w, np.log(rate[:, 1] / rate[:, 0]), key[order], np.log(prate[:, 1] / prate[:, 0])[order])
+        return cls(w, word, h, end(back, 1.0), end(left, 1.0), key[order], end(direct[order], 0.0), end(own[order], 0.0))
+
+    def probabilities(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """P(word | history) by the ordinary and the toxic model, for arrays of hashes; of an unknown history, P(word)."""
+        i, j, k = _at(self.words, w), _at(self.hists, h), _at(self.pairs, K.mix(h * U64(3) + w))
+        return self.own[k] + self.left[j] * (self.direct[k][:, None] + self.back[j, None] * self.word[i])
 
     def difference(self, words: K.Words) -> np.ndarray:
         """log P(text | toxic) - log P(text | ordinary) per token, for each text."""
         n = len(words.first) - 1
-        if not len(self.words):
-            return np.zeros(n)
-        h, w = _pairs(words)
-        i = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-        log = np.where(self.words[i] == w, self.word[i], 0.0)
-        if len(self.pairs):
-            key = K.mix(h * U64(3) + w)
-            i = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            log = np.where(self.pairs[i] == key, self.pair[i], log)
-        return np.bincount(words.doc, log, n) / np.maximum(np.diff(words.first), 1)
+        p = np.log(np.maximum(self.probabilities(*_pairs(words)), 1e-300))
+        return np.bincount(words.doc, p[:, 1] - p[:, 0], n) / np.maximum(np.diff(words.first), 1)
 
     def score(self, words: K.Words) -> np.ndarray:
         z = self.slope * self.difference(words) + self.intercept
@@ -138,7 +171,7 @@ def _unsigned(df: DataFrame):
     return out
 
 
-def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, held_out: int | None = 5) -> Ratios:
+def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, held_out: int | None = 5) -> Models:
     """The model from the labelled documents whose bucket modulo `held_out` is not 0."""
     rows = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     if held_out:
@@ -147,7 +180,7 @@ def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, hel
     rows = rows.where("toxic = 0").orderBy(turn, "doc_id").limit(max_docs).unionByName(rows.where("toxic = 1").orderBy(turn, "doc_id").limit(max_docs))
     rows = rows.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0)
     # at most 2 * max_docs rows of an id and two flags
-    both = stored(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id").select("toxic", "fit", "text"))
+    both = stored(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id").select("toxic", "fit", "text").dropDuplicates())
 
     def count(batch):
         """(history, word, class) of each distinct bigram of each text."""
@@ -162,20 +195,21 @@ def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, hel
 
     of = lambda k: F.count(F.when(F.col("toxic") == k, 1))
     counts = stored(arrow_map(both.where("not fit"), count, "h long, w long, toxic int").groupBy("h", "w").agg(of(0).alias("ordinary"), of(1).alias("toxic")))
-    sums = [F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("types")]
+    seen = lambda c: F.count(F.when(F.col(c) > 0, 1))
+    sums = [F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("types"), seen("ordinary").alias("after_ordinary"), seen("toxic").alias("after_toxic")]
     enough = F.col("ordinary") + F.col("toxic")
     all_ = counts.agg(*sums, F.count(F.when(enough == 1, 1)).alias("ones"), F.count(F.when(enough == 2, 1)).alias("twos")).first()
     if not all_.ordinary or not all_.toxic:
-        return Ratios()
+        return Models()
     words, hist = (_unsigned(counts.groupBy(x).agg(*sums).where(enough >= LEAST)) for x in ("w", "h"))
     pairs = _unsigned(counts.where(enough >= LEAST))
-    model = Ratios.fit(words, hist, pairs, np.array([all_.ordinary, all_.toxic], float), float(all_.types), all_.ones / max(all_.ones + 2 * all_.twos, 1))
+    model = Models.fit(words, hist, pairs, np.array([all_.ordinary, all_.toxic], float), np.array([all_.after_ordinary, all_.after_toxic, all_.types], float), all_.ones / max(all_.ones + 2 * all_.twos, 1))
     held = _apply(both.where("fit"), model, "toxic int").toPandas()
     model.slope, model.intercept = _logistic(held["difference"].to_numpy(), held["toxic"].to_numpy(float))
     return model
 
 
-def _apply(df: DataFrame, model: Ratios, keep: str) -> DataFrame:
+def _apply(df: DataFrame, model: Models, keep: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
     name = keep.split()[0]
 
@@ -188,7 +222,7 @@ def _apply(df: DataFrame, model: Ratios, keep: str) -> DataFrame:
     return arrow_map(df.select(name, "text"), run, f"{keep}, difference double, score double")
 
 
-def score(documents: DataFrame, model: Ratios) -> DataFrame:
+def score(documents: DataFrame, model: Models) -> DataFrame:
     """doc_id, difference (of the log-likelihoods per token) and score of each document."""
     return _apply(documents.select(F.col("doc_id").cast("long"), "text"), model, "doc_id long")
 
@@ -196,7 +230,7 @@ def score(documents: DataFrame, model: Ratios) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
+    return scored.select("doc_id", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
