@@ -11,8 +11,8 @@ Each class, toxic and ordinary text, has a model of its own that backs off to it
 * bigrams: what the class's texts have of a bigram beyond its discount, and for
   the rest the shared discounted count and the class's word probability.
 
-A discount is `TIMES` what the shared counts let expect in the class, and `ERRORS`
-standard errors. So an expression of few texts, or one that both classes use
+A discount is what the shared counts let expect in the class, `SHARE` of what both
+classes have beyond that, and `ERRORS` standard errors. So an expression of few texts, or one that both classes use
 alike, gets its probability from the shared counts and tells nothing. Both
 models sum to one over all words and one type for unknown ones. A text's score
 is the logistic of the difference of both log-likelihoods per token, with the
@@ -46,8 +46,8 @@ from jambwork.llm.common import arrow_map, bucket_of, stored, table
 MAX_DOCS = 8_000
 #: Texts that an n-gram needs to be kept; counts that complete a history's.
 LEAST, STRENGTH = 4, 3.0
-#: Discounts: so many times a count that the shared ones let expect, and so many standard errors of it.
-TIMES, ERRORS = 2.0, 3.0
+#: Discounts beyond the expected count: a share of what both classes have beyond it, and so many standard errors.
+SHARE, ERRORS = 0.2, 3.0
 #: Weight of the prior slope, in texts.
 PRIOR = 0.003
 U64 = np.uint64
@@ -63,9 +63,9 @@ def _pairs(words: K.Words) -> tuple[np.ndarray, np.ndarray]:
     return h, w
 
 
-def _beyond(c: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Counts less their discounts."""
-    return np.maximum(c - TIMES * expected - ERRORS * np.sqrt(expected), 0)
+def _beyond(c: np.ndarray, expected: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """A class's counts less their discounts, by what is expected of it and what both classes have."""
+    return np.maximum(c - expected - SHARE * np.maximum(both[:, None] - expected, 0) - ERRORS * np.sqrt(expected), 0)
 
 
 def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -108,8 +108,8 @@ class Models:
         after = words[["after_ordinary", "after_toxic"]].to_numpy(float)
         continued = np.maximum(follows - discount, 0) / types[2]
         continued = np.append(continued, max(1 - continued.sum(), 1e-12))
-        texts = _beyond(c, c.sum(1, keepdims=True) * total / total.sum()) / total
-        beyond = np.minimum(texts, _beyond(after, follows[:, None] * types[:2] / types[2]) / types[:2])
+        texts = _beyond(c, c.sum(1, keepdims=True) * total / total.sum(), c.sum(1)) / total
+        beyond = np.minimum(texts, _beyond(after, follows[:, None] * types[:2] / types[2], follows) / types[:2])
         word = end(beyond, 0.0) + (1 - beyond.sum(0)) * continued[:, None]
 
         ph, pw, pc = pairs["h"].to_numpy(U64), pairs["w"].to_numpy(U64), pairs[both].to_numpy(float)
@@ -118,7 +118,7 @@ class Models:
         direct = np.maximum(pc.sum(1) - discount, 0) / hc.sum(1)[j]
         back = 1 - np.bincount(j, direct, n)
         shared = direct[:, None] + back[j, None] * word[i]
-        own = _beyond(pc, hc[j] * shared) / (hc[j] + STRENGTH)
+        own = _beyond(pc, hc[j] * shared, pc.sum(1)) / (hc[j] + STRENGTH)
         left = 1 - np.stack([np.bincount(j, own[:, k], n) for k in (0, 1)], 1)
         key = K.mix(ph * U64(3) + pw)
         order = np.argsort(key)

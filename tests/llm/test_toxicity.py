@@ -56,9 +56,9 @@ def test_probabilities_are_those_of_a_plain_version(spark, model):
         word[w] += [*x, 1, x[0] > 0, x[1] > 0]
         hist[h] += x
     kept = {w: x for w, x in word.items() if x[0] + x[1] >= toxicity.LEAST}
-    over = lambda n, e: max(n - toxicity.TIMES * e - toxicity.ERRORS * e**0.5, 0)
+    over = lambda n, e, both: max(n - e - toxicity.SHARE * max(both - e, 0) - toxicity.ERRORS * e**0.5, 0)
     continued = {w: max(x[2] - d, 0) / types[2] for w, x in kept.items()}
-    beyond = {w: [min(over(x[k], (x[0] + x[1]) * total[k] / total.sum()) / total[k], over(x[3 + k], x[2] * types[k] / types[2]) / types[k]) for k in (0, 1)] for w, x in kept.items()}
+    beyond = {w: [min(over(x[k], (x[0] + x[1]) * total[k] / total.sum(), x[0] + x[1]) / total[k], over(x[3 + k], x[2] * types[k] / types[2], x[2]) / types[k]) for k in (0, 1)] for w, x in kept.items()}
     p1 = lambda w, k: beyond[w][k] + (1 - sum(x[k] for x in beyond.values())) * continued[w]
     pairs = {p: x for p, x in c.items() if sum(x) >= toxicity.LEAST}
 
@@ -66,7 +66,7 @@ def test_probabilities_are_those_of_a_plain_version(spark, model):
         direct = lambda v: max(sum(pairs.get((h, v), [0, 0])) - d, 0) / hist[h].sum()
         back = 1 - sum(direct(v) for v in kept)
         shared = lambda v: direct(v) + back * p1(v, k)
-        own = lambda v: over(pairs[h, v][k], hist[h][k] * shared(v)) / (hist[h][k] + toxicity.STRENGTH) if (h, v) in pairs else 0
+        own = lambda v: over(pairs[h, v][k], hist[h][k] * shared(v), sum(pairs[h, v])) / (hist[h][k] + toxicity.STRENGTH) if (h, v) in pairs else 0
         return own(w) + (1 - sum(own(v) for v in kept)) * shared(w)
 
     assert len(model.words) == len(kept) and "scum" in kept and Counter(h for h, _ in pairs)
