@@ -69,18 +69,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_groups(rows: DataFrame, key: str, *sums: Column) -> DataFrame:
-    """rows with aggregates of their key's group, in one shuffle and one computation of rows.
+def with_groups(rows: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """rows with aggregates of their keys' group, in one shuffle and one computation of rows.
 
     The grouping reads all columns, so that both uses have the same exchange, which Spark then makes once.
+    Rows with a null are left out. All rows of a group come to one task: keys that may have very many need a salt among them.
     """
-    rows = rows.repartition(parts(rows.sparkSession), key)
-    rest = [F.max(x).alias(f"_{x}") for x in rows.columns if x != key]
-    groups = rows.groupBy(key).agg(*sums, *rest)
-    for x in rows.columns:
-        if x != key:
-            groups = groups.where(F.col(f"_{x}").isNotNull()).drop(f"_{x}")
-    return rows.join(groups, key)
+    for x in rows.columns:  # no later filter may come before one use of the exchange only
+        rows = rows.where(F.col(x).isNotNull())
+    rows = rows.repartition(parts(rows.sparkSession), *keys)
+    own = [x for x in rows.columns if x not in keys]
+    groups = rows.groupBy(*keys).agg(*sums, *(F.max(x).alias(f"_{x}") for x in own))
+    for x in own:
+        groups = groups.where(F.col(f"_{x}").isNotNull()).drop(f"_{x}")
+    return rows.join(groups, keys)
 
 
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:

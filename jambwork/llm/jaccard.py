@@ -2,20 +2,34 @@
 
 Two sets link when 100 * |x & y| >= percent * |x | y|. Sets are compared once
 each, whatever the number of texts that have them. The tokens of a set are
-ordered alike everywhere (frequent ones last, else by hash), and only a prefix
-of each set is indexed: linked sets share a token of both prefixes.
+ordered alike everywhere, rare ones first, and only a prefix of each set is
+indexed: linked sets share a token of both prefixes.
+
+The order is of three parts. Tokens with small hashes, `SEEN` of all, come first,
+by the number of sets that have them, which one shuffle of them tells exactly.
+Those that only one set has can't link it, and are in no list; a set with enough
+of them is in no list at all. Other tokens follow by hash. Last are the tokens of
+very full buckets, by the bucket's count: their lists are spread over tasks.
 
 * Skipping in lists: an entry of an index list holds its set's size and the
   token's position. Entries are blocked by both, and a pair of blocks whose
   sizes or remaining tokens can't reach the overlap is skipped whole.
 * Skipping by answers: the entries of a list are first compared with one leader
-  only. A set that is found to link with it takes over the leader's answer, its
-  class, and what is left to find for it are sets of other classes. So a group
-  of similar sets costs one comparison a member, not all pairs. Lists in which
-  one class remains are done.
+  only. What a set has in common with its leader is kept as its answer. A set
+  that links with the leader takes over its class, and what is left to find for
+  it are sets of other classes. Of two sets with one leader, the answers bound
+  what they have in common: no more than both share with the leader, and what
+  each has beyond it. Pairs that can't reach the overlap are skipped by their
+  leader's answers, and others by the parities of their tokens in 512 buckets,
+  which differ in no more places than the sets. What is left is compared.
 
 When rounds no longer pay, all pairs of different classes that the index still
-has are compared exactly, so no link between classes is missed.
+has and that no bound excludes are compared exactly, so no link between classes
+is missed.
+
+Buckets are as many at any size of the corpus, and what tasks get of them is
+their counts, 8 MB. A list outside full buckets has at most `FULL` entries, or
+`TIMES` the mean of all buckets.
 
 Null and empty texts, and those without a word, have an empty set and link with
 nothing. Texts of fewer than n words are one shingle. Rows that share a doc_id
@@ -25,24 +39,32 @@ only; a class without any doc_id has none as its component_id.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jambwork.llm import kernels as K
-from jambwork.llm.common import arrow_map, components, scratch, stored, table, with_groups, with_row_keys
+from jambwork.llm.common import arrow_map, components, parts, scratch, stored, table, with_groups, with_row_keys
 
 WORDS, PERCENT = 5, 80
-#: Tokens of which the frequency is known to all tasks, the most frequent ones, and in at least so many sets.
-HEAVY, LEAST = 100_000, 6
-#: Prefixes' lengths of each set that are counted for it, as tokens go to the end of a set when they are found to be frequent.
-MORE = 1.6
-#: Leader rounds at most, and pairs for each entry of the lists above which a round pays.
-ROUNDS, PAIRS = 2, 2
-#: Tokens that a task counts at once.
-AT_ONCE = 4_000_000
+#: Bits of a token's hash that name its bucket, and buckets that are one row.
+BUCKET_BITS, BLOCK = 23, 1 << 16
+#: Tokens in a full bucket: so many, and so many times the mean. Tasks over which the list of a token there is spread.
+FULL, TIMES, SPREAD = 1024, 16, 64
+#: The share of tokens that are counted one by one.
+SEEN = 0.375
+#: Leader rounds at most, pairs of different classes for each entry of the lists above which a round pays, and the share of pairs that it must have taken for another.
+ROUNDS, PAIRS, PAID = 6, 2, 0.3
+#: Words of 64 bits with the parities of a set's tokens by bucket, and of these folded, which go with the entries of lists.
+SIGNS, FOLDED = 8, 4
+#: Growth of set sizes from one bin to the next.
+BIN = 1.12
 U64 = np.uint64
 
 
@@ -51,64 +73,89 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / F.lit(100 + percent)).cast("long")
 
 
-def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """The columns of docs but text, which are longs, with set size n and a hash of the set."""
+def _profile(docs: DataFrame, levels, words: int) -> DataFrame:
+    """The columns of docs but text, which are longs, with set size n, number v of counted tokens, a hash of the set, and its tokens' parities s0, s1, .."""
     own = [x for x in docs.columns if x != "text"]
 
     def run(batch):
         for i, buf, off in K.pieces(K.strings(batch.column("text"))):
             n = len(off) - 1
             g, at = K.sets(*K.shingles(K.Words(buf, off), words), n)
-            yield *(batch.column(x).slice(i, n) for x in own), np.diff(at), _nodes(g, at, 1)
+            seen = np.bincount(np.repeat(np.arange(n), np.diff(at))[_kinds(g, levels.value)[0] == 0], minlength=n)
+            yield *(batch.column(x).slice(i, n) for x in own), np.diff(at), seen, _nodes(g, at, 1), *_parities(g, at)
+
+    return arrow_map(docs.select(*own, "text"), run, "".join(f"{x} long, " for x in own) + "n long, v long, node long" + "".join(f", s{k} long" for k in range(SIGNS)))
+
 
-    return arrow_map(docs.select(*own, "text"), run, "".join(f"{x} long, " for x in own) + "n long, node long")
+def _kinds(g: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of the order that each token belongs to (0: counted, 1: not counted, 2: of a full bucket), and its bucket's level (0 if not full)."""
+    level = levels[(g & U64((1 << BUCKET_BITS) - 1)).astype(np.int64)]
+    return np.where(level > 0, 2, (g >= U64(int(SEEN * 2**64))).astype(np.int64)), level
+
+
+def _parities(g: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    n, bits = len(at) - 1, 64 * SIGNS
+    count = np.zeros((n, bits), np.uint8)
+    bucket = (g >> U64(20)) % U64(bits)
+    where, times = np.unique(np.repeat(np.arange(n), np.diff(at)) * bits + bucket.astype(np.int64), return_counts=True)
+    count.ravel()[where] = times & 1
+    return [*np.packbits(count, axis=1).view(np.int64).T]
 
 
 def _prefix_size(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-percent * size // 100) + 1
 
 
-def _counted(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """token and c: sets with the token among their first ones by hash, `MORE` times a prefix of them.
+def _levels(docs: DataFrame, words: int) -> np.ndarray:
+    """For each bucket of tokens 0, or if it is full a number that grows with its count (quarters of the logarithm to base 2).
 
-    A task counts the copies of a set that it has seen once.
+    A task counts the copies of a set that it has seen once. Counts are added up bucket by bucket, twice, so that nobody adds what all tasks have.
     """
+    size = 1 << BUCKET_BITS
 
-    def run(batches):
+    def count(batches):
         seen: set[int] = set()
-        kept, held = [], 0
-
-        def counts():
-            t, c = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c.astype(np.int32))], names=["token", "c"])
-
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for _, buf, off in K.pieces(K.strings(batch.column("text"))):
                 g, at = K.sets(*K.shingles(K.Words(buf, off), words), len(off) - 1)
-                size = np.diff(at)
                 fresh = np.array([x not in seen and not seen.add(x) for x in _nodes(g, at, 1).tolist()], bool)
-                take = np.minimum(size, (MORE * _prefix_size(size, percent)).astype(np.int64)) * (fresh & (size > 0))
-                first = np.repeat(at[:-1], take)
-                kept.append(g[first + np.arange(len(first)) - np.repeat(np.cumsum(take) - take, take)])
-                held += len(first)
-                if held > AT_ONCE:
-                    yield counts()
-                    kept, held = [], 0
-        if kept:
-            yield counts()
+                t, c = np.unique((g[np.repeat(fresh, np.diff(at))] & U64(size - 1)).astype(np.uint32), return_counts=True)
+                total[t] += c.astype(np.uint32)
+        yield from sums({k: total[k * BLOCK : (k + 1) * BLOCK] for k in range(size // BLOCK)})
+
+    def sums(totals: dict[int, np.ndarray]):
+        press, part = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() % SPREAD
+        some = [(k, part, press.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())) for k, x in totals.items() if x.any()]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "part", "counts"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                totals[k] = np.minimum(totals[k] + counts(data).astype(np.uint64), 0xFFFFFFFF).astype(np.uint32) if k in totals else counts(data)
+        yield from sums(totals)
+
+    def counts(data: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-    return docs.select("text").mapInArrow(run, "token long, c int").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+    schema, n = "block int, part int, counts binary", parts(docs.sparkSession)
+    rows = docs.select("text").mapInArrow(count, schema).repartition(n, "block", "part").mapInArrow(add, schema)
+    total = np.zeros(size, np.uint32)
+    for x in rows.repartition(n, "block").mapInArrow(add, schema).toLocalIterator():  # a row for each block
+        total[x["block"] * BLOCK : (x["block"] + 1) * BLOCK] = counts(bytes(x["counts"]))
+    full = max(FULL, TIMES * total.mean())
+    return np.where(total > full, np.rint(4 * np.log2(total + 1.0)), 0).astype(np.uint8)
 
 
-def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """key (48 bits of a token and its place in the set, at most 65535), node and n of the prefix tokens of each set.
+def _entries(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
+    """key (57 bits of a token, 7 of a salt), node and pos of the counted tokens of each set (salt 0, pos -1), and of the others in its prefix; in full buckets salts begin with 1.
 
-    A task passes over the copies of a set that it has seen; shared bits of different tokens only add comparisons.
+    A task passes over the copies of a set that it has seen.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
-        token, count = shared.value
         seen: set[int] = set()
         for batch in batches:
             for _, buf, off in K.pieces(K.strings(batch.column("text"))):
@@ -116,27 +163,31 @@ def _prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], words: int,
                 g, at = K.sets(*K.shingles(K.Words(buf, off), words), n)
                 size = np.diff(at)
                 node = _nodes(g, at, 1)
-                fresh = np.zeros(n, bool)
-                for i, x in enumerate(node.tolist()):
-                    if size[i] and x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
+                fresh = np.array([x != 0 and x not in seen and not seen.add(x) for x in node.tolist()], bool)
+                kind, level = _kinds(g, levels.value)
                 d = np.repeat(np.arange(n), size)
-                order = np.arange(len(g))
-                if len(token):
-                    j = np.minimum(np.searchsorted(token, g), len(token) - 1)
-                    c = np.where(token[j] == g, count[j], 0)
-                    often = np.flatnonzero(c)
-                    rare = np.flatnonzero(c == 0)
-                    both = np.concatenate([rare, often[np.lexsort((g[often], c[often]))]])
-                    order = both[np.argsort(d[both], kind="stable")]
-                pos = order * 0 + np.arange(len(g)) - np.repeat(at[:-1], size)
-                keep = (pos < _prefix_size(size, percent)[d]) & fresh[d]
-                d = d[keep]
-                key = (g[order][keep] & ~U64(0xFFFF)) | np.minimum(pos[keep], 0xFFFF).astype(U64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[d]), pa.array(size[d].astype(np.int32))], names=["key", "node", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, node long, n int")
+                order = np.lexsort((level, kind, d)) if len(g) else np.zeros(0, np.int64)
+                g, kind, d = g[order], kind[order], d[order]
+                pos = np.arange(len(g)) - np.repeat(at[:-1], size)
+                keep = fresh[d] & ((kind == 0) | (pos < _prefix_size(size, percent)[d]))
+                g, kind, d, pos = g[keep], kind[keep], d[keep], pos[keep]
+                key = (g & ~U64(127)) | np.where(kind == 2, 1 + node[d] % SPREAD, 0).astype(U64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[d]), pa.array(np.where(kind == 0, -1, pos).astype(np.int32))], names=["key_", "node_", "pos_"])
+
+    # the new names let Spark see that both uses of the rows are the same exchange
+    return docs.select("text").mapInArrow(run, "key_ long, node_ long, pos_ int").select(F.col("key_").alias("key"), F.col("node_").alias("node"), F.col("pos_").alias("pos"))
+
+
+def _postings(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """token, node, n and pos of the prefixes, without tokens that only one set has."""
+    lists = with_groups(entries, ["key"], F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"))
+    lists = lists.where("low < high or key & 127 > 0").groupBy("key", "node").agg(F.max("pos").alias("pos"), F.max("c").alias("c"))
+    lists = lists.select(F.shiftrightunsigned("key", 7).alias("token"), "node", "pos", "c")
+    # those that are left out, which are v less the ones that are here, come first
+    w = Window.partitionBy("node")
+    placed = lists.withColumn("here", F.count(F.when(F.col("pos") < 0, 1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("pos") >= 0, "c", "token")))
+    rows = placed.join(sets.select("node", "n", "v"), "node").withColumn("pos", F.expr("cast(if(pos < 0, v - here + rank - 1, pos) as int)"))
+    return rows.where(F.expr(f"pos < n - ({percent} * n + 99) div 100 + 1")).select("token", "node", F.col("n").cast("int").alias("n"), "pos")
 
 
 def _nodes(g: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
@@ -172,8 +223,27 @@ def _nameless(docs: DataFrame, words: int) -> DataFrame:
     return docs.where("doc_id is null").select("text").mapInArrow(run, "node long, text binary")
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """The pairs (a, b) of nodes that neither the answers of a common leader nor the parities exclude.
+
+    sets: node, n, parities, and of each round the leader `to0`, .. and the overlap with it `o0`, ..
+    """
+    own = ["n", *(f"s{k}" for k in range(SIGNS)), *(f"{x}{t}" for t in range(rounds) for x in ("to", "o"))]
+    side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in own))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    n, m = F.col("n_a"), F.col("n_b")
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SIGNS)))
+    open_ = (n + m - differ) * (100 + percent) >= 2 * percent * (n + m)
+    for t in range(rounds):
+        o, p, to, at = (F.col(f"{x}{t}_{y}") for x, y in (("o", "a"), ("o", "b"), ("to", "a"), ("to", "b")))
+        most = F.least(o, p) + F.least(n - o, m - p)
+        done = (to == F.col("b")) | (at == F.col("a")) | ((to == at) & (most * (100 + percent) < percent * (n + m)))
+        open_ &= ~F.coalesce(done, F.lit(False))
+    return both.where(open_).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link, with their overlap."""
+    """The pairs (a, b) of nodes with the overlap of their sets, and whether they link."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = texts.join(need, "node", "left_semi")
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
@@ -199,23 +269,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             order = K.by_text(t, d)
             t, d = t[order], d[order]
             both = np.bincount(d[1:][(t[1:] == t[:-1]) & (d[1:] == d[:-1])], minlength=n)
-            ok = 100 * both >= percent * (np.diff(u) + np.diff(v) - both)
-            yield a[at:to][ok], b[at:to][ok], both[ok]
+            yield a[at:to], b[at:to], both, 100 * both >= percent * (np.diff(u) + np.diff(v) - both)
             at = to
 
-    return arrow_map(both, run, "a long, b long, overlap long")
-
-
-def _mixed(entries: DataFrame, class_: str = "class") -> DataFrame:
-    """The entries of tokens that lie in more than one class."""
-    both = with_groups(entries, "token", F.min(class_).alias("low"), F.max(class_).alias("high"))
-    return stored(both.where("low < high").drop("low", "high"))
+    return arrow_map(both, run, "a long, b long, overlap long, linked boolean")
 
 
 def _classes(links: DataFrame, entries: DataFrame) -> DataFrame:
     """The entries of lists that hold more than one class, with the class of each."""
     root = components(links).select("node", F.col("root").alias("class"))
-    return _mixed(entries.drop("class").join(root, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    entries = stored(entries.drop("class").join(root, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    mixed = entries.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    return stored(entries.join(mixed.select("token"), "token", "left_semi"))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -227,37 +292,42 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 def _joined(docs: DataFrame, words: int, percent: int, *keys: str) -> DataFrame:
     """What join returns, the root that linked sets share (null without a set), and the keys (longs), of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keys)
-    own = stored(_profile(docs, words))
-    top = _counted(docs, words, percent).orderBy(F.desc("c"), "token").limit(HEAVY).toPandas()
-    token = top["token"].to_numpy(np.int64).view(U64)
-    order = np.argsort(token)
-    heavy = token[order], top["c"].to_numpy(np.int64)[order]
-
-    sets = stored(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
-    entry = _prefixes(docs, heavy, words, percent)
-    entry = entry.select(F.shiftrightunsigned("key", 16).alias("token"), "node", "n", F.expr("cast(key & 65535 as int)").alias("pos"))
-    postings = _mixed(entry, "node")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, words))
+    own = stored(_profile(docs, levels, words))
+    signs = [f"s{k}" for k in range(SIGNS)]
+    sets = stored(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.max(x).alias(x) for x in ("n", "v", *signs))))
+    own = own.drop("v", *signs)
+    postings = stored(_postings(_entries(docs, levels, words, percent), sets, percent))
+    levels.unpersist()
 
     first = own.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     links = stored(own.where("n > 0").join(first.where("a < b").select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
     near = sets.join(postings.select("node").distinct(), "node").select("doc_id", "node")
     nameless = _nameless(docs, words).join(sets.where("doc_id is null"), "node", "left_semi")
     texts = stored(_own_text(_pressed(docs).join(near, "doc_id").select("node", "text").unionByName(nameless), words))
-    entries = postings.withColumn("class", F.col("node")) if links.isEmpty() else _classes(links, postings)
+    entries = _classes(links, postings)
+    known, rounds, before = sets.drop("doc_id", "v"), 0, math.inf
     for turn in range(ROUNDS):
-        size = entries.groupBy("token").count().agg(F.sum("count").alias("entries"), F.sum(F.expr("double(count) * (count - 1) / 2")).alias("pairs")).first()
-        if (size.pairs or 0) <= PAIRS * (size.entries or 0):
+        node = F.struct(F.xxhash64("node", F.lit(turn)).alias("k"), F.col("node"), F.col("n"), F.col("pos"))
+        by_class = stored(entries.groupBy("token", "class").agg(F.count("*").alias("c"), F.min(node).alias("to")))
+        size = by_class.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.expr("double(c) * c")).alias("alike")).agg(F.sum("all").alias("entries"), F.sum(F.expr("(double(all) * all - alike) / 2")).alias("pairs")).first()
+        if (size.pairs or 0) <= PAIRS * (size.entries or 0) or size.pairs > (1 - PAID) * before:
             break
-        at = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), F.col("class"), F.xxhash64("node", F.lit(turn)).alias("k"), F.col("node"), F.col("n"), F.col("pos"))
-        leader = entries.groupBy("token").agg(F.min(at).alias("to")).select("token", F.col("to.node").alias("to"), F.col("to.class").alias("to_class"), F.col("to.n").alias("m"), F.col("to.pos").alias("at"))
+        before = size.pairs
+        # a node of the largest class leads
+        leader = by_class.groupBy("token").agg(F.max_by(F.struct("class", "to"), F.struct("c", F.xxhash64("class", F.lit(turn)))).alias("l"))
+        leader = leader.select("token", F.col("l.to.node").alias("to"), F.col("l.class").alias("to_class"), F.col("l.to.n").alias("m"), F.col("l.to.pos").alias("at"))
         met = entries.join(leader, "token").where(F.col("class") != F.col("to_class")).where(_possible(percent))
         best = met.groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("to"))
-        found = _verified(stored(best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()), texts, words, percent)
-        found = stored(found.select("a", "b"))
-        links = stored(links.unionByName(found))
+        pairs = stored(_bounded(best.select(F.col("node").alias("a"), F.col("to").alias("b")), known, percent, rounds))
+        found = stored(_verified(pairs, texts, words, percent))
+        answers = found.select(F.col("a").alias("node"), F.col("b").alias(f"to{rounds}"), F.col("overlap").alias(f"o{rounds}"))
+        known, rounds = stored(known.join(answers, "node", "left")), rounds + 1
+        links = stored(links.unionByName(found.where("linked").select("a", "b")))
         entries = _classes(links, entries)
     if not entries.isEmpty():
-        links = links.unionByName(_verified(stored(_rest(entries, percent)), texts, words, percent).select("a", "b"))
+        pairs = stored(_bounded(_rest(entries, sets, percent), known, percent, rounds))
+        links = links.unionByName(_verified(pairs, texts, words, percent).where("linked").select("a", "b"))
     root = components(links)
     group = sets.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = group.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -291,18 +361,24 @@ def _possible(percent: int) -> Column:
     return (F.least("n", "m") >= need) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need)
 
 
-def _rest(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of different classes that a list can still link, blocks first, then entries."""
-    block = entries.withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.12))).cast("int")).withColumn("step", F.floor(8 * F.col("pos") / F.col("n") * 5).cast("int"))
-    of = block.groupBy("token", "size", "step").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("n").alias("n"), F.min("n").alias("least"), F.min("pos").alias("pos"), F.max(F.col("n") - F.col("pos")).alias("left"))
-    one = of.select("token", *(F.col(x).alias(f"{x}1") for x in ("size", "step", "low", "high", "least", "left")))
-    two = of.select("token", *(F.col(x).alias(f"{x}2") for x in ("size", "step", "low", "high", "least", "left")))
+def _rest(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different classes that a list can still link, blocks first, then entries by place and folded parities."""
+    bins = math.ceil(math.log(100 / percent) / math.log(BIN)) + 1  # linked sets' sizes differ by a factor of 100 / percent at most
+    block = entries.withColumn("size", F.floor(F.log("n") / math.log(BIN)).cast("int")).withColumn("step", F.floor(8 * F.col("pos") / F.col("n") * 5).cast("int"))
+    at = ("size", "step", "low", "high", "least", "left")
+    of = block.groupBy("token", "size", "step").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    one, two = (of.select("token", *(F.col(x).alias(f"{x}{k}") for x in at)) for k in (1, 2))
     need = _overlap(F.col("least1"), F.col("least2"), percent)
-    kept = one.join(two, "token").where(F.struct("size1", "step1") <= F.struct("size2", "step2")).where(F.col("size2") - F.col("size1") <= 3).where(F.least("left1", "left2") >= need).where(~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2"))))
+    alike = (F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2"))
+    kept = one.join(two, "token").where(F.struct("size1", "step1") <= F.struct("size2", "step2")).where(F.col("size2") - F.col("size1") <= bins).where(F.least("left1", "left2") >= need).where(~alike)
     kept = kept.select("token", "size1", "step1", "size2", "step2")
-    x = block.select("token", F.col("size").alias("size1"), F.col("step").alias("step1"), "node", "class", "n", "pos")
-    y = block.select("token", F.col("size").alias("size2"), F.col("step").alias("step2"), F.col("node").alias("to"), F.col("class").alias("to_class"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    pair = kept.join(x, ["token", "size1", "step1"]).join(y, ["token", "size2", "step2"]).where(F.col("class") != F.col("to_class")).where(_possible(percent))
+    folded = sets.select("node", *(reduce(lambda x, y: x.bitwiseXOR(y), (F.col(f"s{i}") for i in range(k, SIGNS, FOLDED))).alias(f"f{k}") for k in range(FOLDED)))
+    block = stored(block.join(folded, "node"))
+    x = block.select("token", F.col("size").alias("size1"), F.col("step").alias("step1"), "node", "class", "n", "pos", *(f"f{k}" for k in range(FOLDED)))
+    y = block.select("token", F.col("size").alias("size2"), F.col("step").alias("step2"), F.col("node").alias("to"), F.col("class").alias("to_class"), F.col("n").alias("m"), F.col("pos").alias("at"), *(F.col(f"f{k}").alias(f"g{k}") for k in range(FOLDED)))
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}"))) for k in range(FOLDED)))
+    near = (F.col("n") + F.col("m") - differ) * (100 + percent) >= 2 * percent * (F.col("n") + F.col("m"))
+    pair = kept.join(x, ["token", "size1", "step1"]).join(y, ["token", "size2", "step2"]).where(F.col("class") != F.col("to_class")).where(_possible(percent)).where(near)
     return pair.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 

@@ -1,7 +1,7 @@
 """Array kernels over Arrow string columns.
 
-Texts of one Arrow batch are handled as flat byte arrays, in pieces of a few
-megabytes, so that a Python worker's memory does not follow the batch.
+Texts of one Arrow batch are handled as flat byte arrays, in pieces of some
+hundred kilobytes, so that a Python worker's memory does not follow the batch.
 Everything here is a pure function of its input.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(BASE, -1, 1 << 64)
 

@@ -262,7 +262,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: in
     text = F.coalesce("text", F.lit(""))
     keys = docs.withColumn("text", text).withColumn("text_id", F.xxhash64("text")).withColumn("check", F.xxhash64("text", F.lit(1)))
     n = parts(docs.sparkSession)
-    anchors = with_groups(_anchors(keys, length, anchor), "anchor", F.count("*").alias("c")).where("c > 1")
+    anchors = with_groups(_anchors(keys, length, anchor), ["anchor"], F.count("*").alias("c")).where("c > 1")
     hits = stored(anchors.withColumn("hot", F.col("c") > hot).groupBy("text_id").agg(F.collect_set(F.struct("anchor", "at", "hot")).alias("hits")))
 
     def press(batches):

@@ -100,7 +100,7 @@ def test_rows_come_as_often_as_the_mix_takes_them(spark, docs):
         for r in sorted(own, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest() if r[0] is not None else "", r[0] or 0, size(r))):
             n = size(r)
             if n:
-                want[r[0], s, n] += math.ceil((words // whole * n + max(0, min(n, words % whole - before))) / n)
+                want[r[0], s, n] += math.floor((words // whole * n + max(0, min(n, words % whole - before))) / n + 0.5)
             before += n
     got = after(mixing.stage, spark, docs)
     assert Counter((r[0], r[3], size(r)) for r in got) == +want

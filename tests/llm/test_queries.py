@@ -72,6 +72,23 @@ def test_packing(spark, folder):
             assert all(p["doc_tokens"] == len(ids) and p["ids_crc32"] == crc(ids[p["start"] : p["start"] + p["length"]]) for p in own)
 
 
+def test_neighbours_are_those_of_plain_bm25():
+    from jambwork.llm import packing
+
+    docs = [[1, 2, 2, 3], [2, 2, 9], [3, 3, 3, 1, 7, 7, 7, 7], [5], [1, 2, 3]]
+    index = packing.Bm25(np.array(sum(docs, [])), np.append(0, np.cumsum([*map(len, docs)])))
+    mean = np.mean([*map(len, docs)])
+
+    def weight(t, d):
+        df, tf = sum(t in x for x in docs), d.count(t)
+        return math.log1p((len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+
+    for i, d in enumerate(docs):
+        scores = [-sum(weight(t, e) for t in {*d}) for e in docs]
+        want = sorted((j for j in range(len(docs)) if j != i), key=lambda j: (round(scores[j], 9), j))
+        assert index.neighbours(i, np.arange(len(docs)) != i).tolist() == want
+
+
 def test_fingerprints(spark, folder):
     docs = rows(folder, "documents")
     got = run(spark, "op2_fingerprints", folder)
@@ -118,6 +135,40 @@ def test_fertility(spark, folder):
     assert all(g["kept"] for g in got if g["doc_id"] in good and not g["base_failed"])
 
 
+def test_bands_are_those_of_plain_medians(spark):
+    from jambwork.llm import fertility
+
+    r = np.random.default_rng(3)
+    rows_, of = [], defaultdict(lambda: defaultdict(list))
+    for i in range(300):
+        lang, script = (("en", "latin"), ("latin", "latin"), ("xx", "greek"), (None, "greek"), ("yy", "thai"))[min(i % 7, 4)] if i < 295 else ("zz", "han")
+        failed, n = bool(i % 11 == 0), int(r.integers(20, 900))
+        x = [round(float(v), 4) for v in r.normal(4, 0.5, 4)]
+        rows_.append((i, lang, script, "all", failed, n, *x))
+        for key in (("lang", lang), ("script", script), ("every", "all")):
+            if not failed and key[1] is not None:
+                for name, v in zip(fertility.MEASURES, x, strict=True):
+                    of[key][name].append((v, n))
+    stats = spark.createDataFrame(rows_, "doc_id long, lang string, script string, every string, base_failed boolean, n_words long, " + ", ".join(f"{m} double" for m in fertility.MEASURES))
+    got = {(b["scope"], b["key"]): b for b in fertility.bands(stats).collect()}
+    assert {*got} == {*of}
+    for key, by in of.items():
+        for name, values in by.items():
+            median = np.median([v for v, _ in values])
+            spread = 1.4826 * np.median([abs(v - median) * n**0.5 for v, n in values])
+            assert got[key]["texts"] == len(values) and got[key]["band"][name]["median"] == pytest.approx(median) and got[key]["band"][name]["spread"] == pytest.approx(spread, rel=0.02, abs=1e-6)
+
+
+def test_junk_of_a_rare_language_meets_the_band_of_its_script(spark):
+    from jambwork.llm import fertility
+    from tests.llm.conftest import prose
+
+    junk = " ".join("qzx" * 12 + f"{i * 7919}" for i in range(60))
+    docs = [(i, "en", prose(i, 80)) for i in range(60)] + [(100, "en", junk), (101, "rare", junk), (102, None, junk), (103, "rare", prose(77, 80))]
+    got = {r["doc_id"]: r["kept"] for r in fertility.judged(spark.createDataFrame(docs, "doc_id long, lang string, text string"), tokens.public("piece_bpe_32k.model"), tokens.public("byte_bpe_50k.json")).collect()}
+    assert not got[100] and not got[101] and not got[102] and got[103]
+
+
 def test_katz(spark, folder):
     docs = rows(folder, "documents")
     own = [(d["doc_id"], [*WORD.findall(lower(d["text"] or "")), None]) for d in docs]
@@ -183,6 +234,28 @@ def test_warc(spark, folder):
     assert order == sorted(order) and len({g["position"] for g in got}) == len(got)
 
 
+def test_loser_tree_merges_sorted_runs():
+    import random
+
+    from jambwork.llm.warc import LoserTree
+
+    r = random.Random(5)
+    for k in (0, 1, 2, 3, 7, 8, 33):
+        runs = [sorted((r.randrange(20), i) for _ in range(r.randrange(12))) for i in range(k)]
+        assert [*LoserTree(runs)] == sorted(sum(runs, []))
+
+
+def test_long_pages_go_to_archives_of_their_own(spark, tmp_path):
+    from jambwork.llm import warc
+
+    pages = [(i, f"http://h{i % 3}/{i}", ("y" if i % 2 else f"{i} ") * (200_000 if i % 4 < 2 else 10)) for i in range(24)] + [(None, None, "x" * 100_000), (None, "http://n/", "z")]
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1), str(tmp_path / "w"))
+    got = warc.read(spark, str(tmp_path / "w"))
+    assert Counter((r["page_id"], r["payload_bytes"]) for r in got.collect()) == Counter((p, len(h)) for p, _, h in pages)
+    order = [(r["url_key"], r["captured"]) for r in warc.merged(got).orderBy("position").collect()]
+    assert order == sorted(order)
+
+
 def test_tool_calls(spark, odd):
     got = {(g["conv_id"], g["call_id"]): g for g in run(spark, "op7_tool_calls", odd)}
     assert got[1, "1:1"]["status"] == "linked" and got[1, "1:1"]["valid"] and '"hi \\"you\\" \\\\ ü"' in got[1, "1:1"]["json"]
@@ -192,6 +265,36 @@ def test_tool_calls(spark, odd):
     assert sum(g["status"] == "no_id" for g in run(spark, "op7_tool_calls", odd)) == 3
 
 
+CALL, RESULT = "conv_id long, call_id string, position long, name string, arguments string, depends_on array<string>", "conv_id long, call_id string, position long, content string"
+
+
+@pytest.mark.parametrize("at_once", [100_000, 3])
+def test_calls_come_after_what_they_depend_on(spark, monkeypatch, at_once):
+    from jambwork.llm import toolcalls
+
+    monkeypatch.setattr(toolcalls, "AT_ONCE", at_once)
+    on = {"a": ["b", "b"], "b": ["c"], "c": [], "d": ["e", "c"], "e": ["d"], "f": ["d"], "g": ["none", "c"], "h": ["a", "c"]}
+    calls = [(k, c, i, "t", "{}", x) for k in (1, 2) for i, (c, x) in enumerate(on.items())] + [(3, "x", 0, "t", "{}", ["x"]), (3, "y", 1, "t", "{}", None)]
+    calls += [(4, str(i), -i, "t", "{}", [str(i - 1)] if i else []) for i in range(40)]
+    got = toolcalls.link(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), {"t": {}}).collect()
+    level = {(r["conv_id"], r["call_id"]): r["level"] for r in got}
+    for k in (1, 2):
+        assert [level[k, c] for c in "abcdefgh"] == [2, 1, 0, -1, -1, -1, 1, 3]
+        order = [r["call_id"] for r in sorted((r for r in got if r["conv_id"] == k), key=lambda r: r["rank"])]
+        assert order == ["c", "b", "g", "a", "h", "d", "e", "f"]
+    assert level[3, "x"] == -1 and level[3, "y"] == 0 and all(level[4, str(i)] == i for i in range(40))
+
+
+def test_arguments_that_are_not_json(spark):
+    from jambwork.llm import toolcalls
+
+    bad = ["[" * 100_000, "NaN", "[1e999]", "{", '{"a": 1}', '"\\ud800"', "1" * 5000]
+    calls = [(1, str(i), i, "t", x, []) for i, x in enumerate(bad)] + [(1, "u", 9, "odd", "1", [])]
+    got = {r["call_id"]: r for r in toolcalls.link(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), {"t": {}, "odd": {"type": "tuple"}}).collect()}
+    assert [got[str(i)]["valid"] for i in range(7)] == [False] * 4 + [True, True, False] and not got["u"]["valid"]
+    assert "\ufffd" in got["5"]["json"]
+
+
 def test_mixing(spark, folder):
     docs = rows(folder, "documents")
     size = lambda d: len(WORD.findall(d["text"] or ""))
@@ -222,6 +325,22 @@ def test_mixing(spark, folder):
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
 
 
+def test_each_stretch_of_the_schedule_has_the_mix_of_the_whole(spark):
+    from jambwork.llm import mixing
+
+    sizes = spark.createDataFrame([("a", 90_000), ("b", 7_000), ("c", 40_000), ("d", 300), (None, 21_000)], "source string, size long")
+    plan = mixing.plan(mixing.targets(sizes))
+    slots = {r["nr"]: r["slots"] for r in plan.collect()}
+    total = sum(slots.values())
+    rows = [r for r in mixing.schedule(plan).orderBy("slot").collect()]
+    assert Counter(r["nr"] for r in rows) == slots and all(sorted(r["rank"] for r in rows if r["nr"] == k) == [*range(n)] for k, n in slots.items())
+    seen = Counter()
+    for k, r in enumerate((r for r in rows if r["slot"] < total), 1):
+        seen[r["nr"]] += 1
+        assert all(abs(seen[s] - k * n / total) <= 4 for s, n in slots.items())
+    assert len([r for r in rows if r["slot"] >= total]) <= 4 * len(slots)
+
+
 def test_toxicity(spark, folder):
     got = run(spark, "op9_toxicity", folder)
     assert len(got) == len(rows(folder, "documents"))
@@ -242,3 +361,15 @@ def test_suffix_dedup(spark, folder):
     texts = [(d["text"] or "").encode() for d in docs]
     want = Counter((d["doc_id"], len(t), n, k, hashlib.sha256(kept).hexdigest()) for d, t, (kept, n, k) in zip(docs, texts, cut(texts), strict=True))
     assert Counter((g["doc_id"], g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) for g in run(spark, "op10_suffix_dedup", folder)) == want
+
+
+def test_anchors_above_the_bound_are_matched_alike(spark, odd):
+    from jambwork.llm import suffixes
+
+    docs = rows(odd, "documents")
+    texts = [(d["text"] or "").encode() for d in docs]
+    want = {t: (n, k, hashlib.sha256(kept).hexdigest()) for t, (kept, n, k) in zip(texts, cut(texts), strict=True)}
+    for hot in (0, 2):
+        keys, out = suffixes.repeats(spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text"), hot=hot)
+        got = keys.join(out, ["text_id", "check"]).select("text", "n_removed", "n_spans", "kept_sha256").collect()
+        assert {r["text"].encode(): tuple(r)[1:] for r in got} == want and len(got) == len(texts)
