@@ -38,11 +38,44 @@ def revision_key(value: Column) -> Column:
 
 
 def item_name(value: Column) -> Column:
-    """Lower case, without text in brackets, trailing dimensions and punctuation; white space squeezed."""
-    steps = [(r"\([^)]*\)", " "), (r"\s+[0-9][0-9./\"' x-]*$", ""), (r"[\s.,;:]+$", ""), (r"\s+", " ")]
+    """Lower case, without text in brackets, trailing dimensions, trailing words with digits (models and finishes) and punctuation; white space squeezed."""
+    steps = [(r"\s*\([^)]*\)\s*", " "), (r'[,\s]+[0-9][0-9\-/]*"?(\s*x\s*[0-9][0-9\-/]*"?)*\s*$', ""), (r"(\s+[a-z]*[0-9][a-z0-9]*)+\s*$", ""), (r"""[,."'\s]+$""", ""), (r"\s+", " ")]
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.lower(value)))
 
 
+#: Abbreviations in item names, and what they stand for.
+ABBREVIATIONS = {
+    "cont.": "continuous", "cont": "continuous", "flr": "floor", "flr.": "floor", "w/": "with ", "w/o": "without", "mtd": "mounted", "mtd.": "mounted", "hd": "heavy duty", "hd.": "heavy duty",
+    "adj": "adjustable", "adj.": "adjustable", "auto": "automatic", "auto.": "automatic", "elec": "electric", "elec.": "electric", "mag": "magnetic", "mag.": "magnetic", "mech": "mechanical", "mech.": "mechanical",
+    "ss": "stainless steel", "alum": "aluminum", "alum.": "aluminum", "brz": "bronze", "brz.": "bronze", "sfc": "surface", "sfc.": "surface", "conc": "concealed", "conc.": "concealed",
+    "ovhd": "overhead", "ovhd.": "overhead", "thresh": "threshold", "thresh.": "threshold",
+}
+
+
+def spelled_out(value: Column) -> Column:
+    """An item's name in lower case with its abbreviations spelled out, word by word, without brackets and trailing punctuation."""
+    words = F.split(F.trim(F.lower(value)), r"\s+")
+    known = F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in kv))
+    full = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(full, "[()]", ""), r"\s+", " "), "[,;.]+$", ""))
+
+
+#: Makers, and what of a model names its series.
+SERIES = [
+    ("schlage", r"^(L[0-9]{4})"), ("von duprin", r"^([0-9]{2})(?:EO|NL|L|TP|DT|-|$|\s)"), ("lcn", r"^([0-9]{4}[A-Z]*)"), ("sargent", r"^([0-9]{2,4})"), ("corbin russwin", r"^([MC]L[0-9]{4})"),
+    ("adams rite", r"^([0-9]{4})"), ("securitron", r"^([A-Z][0-9]{2,3})"), ("dorma", r"^([0-9]{4})"), ("norton", r"^([0-9]{4})"),
+]
+
+
+def base_series(model: Column, maker: Column) -> Column:
+    """A model's series: by its maker's pattern, else the first word that isn't a size, without trailing punctuation; in upper case."""
+    text, own = F.trim(F.coalesce(model, F.lit(""))), F.lower(F.coalesce(maker, F.lit("")))
+    size = r"""^[0-9][0-9\s\-/]*\s*[xX\u00d7]\s*[0-9]|^[0-9]+['"\u2033]"""
+    known = [F.when(own.contains(m), F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit(""))) for m, p in SERIES]
+    words = F.transform(F.filter(F.split(text, r"\s+"), lambda w: ~w.rlike(size) & w.rlike("[A-Za-z0-9]")), lambda w: F.regexp_replace(w, r"[\-,;:]+$", ""))
+    return F.upper(F.coalesce(*known, F.try_element_at(F.filter(words, lambda w: w != ""), F.lit(1)), F.lit("")))
+
+
 def model_key(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.lower(value)), r"\s+", " "), r"[.,;:]+$", "")
 
@@ -118,3 +151,48 @@ def rounded(value: Column) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """A whole percentage; 0 of nothing."""
     return F.when(whole == 0, F.lit(0).cast("long")).otherwise(rounded(100 * part / F.greatest(whole, F.lit(1))))
+
+
+def token_overlap(a: Column, b: Column) -> Column:
+    """How many words of one text the other has, by the larger number of words; 0 if either has none."""
+    words = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), r"\s+"), lambda x: x != "")
+    x, y = words(a), words(b)
+    most = F.greatest(F.size(x), F.size(y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.filter(x, lambda t: F.array_contains(y, t))) / F.greatest(most, F.lit(1)))
+
+
+def mail_domain(address: Column) -> Column:
+    return F.lower(F.split_part(address, F.lit("@"), F.lit(2)))
+
+
+def first_quantity(answer: Column) -> Column:
+    """The number that an answer begins with; null if there is none or it isn't positive."""
+    n = F.regexp_extract(F.trim(answer), "^([0-9]+)", 1).try_cast("bigint")
+    return F.when(n > 0, n)
+
+
+#: Least width of a pair's opening, in inches.
+PAIR_WIDTH = 48.0
+
+
+def pair_signal(leaf_named: Column, leaves: Column, doors: Column, door_type: Column, location: Column, heading: Column) -> Column:
+    """The tier that says that an opening is a pair: rows named by leaf, more leaves than doors, a width, or a word; none if nothing does."""
+    wide = lambda c: F.coalesce(opening_size(c)["width"] >= PAIR_WIDTH, F.lit(False))
+    low, kind = F.lower(F.coalesce(heading, F.lit(""))), F.lower(F.coalesce(door_type, F.lit("")))
+    word = low.contains("pair") | low.contains("double") | kind.contains("pr") | kind.contains("pair")
+    more = (F.coalesce(doors, F.lit(0)) >= 1) & (F.coalesce(leaves, F.lit(0)) > F.coalesce(doors, F.lit(0)))
+    return F.when(leaf_named >= 2, "primary").when(more, "secondary").when(wide(door_type) | wide(location) | wide(heading), "tertiary").when(word, "quaternary").otherwise("none")
+
+
+def described_rating(line: Column) -> Column:
+    """The rating in a line that describes an opening; empty for other lines."""
+    rating = F.regexp_extract(line, r"(?i)\b([0-9]+(?:\.[0-9])?\s*(?:MIN(?:UTE)?S?|HR|HOURS?))\b", 1)
+    return F.when(line.rlike(r"(?i)^\s*Opening\s+Description"), rating).otherwise("")
+
+
+def detected_field(text: Column) -> Column:
+    """(field, value, confidence in hundredths) of a piece of text: a hand or a rating as a whole, a place with a hand after it, or a place."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    row = lambda f, v, c: F.struct(F.lit(f).alias("field"), v.alias("value"), F.lit(c).alias("confidence"))
+    place = F.trim(F.regexp_extract(t, r"(?i)^(.*\S)\s+(?:RHRA|LHRA|RHR|LHR|RH|LH)$", 1))
+    return F.when(t == "", row("unknown", F.lit(""), 0)).when(t.rlike("(?i)^(RHRA|LHRA|RHR|LHR|RH|LH)$"), row("hand", F.upper(t), 95)).when(t.rlike(r"(?i)^[0-9]+(\.[0-9])?\s*(MIN(UTE)?S?|HR|HOURS?)$"), row("fire_rating", t, 90)).when(place != "", row("location", place, 70)).otherwise(row("location", t, 40))

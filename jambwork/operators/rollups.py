@@ -87,8 +87,8 @@ def tag_counts(rows: DataFrame, tags: str, fixed: list[str]) -> DataFrame:
 
 
 def families(products: DataFrame) -> DataFrame:
-    """Product families by maker and series (the model's first word), with their variants and most frequent one, ties to the first."""
-    series = F.lower(F.element_at(F.split("model", r"\s+"), 1))
+    """Product families by maker and series, with their variants and most frequent one, ties to the first."""
+    series = F.lower(T.base_series(F.col("model"), F.col("manufacturer")))
     variants = products.groupBy(F.lower("manufacturer").alias("manufacturer"), series.alias("series"), T.model_key(F.col("model")).alias("variant")).agg(F.count("*").alias("n"), F.min("item_id").alias("first"))
     return variants.groupBy("manufacturer", "series").agg(F.sum("n").alias("total"), F.count("*").alias("variants"), F.max_by("variant", F.struct(F.col("n"), -F.col("first"))).alias("canonical"))
 
@@ -129,4 +129,11 @@ def rate_limit(events: DataFrame, as_of: str, most: int, minutes: int = 60) -> D
 def worst(levels: Column, order: list[str], empty: str) -> Column:
     """The lowest of some levels in an aggregation, by their order from worst to best."""
     rank = F.array_position(F.array(*map(F.lit, order)), levels)
-    return F.coalesce(F.element_at(F.array(*map(F.lit, order)), F.min(F.when(rank > 0, rank)).cast("int")), F.lit(empty))
+    return F.coalesce(F.min_by(levels, F.when(rank > 0, rank)), F.lit(empty))
+
+
+def compared(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, old, new and state of two runs' counts: fewer is a REGRESSION, more is CHANGED."""
+    a, b = old.select(key, F.col("count").alias("old")), new.select(key, F.col("count").alias("new"))
+    rows = a.join(b, key, "full_outer").select(key, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("old", "new")))
+    return rows.withColumn("state", F.when(F.col("new") < F.col("old"), "REGRESSION").when(F.col("new") > F.col("old"), "CHANGED").otherwise("OK"))

@@ -89,3 +89,9 @@ def merge_fragments(rows: DataFrame, by: list[str], position: str, fragment: Col
     """Fragments are appended to the last whole row before them; leading fragments stay one row."""
     own = segments(rows, by, [position], ~fragment)
     return own.groupBy(*by, "segment").agg(F.min(position).alias(position), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, text))), lambda x: x[text]), " ").alias(text))
+
+
+def retyped_after(rows: DataFrame, by: str, position: str, ends: Column, which: Column, to: str) -> DataFrame:
+    """rows whose `type` becomes another for those after a group's last end."""
+    last = rows.groupBy(by).agg(F.max(F.when(ends, F.col(position))).alias("_last"))
+    return rows.join(last, by).withColumn("type", F.when((F.col(position) > F.col("_last")) & which, to).otherwise(F.col("type"))).drop("_last")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jambwork.functions import text as T
-from jambwork.operators import linkage, merge, pages, quality, quantity, rollups, sets
+from jambwork.operators import linkage, merge, pages, quantity, rollups, sets
 from jambwork.sources import sinks
 from jambwork.sources.tables import frame, frames_sql, table
 from jambwork.streaming import progress
@@ -93,7 +93,7 @@ def a12_set_counts(spark, sf):
     return rollups.set_counts(frame(spark, sf, "openings"))
 
 
-@query("WITH v AS (SELECT lower(manufacturer) AS manufacturer, split_part(lower(model), ' ', 1) AS series, lower(model) AS variant, count(*) AS n, min(item_id) AS first FROM products GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY manufacturer, series ORDER BY n DESC, first) AS rn FROM v) SELECT manufacturer, series, sum(n)::BIGINT AS total, count(*) AS variants, min(variant) FILTER (rn = 1) AS canonical FROM k GROUP BY 1, 2")
+@query("WITH v AS (SELECT lower(manufacturer) AS manufacturer, rtrim(split_part(lower(model), ' ', 1), '-,;:') AS series, lower(model) AS variant, count(*) AS n, min(item_id) AS first FROM products GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY manufacturer, series ORDER BY n DESC, first) AS rn FROM v) SELECT manufacturer, series, sum(n)::BIGINT AS total, count(*) AS variants, min(variant) FILTER (rn = 1) AS canonical FROM k GROUP BY 1, 2")
 def a15_product_families(spark, sf):
     return rollups.families(frame(spark, sf, "products"))
 
@@ -158,10 +158,10 @@ def j11_coalescing_full_join(spark, sf):
     return linkage.coalescing_full_join(a, o.where(SIDES[1]), "door_number", ["location", "hand", "fire_rating", "hw_set"], ["location", "hand", "hw_set"])
 
 
-@query("WITH a AS (SELECT hw_set AS key, max(opening_id) AS value FROM openings WHERE opening_id % 40 < 10 GROUP BY 1), b AS (SELECT hand AS key, min(opening_id) AS value FROM openings WHERE hand <> '' GROUP BY 1) SELECT opening_id, coalesce(a.value, b.value) AS value, CASE WHEN a.value IS NOT NULL THEN 'first' WHEN b.value IS NOT NULL THEN 'second' ELSE 'none' END AS via FROM openings o LEFT JOIN a ON a.key = o.hw_set LEFT JOIN b ON b.key = o.hand")
+@query("WITH a AS (SELECT hw_set AS key, max(opening_id) AS value FROM openings WHERE status = 'P' GROUP BY 1), b AS (SELECT hand AS key, min(opening_id) AS value FROM openings WHERE hand <> '' GROUP BY 1) SELECT opening_id, coalesce(a.value, b.value) AS value, CASE WHEN a.value IS NOT NULL THEN 'first' WHEN b.value IS NOT NULL THEN 'second' ELSE 'none' END AS via FROM openings o LEFT JOIN a ON a.key = o.hw_set LEFT JOIN b ON b.key = o.hand")
 def j12_priority_lookup(spark, sf):
     o = frame(spark, sf, "openings")
-    first = o.where("opening_id % 40 < 10").groupBy(F.col("hw_set").alias("key")).agg(F.max("opening_id").alias("value"))
+    first = o.where("status = 'P'").groupBy(F.col("hw_set").alias("key")).agg(F.max("opening_id").alias("value"))
     second = o.where("hand <> ''").groupBy(F.col("hand").alias("key")).agg(F.min("opening_id").alias("value"))
     return linkage.priority_lookup(o.select("opening_id", "hw_set", "hand"), first, second, F.col("hw_set"), F.col("hand"), "value").select("opening_id", "value", "via")
 
@@ -169,14 +169,14 @@ def j12_priority_lookup(spark, sf):
 NAMES = "CASE item_id % 3 WHEN 0 THEN name || ':WI' WHEN 1 THEN name || ' left' ELSE substr(name, 1, length(name) - 1) END"
 
 
-@query(f"""WITH k AS (SELECT DISTINCT {NAMES} AS key FROM products), n AS (SELECT name, count(*) AS value FROM products WHERE item_id % 2 = 0 GROUP BY 1),
+@query(f"""WITH k AS (SELECT DISTINCT {NAMES} AS key FROM products), n AS (SELECT name, count(*) AS value FROM products WHERE size > 25 GROUP BY 1),
 b AS (SELECT key, regexp_replace(key, '[:\\-](WI|EX|OPP)$', '') AS bare FROM k WHERE length(key) > 0),
 m AS (SELECT key, 1 AS tier, name, value FROM b JOIN n ON key = name UNION ALL SELECT key, 2, name, value FROM b JOIN n ON bare = name UNION ALL SELECT key, 3, name, value FROM b JOIN n ON starts_with(bare, name) OR starts_with(name, bare)),
 r AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY tier, length(name) DESC, name) = 1)
 SELECT b.key, tier, name, value FROM b LEFT JOIN r USING (key)""")
 def j14_tiered_lookup(spark, sf):
     p = frame(spark, sf, "products")
-    return linkage.tiered_lookup(p.selectExpr(f"{NAMES} AS key"), p.where("item_id % 2 = 0").groupBy("name").agg(F.count("*").alias("value")))
+    return linkage.tiered_lookup(p.selectExpr(f"{NAMES} AS key"), p.where("size > 25").groupBy("name").agg(F.count("*").alias("value")))
 
 
 @query()
@@ -186,9 +186,9 @@ def j16_match_names(spark, sf):
     return linkage.match_names(wanted, p.selectExpr("manufacturer", "name AS b").distinct(), "manufacturer")
 
 
-@query("WITH n AS (SELECT DISTINCT 'DH' AS block, substr(s_name, length(s_name) - 4) AS name FROM supplier) SELECT x.block, x.name AS a, y.name AS b FROM n x JOIN n y ON x.block = y.block AND x.name < y.name WHERE levenshtein(x.name, y.name) = 1")
+@query("WITH n AS (SELECT DISTINCT s_nationkey AS block, s_name AS name FROM supplier) SELECT x.block, x.name AS a, y.name AS b FROM n x JOIN n y ON x.block = y.block AND x.name < y.name WHERE levenshtein(x.name, y.name) = 1")
 def j24_typo_pairs(spark, sf):
-    return linkage.typo_pairs(table(spark, sf, "supplier").selectExpr("'DH' AS block", "substr(s_name, length(s_name) - 4) AS name"), "block")
+    return linkage.typo_pairs(table(spark, sf, "supplier").selectExpr("s_nationkey AS block", "s_name AS name"), "block")
 
 
 @query("WITH n AS (SELECT DISTINCT s_name AS name FROM supplier) SELECT 'DH' AS block, x.name AS a, y.name AS b FROM n x JOIN n y ON x.name < y.name WHERE levenshtein(x.name, y.name) = 1")
@@ -295,18 +295,6 @@ def m08_reconcile(spark, sf):
     return rows.select("opening_id", F.col("hand.value").alias("hand"), F.col("hand.confidence").alias("hand_confidence"), F.col("qty.value").alias("qty"), F.col("qty.confidence").alias("qty_confidence"))
 
 
-@query("WITH i AS (SELECT opening_id, CASE sort_order % 3 WHEN 0 THEN 'Door' WHEN 1 THEN 'Frame' ELSE 'Hinge' END AS name, leaf_side, 'RH' AS hand FROM items), k AS (SELECT opening_id, count(*) FILTER (name LIKE 'Door%') AS d, count(*) FILTER (name LIKE 'Frame%') AS f, count(*) FILTER (leaf_side = 'inactive') AS n, count(*) AS c FROM i GROUP BY 1), o AS (SELECT opening_id, leaf_count <= 1 AS one, hand, coalesce(d, 0) AS d, coalesce(f, 0) AS f, coalesce(n, 0) AS n, coalesce(c, 0) AS c FROM openings LEFT JOIN k USING (opening_id)) SELECT 'too_many_doors' AS rule, 'blocker' AS severity, opening_id FROM o WHERE d > 2 UNION ALL SELECT 'too_many_frames', 'blocker', opening_id FROM o WHERE f > 1 UNION ALL SELECT 'single_leaf_door_count_mismatch', 'blocker', opening_id FROM o WHERE one AND d > 1 UNION ALL SELECT 'pair_leaf_door_count_mismatch', 'blocker', opening_id FROM o WHERE NOT one AND d > 0 AND d <> 2 UNION ALL SELECT 'leaf_count_consistency', 'blocker', opening_id FROM o WHERE one AND n > 0 UNION ALL SELECT 'handing_consistency', 'blocker', opening_id FROM o WHERE one AND c > 0 AND hand LIKE 'LH%'")
-def q01_violations(spark, sf):
-    items = frame(spark, sf, "items").selectExpr("opening_id", "CASE sort_order % 3 WHEN 0 THEN 'Door' WHEN 1 THEN 'Frame' ELSE 'Hinge' END AS name", "leaf_side", "'RH' AS hand")
-    return quality.violations(frame(spark, sf, "openings"), items)
-
-
-@query("WITH i AS (SELECT opening_id, count(*) FILTER (sort_order % 3 = 1) AS f FROM items GROUP BY 1), b AS (SELECT opening_id FROM i WHERE f > 1) SELECT 'too_many_frames' AS rule, 'blocker' AS severity, 0::INT AS rank, count(*) AS n, min(opening_id) AS first, array_to_string(list_sort(list(opening_id))[1:10], ',') AS samples FROM b")
-def q02_grouped_violations(spark, sf):
-    items = frame(spark, sf, "items").where("sort_order % 3 = 1").selectExpr("opening_id", "'Frame' AS name", "'shared' AS leaf_side", "CAST(NULL AS STRING) AS hand")
-    return quality.grouped(quality.violations(frame(spark, sf, "openings").where("opening_id >= 0"), items).where("rule = 'too_many_frames'"))
-
-
 @query("SELECT page_id, length(coalesce(html, '')) < 50 AS scanned, CASE WHEN regexp_matches(t, '(?i)submittal cover|transmittal') THEN 'cover' WHEN regexp_matches(t, '(?i)cut ?sheet|reference only') THEN 'reference' WHEN regexp_matches(t, '(?i)door (schedule|index)|opening list') THEN 'schedule' WHEN regexp_matches(t, '(?i)hardware (set|group)\\s*[:#]?\\s*[a-z0-9]+') THEN 'hardware_set' WHEN len(regexp_extract_all(t, '(?i)\\b(hinge|lockset|closer|exit device|door stop|kick plate|threshold|silencer)s?\\b')) >= 3 THEN 'hardware_set' WHEN len(regexp_extract_all(t, '\\b[0-9]{3,4}[A-Z]?\\b')) >= 3 THEN 'schedule' WHEN len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) < 20 THEN 'cover' ELSE 'other' END AS type FROM (SELECT page_id, html, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') AS t FROM pages)")
 def s04_page_types(spark, sf):
     rows = table(spark, sf, "pages").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("t", F.regexp_replace("html", "<[^>]*>", " "))
@@ -340,13 +328,10 @@ def f01_keys_and_sizes(spark, sf):
     return o.select("opening_id", F.coalesce(T.hand(F.col("hand")), F.lit("")).alias("hand_side"), T.fire_rated(F.col("fire_rating")).alias("rated"), T.set_key(F.col("hw_set")).alias("set_key"), T.door_key(F.col("door_number")).alias("door_key"), size["width"].alias("width"))
 
 
-@query("SELECT doc_id, item_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS jaccard FROM (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS a, doc_id % 40 AS i FROM documents) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS b FROM benchmark) USING (i)")
+@query("WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(CASE item_id % 3 WHEN 0 THEN name ELSE category END), '\\s+'), lambda x: x <> '')) AS b FROM products) SELECT item_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) END AS jaccard FROM t")
 def u10_jaccard(spark, sf):
-    from pyspark.sql import Window
-
-    d = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("a"), (F.col("doc_id") % 40).alias("i"))
-    b = table(spark, sf, "benchmark").select("item_id", T.tokens(F.col("text")).alias("b"), (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("i"))
-    return d.join(b, "i").select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    p = frame(spark, sf, "products").selectExpr("item_id", "name", "CASE item_id % 3 WHEN 0 THEN name ELSE category END AS other")
+    return p.select("item_id", F.round(T.jaccard(T.tokens(F.col("name")), T.tokens(F.col("other"))), 6).alias("jaccard"))
 
 
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))"

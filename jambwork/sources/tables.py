@@ -8,6 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Names and models of hardware, dealt to items by their numbers.
+HARDWARE = [
+    ("Hinge", "5BB1 4 1/2 x 4 1/2"), ("Hinges", "5BB1 CON TW8"), ("Continuous Hinge", "780"), ("Lockset RHR", "ND80"), ("Exit Device 99EO US26D", "99EO"), ("Flush Bolt", "458"), ("Closer LH", "4040XP"), ("Kick Plate", "8400"),
+    ("Wall Stop", "WS406"), ("Threshold", "171A"), ("Gasketing", "188S"), ("Silencer", "SR64"), ("Coordinator", "3094"), ("Door", ""), ("Door (Active Leaf)", ""), ("Door (Inactive Leaf)", ""), ("Frame", ""), ("Auto Operator", "4640"),
+    ("Cylinder Housing", "20-057"), ("Permanent Core", "23-030"), ("Door Viewer", ""), ("Astragal", ""), ("Widget", "X1"), ("Strike", "ES"),
+]
+
+
+def _dealt(k: int) -> str:
+    return "CASE (l_partkey + l_linenumber) % 24 " + " ".join(f"WHEN {i} THEN '{x[k]}'" for i, x in enumerate(HARDWARE)) + " END"
+
+
 FRAMES: dict[str, tuple[str, dict[str, str]]] = {
     "openings": ("orders", {
         "opening_id": "o_orderkey", "project_id": "o_custkey", "door_number": "concat('D', o_orderkey)", "hw_set": "concat('DH', o_orderkey % 40)",
@@ -24,6 +36,10 @@ FRAMES: dict[str, tuple[str, dict[str, str]]] = {
         "stage": "CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'ordered' WHEN 2 THEN 'received' WHEN 3 THEN 'pre_install' WHEN 4 THEN 'installed' WHEN 5 THEN 'qa_qc' ELSE 'lost' END",
         "leaf_side": "CASE l_linenumber % 4 WHEN 0 THEN 'inactive' WHEN 1 THEN 'active' ELSE 'shared' END",
     }),
+    "hardware": ("lineitem", {
+        "opening_id": "l_orderkey", "pos": "l_linenumber * 1000000 + l_partkey", "name": _dealt(0), "model": _dealt(1), "qty": "CAST(l_quantity AS INT) % 9",
+        "leaf_side": "CASE l_linenumber % 4 WHEN 0 THEN 'inactive' WHEN 1 THEN 'active' ELSE 'shared' END",
+    }),
     "products": ("part", {"item_id": "p_partkey", "name": "p_name", "manufacturer": "p_brand", "model": "concat(p_type, ' ', p_size)", "category": "p_type", "size": "p_size"}),
     "projects": ("customer", {"project_id": "c_custkey", "project": "c_name", "nation_id": "c_nationkey", "segment": "c_mktsegment"}),
     "activity": ("events", {"event_id": "event_id", "acted_at": "ts", "actor_id": "user_id", "action": "event_type", "amount": "value", "details": "props"}),

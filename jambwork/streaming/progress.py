@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,8 @@ def overdue(rows: DataFrame, status: str, at: str, as_of: str, limits: dict[str,
     for name, seconds in limits.items():
         out |= (F.col(status) == name) & (age > seconds * 1_000_000)
     return rows.where(out)
+
+
+def stale(rows: DataFrame, changed: Column, summed: Column) -> DataFrame:
+    """rows with whether something changed after it was summed up; null never did."""
+    return rows.withColumn("stale", F.coalesce(changed > summed, F.lit(False)))
