@@ -1,11 +1,13 @@
-"""Scalar functions as columns: keys, names, ratings, hands, sizes and scores. All stay in generated code."""
+"""Scalar functions as columns: keys, names, ratings, hands, sizes and scores. All but one stay in generated code."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def ladder(value: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
@@ -196,3 +198,18 @@ def detected_field(text: Column) -> Column:
     row = lambda f, v, c: F.struct(F.lit(f).alias("field"), v.alias("value"), F.lit(c).alias("confidence"))
     place = F.trim(F.regexp_extract(t, r"(?i)^(.*\S)\s+(?:RHRA|LHRA|RHR|LHR|RH|LH)$", 1))
     return F.when(t == "", row("unknown", F.lit(""), 0)).when(t.rlike("(?i)^(RHRA|LHRA|RHR|LHR|RH|LH)$"), row("hand", F.upper(t), 95)).when(t.rlike(r"(?i)^[0-9]+(\.[0-9])?\s*(MIN(UTE)?S?|HR|HOURS?)$"), row("fire_rating", t, 90)).when(place != "", row("location", place, 70)).otherwise(row("location", t, 40))
+
+
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKC")
+
+
+def clean_cell(value: Column) -> Column:
+    """A cell's text in compatibility composition, without control characters and glyph marks, white space squeezed, trailing dashes dropped.
+
+    Only texts with characters outside ASCII go to Python for the composition.
+    """
+    text = F.when(value.rlike(r"[^\x00-\x7F]"), _composed(value)).otherwise(value)
+    steps = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), (r"\(cid:[0-9]+\)", ""), (r"\s+", " ")]
+    return F.regexp_replace(F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)), r"[ \-]+$", "")
