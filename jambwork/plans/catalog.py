@@ -295,26 +295,6 @@ def m08_reconcile(spark, sf):
     return rows.select("opening_id", F.col("hand.value").alias("hand"), F.col("hand.confidence").alias("hand_confidence"), F.col("qty.value").alias("qty"), F.col("qty.confidence").alias("qty_confidence"))
 
 
-@query("SELECT page_id, length(coalesce(html, '')) < 50 AS scanned, CASE WHEN regexp_matches(t, '(?i)submittal cover|transmittal') THEN 'cover' WHEN regexp_matches(t, '(?i)cut ?sheet|reference only') THEN 'reference' WHEN regexp_matches(t, '(?i)door (schedule|index)|opening list') THEN 'schedule' WHEN regexp_matches(t, '(?i)hardware (set|group)\\s*[:#]?\\s*[a-z0-9]+') THEN 'hardware_set' WHEN len(regexp_extract_all(t, '(?i)\\b(hinge|lockset|closer|exit device|door stop|kick plate|threshold|silencer)s?\\b')) >= 3 THEN 'hardware_set' WHEN len(regexp_extract_all(t, '\\b[0-9]{3,4}[A-Z]?\\b')) >= 3 THEN 'schedule' WHEN len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) < 20 THEN 'cover' ELSE 'other' END AS type FROM (SELECT page_id, html, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') AS t FROM pages)")
-def s04_page_types(spark, sf):
-    rows = table(spark, sf, "pages").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("t", F.regexp_replace("html", "<[^>]*>", " "))
-    return rows.select("page_id", pages.scan_status(F.col("html"), F.lit(1))["scanned"].alias("scanned"), pages.page_type(F.col("t"))["type"].alias("type"))
-
-
-HEADERS = ["Door No.", "Opening Number", "Hardware Set", "Hdwr Group", "Room Location", "Hand", "Fire Rating Label", "Door Type", "Frame", "Remarks and other notes on doors"]
-
-
-@query()
-def s07_column_mapping(spark, sf):
-    t = table(spark, sf, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS table_id", f"slice(array({', '.join(repr(h) for h in HEADERS)}), 1 + n_nationkey % 4, 7) AS h")
-    return pages.assign_columns(pages.header_scores(t.select("table_id", F.posexplode("h").alias("col", "header"))))
-
-
-@query("WITH c AS (SELECT actor_id AS doc, event_id AS page, action AS type, lag(action) OVER (PARTITION BY actor_id ORDER BY event_id) AS b FROM activity), r AS (SELECT *, sum(CASE WHEN b = type THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY page)::BIGINT AS run FROM c) SELECT doc, page, type, run, (row_number() OVER (PARTITION BY doc, run ORDER BY page) - 1) // 2 AS cut FROM r")
-def a34_chunks(spark, sf):
-    return pages.chunks(frame(spark, sf, "activity").selectExpr("actor_id AS doc", "event_id AS page", "action AS type"), 2)
-
-
 @query("SELECT opening_id, d AS door, CASE WHEN length(d) < 2 OR length(d) > 15 THEN false WHEN regexp_matches(d, '^[.\\-]|[\\-:]$') THEN false WHEN regexp_matches(d, '^(ST|EL|RM|CORR)[.\\-]?[0-9]') THEN true WHEN regexp_matches(d, '(?i)^(DH|HW|SET|GRP)[.\\-]?[0-9]') THEN false WHEN regexp_matches(d, '^6[0-9][0-9]$') OR regexp_matches(d, '^[0-9]{5,}$') OR regexp_matches(d, '^[0-9]{1,2}$') THEN false ELSE true END AS valid FROM (SELECT opening_id, CASE opening_id % 6 WHEN 0 THEN hw_set WHEN 1 THEN 'ST-' || opening_id WHEN 2 THEN opening_id || ':' ELSE opening_id::VARCHAR END AS d FROM openings)")
 def p20_door_numbers(spark, sf):
     d = frame(spark, sf, "openings").selectExpr("opening_id", "CASE opening_id % 6 WHEN 0 THEN hw_set WHEN 1 THEN concat('ST-', opening_id) WHEN 2 THEN concat(opening_id, ':') ELSE CAST(opening_id AS STRING) END AS door")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from jambwork.functions import text as T
@@ -89,6 +91,83 @@ def u04_merged_chunks(spark, sf):
     return sets.merge_chunks(s, i)[0]
 
 
+SAMPLES = [
+    ("Table of  Contents", "cover", 90, "", "unknown", "unknown"), ("FINISH LEGEND: 626", "reference", 85, "", "unknown", "unknown"), ("Door Schedule 101 102A", "door_schedule", 90, "", "unknown", "bare_numeric"),
+    ("Heading #3 (Set #I2S-1E) 3 Hinge", "hardware_set", 95, "I2S-1E", "himmel", "unknown"), ("Hardware Set: DH4 and Set: 07A qty 3", "hardware_set", 95, "DH4,07A", "hw_prefix", "unknown"), ("hinge, closer, strike set up", "hardware_set", 70, "", "bare_set", "unknown"),
+    ("see 101-01 102-02A 103-03 A-201 B-202", "door_schedule", 60, "", "unknown", "dash_numeric"), ("see 101-01 A-201B 10.E1.03", "door_schedule", 50, "", "unknown", "mixed"), ("short text", "cover", 50, "", "unknown", "unknown"),
+    ("word " * 25, "other", 0, "", "unknown", "unknown"),
+]
+
+
+def _sample(k: int) -> str:
+    return "[" + ", ".join(f"'{x[k]}'" for x in SAMPLES) + f"][(opening_id % {len(SAMPLES)})::INT + 1]"
+
+
+@query(f"SELECT opening_id, {_sample(1)} AS type, [" + ", ".join(str(x[2]) for x in SAMPLES) + f"][(opening_id % {len(SAMPLES)})::INT + 1]::INT AS confidence, {_sample(3)} AS ids, {_sample(4)} AS heading, {_sample(5)} AS doors FROM openings")
+def s04_page_kinds(spark, sf):
+    text = F.element_at(F.array(*(F.lit(x[0]) for x in SAMPLES)), (F.col("opening_id") % len(SAMPLES) + 1).cast("int"))
+    kind, mark = pages.page_type(text), pages.fingerprint(text)
+    return frame(spark, sf, "openings").select("opening_id", kind["type"].alias("type"), kind["confidence"].alias("confidence"), F.array_join(pages.set_ids(text), ",").alias("ids"), mark["heading"].alias("heading"), mark["doors"].alias("doors"))
+
+
+PAGE_SQL = r"""t AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') AS t FROM pages)"""
+
+
+@query(rf"""WITH {PAGE_SQL}, c AS (SELECT page_id, html, t, regexp_matches(t, '(?i)(table\s*of\s*contents|project\s*directory|submittal\s*cover|transmittal|project\s*name|prepared\s*(by|for)|date\s*of\s*issue|building\s*[a-z0-9]?\s*hardware|division\s*[0-9]+|section\s*08\s*71)') AS cover,
+regexp_matches(t, '(?i)(manufacturer|finish|option)\s*(list|key|legend|code|abbrev)|abbreviation|legend|general\s*notes|symbols?\s*key|keying\s*schedule|specification\s*reference|basis\s*of\s*design|end\s*of\s*schedule|catalog\s*cut\s*summary') AS ref,
+len(regexp_extract_all(t, '(?i)(hinge|pivot|lockset|latchset|exit\s*device|panic|closer|flush\s*bolt|strike|cylinder|core|kick\s*plate|threshold|gasket|silencer|pull|push|plate|lever|coordinator|door\s*sweep|door\s*bottom|astragal|dead\s*bolt|mortise)')) AS items, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS words FROM t)
+SELECT page_id, length(trim(html)) < 50 AS scanned, CASE WHEN cover THEN 'cover' WHEN ref THEN 'reference' WHEN items >= 3 THEN 'hardware_set' WHEN words < 20 THEN 'cover' ELSE 'other' END AS type FROM c WHERE NOT regexp_matches(t, '[0-9]|(?i)set\s*[:#]|(hardware|hw)\s+(set|group)|(door|opening)\s')""")
+def s04_page_types(spark, sf):
+    """Of pages without digits, doors and sets, which plain SQL can judge; s04_page_kinds has those."""
+    rows = table(spark, sf, "pages").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("t", F.regexp_replace("html", "<[^>]*>", " "))
+    rows = rows.where(~F.col("t").rlike(r"[0-9]|(?i)set\s*[:#]|(hardware|hw)\s+(set|group)|(door|opening)\s"))
+    return rows.select("page_id", pages.scan_status(F.col("html"), F.lit(1))["scanned"].alias("scanned"), pages.page_type(F.col("t"))["type"].alias("type"))
+
+
+HEADERS = ["Door No.", "Opening Number", "Hardware Set", "Hdwr Group", "Room Location", "Hand", "Fire Rating Label", "Door Type", "Frame", "Remarks and other notes on doors", "From", "", "12"]
+
+
+def _plain_score(header: str, words: list[tuple[str, int]]) -> int:
+    """A header's score for a field's words, word by word: what the SQL's values are made of."""
+    tokens = [t for t in re.split(r"[\s._/#\-]+", header.lower().strip()) if t]
+    hits = [next((w * 100 if t == k else w * 70 for k, w in words if t == k or (len(t) > 2 and (t.startswith(k) or k.startswith(t)))), None) for t in tokens]
+    found = [h for h in hits if h]
+    n = sum(found)
+    return min(n * 6 // 5 if len(found) > 1 else n // 2 if len(tokens) > 3 else n, 10_000)
+
+
+SCORED = "hs(header, field, score) AS (VALUES " + ", ".join(f"('{h}', '{f}', {_plain_score(h, w)})" for h in HEADERS for f, w in pages.KEYWORDS.items()) + ")"
+WIDTH = 5
+
+
+def headers(spark, sf):
+    """The openings' tables: five headers each, one after another from the list."""
+    pick = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.element_at(F.array(*map(F.lit, HEADERS)), ((F.col("opening_id") * 3 + i * (1 + F.col("opening_id") % 4)) % len(HEADERS) + 1).cast("int")))
+    return frame(spark, sf, "openings").select(F.col("opening_id").alias("table_id"), F.posexplode(pick).alias("col", "header"))
+
+
+@query(f"WITH {SCORED}, h AS (SELECT opening_id AS table_id, i::INT AS col, [" + ", ".join(f"'{h}'" for h in HEADERS) + f"][((opening_id * 3 + i * (1 + opening_id % 4)) % {len(HEADERS)})::INT + 1] AS header FROM openings, range(0, {WIDTH}) r(i)) SELECT table_id, col, field, score::BIGINT AS score FROM h JOIN hs USING (header) WHERE score > 0")
+def s06_header_scores(spark, sf):
+    return pages.header_scores(headers(spark, sf))
+
+
+@query()
+def s07_column_mapping(spark, sf):
+    return pages.assign_columns(pages.header_scores(headers(spark, sf)))
+
+
+@query()
+def a34_chunks(spark, sf):
+    p = frame(spark, sf, "activity").selectExpr("actor_id AS doc", "event_id AS page", "CASE action WHEN 'click' THEN 'hardware_set' WHEN 'view' THEN 'door_schedule' WHEN 'purchase' THEN 'cover' ELSE 'other' END AS type", "IF(action = 'click', array(concat('S', event_id % 3)), CAST(array() AS ARRAY<STRING>)) AS ids", "event_id % 5 = 0 AS continued")
+    return pages.chunks(p, 4)
+
+
+@query("WITH p AS (SELECT actor_id AS doc, event_id AS page, CASE action WHEN 'click' THEN 'hardware_set' WHEN 'view' THEN 'door_schedule' ELSE 'reference' END AS type, CASE WHEN action = 'click' THEN ['S' || (event_id % 3), 'T'] ELSE [] END AS ids, CASE event_id % 4 WHEN 0 THEN 'himmel' WHEN 1 THEN 'bare_set' ELSE 'unknown' END AS heading, CASE event_id % 3 WHEN 0 THEN 'dotted' ELSE 'unknown' END AS doors FROM activity), i AS (SELECT doc, count(DISTINCT id) AS sets, count(*) AS named FROM (SELECT doc, unnest(ids) AS id FROM p) GROUP BY 1), h AS (SELECT doc, heading FROM (SELECT doc, heading, count(*) AS n, min(page) AS f FROM p WHERE heading <> 'unknown' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, f) = 1) SELECT p.doc, coalesce(max(sets), 0)::INT AS sets, coalesce(max(named), 0)::BIGINT AS named, count(*) FILTER (type = 'door_schedule') AS schedule_pages, bool_or(type = 'reference') AS has_references, coalesce(max(h.heading), 'unknown') AS heading, NOT bool_or(p.doors = 'dotted') AS no_doors FROM p LEFT JOIN i USING (doc) LEFT JOIN h ON h.doc = p.doc GROUP BY p.doc")
+def a24_document_profiles(spark, sf):
+    p = frame(spark, sf, "activity").selectExpr("actor_id AS doc", "event_id AS page", "CASE action WHEN 'click' THEN 'hardware_set' WHEN 'view' THEN 'door_schedule' ELSE 'reference' END AS type", "IF(action = 'click', array(concat('S', event_id % 3), 'T'), CAST(array() AS ARRAY<STRING>)) AS ids", "CASE event_id % 4 WHEN 0 THEN 'himmel' WHEN 1 THEN 'bare_set' ELSE 'unknown' END AS heading", "CASE event_id % 3 WHEN 0 THEN 'dotted' ELSE 'unknown' END AS doors")
+    return pages.profile(p).withColumn("no_doors", F.col("doors") == "unknown").drop("doors")
+
+
 VALUES = "CASE opening_id % 9 WHEN 0 THEN '101' WHEN 1 THEN '12' WHEN 2 THEN '2024' WHEN 3 THEN '555-123-4567' WHEN 4 THEN '90210' WHEN 5 THEN 'A 101' WHEN 6 THEN 'lobby' WHEN 7 THEN '110-01C' ELSE '' END"
 
 

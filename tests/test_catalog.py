@@ -235,3 +235,20 @@ def test_stale_writes_are_rejected(spark):
     batch = spark.sql("SELECT * FROM VALUES (1, 1, TIMESTAMP '2024-01-01 00:00:00', 7), (1, 2, TIMESTAMP '2024-01-02 00:00:00', 8), (2, 3, TIMESTAMP '2024-01-01 00:00:00', 9) AS t(actor_id, amount, acted_at, event_id)")
     new, rejected = progress.fold(state, batch, ["actor_id"], ["amount"])
     assert {r["actor_id"]: r["amount"] for r in new.collect()} == {1: 2, 2: 3} and [r["event_id"] for r in rejected.collect()] == [7]
+
+
+def test_columns_by_score_and_then_by_place(spark):
+    headers = ["Door No.", "Hdwr Group", "Heading", "Room", "Type", "Fr.", "Label", "12"]
+    rows = spark.createDataFrame([(1, i, h) for i, h in enumerate(headers)] + [(2, 0, "Remarks")], "table_id long, col int, header string")
+    got = {r["field"]: r["col"] for r in pages.assign_columns(pages.header_scores(rows)).collect() if r["table_id"] == 1}
+    assert got["door_number"] == 0 and got["hw_set"] == 1 and got["hw_heading"] == 2 and got["location"] in (3, 6) and got["frame_type"] == 5
+    assert len({*got.values()}) == len(got)
+
+
+def test_pages_are_packed_and_long_segments_cut(spark):
+    kinds = [("cover", []), ("door_schedule", []), ("door_schedule", []), ("hardware_set", ["A"]), ("hardware_set", ["A"]), ("hardware_set", ["B"]), ("hardware_set", ["B", "C"]), ("hardware_set", ["C"]), ("hardware_set", ["C"]), ("reference", []), ("other", [])]
+    rows = spark.createDataFrame([(1, i, t, ids, False) for i, (t, ids) in enumerate(kinds)], "doc long, page long, type string, ids array<string>, continued boolean")
+    of = lambda most: [r["chunk"] for r in pages.chunks(rows, most).orderBy("page").collect()]
+    assert of(40) == [-1, 0, 0, 0, 0, 0, 0, 0, 0, -1, 0]
+    assert of(4) == [-1, 0, 0, 0, 0, 1, 1, 1, 1, -1, 2]
+    assert of(3) == [-1, 0, 0, 1, 1, 2, 2, 2, 3, -1, 4]
