@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jambwork.functions import taxonomy as C
 from jambwork.functions import text as T
 
 
@@ -77,41 +78,40 @@ def tiered_lookup(keys: DataFrame, known: DataFrame, suffix: str = r"[:\-](WI|EX
     return rows.select("key").join(best, "key", "left").select("key", "m.tier", "m.name", "m.value")
 
 
-def _meeting_keys(name: Column, tokens: Column, own: str, other: str) -> Column:
-    """Keys that two names share if they share a token, are equal, or one holds the other and that has 8 characters at least.
+def _meeting_keys(name: Column, own: str, other: str) -> Column:
+    """Keys that two names share if they share a word, are equal when normalised, or one holds the other and isn't twice as long.
 
-    The first 8 characters of a name are marked as its own, all its substrings of 8 as what the other side's first may be.
+    A name's lower-case text is marked as its own, all its parts of half its length at least as what the other side's text may be.
     """
-    marked = lambda mark, x: F.concat(F.lit(mark), x)
-    grams = F.transform(F.sequence(F.lit(1), F.length(name) - 7), lambda i: marked(other, F.substr(name, i, F.lit(8))))
-    inside = F.when(F.length(name) >= 8, F.array_append(grams, marked(own, F.substr(name, F.lit(1), F.lit(8)))))
-    keys = F.concat(F.transform(tokens, lambda t: marked("t", t)), F.array(marked("=", name)), F.coalesce(inside, F.array().cast("array<string>")))
-    return F.array_distinct(F.array_compact(keys))
+    low = F.lower(name)
+    part = lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.concat(F.lit(other), F.substr(low, i, n)))
+    parts = F.when(F.length(low) >= 8, F.flatten(F.transform(F.sequence(F.floor((F.length(low) + 1) / 2).cast("int"), F.length(low)), part)))
+    words = F.transform(T.tokens(name), lambda t: F.concat(F.lit("t"), t))
+    return F.array_distinct(F.concat(words, F.array(F.concat(F.lit("="), T.item_name(name)), F.concat(F.lit(own), low)), F.coalesce(parts, F.array().cast("array<string>"))))
 
 
 def match_names(wanted: DataFrame, offered: DataFrame, block: str) -> DataFrame:
-    """For each wanted (block, a_id, a) the one offered (block, b_id, b) of the best tier, or none if that tier ties.
+    """For each wanted (block, a_id, a) the one offered (block, b) of the best tier, or none if that tier ties.
 
-    Tiers: equal; equal but for case; normalised (best Jaccard); one holds the
-    other (8 characters at least, half as long at least); Jaccard above one half.
-    Names are compared once each within a block, and only with names that share a
-    token, are equal when normalised, or hold the other's first 8 characters: an
-    equi-join on (block, key), no product of the sides.
+    Tiers: equal; equal but for case (the first by name); then among names of no other category: normalised; one
+    holds the other (the wanted one of 8 characters at least, half as long at least); words' Jaccard above one half.
+    Within the last three the best Jaccard counts. Names are compared once each within a block, and only with names
+    that share a key: an equi-join on (block, key), no product of the sides.
     """
-    a = wanted.select(block, "a").distinct().withColumn("ta", T.tokens(T.item_name(F.col("a"))))
-    b = offered.select(block, "b").distinct().withColumn("tb", T.tokens(T.item_name(F.col("b"))))
-    a = a.withColumn("t", F.explode(_meeting_keys(T.item_name(F.col("a")), F.col("ta"), "<", ">")))
-    b = b.withColumn("t", F.explode(_meeting_keys(T.item_name(F.col("b")), F.col("tb"), ">", "<")))
-    met = a.join(b, [block, "t"]).groupBy(block, "a", "b").agg(F.first("ta").alias("ta"), F.first("tb").alias("tb"))
-    na, nb, score = T.item_name(F.col("a")), T.item_name(F.col("b")), T.jaccard(F.col("ta"), F.col("tb"))
-    short, long = F.least(F.length(na), F.length(nb)), F.greatest(F.length(na), F.length(nb))
-    inside = (na.contains(nb) | nb.contains(na)) & (short >= 8) & (2 * short >= long)
-    tier = F.when(F.col("a") == F.col("b"), 1).when(F.lower("a") == F.lower("b"), 2).when(na == nb, 3).when(inside, 4).when(score > 0.5, 5)
+    a = wanted.select(block, "a").where("a is not null").distinct().withColumn("t", F.explode(_meeting_keys(F.col("a"), "<", ">")))
+    b = offered.select(block, "b").where("b is not null").distinct().withColumn("t", F.explode(_meeting_keys(F.col("b"), ">", "<")))
+    met = a.join(b, [block, "t"]).select(block, "a", "b").distinct()
+    la, lb, ka, kb = F.lower("a"), F.lower("b"), C.keyword(F.col("a")), C.keyword(F.col("b"))
+    score = T.jaccard(T.tokens(F.col("a")), T.tokens(F.col("b")))
+    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
+    inside = (la.contains(lb) | lb.contains(la)) & (F.length("a") >= 8) & (2 * short >= long)
+    alike = F.coalesce(ka == kb, F.lit(True))
+    tier = F.when(F.col("a") == F.col("b"), 1).when(la == lb, 2).when(alike & (T.item_name(F.col("a")) == T.item_name(F.col("b"))), 3).when(alike & inside, 4).when(alike & (score > 0.5), 5)
     scored = met.select(block, "a", "b", tier.alias("tier"), F.round(score, 6).alias("score")).where("tier is not null")
     top = scored.groupBy(block, "a").agg(F.min("tier").alias("tier"))
-    best = scored.join(top, [block, "a", "tier"]).groupBy(block, "a", "tier").agg(F.max("score").alias("score"), F.max_by("b", "score").alias("b"), F.array_sort(F.collect_list(F.struct("score", "b"))).alias("all"))
-    tied = F.size(F.filter("all", lambda x: x["score"] == F.col("score"))) > 1
-    found = best.where(~tied).select(block, "a", "tier", "score", "b")
+    best = scored.join(top, [block, "a", "tier"]).groupBy(block, "a", "tier", "score").agg(F.min("b").alias("b"), F.count("*").alias("n"))
+    best = best.groupBy(block, "a", "tier").agg(F.max(F.struct("score", "b", "n")).alias("m"))
+    found = best.where((F.col("tier") <= 2) | (F.col("m.n") == 1)).select(block, "a", "tier", "m.score", "m.b")
     return wanted.join(found, [block, "a"], "left")
 
 

@@ -179,7 +179,12 @@ def j14_tiered_lookup(spark, sf):
     return linkage.tiered_lookup(p.selectExpr(f"{NAMES} AS key"), p.where("size > 25").groupBy("name").agg(F.count("*").alias("value")))
 
 
-@query()
+PLAIN = r'''trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({n}), '\s*\([^)]*\)\s*', ' ', 'g'), '[,\s]+[0-9][0-9\-/]*"?(\s*x\s*[0-9][0-9\-/]*"?)*\s*$', ''), '(\s+[a-z]*[0-9][a-z0-9]*)+\s*$', ''), '[,."''\s]+$', ''), '\s+', ' ', 'g'))'''
+TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({n}), '\\s+'), lambda x: x <> ''))"
+KEYWORD = "CASE " + " ".join(f"WHEN contains(lower({{n}}), '{k}') THEN '{k}'" for k in ("hinge", "closer", "lockset", "exit", "stop", "seal", "threshold", "kick", "flush", "coordinator", "bolt")) + " END"
+
+
+@query(f"WITH w AS (SELECT manufacturer, item_id AS a_id, CASE item_id % 3 WHEN 0 THEN upper(name) WHEN 1 THEN name || ' (left)' ELSE name END AS a FROM products), o AS (SELECT DISTINCT manufacturer, name AS b FROM products), p AS (SELECT DISTINCT manufacturer, a, b, {TOKENS.format(n='a')} AS ta, {TOKENS.format(n='b')} AS tb, coalesce({KEYWORD.format(n='a')} = {KEYWORD.format(n='b')}, true) AS alike FROM (SELECT DISTINCT manufacturer, a FROM w) JOIN o USING (manufacturer)), j AS (SELECT *, CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 1.0 ELSE len(list_intersect(ta, tb))::DOUBLE / len(list_distinct(list_concat(ta, tb))) END AS score FROM p), t AS (SELECT manufacturer, a, b, round(score, 6) AS score, CASE WHEN a = b THEN 1 WHEN lower(a) = lower(b) THEN 2 WHEN alike AND {PLAIN.format(n='a')} = {PLAIN.format(n='b')} THEN 3 WHEN alike AND length(a) >= 8 AND (contains(lower(a), lower(b)) OR contains(lower(b), lower(a))) AND 2 * least(length(a), length(b)) >= greatest(length(a), length(b)) THEN 4 WHEN alike AND score > 0.5 THEN 5 END AS tier FROM j), r AS (SELECT *, count(*) OVER (PARTITION BY manufacturer, a, tier, score) AS n, row_number() OVER (PARTITION BY manufacturer, a ORDER BY tier, score DESC, b) AS k FROM t WHERE tier IS NOT NULL) SELECT w.manufacturer, w.a, w.a_id, r.tier, r.score, r.b FROM w LEFT JOIN r ON r.manufacturer = w.manufacturer AND r.a = w.a AND r.k = 1 AND (r.tier <= 2 OR r.n = 1)")
 def j16_match_names(spark, sf):
     p = frame(spark, sf, "products")
     wanted = p.selectExpr("manufacturer", "item_id AS a_id", "CASE item_id % 3 WHEN 0 THEN upper(name) WHEN 1 THEN concat(name, ' (left)') ELSE name END AS a")

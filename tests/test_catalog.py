@@ -58,33 +58,34 @@ def test_jaccard(spark):
 
 
 def test_ambiguous_names_do_not_match(spark):
-    wanted = spark.createDataFrame([("s", "Door Closer"), ("s", "Lockset"), ("s", "Kick Plate")], "block string, a string")
-    offered = spark.createDataFrame([("s", "Door Closer, 4000"), ("s", "Door Closer, 5000"), ("s", "lockset"), ("t", "Kick Plate")], "block string, b string")
+    wanted = spark.createDataFrame([("s", "Door Closer"), ("s", "Lockset"), ("s", "Kick Plate"), ("s", "Exit Stop"), ("s", "kickplate")], "block string, a string")
+    offered = spark.createDataFrame([("s", "Door Closer, 4000"), ("s", "Door Closer, 5000"), ("s", "lockset"), ("t", "Kick Plate"), ("s", "Door Stop Exit"), ("s", "plate"), ("s", "Stop Exit One")], "block string, b string")
     got = {r["a"]: r["b"] for r in linkage.match_names(wanted, offered, "block").collect()}
-    assert got == {"Door Closer": None, "Lockset": "lockset", "Kick Plate": None}
+    assert got == {"Door Closer": None, "Lockset": "lockset", "Kick Plate": "plate", "Exit Stop": None, "kickplate": "plate"}
 
 
 def matched(wanted: list[tuple], offered: list[tuple]) -> dict:
     """(tier, score, b) of each wanted (block, a), by comparing all names of a block."""
     def name(x):
-        for pattern, to in [(r"\([^)]*\)", " "), (r"\s+[0-9][0-9./\"' x-]*$", ""), (r"[\s.,;:]+$", ""), (r"\s+", " ")]:
-            x = re.sub(pattern, to, x.lower() if x != x.lower() else x)
+        for pattern, to in [(r"\s*\([^)]*\)\s*", " "), (r'[,\s]+[0-9][0-9\-/]*"?(\s*x\s*[0-9][0-9\-/]*"?)*\s*$', ""), (r"(\s+[a-z]*[0-9][a-z0-9]*)+\s*$", ""), (r"""[,."'\s]+$""", ""), (r"\s+", " ")]:
+            x = re.sub(pattern, to, x.lower())
         return x.strip(" ")
 
+    kind = lambda x: next((k for k in ("hinge", "closer", "lockset", "exit", "stop", "seal", "threshold", "kick", "flush", "coordinator", "bolt") if k in x.lower()), None)
     out = {}
     for block, a in {*wanted}:
         found = []
         for b in {y for x, y in offered if x == block and y is not None and a is not None}:
-            na, nb = name(a), name(b)
-            x, y = {*na.split()}, {*nb.split()}
-            score = round(len(x & y) / len(x | y), 6) if x | y else 1.0
-            short, long = sorted([len(na), len(nb)])
-            inside = (na in nb or nb in na) and short >= 8 and 2 * short >= long
-            tier = 1 if a == b else 2 if a.lower() == b.lower() else 3 if na == nb else 4 if inside else 5 if score > 0.5 else None
+            x, y, la, lb = {*a.lower().split()}, {*b.lower().split()}, a.lower(), b.lower()
+            score = len(x & y) / len(x | y) if x | y else 1.0
+            short, long = sorted([len(a), len(b)])
+            alike = None in (kind(a), kind(b)) or kind(a) == kind(b)
+            inside = (la in lb or lb in la) and len(a) >= 8 and 2 * short >= long
+            tier = 1 if a == b else 2 if la == lb else 3 if alike and name(a) == name(b) else 4 if alike and inside else 5 if alike and score > 0.5 else None
             if tier:
-                found.append((tier, -score, b))
+                found.append((tier, -round(score, 6), b))
         found.sort()
-        tied = len(found) > 1 and found[0][:2] == found[1][:2]
+        tied = len(found) > 1 and found[0][0] > 2 and found[0][:2] == found[1][:2]
         out[block, a] = (found[0][0], -found[0][1], found[0][2]) if found and not tied else (None, None, None)
     return out
 
