@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -41,17 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_scratch: list[list[str]] = []
+_held = threading.local()
+
+
+def _scratch() -> list[list[str]]:
+    """What each open scratch block of this thread has stored."""
+    if not hasattr(_held, "blocks"):
+        _held.blocks = []
+    return _held.blocks
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Deletes the tables stored within, but those stored to be kept."""
-    _scratch.append([])
+    """Deletes the tables that this thread stores within, but those stored to be kept."""
+    _scratch().append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in _scratch().pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -60,8 +68,8 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows written to the shared folder and read again: cuts lineage, and is computed once."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if _scratch() and not keep:
+        _scratch()[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

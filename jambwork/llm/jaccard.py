@@ -59,10 +59,10 @@ BUCKET_BITS, BLOCK = 23, 1 << 16
 FULL, TIMES, SPREAD = 1024, 16, 64
 #: The share of tokens that are counted one by one.
 SEEN = 0.375
-#: Leader rounds at most, pairs of different classes for each entry of the lists above which a round pays, and the share of pairs that it must have taken for another.
-ROUNDS, PAIRS, PAID = 6, 2, 0.3
-#: Words of 64 bits with the parities of a set's tokens by bucket, and of these folded, which go with the entries of lists.
-SIGNS, FOLDED = 8, 4
+#: Leader rounds at most, leaders that a set is compared with in each, pairs of different classes for each entry of the lists above which a round pays, and the share of pairs that it must have taken for another.
+ROUNDS, TRIES, PAIRS, PAID = 8, 4, 2, 0.2
+#: Words of 64 bits with the parities of a set's tokens by bucket.
+SIGNS = 8
 #: Growth of set sizes from one bin to the next.
 BIN = 1.12
 U64 = np.uint64
@@ -190,6 +190,14 @@ def _postings(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.expr(f"pos < n - ({percent} * n + 99) div 100 + 1")).select("token", "node", F.col("n").cast("int").alias("n"), "pos")
 
 
+def _once(entries: DataFrame) -> DataFrame:
+    """The entries of each set of lists with the same nodes: of the token that comes first, as in all of them it does so for each node."""
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    lists = entries.groupBy("token").agg(F.count("*").alias("c"), *mark, F.min(F.struct("node", "pos")).alias("at"))
+    first = lists.where("c > 1").groupBy("c", "x0", "x1", "at.node").agg(F.min_by("token", F.struct("at.pos", "token")).alias("token"))
+    return entries.join(first.select("token"), "token", "left_semi")
+
+
 def _nodes(g: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each set; 0 of the empty set."""
     size = np.diff(at)
@@ -223,14 +231,17 @@ def _nameless(docs: DataFrame, words: int) -> DataFrame:
     return docs.where("doc_id is null").select("text").mapInArrow(run, "node long, text binary")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """The pairs (a, b) of nodes that neither the answers of a common leader nor the parities exclude.
+def _sides(sets: DataFrame, rounds: int, *names: str) -> list[DataFrame]:
+    """For each name x the sets as node `x`, with what `_open` needs of them, their columns ending in _x."""
+    own = ["n", *(f"s{k}" for k in range(SIGNS)), *(f"{x}{t}" for t in range(rounds) for x in ("to", "o"))]
+    return [sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in own)) for x in names]
+
 
-    sets: node, n, parities, and of each round the leader `to0`, .. and the overlap with it `o0`, ..
+def _open(percent: int, rounds: int) -> Column:
+    """Whether neither the answers of a common leader nor the parities exclude that the sets a and b link.
+
+    Of each round they have the leader `to0`, .. and the overlap with it `o0`, ..
     """
-    own = ["n", *(f"s{k}" for k in range(SIGNS)), *(f"{x}{t}" for t in range(rounds) for x in ("to", "o"))]
-    side = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in own))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     n, m = F.col("n_a"), F.col("n_b")
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SIGNS)))
     open_ = (n + m - differ) * (100 + percent) >= 2 * percent * (n + m)
@@ -239,7 +250,13 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, rounds: int) -> Da
         most = F.least(o, p) + F.least(n - o, m - p)
         done = (to == F.col("b")) | (at == F.col("a")) | ((to == at) & (most * (100 + percent) < percent * (n + m)))
         open_ &= ~F.coalesce(done, F.lit(False))
-    return both.where(open_).select("a", "b")
+    return open_
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are open."""
+    one, two = _sides(sets, rounds, "a", "b")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").where(_open(percent, rounds)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -299,6 +316,7 @@ def _joined(docs: DataFrame, words: int, percent: int, *keys: str) -> DataFrame:
     own = own.drop("v", *signs)
     postings = stored(_postings(_entries(docs, levels, words, percent), sets, percent))
     levels.unpersist()
+    postings = stored(_once(postings))
 
     first = own.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     links = stored(own.where("n > 0").join(first.where("a < b").select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
@@ -318,15 +336,17 @@ def _joined(docs: DataFrame, words: int, percent: int, *keys: str) -> DataFrame:
         leader = by_class.groupBy("token").agg(F.max_by(F.struct("class", "to"), F.struct("c", F.xxhash64("class", F.lit(turn)))).alias("l"))
         leader = leader.select("token", F.col("l.to.node").alias("to"), F.col("l.class").alias("to_class"), F.col("l.to.n").alias("m"), F.col("l.to.pos").alias("at"))
         met = entries.join(leader, "token").where(F.col("class") != F.col("to_class")).where(_possible(percent))
-        best = met.groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("to"))
+        turns = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "to"))
+        best = met.groupBy("node", "to").count().withColumn("try", turns).where(F.col("try") <= TRIES)
         pairs = stored(_bounded(best.select(F.col("node").alias("a"), F.col("to").alias("b")), known, percent, rounds))
         found = stored(_verified(pairs, texts, words, percent))
-        answers = found.select(F.col("a").alias("node"), F.col("b").alias(f"to{rounds}"), F.col("overlap").alias(f"o{rounds}"))
+        nearest = found.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("overlap", "b")).alias("best"))
+        answers = nearest.select("node", F.col("best.b").alias(f"to{rounds}"), F.col("best.overlap").alias(f"o{rounds}"))
         known, rounds = stored(known.join(answers, "node", "left")), rounds + 1
         links = stored(links.unionByName(found.where("linked").select("a", "b")))
         entries = _classes(links, entries)
     if not entries.isEmpty():
-        pairs = stored(_bounded(_rest(entries, sets, percent), known, percent, rounds))
+        pairs = stored(_rest(entries, known, percent, rounds))
         links = links.unionByName(_verified(pairs, texts, words, percent).where("linked").select("a", "b"))
     root = components(links)
     group = sets.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
@@ -355,14 +375,14 @@ def _own_text(texts: DataFrame, words: int) -> DataFrame:
     return arrow_map(texts.select("node", "text"), run, "node long, text binary").dropDuplicates(["node"])
 
 
-def _possible(percent: int) -> Column:
+def _possible(percent: int, n: str = "n", m: str = "m", pos: str = "pos", at: str = "at") -> Column:
     """Whether sets of n and m tokens with a common token at pos and at can link, given that it is their first."""
-    need = _overlap(F.col("n"), F.col("m"), percent)
-    return (F.least("n", "m") >= need) & (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= need)
+    need = _overlap(F.col(n), F.col(m), percent)
+    return (F.least(n, m) >= need) & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= need)
 
 
-def _rest(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of different classes that a list can still link, blocks first, then entries by place and folded parities."""
+def _rest(entries: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """All pairs (a, b) of different classes that a list can still link, blocks first, then entries by place, parities and answers."""
     bins = math.ceil(math.log(100 / percent) / math.log(BIN)) + 1  # linked sets' sizes differ by a factor of 100 / percent at most
     block = entries.withColumn("size", F.floor(F.log("n") / math.log(BIN)).cast("int")).withColumn("step", F.floor(8 * F.col("pos") / F.col("n") * 5).cast("int"))
     at = ("size", "step", "low", "high", "least", "left")
@@ -372,14 +392,13 @@ def _rest(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alike = (F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2"))
     kept = one.join(two, "token").where(F.struct("size1", "step1") <= F.struct("size2", "step2")).where(F.col("size2") - F.col("size1") <= bins).where(F.least("left1", "left2") >= need).where(~alike)
     kept = kept.select("token", "size1", "step1", "size2", "step2")
-    folded = sets.select("node", *(reduce(lambda x, y: x.bitwiseXOR(y), (F.col(f"s{i}") for i in range(k, SIGNS, FOLDED))).alias(f"f{k}") for k in range(FOLDED)))
-    block = stored(block.join(folded, "node"))
-    x = block.select("token", F.col("size").alias("size1"), F.col("step").alias("step1"), "node", "class", "n", "pos", *(f"f{k}" for k in range(FOLDED)))
-    y = block.select("token", F.col("size").alias("size2"), F.col("step").alias("step2"), F.col("node").alias("to"), F.col("class").alias("to_class"), F.col("n").alias("m"), F.col("pos").alias("at"), *(F.col(f"f{k}").alias(f"g{k}") for k in range(FOLDED)))
-    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}"))) for k in range(FOLDED)))
-    near = (F.col("n") + F.col("m") - differ) * (100 + percent) >= 2 * percent * (F.col("n") + F.col("m"))
-    pair = kept.join(x, ["token", "size1", "step1"]).join(y, ["token", "size2", "step2"]).where(F.col("class") != F.col("to_class")).where(_possible(percent)).where(near)
-    return pair.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    block = stored(block.drop("n").withColumnRenamed("node", "a").join(_sides(sets, rounds, "a")[0], "a"))
+    own = [c for c in block.columns if c.endswith("_a")]
+    x = block.select("token", F.col("size").alias("size1"), F.col("step").alias("step1"), "a", F.col("class").alias("class_a"), F.col("pos").alias("pos_a"), *own)
+    y = block.select("token", F.col("size").alias("size2"), F.col("step").alias("step2"), F.col("a").alias("b"), F.col("class").alias("class_b"), F.col("pos").alias("pos_b"), *(F.col(c).alias(f"{c[:-2]}_b") for c in own))
+    pair = kept.join(x, ["token", "size1", "step1"]).join(y, ["token", "size2", "step2"]).where(F.col("class_a") != F.col("class_b"))
+    pair = pair.where(_possible(percent, "n_a", "n_b", "pos_a", "pos_b")).where(_open(percent, rounds))
+    return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
