@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from jambwork.functions import text as T
-from jambwork.operators import edits, pages, sets, views
+from jambwork.operators import edits, lines, pages, sets, views
 from jambwork.plans.catalog import query
 from jambwork.sources.tables import frame, table
 
@@ -238,3 +238,49 @@ def x19_sibling_fill(spark, sf):
 @query("SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), '\\(cid:[0-9]+\\)', '', 'g'), '\\s+', ' ', 'g')), '[ \\-]+$', '') AS cell FROM documents")
 def f10_clean_cells(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.clean_cell(F.coalesce("text", F.lit(""))).alias("cell"))
+
+
+BLOCKS = [
+    ("1 Pair Doors #1.01.B.03A\n1 Single Door #2.01.E.08, #110-07B", 2, 3, "1.01.B.03A,2.01.E.08,110-07B", "counted", "1.01.B.03A,2.01.E.08,110-07B", "", ""),
+    ("Heading #I2S-1E:WI (Set #I2S-1E)\n2 Double Egress Doors #110-07B", 2, 4, "110-07B,I2S-1E:WI", "counted", "110-07B", "I2S-1E:WI", "I2S-1E"),
+    ("1 SGL DOOR(S)3.01.H.04 Lobby LH\n1 PR DOOR(S)3.01.E.02A", 0, 0, "3.01.H.04,3.01.E.02A", "dealt", "3.01.H.04,3.01.E.02A", "", ""),
+    ("Hardware Set: DH4A\nFor Openings: 101, 102A, 94", 0, 0, "", "inline", "101,102A", "DH4A", "DH4A"),
+    ("33. HW Set EL-XL1 is noted", 0, 0, "", "none", "", "", ""),
+    ("Heading #: E1-XL.1 LOBBY", 0, 0, "", "none", "", "E1-XL.1", "E1-XL.1"),
+]
+
+
+def _block(k: int, text: bool = True) -> str:
+    return "[" + ", ".join(f"'{x[k]}'" if text else str(x[k]) for x in BLOCKS) + f"][(opening_id % {len(BLOCKS)})::INT + 1]"
+
+
+@query(f"SELECT opening_id, {_block(1, False)}::BIGINT AS doors, {_block(2, False)}::BIGINT AS leaves, {_block(3)} AS numbers, {_block(4)} AS family, {_block(5)} AS assigned, {_block(6)} AS heading_id, {_block(7)} AS generic_id FROM openings")
+def a33_heading_blocks(spark, sf):
+    text = F.element_at(F.array(*(F.lit(x[0]) for x in BLOCKS)), (F.col("opening_id") % len(BLOCKS) + 1).cast("int"))
+    counts, inline, heading = lines.heading_doors(text), lines.inline_doors(text), lines.set_heading(text)
+    return frame(spark, sf, "openings").select("opening_id", counts["doors"].alias("doors"), counts["leaves"].alias("leaves"), F.array_join(lines.heading_door_numbers(text), ",").alias("numbers"), inline["family"].alias("family"), F.array_join(inline["doors"], ",").alias("assigned"), heading["heading_id"].alias("heading_id"), heading["generic_id"].alias("generic_id"))
+
+
+MADE = [("Microsoft(R) Word", "", "word_excel"), ("", "Bluebeam PDF", "bluebeam"), ("Openings Studio", "x", "assa_abloy"), ("Spec4", "", "s4h"), ("x", "y", "unknown"), ("Overtur", "LibreOffice", "allegion")]
+
+
+@query("SELECT opening_id, [" + ", ".join(f"'{x[2]}'" for x in MADE) + f"][(opening_id % {len(MADE)})::INT + 1] AS producer FROM openings")
+def s05_producers(spark, sf):
+    pick = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in MADE)), (F.col("opening_id") % len(MADE) + 1).cast("int"))
+    return frame(spark, sf, "openings").select("opening_id", lines.producer(pick(0), pick(1)).alias("producer"))
+
+
+PROSE = [('{"b": 1, "a": [2]}', '{"a":[2],"b":1}'), ('Sure!\n```json\n{"x": "y"}\n``` done', '{"x":"y"}'), ('first {no} then [1, 2] and {"z": 3}', "[1,2]"), ("nothing here", None), ("", None), ('text {"a": {"b": "}"}} tail', '{"a":{"b":"}"}}')]
+
+
+@query("SELECT opening_id, [" + ", ".join("NULL" if b is None else f"'{b}'" for _, b in PROSE) + f"][(opening_id % {len(PROSE)})::INT + 1] AS json FROM openings")
+def f29_json_in_prose(spark, sf):
+    given = F.element_at(F.array(*(F.lit(a) for a, _ in PROSE)), (F.col("opening_id") % len(PROSE) + 1).cast("int"))
+    return frame(spark, sf, "openings").select("opening_id", lines.json_in(given).alias("json"))
+
+
+@query("WITH l AS (SELECT *, CASE WHEN action IN ('click', 'purchase') THEN 'D' || event_id END AS d FROM activity), g AS (SELECT *, sum((d IS NOT NULL)::INT) OVER (PARTITION BY actor_id ORDER BY event_id) AS k FROM l) SELECT actor_id, min(event_id) AS event_id, min(d) AS door, string_agg(action, ' ' ORDER BY event_id) AS action FROM g WHERE k > 0 GROUP BY actor_id, k")
+def w06_stitched_lines(spark, sf):
+    a = frame(spark, sf, "activity").select("actor_id", "event_id", "action")
+    door = F.when(F.col("action").isin("click", "purchase"), F.concat(F.lit("D"), F.col("event_id").cast("string")))
+    return lines.carried(a, "actor_id", "event_id", "action", door)
