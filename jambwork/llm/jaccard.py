@@ -61,6 +61,8 @@ FULL, TIMES, SPREAD = 1024, 16, 64
 SEEN = 0.375
 #: Leader rounds at most, leaders that a set is compared with in each, pairs of different classes for each entry of the lists above which a round pays, and the share of pairs that it must have taken for another.
 ROUNDS, TRIES, PAIRS, PAID = 8, 4, 2, 0.2
+#: Lists that an entry knows of those before it in its set.
+BEFORE = 6
 #: Words of 64 bits with the parities of a set's tokens by bucket.
 SIGNS = 8
 #: Growth of set sizes from one bin to the next.
@@ -392,12 +394,16 @@ def _rest(entries: DataFrame, sets: DataFrame, percent: int, rounds: int) -> Dat
     alike = (F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2"))
     kept = one.join(two, "token").where(F.struct("size1", "step1") <= F.struct("size2", "step2")).where(F.col("size2") - F.col("size1") <= bins).where(F.least("left1", "left2") >= need).where(~alike)
     kept = kept.select("token", "size1", "step1", "size2", "step2")
+    # a pair is made at the first list that it shares: later ones see a common list among those before
+    w = Window.partitionBy("node").orderBy("pos", "token")
+    before = F.array_compact(F.array(*(F.lag("token", k).over(w) for k in range(1, BEFORE + 1))))
+    block = block.withColumn("before_a", before)
     block = stored(block.drop("n").withColumnRenamed("node", "a").join(_sides(sets, rounds, "a")[0], "a"))
     own = [c for c in block.columns if c.endswith("_a")]
     x = block.select("token", F.col("size").alias("size1"), F.col("step").alias("step1"), "a", F.col("class").alias("class_a"), F.col("pos").alias("pos_a"), *own)
     y = block.select("token", F.col("size").alias("size2"), F.col("step").alias("step2"), F.col("a").alias("b"), F.col("class").alias("class_b"), F.col("pos").alias("pos_b"), *(F.col(c).alias(f"{c[:-2]}_b") for c in own))
     pair = kept.join(x, ["token", "size1", "step1"]).join(y, ["token", "size2", "step2"]).where(F.col("class_a") != F.col("class_b"))
-    pair = pair.where(_possible(percent, "n_a", "n_b", "pos_a", "pos_b")).where(_open(percent, rounds))
+    pair = pair.where(_possible(percent, "n_a", "n_b", "pos_a", "pos_b")).where(_open(percent, rounds)).where(~F.arrays_overlap("before_a", "before_b"))
     return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
