@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jambwork.functions import taxonomy as C
 from jambwork.functions import text as T
+from jambwork.operators import sets as S
 from jambwork.operators.rollups import count_if
 
 RATING = r"(?i)^[0-9]+\s*(min|hr|hour|minute)|^NR$|^UL$"
@@ -49,12 +50,14 @@ def leaf_violations(openings: DataFrame, items: DataFrame) -> DataFrame:
     """The rules on items of pairs by name: sums of both leaves' quantities outside of their band, and hinges twice on a leaf; a row for each name."""
     pairs = openings.where("leaf_count = 2").select("opening_id")
     own = items.where(~F.coalesce(F.col("name").rlike(DOOR) | F.col("name").rlike(FRAME) | (F.col("name") == ""), F.lit(True))).join(pairs, "opening_id", "left_semi")
-    by_leaf = own.where(C.scope(F.col("name"), F.col("model")) == "per_leaf").groupBy("opening_id", "name").agg(
-        F.bool_or(F.col("leaf_side") == "active").alias("a"), F.bool_or(F.col("leaf_side") == "inactive").alias("i"), F.max(F.coalesce("qty", F.lit(0))).alias("most"), F.sum(F.coalesce("qty", F.lit(0))).alias("sum")
-    )
-    sums = by_leaf.where((F.col("a") & F.col("i")) & ((F.col("sum") < F.col("most")) | (F.col("sum") > 2 * F.col("most")))).select(F.lit("per_leaf_qty_sum_mismatch").alias("rule"), "opening_id", "name")
+    own = S.per_distinct(own, ["name", "model"], scope=C.scope(F.col("name"), F.col("model")), kind=C.category(F.col("name"), F.col("model")))
+    # kinds are judged after the grouping, so that they are worked out for distinct names only
+    qty = F.coalesce("qty", F.lit(0))
+    by_leaf = own.groupBy("opening_id", "name").agg(F.bool_or(F.col("leaf_side") == "active").alias("a"), F.bool_or(F.col("leaf_side") == "inactive").alias("i"), F.max(qty).alias("most"), F.sum(qty).alias("sum"), F.max("scope").alias("scope"))
+    band = (F.col("sum") < F.col("most")) | (F.col("sum") > 2 * F.col("most"))
+    sums = by_leaf.where((F.col("scope") == "per_leaf") & F.col("a") & F.col("i") & band).select(F.lit("per_leaf_qty_sum_mismatch").alias("rule"), "opening_id", "name")
     key = [F.lower(F.trim("name")).alias("name"), F.lower(F.trim(F.coalesce("model", F.lit("")))).alias("model"), F.coalesce("leaf_side", F.lit("unknown")).alias("side")]
-    hinges = own.where(C.category(F.col("name"), F.col("model")) == "hinges").groupBy("opening_id", *key).count().where("count > 1").select(F.lit("pair_leaf_hinge_duplication").alias("rule"), "opening_id", "name")
+    hinges = own.groupBy("opening_id", *key).agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where((F.col("n") > 1) & (F.col("kind") == "hinges")).select(F.lit("pair_leaf_hinge_duplication").alias("rule"), "opening_id", "name")
     return sums.unionByName(hinges).withColumn("severity", F.lit("warning"))
 
 
@@ -76,12 +79,11 @@ def hand_filtered(items: DataFrame, openings: DataFrame) -> DataFrame:
 
 def consolidated(items: DataFrame, openings: DataFrame) -> DataFrame:
     """items of pairs without the smaller of two standard hinge rows of one name and model whose quantities differ by the opening's electric hinges; of equal rows none goes."""
-    kind = C.category(F.col("name"), F.col("model"))
-    rows = items.withColumn("_kind", kind)
-    electric = rows.where((F.col("_kind") == "electric_hinge") & F.col("leaf_side").isNull()).groupBy("opening_id").agg(F.sum("qty").alias("_e")).where("_e > 0").join(openings.where("leaf_count > 1").select("opening_id"), "opening_id", "left_semi")
+    rows = S.per_distinct(items, ["name", "model"], _kind=C.category(F.col("name"), F.col("model")))
+    electric = rows.groupBy("opening_id").agg(F.sum(F.when((F.col("_kind") == "electric_hinge") & F.col("leaf_side").isNull(), F.col("qty"))).alias("_e")).where("_e > 0").join(openings.where("leaf_count > 1").select("opening_id"), "opening_id", "left_semi")
     q = F.coalesce("qty", F.lit(0))
     key = ["opening_id", F.lower(F.trim("name")).alias("_n"), F.lower(F.trim(F.coalesce("model", F.lit("")))).alias("_m")]
-    twice = rows.where("_kind = 'hinges'").groupBy(*key).agg(F.count("*").alias("c"), F.max(q).alias("hi"), F.min(F.struct(q.alias("q"), F.col("pos"))).alias("lo")).where("c = 2")
+    twice = rows.groupBy(*key).agg(F.count("*").alias("c"), F.max("_kind").alias("k"), F.max(q).alias("hi"), F.min(F.struct(q.alias("q"), F.col("pos"))).alias("lo")).where("c = 2 AND k = 'hinges'")
     gone = twice.join(electric, "opening_id").where(F.col("hi") - F.col("lo.q") == F.col("_e")).select("opening_id", F.col("lo.pos").alias("pos"))
     return rows.drop("_kind").join(gone, ["opening_id", "pos"], "left_anti")
 

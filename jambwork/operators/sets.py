@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +97,10 @@ def retyped_after(rows: DataFrame, by: str, position: str, ends: Column, which:
     """rows whose `type` becomes another for those after a group's last end."""
     last = rows.groupBy(by).agg(F.max(F.when(ends, F.col(position))).alias("_last"))
     return rows.join(last, by).withColumn("type", F.when((F.col(position) > F.col("_last")) & which, to).otherwise(F.col("type"))).drop("_last")
+
+
+def per_distinct(rows: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
+    """rows with columns that depend on some keys only, worked out once for each distinct value of these."""
+    each = rows.select(*keys).distinct().withColumns(columns).select(*(F.col(k).alias(f"_{k}") for k in keys), *columns)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return rows.join(each, same).drop(*(f"_{k}" for k in keys))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jambwork.functions import taxonomy as C
 from jambwork.functions import text as T
-from jambwork.operators import linkage, merge, quality, quantity, rollups, scores
+from jambwork.operators import linkage, merge, quality, quantity, rollups, scores, sets
 from jambwork.plans.catalog import query
 from jambwork.sources.tables import frame
 
@@ -27,21 +27,21 @@ KINDS = """kinds(name, model, category, scope, place, set_category, most, keywor
 
 @query(f"WITH {KINDS} SELECT opening_id, pos, category, scope, coalesce(place, CASE WHEN qty > 1 THEN 'split' ELSE 'shared' END) AS place FROM hardware JOIN kinds USING (name, model)")
 def f11_categories(spark, sf):
-    h = frame(spark, sf, "hardware")
-    kind = C.category(F.col("name"), F.col("model"))
-    return h.select("opening_id", "pos", kind.alias("category"), C.scope(F.col("name"), F.col("model")).alias("scope"), C.placement(kind, F.col("qty")).alias("place"))
+    h = sets.per_distinct(frame(spark, sf, "hardware"), ["name", "model"], category=C.category(F.col("name"), F.col("model")), scope=C.scope(F.col("name"), F.col("model")))
+    return h.select("opening_id", "pos", "category", "scope", C.placement(F.col("category"), F.col("qty")).alias("place"))
 
 
 @query(f"WITH {KINDS} SELECT h.opening_id, h.pos, CASE h.name WHEN 'Door (Active Leaf)' THEN 'active' WHEN 'Door (Inactive Leaf)' THEN 'inactive' WHEN 'Frame' THEN 'shared' WHEN 'Door' THEN CASE WHEN leaf_count <= 1 THEN 'active' END ELSE CASE WHEN leaf_count > 1 THEN nullif(coalesce(place, CASE WHEN qty > 1 THEN 'split' ELSE 'shared' END), 'split') END END AS leaf_side FROM hardware h JOIN kinds USING (name, model) JOIN openings USING (opening_id)")
 def f12_leaf_sides(spark, sf):
-    h = frame(spark, sf, "hardware").join(frame(spark, sf, "openings").select("opening_id", "leaf_count"), "opening_id")
-    return h.select("opening_id", "pos", C.leaf_side(F.col("name"), F.col("model"), F.col("leaf_count"), F.col("qty")).alias("leaf_side"))
+    h = sets.per_distinct(frame(spark, sf, "hardware"), ["name", "model"], category=C.category(F.col("name"), F.col("model")))
+    h = h.join(frame(spark, sf, "openings").select("opening_id", "leaf_count"), "opening_id")
+    return h.select("opening_id", "pos", C.leaf_side(F.col("name"), F.col("category"), F.col("leaf_count"), F.col("qty")).alias("leaf_side"))
 
 
 @query(f"WITH {KINDS} SELECT opening_id, pos, set_category, most, keyword, plain FROM hardware JOIN kinds USING (name, model)")
 def f13_set_categories(spark, sf):
-    kind = C.set_category(F.col("name"))
-    return frame(spark, sf, "hardware").select("opening_id", "pos", kind.alias("set_category"), C.most_of(kind).alias("most"), C.keyword(F.col("name")).alias("keyword"), T.item_name(F.col("name")).alias("plain"))
+    h = sets.per_distinct(frame(spark, sf, "hardware").select("opening_id", "pos", "name"), ["name"], set_category=C.set_category(F.col("name")), keyword=C.keyword(F.col("name")), plain=T.item_name(F.col("name")))
+    return h.select("opening_id", "pos", "set_category", C.most_of(F.col("set_category")).alias("most"), "keyword", "plain")
 
 
 SPELLINGS = [("Cont. Hinge", "continuous hinge"), ("FLR Stop (w/ hold)", "floor stop w/ hold"), ("closer w/o mtd. brkt.", "closer without mounted brkt"), ("Conc Closer hd", "concealed closer heavy duty"), ("Adj.  Thresh;", "adjustable thresh"), ("elec strike ss", "electric strike stainless steel"), ("", "")]
@@ -161,7 +161,8 @@ USUAL = "usual(category, l1, m1, l2, m2) AS (VALUES ('hinges', 3, 5, 6, 10), ('e
 @query(f"WITH {KINDS}, {USUAL}, r AS (SELECT h.opening_id, h.pos, qty, CASE WHEN leaf_count > 1 THEN l2 ELSE l1 END AS least, CASE WHEN leaf_count > 1 THEN m2 ELSE m1 END AS most FROM hardware h JOIN kinds USING (name, model) JOIN openings USING (opening_id) LEFT JOIN usual USING (category)) SELECT opening_id, pos, CASE WHEN least = 0 AND most = 0 THEN NULL WHEN qty < least THEN 'low' WHEN qty > 2 * most THEN 'high' END AS warning FROM r")
 def q05_quantity_warnings(spark, sf):
     h = frame(spark, sf, "hardware").join(frame(spark, sf, "openings").select("opening_id", "leaf_count"), "opening_id")
-    return h.select("opening_id", "pos", C.quantity_warning(C.category(F.col("name"), F.col("model")), F.col("qty"), F.col("leaf_count") > 1).alias("warning"))
+    h = sets.per_distinct(h, ["name", "model"], category=C.category(F.col("name"), F.col("model")))
+    return h.select("opening_id", "pos", C.quantity_warning(F.col("category"), F.col("qty"), F.col("leaf_count") > 1).alias("warning"))
 
 
 EXPECTED = {(0, 0, 0): "continuous_hinge,pivot_hinge,spring_hinge,hinges,lockset,closer,core,stop,silencer,signage", (1, 0, 0): "electric_hinge,continuous_hinge,pivot_hinge,spring_hinge,hinges,exit_device,elec_modification,auto_operator,closer,cylinder_housing,core,kick_plate,door_sweep,threshold,gasket,gasketing,weatherstrip,rain_drip,viewer", (0, 1, 1): "continuous_hinge,pivot_hinge,spring_hinge,hinges,lockset,exit_device,flush_bolt,closer,core,stop,gasket,smoke_seal,gasketing,silencer,signage"}
@@ -175,7 +176,8 @@ def q06_expected_categories(spark, sf):
 
 @query(f"WITH {KINDS}, r AS (SELECT h.opening_id, h.pos, leaf_count, CASE WHEN pos % 3 > 0 THEN leaf_side END AS side, coalesce(place, CASE WHEN qty > 1 THEN 'split' ELSE 'shared' END) AS place FROM hardware h JOIN kinds USING (name, model) JOIN openings USING (opening_id)), g AS (SELECT opening_id, pos, CASE WHEN leaf_count <= 1 AND side = 'inactive' THEN [] WHEN leaf_count <= 1 AND side = 'shared' THEN ['shared'] WHEN leaf_count <= 1 THEN ['leaf1'] WHEN coalesce(side, place) = 'active' THEN ['leaf1'] WHEN coalesce(side, place) = 'inactive' THEN ['leaf2'] WHEN coalesce(side, place) = 'shared' THEN ['shared'] ELSE ['leaf1', 'leaf2'] END AS g FROM r) SELECT opening_id, pos, unnest(g) AS \"group\" FROM g")
 def m07_rendered_leaves(spark, sf):
-    h = frame(spark, sf, "hardware").withColumn("leaf_side", F.expr("IF(pos % 3 > 0, leaf_side, NULL)")).withColumn("place", C.placement(C.category(F.col("name"), F.col("model")), F.col("qty")))
+    h = sets.per_distinct(frame(spark, sf, "hardware"), ["name", "model"], category=C.category(F.col("name"), F.col("model")))
+    h = h.withColumn("leaf_side", F.expr("IF(pos % 3 > 0, leaf_side, NULL)")).withColumn("place", C.placement(F.col("category"), F.col("qty")))
     return quantity.rendered(h.join(frame(spark, sf, "openings").select("opening_id", "leaf_count"), "opening_id")).select("opening_id", "pos", "group")
 
 
