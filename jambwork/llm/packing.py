@@ -11,8 +11,8 @@ crosses the window's end is cut there and its rest is the next window's seed.
 So all windows of a partition are full but for the last one, which is split
 into sequences whose lengths are powers of two and need no padding.
 
-Null texts are empty: the end id alone. Rows that share a doc_id are documents
-of their own. Nothing is dropped or cut short.
+Null texts are empty: the end id alone. Rows that share a doc_id, or have none,
+are documents of their own. Nothing is dropped or cut short.
 """
 
 from __future__ import annotations
@@ -207,5 +207,5 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of packed sequences."""
+    """Pipeline stage: the pieces of packed sequences; of rows without a doc_id, too."""
     return pack(docs, tokens.public("byte_bpe_50k.json"))

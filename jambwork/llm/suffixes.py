@@ -21,7 +21,8 @@ their windows are matched one by one, by 128-bit hashes that are counted before
 they are moved. That is exact too, and the same at any size.
 
 Texts that are equal as a whole are indexed once. Null texts are empty; texts
-shorter than `length` keep all bytes.
+shorter than `length` keep all bytes. Rows that share a doc_id, or have none, are
+texts of their own. Texts above 12 MB are cut to runs slice by slice.
 """
 
 from __future__ import annotations
@@ -363,7 +364,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated bytes go from each text, and characters that a cut has split."""
+    """Pipeline stage: repeated bytes go from each text, and characters that a cut has split. All rows stay, those that are empty then and those without a doc_id, too."""
     keys, cut = repeats(docs)
     kept = cut.select("text_id", "check", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole"), "kept", "n_removed")
     text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.coalesce("whole", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")))

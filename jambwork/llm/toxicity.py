@@ -234,7 +234,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that aren't toxic."""
+    """Pipeline stage: the documents that aren't toxic; empty texts and rows without a doc_id are judged like others."""
     shared = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))
 
     def keep(batches):
