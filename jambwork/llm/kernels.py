@@ -7,7 +7,7 @@ Everything here is a pure function of its input.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,22 +81,28 @@ class Words:
 
     start, end: byte positions in `buf`, in which each text is followed by one space;
     doc: the text of each word; first: index of each text's first word (len + 1 entries).
+    gaps says which bytes are in no word; the space must be.
     """
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = True):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = True, gaps: Callable[[np.ndarray], np.ndarray] = SPACE.__getitem__):
         n = len(off) - 1
         self.buf = np.full(len(buf) + n, 32, np.uint8)
         self.base = off[:-1] + np.arange(n)
         keep = np.ones(len(self.buf), bool)
         keep[off[1:] + np.arange(n)] = False
         self.buf[keep] = LOWER[buf] if lower else buf
-        gap = SPACE[self.buf]
+        self.gap = gap = gaps(self.buf)
         edge = np.flatnonzero(np.diff(gap, prepend=True, append=True)) if len(gap) else np.zeros(0, np.int64)
         self.start, self.end = edge[0::2], edge[1::2]
         ends = np.append(self.base[1:], len(self.buf))
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)]) if n else np.zeros(1, np.int64)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
 
+    def strings(self) -> pa.LargeStringArray:
+        """The words as one Arrow array."""
+        off = np.append(0, np.cumsum(self.end - self.start)).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(off), pa.py_buffer(self.buf[~self.gap]))
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial over its bytes, mixed."""
         p, q = powers(len(self.buf) + 1)

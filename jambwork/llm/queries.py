@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jambwork.llm import fertility, fingerprints, jaccard, katz, mixing, packing, suffixes, toolcalls, toxicity, warc
+from jambwork.llm import fertility, fingerprints, jaccard, katz, mixing, packing, pieces, search, suffixes, toolcalls, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op12_lexical_search": search.op12_lexical_search,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 ORACLE_SQL = {
     "op3_jaccard_join": jaccard.ORACLE,
     "op7_tool_calls": toolcalls.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op12_lexical_search": search.ORACLE,
 }
