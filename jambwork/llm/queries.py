@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jambwork.llm import fertility, fingerprints, jaccard, katz, mixing, packing, pieces, search, suffixes, toolcalls, toxicity, warc
+from jambwork.llm import fertility, fingerprints, jaccard, katz, mixing, packing, pieces, search, spelling, suffixes, toolcalls, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_lexical_search": search.op12_lexical_search,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }

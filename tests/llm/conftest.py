@@ -40,6 +40,8 @@ def odd(tmp_path_factory):
     write(root, "pages", [(*p, 0) for p in pages], "page_id long, url string, html string, key int")
     turns = [(1, 0, "system", "be brief"), (1, 1, "user", "hi \"you\" \\ ü"), (1, 2, "assistant", "yes"), (1, 3, "user", None), (1, 4, "assistant", None), (2, 0, "user", ""), (2, 1, "assistant", "a"), (2, 1, "assistant", "a"), (2, 1, "assistant", "b"), (3, 5, "assistant", "orphan"), (4, 0, "user", "alone"), (4, 0, "user", "again"), (None, 0, "user", "x"), (5, None, "user", "y"), (5, None, "assistant", "z"), (6, 0, None, "w")]
     write(root, "conversations", [(*t, "n") for t in turns], "conv_id long, turn long, role string, text string, name string")
+    items = [(1, " ".join(prose(1, 120).split()[:40])), (2, "the of and river the THE river"), (3, None), (4, ""), (5, "nowhere-to-be-found xyzzy"), (6, "東京 привет straße #50 winter"), (7, prose(4, 60)), (7, prose(5, 30)), (None, "light")]
+    write(root, "benchmark", [(*x, "extra") for x in items], "item_id long, text string, score string")
     return str(root)
 
 
@@ -47,6 +49,6 @@ def odd(tmp_path_factory):
 def nothing(tmp_path_factory):
     """The same tables without rows."""
     root = tmp_path_factory.mktemp("nothing")
-    for name, schema in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string"}.items():
+    for name, schema in {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string", "benchmark": "item_id long, text string"}.items():
         write(root, name, [], schema)
     return str(root)

@@ -35,7 +35,7 @@ def test_without_rows(spark, nothing, name):
 @pytest.mark.parametrize("name", [*queries.ORACLE_SQL])
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "pages"):
+    for t in ("documents", "labels", "conversations", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     cols = [x[0] for x in want.description]
