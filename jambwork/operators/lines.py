@@ -18,11 +18,11 @@ from jambwork.operators.pages import valid_door
 
 #: How lines list doors.
 KIND = r"(Pair|Single|Double\s+Egress)"
-COUNTED = r"(?i)(?:For\s+|Qty[:\s]+)?([0-9]+)\s*[-–]?\s*" + KIND + r"\s+Doors?\s*(?:Opening)?s?\s*(?:#|$)"
-NUMBERED = r"(?i)(?:For\s+|Qty[:\s]+)?[0-9]+\s*[-–]?\s*" + KIND + r"\s+Doors?\s*(?:Opening)?s?\s*#\s*(\S+)"
-LISTED = r"(?i)(?:For\s+|Qty[:\s]+)?[0-9]+\s*[-–]?\s*" + KIND + r"\s+Doors?\s*(?:Opening)?s?\s*#?\s*(.+)"
+COUNTED = r"(?i)(?:For\s+|Qty[:\s]+)?(\d+)\s*[-–]?\s*" + KIND + r"\s+Doors?\s*(?:Opening)?s?\s*(?:#|$)"
+NUMBERED = r"(?i)(?:For\s+|Qty[:\s]+)?\d+\s*[-–]?\s*" + KIND + r"\s+Doors?\s*(?:Opening)?s?\s*#\s*(\S+)"
+LISTED = r"(?i)(?:For\s+|Qty[:\s]+)?\d+\s*[-–]?\s*" + KIND + r"\s+Doors?\s*(?:Opening)?s?\s*#?\s*(.+)"
 INLINE = r"(?i)(?:For\s+(?:Openings?|Doors?)\s*[:\-]\s*|Doors?\s*[:\-]\s*|Openings?\s*[:\-]\s*|Assigned\s+(?:to\s+)?(?:Doors?|Openings?)\s*[:\-]\s*)(.+)"
-DEALT = r"(?i)^\s*([0-9]+)\s*(SGL|PRA/PRI|PR)\s+DOOR(?:\(S\))?:?\s*(\S+)"
+DEALT = r"(?i)^\s*(\d+)\s*(SGL|PRA/PRI|PR)\s+DOOR(?:\(S\))?:?\s*(\S+)"
 TOKEN = r"#?\s*([A-Za-z0-9][A-Za-z0-9.\-]{1,14})"
 
 #: Which program made a document, by words of its metadata, the first that fits.
@@ -50,7 +50,7 @@ def dealt_doors(text: Column) -> Column:
 
     def row(x: Column) -> Column:
         raw = F.regexp_extract(x, DEALT, 3)
-        dotted = F.regexp_extract(raw, r"^([0-9]{1,3}\.[0-9]{2}\.[A-Z]\.[0-9]{2}[A-Z]?)", 1)
+        dotted = F.regexp_extract(raw, r"^(\d{1,3}\.\d{2}\.[A-Z]\.\d{2}[A-Z]?)", 1)
         leaves = F.when(F.upper(F.regexp_extract(x, DEALT, 2)) == "SGL", 1).otherwise(2)
         hand = F.regexp_extract(x, r"\b(LH|RH|LHR|RHR|LHRA|RHRA|LHA|RHA)\b", 1)
         return F.struct(F.coalesce(T.blank_to_null(dotted), raw).alias("door"), F.regexp_extract(x, DEALT, 1).cast("int").alias("count"), leaves.alias("leaves"), hand.alias("hand"))
@@ -82,14 +82,21 @@ def inline_doors(text: Column) -> Column:
 
 #: Kinds of set headings: pattern, and which groups are the heading's and the generic id.
 SET_HEADINGS = [
-    (r"(?im)^(?!\s*[0-9]+\.\s).*?heading\s*#?\s*([A-Z0-9][A-Z0-9.\-:]*)\s*\((?:hw\s*)?set\s*#?\s*([A-Z0-9][A-Z0-9.\-:]*)\)", 1, 2),
-    (r"(?im)^(?!\s*[0-9]+\.\s).*?heading\s*#:\s*([A-Z0-9][A-Z0-9.\-]*)", 1, 1),
-    (r"(?im)^(?!\s*[0-9]+\.\s).*?(?:hardware|hw)\s+(?:set|group)\s*[:# ]\s*#?\s*([A-Z0-9][A-Z0-9.\-:]*)", 1, 1),
-    (r"(?im)^(?!\s*[0-9]+\.\s).*?([A-Z0-9][A-Z0-9.\-]*)\s*[-–—]\s*hardware\s+set\b", 1, 1),
-    (r"(?im)^(?!\s*[0-9]+\.\s).*?\bset\s*[:#]\s*([A-Z0-9][A-Z0-9.\-:]+)", 1, 1),
+    (r"(?im)^(?!\s*\d+\.\s).*?heading\s*#?\s*([A-Z0-9][A-Z0-9.\-:]*)\s*\((?:hw\s*)?set\s*#?\s*([A-Z0-9][A-Z0-9.\-:]*)\)", 1, 2),
+    (r"(?im)^(?!\s*\d+\.\s).*?heading\s*#:\s*([A-Z0-9][A-Z0-9.\-]*)", 1, 1),
+    (r"(?im)^(?!\s*\d+\.\s).*?(?:hardware|hw)\s+(?:set|group)\s*[:# ]\s*#?\s*([A-Z0-9][A-Z0-9.\-:]*)", 1, 1),
+    (r"(?im)^(?!\s*\d+\.\s).*?([A-Z0-9][A-Z0-9.\-]*)\s*[-–—]\s*hardware\s+set\b", 1, 1),
+    (r"(?im)^(?!\s*\d+\.\s).*?\bset\s*[:#]\s*([A-Z0-9][A-Z0-9.\-:]+)", 1, 1),
 ]
 
 
+def set_heading_kind(text: Column, kind: int) -> Column:
+    """(heading_id, generic_id) of the heading of one kind in a text, or null."""
+    pattern, a, b = SET_HEADINGS[kind]
+    own = T.blank_to_null(F.regexp_extract(text, pattern, a))
+    return F.when(own.isNotNull(), F.struct(own.alias("heading_id"), F.regexp_extract(text, pattern, b).alias("generic_id")))
+
+
 def set_heading(text: Column) -> Column:
     """(heading_id, generic_id) of a text's set heading, by the first kind that fits; lines of numbered lists are none. Empty if there is none."""
     found = [(T.blank_to_null(F.regexp_extract(text, p, a)), F.regexp_extract(text, p, b)) for p, a, b in SET_HEADINGS]

@@ -12,7 +12,7 @@ from jambwork.operators.rollups import count_if
 
 #: What a field's text has to look like, and the fields that are scored.
 PATTERNS = {
-    "door_number": r"^[0-9]{2,4}[A-Za-z]?(-[0-9]{1,3}[A-Za-z]?)?$", "hw_set": r"(?i)^(DH|HW|HS|SET)\s?[0-9]{1,4}[A-Za-z]?$", "fire_rating": r"(?i)^(20|45|60|90|180)\s*MIN(UTE)?S?$|^N/?R$|^(1|1\.5|2|3)\s*H(?:OU)?RS?$",
+    "door_number": r"^\d{2,4}[A-Za-z]?(-\d{1,3}[A-Za-z]?)?$", "hw_set": r"(?i)^(DH|HW|HS|SET)\s?\d{1,4}[A-Za-z]?$", "fire_rating": r"(?i)^(20|45|60|90|180)\s*MIN(UTE)?S?$|^N/?R$|^(1|1\.5|2|3)\s*H(?:OU)?RS?$",
     "hand": r"(?i)^(LH|RH|LHR|RHR|LHRA|RHRA|N/A)$", "door_type": r"(?i)^(WD|HM|AL|GL|FRP|PR|PAIR|SGL|DBL)$", "frame_type": r"(?i)^(WD|HM|AL|KD|WELD|DRYWALL)$",
 }
 SCORED = ["door_number", "hw_set", "location", "door_type", "frame_type", "fire_rating", "hand"]

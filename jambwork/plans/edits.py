@@ -113,15 +113,20 @@ def s04_page_kinds(spark, sf):
 PAGE_SQL = r"""t AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') AS t FROM pages)"""
 
 
-@query(rf"""WITH {PAGE_SQL}, c AS (SELECT page_id, html, t, regexp_matches(t, '(?i)(table\s*of\s*contents|project\s*directory|submittal\s*cover|transmittal|project\s*name|prepared\s*(by|for)|date\s*of\s*issue|building\s*[a-z0-9]?\s*hardware|division\s*[0-9]+|section\s*08\s*71)') AS cover,
-regexp_matches(t, '(?i)(manufacturer|finish|option)\s*(list|key|legend|code|abbrev)|abbreviation|legend|general\s*notes|symbols?\s*key|keying\s*schedule|specification\s*reference|basis\s*of\s*design|end\s*of\s*schedule|catalog\s*cut\s*summary') AS ref,
-len(regexp_extract_all(t, '(?i)(hinge|pivot|lockset|latchset|exit\s*device|panic|closer|flush\s*bolt|strike|cylinder|core|kick\s*plate|threshold|gasket|silencer|pull|push|plate|lever|coordinator|door\s*sweep|door\s*bottom|astragal|dead\s*bolt|mortise)')) AS items, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS words FROM t)
-SELECT page_id, length(trim(html)) < 50 AS scanned, CASE WHEN cover THEN 'cover' WHEN ref THEN 'reference' WHEN items >= 3 THEN 'hardware_set' WHEN words < 20 THEN 'cover' ELSE 'other' END AS type FROM c WHERE NOT regexp_matches(t, '[0-9]|(?i)set\s*[:#]|(hardware|hw)\s+(set|group)|(door|opening)\s')""")
+#: What is no set id after the word, as RE2 has no lookahead.
+STOPPED = "(?i)^(" + pages.NOT_A_SET[3:]
+
+
+@query(rf"""WITH {PAGE_SQL}, c AS (SELECT page_id, html, t, regexp_matches(t, '{pages.COVER}') AS cover, regexp_matches(t, '{pages.REFERENCE}') AS ref, regexp_matches(t, '{pages.SCHEDULE}') AS schedule,
+regexp_matches(t, '{pages.HEADING[0]}') OR regexp_matches(t, '{pages.HEADING[1]}') OR len(list_filter(regexp_extract_all(t, '(?i)(?:^|[^\w.])set\s*[:#]\s*([A-Z0-9][A-Z0-9.\-:]{{1,14}})\b', 1), lambda x: NOT regexp_matches(x, '{STOPPED}'))) > 0 AS heading,
+len(regexp_extract_all(t, '{pages.ITEM}')) AS items, len(regexp_extract_all(t, '{pages.DOOR}')) AS doors, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS words FROM t)
+SELECT page_id, length(trim(html)) < 50 AS scanned, CASE WHEN cover THEN 'cover' WHEN ref THEN 'reference' WHEN schedule THEN 'door_schedule' WHEN heading OR items >= 3 THEN 'hardware_set' WHEN doors >= 3 THEN 'door_schedule' WHEN words < 20 THEN 'cover' ELSE 'other' END AS type,
+CASE WHEN cover THEN 90 WHEN ref THEN 85 WHEN schedule THEN 90 WHEN heading THEN 95 WHEN items >= 3 THEN 70 WHEN doors >= 5 THEN 60 WHEN doors >= 3 OR words < 20 THEN 50 ELSE 0 END::INT AS confidence FROM c""")
 def s04_page_types(spark, sf):
-    """Of pages without digits, doors and sets, which plain SQL can judge; s04_page_kinds has those."""
+    """Of all pages."""
     rows = table(spark, sf, "pages").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("t", F.regexp_replace("html", "<[^>]*>", " "))
-    rows = rows.where(~F.col("t").rlike(r"[0-9]|(?i)set\s*[:#]|(hardware|hw)\s+(set|group)|(door|opening)\s"))
-    return rows.select("page_id", pages.scan_status(F.col("html"), F.lit(1))["scanned"].alias("scanned"), pages.page_type(F.col("t"))["type"].alias("type"))
+    kind = pages.page_type(F.col("t"))
+    return rows.select("page_id", pages.scan_status(F.col("html"), F.lit(1))["scanned"].alias("scanned"), kind["type"].alias("type"), kind["confidence"].alias("confidence"))
 
 
 HEADERS = ["Door No.", "Opening Number", "Hardware Set", "Hdwr Group", "Room Location", "Hand", "Fire Rating Label", "Door Type", "Frame", "Remarks and other notes on doors", "From", "", "12"]
