@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -200,16 +201,32 @@ def detected_field(text: Column) -> Column:
     return F.when(t == "", row("unknown", F.lit(""), 0)).when(t.rlike("(?i)^(RHRA|LHRA|RHR|LHR|RH|LH)$"), row("hand", F.upper(t), 95)).when(t.rlike(r"(?i)^[0-9]+(\.[0-9])?\s*(MIN(UTE)?S?|HR|HOURS?)$"), row("fire_rating", t, 90)).when(place != "", row("location", place, 70)).otherwise(row("location", t, 40))
 
 
+#: Sequences of wrongly decoded text and what they stand for; longer ones are replaced first.
+WRONGLY_DECODED = {
+    "\u00c2\u00b7": "\u00b7", "\u00c3\u0097": "\u00d7", "\u00c3\u00b7": "\u00f7", "\u00c2\u00bd": "\u00bd", "\u00c2\u00bc": "\u00bc", "\u00c2\u00be": "\u00be", "\u00c2\u00ae": "\u00ae", "\u00c2\u00a9": "\u00a9", "\u00c2\u00b0": "\u00b0",
+    "\u00e2\u0080\u0093": "\u2013", "\u00e2\u0080\u0094": "\u2014", "\u00e2\u0080\u0099": "\u2019", "\u00e2\u0080\u0098": "\u2018", "\u00e2\u0080\u009c": "\u201c", "\u00e2\u0080\u009d": "\u201d", "\u00e2\u0080\u00a2": "\u2022", "\u00e2\u0080\u00a6": "\u2026", "\u00e2\u0080": "\u2014",
+    "\u00c3\u00a0": "\u00e0", "\u00c3\u00a4": "\u00e4", "\u00c3\u00a8": "\u00e8", "\u00c3\u00a9": "\u00e9", "\u00c3\u00ad": "\u00ed", "\u00c3\u00b3": "\u00f3", "\u00c3\u00b6": "\u00f6", "\u00c3\u00ba": "\u00fa", "\u00c3\u00bc": "\u00fc", "\u00c3\u00b1": "\u00f1", "\u00c3\u00a7": "\u00e7", "\u00c2\u00a0": " ",
+    "\x91": "\u2018", "\x92": "\u2019", "\x93": "\u201c", "\x94": "\u201d", "\x95": "\u2022", "\x96": "\u2013", "\x97": "\u2014", "\x85": "\u2026", "\x99": "\u2122", "\xa0": " ",
+    "\u00c3\u00a2\u00e2\u201a\u00ac\u00e2\u20ac\u0153": "\u2013", "\u00c3\u00a2\u00e2\u201a\u00ac\u00e2\u20ac": "\u2014", "\u00c3\u00a2\u00e2\u201a\u00ac\u00c2\u00a2": "\u2022", "\u00c3\u00a2\u00e2\u201a\u00ac\u00c5\u201c": "\u201c", "\u00c3\u00a2\u00e2\u201a\u00ac\u0178": "\u201d",
+    "\u00e0\u2016": "\u2013", "\u00e0\u00a1": "!", "\u00e0\u00a2": '"', "\u00e0\u00a8": "(", "\u00e0\u00a9": ")", "\u00e0\u00ab": "+", "\u00e0\u00ac": ",", "\u00e0\u00ad": "-", "\u00e0\u00ae": ".", "\u00e0\u00af": "/", "\u00e0\u00ba": ":",
+    "\ufb01": "fi", "\ufb02": "fl", "\ufb00": "ff", "\ufb03": "ffi", "\ufb04": "ffl",
+}
+_WRONG = re.compile("|".join(map(re.escape, sorted(WRONGLY_DECODED, key=len, reverse=True))))
+
+
 @F.pandas_udf(StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFKC")
+def _repaired(texts: pd.Series) -> pd.Series:
+    """Texts with wrongly decoded sequences replaced, in compatibility composition."""
+    return texts.str.replace(_WRONG, lambda m: WRONGLY_DECODED[m[0]], regex=True).str.normalize("NFKC")
 
 
 def clean_cell(value: Column) -> Column:
-    """A cell's text in compatibility composition, without control characters and glyph marks, white space squeezed, trailing dashes dropped.
+    """A cell's text: wrongly decoded sequences mended, composed for compatibility, without control characters (but tab and
+    line ends) and glyph marks; double bars are spaces, spaces are single, and dashes at the end are dropped. Null is empty.
 
-    Only texts with characters outside ASCII go to Python for the composition.
+    Only texts with characters outside ASCII go to Python.
     """
-    text = F.when(value.rlike(r"[^\x00-\x7F]"), _composed(value)).otherwise(value)
-    steps = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), (r"\(cid:[0-9]+\)", ""), (r"\s+", " ")]
-    return F.regexp_replace(F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)), r"[ \-]+$", "")
+    value = F.coalesce(value, F.lit(""))
+    text = F.when(value.rlike(r"[^\x00-\x7F]"), _repaired(value)).otherwise(value)
+    steps = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\(cid:\d+\)", ""), ("[\u2016\u2551]", " "), (r"  +", " "), (r"^\s+|\s+$", ""), ("[\u2014\u2013\u2012-]+$", "")]
+    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)

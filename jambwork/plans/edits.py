@@ -240,7 +240,7 @@ def x19_sibling_fill(spark, sf):
     return wanted.join(frame(spark, sf, "openings").select(F.col("door_number").alias("door"), "opening_id"), "door")
 
 
-@query("SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), '\\(cid:[0-9]+\\)', '', 'g'), '\\s+', ' ', 'g')), '[ \\-]+$', '') AS cell FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(replace(coalesce(text, ''), chr(160), ' ')), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\(cid:[0-9]+\\)', '', 'g'), '  +', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '[—–‒-]+$', '') AS cell FROM documents")
 def f10_clean_cells(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.clean_cell(F.coalesce("text", F.lit(""))).alias("cell"))
 

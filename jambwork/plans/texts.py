@@ -6,12 +6,12 @@ read. Two openings in a row share a format; in two of the three they share a pag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jambwork.operators import grammar
+from jambwork.operators import boxes, grammar, grids, pages
 from jambwork.plans.catalog import query
-from jambwork.sources.tables import frame
+from jambwork.sources.tables import frame, table
 
 #: Each item of an opening as the page's columns; n counts the opening's items.
 PARTS = """
@@ -99,3 +99,105 @@ def u05_items_once(spark, sf):
     """Items of each section without repeats, by model else name."""
     got = grammar.once(grammar.items(grammar.sectioned(schedule(spark, sf))))
     return got.withColumn("half", F.expr("line div 100000")).groupBy("page", "half").agg(F.count("*").alias("items"))
+
+
+#: Lists of a project's openings as grids: six columns, whose order is the project's; some have no doors, some are contacts.
+GRID = """
+SELECT project_id AS table_id, project_id % 50 AS page, r AS row, CAST((k + project_id) % 6 AS INT) AS col, CASE
+  WHEN r = 0 THEN CASE k WHEN 0 THEN 'Opening No.' WHEN 1 THEN 'HW Set' WHEN 2 THEN 'Swing' WHEN 3 THEN 'Fire Rating' WHEN 4 THEN 'Room Location' ELSE 'Type' END
+  WHEN k = 0 THEN CASE WHEN project_id % 7 = 0 THEN 'n/a' ELSE concat(100 + r, CASE WHEN opening_id % 2 = 0 THEN 'A' ELSE '' END) END
+  WHEN k = 1 THEN hw_set WHEN k = 2 THEN hand WHEN k = 3 THEN fire_rating
+  WHEN k = 4 THEN CASE WHEN project_id % 5 = 0 THEN 'call 555-123-4567' WHEN location = '' THEN NULL ELSE concat(' Corridor  from ', location, ' —') END ELSE 'HMD' END AS cell
+FROM (SELECT project_id, opening_id, hw_set, hand, fire_rating, location, CAST(row_number() OVER (PARTITION BY project_id ORDER BY opening_id) AS INT) AS r FROM {openings}
+  UNION ALL SELECT DISTINCT project_id, 0, '', '', '', '', 0 FROM {openings}) AS o, {ks} AS ks
+"""
+GRID_SQL = f"g AS ({_sql(GRID, openings='openings', ks='(SELECT unnest(range(6)) AS k)')}), sizes AS (SELECT project_id, count(*) AS n FROM openings GROUP BY 1)"
+
+
+def grid(spark: SparkSession, sf: str) -> DataFrame:
+    """(page, table_id, row, col, cell) of all projects' lists."""
+    return spark.sql(GRID, openings=frame(spark, sf, "openings"), ks=spark.range(6).selectExpr("CAST(id AS INT) AS k"))
+
+
+@query(f"WITH {GRID_SQL} SELECT project_id AS table_id, 0 AS header, field, ((k + project_id) % 6)::INT AS col FROM sizes, (VALUES ('door_number', 0), ('hw_set', 1), ('hand', 2), ('fire_rating', 3), ('location', 4), ('door_type', 5)) f(field, k) WHERE n >= 8 AND project_id % 7 <> 0")
+def s09_tables_by_content(spark, sf):
+    """Lists of openings and their columns, found by what cells hold."""
+    return grids.detected(grid(spark, sf))
+
+
+@query(f"WITH {GRID_SQL}, f AS (SELECT table_id, col, list(trim(regexp_replace(cell, '—', ''))) AS c FROM g WHERE row BETWEEN 1 AND 30 AND coalesce(cell, '') <> '' GROUP BY 1, 2), s AS (SELECT table_id, col, c, (col - table_id % 6 + 6) % 6 AS k FROM f WHERE len(c) >= 3) SELECT table_id, col, len(c) AS n, CASE k WHEN 0 THEN (table_id % 7 <> 0)::INT * 10000 ELSE 0 END::BIGINT AS door_number, CASE k WHEN 1 THEN 10000 WHEN 0 THEN (table_id % 7 <> 0)::INT * 10000 ELSE 0 END::BIGINT AS hw_set, CASE k WHEN 2 THEN 10000 ELSE 0 END::BIGINT AS hand, CASE WHEN k = 3 OR k = 0 AND table_id % 7 = 0 THEN 10000 WHEN k = 0 THEN 10000 * len(list_filter(c, lambda x: x = '120')) // len(c) ELSE 0 END::BIGINT AS fire_rating, CASE k WHEN 4 THEN 10000 ELSE 0 END::BIGINT AS location FROM s")
+def s08_value_scores(spark, sf):
+    """Shares of a column's values that look like some fields' values, below the first row."""
+    got = grids.value_scores(grid(spark, sf)).where("header = 0 and n >= 3")
+    share = lambda f: F.get(F.filter("scores", lambda x: x["field"] == f), F.lit(0))["score"].cast("long").alias(f)
+    return got.select("table_id", "col", "n", *map(share, ("door_number", "hw_set", "hand", "fire_rating", "location")))
+
+
+@query(f"WITH {GRID_SQL}, h AS (SELECT table_id, bool_or(cell <> '') AS said FROM g WHERE row BETWEEN 1 AND 5 AND (col - table_id % 6 + 6) % 6 = 2 GROUP BY 1) SELECT table_id, field, ((CASE WHEN table_id % 6 <> 5 THEN k WHEN field = 'door_number' THEN 1 WHEN field = 'hw_set' THEN 5 ELSE k END + table_id) % 6)::INT AS col, CASE WHEN field = 'door_type' OR field = 'hand' AND NOT said THEN 50 WHEN field = 'hw_set' AND table_id % 6 = 5 THEN 70 ELSE 100 END::BIGINT AS confidence FROM h, (VALUES ('door_number', 0), ('hw_set', 1), ('hand', 2), ('fire_rating', 3), ('location', 4), ('door_type', 5)) f(field, k) WHERE table_id % 6 <> 5 OR field <> 'door_type'")
+def s10_confidences(spark, sf):
+    """Mapped columns by headers and samples together. Sets look like doors: where their column is the first, it is taken for that of the doors."""
+    return grids.confidences(grid(spark, sf))
+
+
+@query(f"WITH {GRID_SQL} SELECT project_id % 50 AS page, min(project_id) AS table_id, 13308::BIGINT AS quality FROM sizes WHERE n >= 3 AND project_id % 7 <> 0 AND project_id % 5 <> 0 GROUP BY 1")
+def x05_schedule_tables(spark, sf):
+    """The best list of doors of each page."""
+    return grids.schedules(grid(spark, sf))
+
+
+#: Words of pages with places: ten a line, in columns that don't quite line up.
+PLACED = "SELECT page_id AS page, page_id * 1000000 + i AS word_id, CAST(i % 10 * 50 + (i * 7 + page_id) % 23 AS DOUBLE) AS x0, CAST(i % 10 * 50 + (i * 7 + page_id) % 23 + 5 * length(w) AS DOUBLE) AS x1, CAST(CAST(floor(i / 10) AS BIGINT) * 12 + i % 3 AS DOUBLE) AS top, CAST(CAST(floor(i / 10) AS BIGINT) * 12 + i % 3 + 9 AS DOUBLE) AS bottom, w AS text FROM {words}"
+PLACED_SQL = f"""t AS (SELECT page_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '\\s+'), lambda x: x <> '') AS ws FROM pages),
+w AS (SELECT page_id, unnest(ws) AS w, (generate_subscripts(ws, 1) - 1)::BIGINT AS i FROM t), b AS ({PLACED.format(words='w')})"""
+#: Three columns a page, and regions of all sizes: one a line, some squares, and a page whole.
+COLUMNS = "SELECT page_id AS page, k AS col, CAST(k * 170 + page_id % 40 AS DOUBLE) AS start FROM {pages} AS p, {ks} AS ks"
+REGIONS = """SELECT page_id * 10 + k AS region_id, page_id AS page, CAST(CASE WHEN k = 3 THEN -5 ELSE k * 90 + page_id % 50 END AS DOUBLE) AS x0, CAST(CASE WHEN k = 3 THEN 5000 ELSE k * 90 + 60 * (k + 1) + page_id % 50 END AS DOUBLE) AS x1,
+CAST(CASE WHEN k = 3 THEN 0 ELSE k * 24 END AS DOUBLE) AS top, CAST(CASE WHEN k = 3 THEN 100 + page_id ELSE k * 24 + 30 * (k + 1) END AS DOUBLE) AS bottom FROM {pages} AS p, {ks} AS ks"""
+
+
+def placed(spark: SparkSession, sf: str) -> DataFrame:
+    """(page, word_id, x0, x1, top, bottom, text) of all words of all pages."""
+    ws = F.filter(F.split(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "), r"\s+"), lambda x: x != "")
+    return spark.sql(PLACED, words=table(spark, sf, "pages").select("page_id", F.posexplode(ws).alias("i", "w")))
+
+
+def _laid(spark: SparkSession, sf: str, text: str, n: int) -> DataFrame:
+    return spark.sql(text, pages=table(spark, sf, "pages").select("page_id"), ks=spark.range(n).selectExpr("CAST(id AS INT) AS k"))
+
+
+KS = "(SELECT unnest(range({}))::INT AS k)"
+
+
+@query(f"WITH {PLACED_SQL}, c AS ({COLUMNS.format(pages='pages', ks=KS.format(3))}) SELECT b.page, word_id, col FROM b ASOF LEFT JOIN c ON b.page = c.page AND b.x0 + 10 >= c.start")
+def s12_words_to_columns(spark, sf):
+    """Each word's column: the last that starts before it."""
+    return pages.nearest_column(placed(spark, sf), _laid(spark, sf, COLUMNS, 3))
+
+
+@query(f"WITH {PLACED_SQL}, c AS ({COLUMNS.format(pages='pages', ks=KS.format(3))}) SELECT b.page AS table_id, floor(top / 12)::INT AS row, col, string_agg(text, ' ' ORDER BY x0, word_id) AS cell FROM b ASOF JOIN c ON b.page = c.page AND b.x0 + 10 >= c.start GROUP BY 1, 2, 3")
+def s12_cells(spark, sf):
+    """Cells of pages by lines and columns of words."""
+    return boxes.cells(placed(spark, sf), _laid(spark, sf, COLUMNS, 3))
+
+
+@query(f"WITH {PLACED_SQL}, r AS ({REGIONS.format(pages='pages', ks=KS.format(4))}) SELECT region_id, count(*) AS n, sum(word_id)::BIGINT AS words FROM r JOIN b ON r.page = b.page AND b.x0 >= r.x0 AND b.x1 <= r.x1 AND b.top >= r.top AND b.bottom <= r.bottom GROUP BY 1")
+def s17_regions(spark, sf):
+    """Words within regions of very different sizes, without a product."""
+    return boxes.within(_laid(spark, sf, REGIONS, 4), placed(spark, sf)).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("word_id").alias("words"))
+
+
+@query(f"WITH {PLACED_SQL}, r AS ({REGIONS.format(pages='pages', ks=KS.format(4))}), l AS (SELECT region_id, floor(b.top / 12) AS line, string_agg(text, ' ' ORDER BY b.x0, word_id) AS text, count(*) AS n FROM r JOIN b ON r.page = b.page AND b.x0 >= r.x0 AND b.x1 <= r.x1 AND b.top >= r.top AND b.bottom <= r.bottom GROUP BY 1, 2) SELECT region_id, sum(n)::BIGINT AS n, string_agg(text, chr(10) ORDER BY line) AS text FROM l GROUP BY 1")
+def s17_region_texts(spark, sf):
+    """The text of each region in reading order."""
+    return boxes.region_texts(_laid(spark, sf, REGIONS, 4), placed(spark, sf))
+
+
+@query(f"WITH {GRID_SQL}, o AS (SELECT opening_id, project_id, hw_set, row_number() OVER (PARTITION BY project_id ORDER BY opening_id) AS r, count(*) OVER (PARTITION BY project_id) AS n FROM openings), d AS (SELECT project_id AS table_id, concat(100 + r, CASE WHEN opening_id % 2 = 0 THEN 'A' ELSE '' END) AS door_number, hw_set, n >= 8 AND project_id % 7 <> 0 AS whole, r % 3 = 0 AS also FROM o) SELECT table_id, door_number, CASE WHEN whole THEN hw_set ELSE 'late' END AS hw_set, CASE WHEN whole THEN 0 ELSE 1 END AS strategy FROM d WHERE whole OR also UNION ALL SELECT table_id, 'ST-100', 'late', 1 FROM d WHERE also GROUP BY 1")
+def s11_openings(spark, sf):
+    """Openings of lists found by content, and of a second list for what the first lacks."""
+    g = grid(spark, sf)
+    first = boxes.openings(g, grids.detected(g)).select("table_id", "row", "door_number", "hw_set")
+    o = frame(spark, sf, "openings").withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy("opening_id"))).where("r % 3 = 0")
+    second = o.selectExpr("project_id AS table_id", "r AS row", "concat(100 + r, IF(opening_id % 2 = 0, 'A', '')) AS door_number", "'late' AS hw_set")
+    third = o.selectExpr("project_id AS table_id", "r AS row", "'ST-100' AS door_number", "'late' AS hw_set")
+    return boxes.openings_by_priority([first, second.unionByName(third)], ["table_id"]).select("table_id", "door_number", "hw_set", "strategy")
