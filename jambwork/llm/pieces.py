@@ -39,7 +39,7 @@ from jambwork.llm.common import arrow_map, table
 #: What a space is in pieces; here it is a space everywhere.
 MARK = "▁"
 #: Segments of up to so many characters share arrays and are cached; segments that the cache holds; characters at once.
-SHORT, CACHED, AT_ONCE = 64, 600_000, 1 << 21
+SHORT, CACHED, AT_ONCE = 64, 300_000, 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
