@@ -83,23 +83,3 @@ def merged_pages(sets: DataFrame) -> DataFrame:
     )
     rows = rows.where((F.col("items") > 0) | (F.size("doors") > 0))
     return rows.select("set_id", "items", F.greatest("said", F.size("doors").cast("long")).alias("door_count"), F.array_join("doors", ",").alias("doors"), F.coalesce("convention", F.lit("unknown")).alias("convention"))
-
-
-def matched_sets(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Sets (set_id, heading) of two sources, each once: by equal ids, then by ids without spaces and hyphens, then by headings that share half of their words at least.
-
-    In the last pass the right's sets take their best free one in the order of their ids; a pair that both want first is taken, and what stays is asked again.
-    """
-    one = left.join(right, "set_id").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1).alias("tier"))
-    rest = lambda l, r, got: (l.join(got.select(F.col("a").alias("set_id")), "set_id", "left_anti"), r.join(got.select(F.col("b").alias("set_id")), "set_id", "left_anti"))  # noqa: E731, E741
-    x, y = rest(left, right, one)
-    kx, ky = (d.groupBy(T.set_key(F.col("set_id")).alias("k")).agg(F.min("set_id").alias(n)) for d, n in ((x, "a"), (y, "b")))
-    two = kx.join(ky, "k").select("a", "b", F.lit(2).alias("tier"))
-    x, y = rest(x, y, two)
-    tx, ty = (d.select(F.col("set_id").alias(n), T.tokens(F.col("heading")).alias(f"t{n}")) for d, n in ((x, "a"), (y, "b")))
-    met = tx.withColumn("t", F.explode("ta")).join(ty.withColumn("t", F.explode("tb")), "t").select("a", "b", "ta", "tb").distinct()
-    score = F.round(T.jaccard(F.col("ta"), F.col("tb")), 6)
-    pairs = met.select("a", "b", score.alias("score")).where("score >= 0.5")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("score"), F.col("a"))).alias("a"), F.max("score").alias("score"))
-    three = best.groupBy("a").agg(F.min("b").alias("b")).select("a", "b", F.lit(3).alias("tier"))
-    return one.unionByName(two).unionByName(three)

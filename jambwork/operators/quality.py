@@ -53,9 +53,9 @@ def leaf_violations(openings: DataFrame, items: DataFrame) -> DataFrame:
     own = S.per_distinct(own, ["name", "model"], scope=C.scope(F.col("name"), F.col("model")), kind=C.category(F.col("name"), F.col("model")))
     # kinds are judged after the grouping, so that they are worked out for distinct names only
     qty = F.coalesce("qty", F.lit(0))
-    by_leaf = own.groupBy("opening_id", "name").agg(F.bool_or(F.col("leaf_side") == "active").alias("a"), F.bool_or(F.col("leaf_side") == "inactive").alias("i"), F.max(qty).alias("most"), F.sum(qty).alias("sum"), F.max("scope").alias("scope"))
+    by_leaf = own.where("scope = 'per_leaf'").groupBy("opening_id", "name").agg(F.bool_or(F.col("leaf_side") == "active").alias("a"), F.bool_or(F.col("leaf_side") == "inactive").alias("i"), F.max(qty).alias("most"), F.sum(qty).alias("sum"))
     band = (F.col("sum") < F.col("most")) | (F.col("sum") > 2 * F.col("most"))
-    sums = by_leaf.where((F.col("scope") == "per_leaf") & F.col("a") & F.col("i") & band).select(F.lit("per_leaf_qty_sum_mismatch").alias("rule"), "opening_id", "name")
+    sums = by_leaf.where(F.col("a") & F.col("i") & band).select(F.lit("per_leaf_qty_sum_mismatch").alias("rule"), "opening_id", "name")
     key = [F.lower(F.trim("name")).alias("name"), F.lower(F.trim(F.coalesce("model", F.lit("")))).alias("model"), F.coalesce("leaf_side", F.lit("unknown")).alias("side")]
     hinges = own.groupBy("opening_id", *key).agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where((F.col("n") > 1) & (F.col("kind") == "hinges")).select(F.lit("pair_leaf_hinge_duplication").alias("rule"), "opening_id", "name")
     return sums.unionByName(hinges).withColumn("severity", F.lit("warning"))

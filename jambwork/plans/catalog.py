@@ -24,7 +24,8 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {frames_sql()}, {sql.strip()[5:]}" if sql.strip().startswith("WITH ") else f"WITH {frames_sql()} {sql.strip()}"
+            head = next((x for x in ("WITH RECURSIVE ", "WITH ") if sql.strip().startswith(x)), "")
+            ORACLE_SQL[f.__name__] = f"{head or 'WITH '}{frames_sql()}{',' if head else ''} {sql.strip().removeprefix(head)}"
         return f
 
     return keep

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from jambwork.functions import text as T
-from jambwork.operators import edits, lines, pages, sets, views
+from jambwork.operators import edits, lines, matching, pages, sets, views
 from jambwork.plans.catalog import query
 from jambwork.sources.tables import frame, table
 
@@ -76,12 +76,48 @@ def u06_merged_pages(spark, sf):
     return edits.merged_pages(s)
 
 
-@query("WITH l AS (SELECT DISTINCT 'DH-' || (opening_id % 30) AS set_id FROM openings), r AS (SELECT DISTINCT CASE WHEN opening_id % 30 < 10 THEN 'DH-' || (opening_id % 30) WHEN opening_id % 30 < 20 THEN 'dh ' || (opening_id % 30) ELSE 'set ' || (opening_id % 30) END AS set_id, opening_id % 30 AS n FROM openings) SELECT 'DH-' || n AS a, set_id AS b, CASE WHEN n < 10 THEN 1 WHEN n < 20 THEN 2 ELSE 3 END::INT AS tier FROM r WHERE 'DH-' || n IN (SELECT set_id FROM l)")
+#: Two sources' sets of each project: ids equal, nearly equal or unlike, headings of few words, so that many want the same.
+SETS_A = "SELECT project_id, hw_set AS set_id, min(opening_id) AS pos, min(concat(lower(location), ' ', status, ' doors')) AS heading FROM {o} GROUP BY project_id, hw_set"
+SETS_B = "SELECT project_id, CASE n % 3 WHEN 0 THEN hw_set WHEN 1 THEN concat('dh-', substr(hw_set, 3)) ELSE concat('Set ', n, ' of ', hw_set) END AS set_id, n AS pos, heading FROM (SELECT project_id, hw_set, max(opening_id) AS n, max(concat(status, ' DOORS ', location)) AS heading FROM {o} GROUP BY project_id, hw_set)"
+
+
+@query(rf"""WITH RECURSIVE x AS ({SETS_A.format(o='openings')}), y AS ({SETS_B.format(o='openings')}),
+one AS (SELECT x.project_id, x.set_id AS a, y.set_id AS b FROM x JOIN y USING (project_id, set_id)),
+two AS (SELECT x.project_id, x.set_id AS a, y.set_id AS b FROM x JOIN y ON x.project_id = y.project_id AND lower(x.set_id) = replace(lower(y.set_id), '-', '') WHERE (x.project_id, x.set_id) NOT IN (SELECT project_id, a FROM one) AND (y.project_id, y.set_id) NOT IN (SELECT project_id, b FROM one)),
+got AS (SELECT *, 1 AS tier FROM one UNION ALL SELECT *, 2 FROM two),
+fx AS (SELECT *, list_distinct(list_filter(string_split(lower(heading), ' '), lambda z: z <> '')) AS w FROM x WHERE (project_id, set_id) NOT IN (SELECT project_id, a FROM got)),
+fy AS (SELECT *, list_distinct(list_filter(string_split(lower(heading), ' '), lambda z: z <> '')) AS w FROM y WHERE (project_id, set_id) NOT IN (SELECT project_id, b FROM got)),
+p AS (SELECT fx.project_id, fx.set_id AS a, fx.pos AS a_pos, fy.set_id AS b, fy.pos AS b_pos, len(list_intersect(fx.w, fy.w)) / (len(fx.w) + len(fy.w) - len(list_intersect(fx.w, fy.w))) AS score FROM fx JOIN fy USING (project_id)),
+c AS (SELECT project_id, b, list(a ORDER BY score DESC, a_pos, a) AS cands, row_number() OVER (PARTITION BY project_id ORDER BY b_pos, b) AS k FROM p WHERE score >= 0.5 GROUP BY project_id, b, b_pos),
+s AS (SELECT DISTINCT project_id, 0::BIGINT AS k, []::VARCHAR[] AS taken, NULL::VARCHAR AS a, NULL::VARCHAR AS b FROM c UNION ALL SELECT s.project_id, c.k, CASE WHEN len(list_filter(cands, lambda z: NOT list_contains(taken, z))) > 0 THEN list_append(taken, list_filter(cands, lambda z: NOT list_contains(taken, z))[1]) ELSE taken END, list_filter(cands, lambda z: NOT list_contains(taken, z))[1], c.b FROM s JOIN c ON c.project_id = s.project_id AND c.k = s.k + 1)
+SELECT project_id, a, b, tier::INT AS tier FROM got UNION ALL SELECT project_id, a, b, 3 FROM s WHERE a IS NOT NULL""")
 def j17_matched_sets(spark, sf):
-    n = frame(spark, sf, "openings").selectExpr("opening_id % 30 AS n").distinct()
-    left = n.selectExpr("concat('DH-', n) AS set_id", "concat('Office number', n, ' doors') AS heading")
-    right = n.selectExpr("CASE WHEN n < 10 THEN concat('DH-', n) WHEN n < 20 THEN concat('dh ', n) ELSE concat('set ', n) END AS set_id", "concat('office NUMBER', n, ' doors wide') AS heading")
-    return edits.matched_sets(left, right)
+    """Sets of two sources, in turn where several want the same."""
+    o = frame(spark, sf, "openings")
+    return matching.matched_sets(spark.sql(SETS_A, o=o), spark.sql(SETS_B, o=o), ["project_id"])
+
+
+#: Items of two sources: of the second's some are in capitals, some are others, some come twice.
+ITEMS_A = "SELECT opening_id, pos, name, qty, model AS manufacturer, model, leaf_side AS finish FROM (SELECT *, row_number() OVER (PARTITION BY opening_id, pos ORDER BY name, qty) AS k FROM {h}) WHERE k = 1"
+ITEMS_B = "SELECT opening_id, pos * 2 + 1 AS pos, CASE pos % 4 WHEN 0 THEN upper(name) WHEN 1 THEN concat('zzz', pos) ELSE name END AS name, CASE WHEN pos % 5 = 0 THEN qty + 1 ELSE qty END AS qty, CASE WHEN pos % 7 = 0 THEN '' ELSE upper(manufacturer) END AS manufacturer, CASE WHEN pos % 3 = 0 THEN 'M2' ELSE model END AS model, finish FROM {a} UNION ALL SELECT opening_id, pos * 2 + 2, lower(name), qty, '', '', '' FROM {a} WHERE pos % 6 = 0"
+
+
+def _field_sql(f: str, second: bool) -> str:
+    x, y = f"coalesce(a.{f}::VARCHAR, '')", f"coalesce(b.{f}::VARCHAR, '')"
+    value = f"CASE WHEN a.pos IS NULL OR {x} = '' THEN {y} WHEN b.pos IS NULL OR {y} = '' OR lower({x}) = lower({y}) THEN {x} ELSE {y if second else x} END"
+    return f"{value} AS {f}, CASE WHEN a.pos IS NULL OR b.pos IS NULL THEN 1 WHEN {x} = '' AND {y} = '' THEN 0 WHEN {x} = '' OR {y} = '' THEN 1 WHEN lower({x}) = lower({y}) THEN 2 ELSE 0 END AS c_{f}"
+
+
+@query(rf"""WITH ia AS ({ITEMS_A.format(h='hardware')}), ib AS ({ITEMS_B.format(a='ia')}), fa AS (SELECT opening_id, name, min(pos) AS pos FROM ia GROUP BY 1, 2), w AS (SELECT DISTINCT ib.opening_id, ib.name AS asked, coalesce(max(fa.name) FILTER (fa.name = ib.name) OVER v, min(fa.name) OVER v) AS name FROM ib JOIN fa ON fa.opening_id = ib.opening_id AND lower(fa.name) = lower(ib.name) WINDOW v AS (PARTITION BY ib.opening_id, ib.name)),
+m AS (SELECT ib.opening_id, w.name, min(ib.pos) AS b_pos FROM ib JOIN w ON w.opening_id = ib.opening_id AND w.asked = ib.name GROUP BY 1, 2), j AS (SELECT m.opening_id, fa.pos AS a_pos, b_pos FROM m JOIN fa USING (opening_id, name)),
+l AS (SELECT ia.opening_id, ia.pos AS a_pos, j.b_pos FROM ia LEFT JOIN j ON j.opening_id = ia.opening_id AND j.a_pos = ia.pos UNION ALL SELECT opening_id, NULL, pos FROM ib WHERE (opening_id, pos) NOT IN (SELECT opening_id, b_pos FROM j)),
+f AS (SELECT l.opening_id, l.a_pos, l.b_pos, {', '.join(_field_sql(f, second) for f, second in matching.FIELDS.items())} FROM l LEFT JOIN ia a ON a.opening_id = l.opening_id AND a.pos = l.a_pos LEFT JOIN ib b ON b.opening_id = l.opening_id AND b.pos = l.b_pos)
+SELECT opening_id, a_pos, b_pos, name, qty, manufacturer, model, finish, ['conflict', 'single_source', 'full'][least(c_name, c_qty, c_manufacturer, c_model, c_finish) + 1] AS overall FROM f""")
+def m08_reconciled_items(spark, sf):
+    """Items of two sources, paired by their names and reconciled field by field."""
+    a = spark.sql(ITEMS_A, h=frame(spark, sf, "hardware"))
+    got = matching.reconciled_items(a, spark.sql(ITEMS_B, a=a), "opening_id")
+    return got.select("opening_id", "a_pos", "b_pos", *(F.col(f)["value"].alias(f) for f in matching.FIELDS), "overall")
 
 
 @query("WITH s AS (SELECT hw_set AS set_id, arg_max(location, length(location) * 1000000000 - opening_id) AS heading, min(opening_id) AS pos, count(*) AS chunks FROM openings GROUP BY 1) SELECT * FROM s")

@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows written to the folder that all executors share (spark.checkpoint.dir) and read again: computed once, and lineage ends here.
+
+    Only a local session without the setting gets a folder of its own.
+    """
+    spark = rows.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+        root = tempfile.mkdtemp(prefix="jambwork-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def export_rows(openings: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each item, and one with blank cells for an opening without items."""
     rows = openings.join(items, "opening_id", "left")
