@@ -105,9 +105,19 @@ def hand(value: Column) -> Column:
     return F.nullif(F.regexp_extract(F.upper(value), r"\b([RL]H)(RA?)?\b", 1), F.lit(""))
 
 
+#: A rating of up to three digits of minutes, or of one to three hours.
+RATING = r"(?i)\b(\d{1,3}\s*min(?:ute)?s?|[123](?:\.5)?\s*h(?:ou)?rs?)\b"
+
+
 def fire_rating(value: Column) -> Column:
-    """The first rating in minutes or hours of a text; null if there is none."""
-    return F.nullif(F.regexp_extract(F.upper(value), r"\b([0-9]+(?:\.[0-9])?\s*(?:MIN(?:UTE)?S?|HR|HOURS?))\b", 1), F.lit(""))
+    """The first rating in minutes or hours of a text, as it stands there but in capitals; null if there is none."""
+    return F.nullif(F.regexp_extract(F.upper(value), RATING, 1), F.lit(""))
+
+
+def without_rating(value: Column) -> Column:
+    """A text without its first rating."""
+    at = F.regexp_instr(value, F.lit(RATING))
+    return F.when(at > 0, F.trim(F.concat(F.substr(value, F.lit(1), at - 1), F.substr(value, at + F.length(F.regexp_substr(value, F.lit(RATING))))))).otherwise(value)
 
 
 def fire_rated(value: Column) -> Column:
@@ -122,15 +132,20 @@ def flag(value: Column) -> Column:
 
 
 def opening_size(value: Column) -> Column:
-    """(width, height) in inches of 3'0" x 7'0", of 3070, or of 914 x 2134 in millimetres; null if nothing fits."""
+    """(width, height) in inches of a text that holds 3'0" x 7'0", or is 3070 or 30100, 36 x 84, or 914 x 2134 in millimetres; null if nothing fits.
+
+    Digits alone count if they are 20 to 120 by 60 to 144 inches; of five digits the first three are the width.
+    Plain numbers count from 20 to 144 by 60 to 144, or as millimetres if both are 300 or more.
+    """
+    value = F.trim(value)
     part = lambda pattern, *i: [F.try_to_number(F.nullif(F.regexp_extract(value, pattern, k), F.lit("")), F.lit("99999")) for k in i]
-    feet = r"""^\s*([0-9]+)'\s*-?([0-9]*)"?\s*[xX]\s*([0-9]+)'\s*-?([0-9]*)"?\s*$"""
-    a, b, c, d = part(feet, 1, 2, 3, 4)
-    e, f, g, h = part(r"^\s*([0-9])([0-9])([0-9])([0-9])\s*$", 1, 2, 3, 4)
-    m, n = part(r"^\s*([0-9]{3,4})\s*(?:mm)?\s*[xX]\s*([0-9]{3,4})\s*(?:mm)?\s*$", 1, 2)
+    a, b, c, d = part(r"""(\d+)\s*'\s*[-\s]?\s*(\d{1,2})?\s*"?\s*[x×X*]\s*(\d+)\s*'\s*[-\s]?\s*(\d{1,2})?\s*"?""", 1, 2, 3, 4)
+    e, f, g, h = part(r"^(\d{1,2})(\d)(\d)(\d)$", 1, 2, 3, 4)
+    m, n = part(r"""^(\d{2,4})\s*"?\s*[x×X*]\s*(\d{2,4})\s*"?$""", 1, 2)
     size = lambda w, h: F.struct(w.cast("double").alias("width"), h.cast("double").alias("height"))
-    none = F.lit(0)
-    return F.when(a.isNotNull() & c.isNotNull(), size(12 * a + F.coalesce(b, none), 12 * c + F.coalesce(d, none))).when(e.isNotNull(), size(12 * e + f, 12 * g + h)).when((m >= 300) & (n >= 300), size(F.round(m / 25.4, 1), F.round(n / 25.4, 1)))
+    none, width, height = F.lit(0), 12 * e + f, 12 * g + h
+    out = F.when(a.isNotNull() & c.isNotNull(), size(12 * a + F.coalesce(b, none), 12 * c + F.coalesce(d, none))).when(width.between(20, 120) & height.between(60, 144), size(width, height))
+    return out.when((m >= 300) & (n >= 300), size(F.round(m / 25.4, 1), F.round(n / 25.4, 1))).when(m.between(20, 144) & n.between(60, 144), size(m, n))
 
 
 def level(score: Column) -> Column:

@@ -83,3 +83,14 @@ def merged_pages(sets: DataFrame) -> DataFrame:
     )
     rows = rows.where((F.col("items") > 0) | (F.size("doors") > 0))
     return rows.select("set_id", "items", F.greatest("said", F.size("doors").cast("long")).alias("door_count"), F.array_join("doors", ",").alias("doors"), F.coalesce("convention", F.lit("unknown")).alias("convention"))
+
+
+def stamped_ratings(rows: DataFrame, rating: str, *fields: str) -> DataFrame:
+    """rows whose blank rating is the first found in the fields, one after another; it is taken out of the field that had it."""
+    blank = T.blank_to_null(F.col(rating)).isNull()
+    found = [F.coalesce(T.fire_rating(F.col(f)), F.lit("")) for f in fields]
+    earlier, out = F.lit(False), {}
+    for f, x in zip(fields, found, strict=True):
+        out[f] = F.when(blank & ~earlier & (x != ""), T.without_rating(F.col(f))).otherwise(F.col(f))
+        earlier = earlier | (x != "")
+    return rows.withColumns(out | {rating: F.when(blank, F.coalesce(*(F.nullif(x, F.lit("")) for x in found), F.lit(""))).otherwise(F.col(rating))})

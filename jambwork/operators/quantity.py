@@ -16,17 +16,19 @@ def normalise(rows: DataFrame) -> DataFrame:
 
     A final quantity stays. One that needs division and divides is divided; a
     hinge's is rounded up; another is rounded and flagged. One that needs a cap
-    is cut to `most`. What it was is kept as qty_total where it changes.
+    is cut to `most`. Of hands that come both ways each is 1, and what needs a
+    review is flagged as it is. What it was is kept as qty_total where it changes.
     """
     q, d = F.col("qty"), F.col("divisor")
     terminal = F.col("qty_source").isin(*TERMINAL)
     divides = ~terminal & (F.col("qty_source") == "needs_division") & (d > 1) & (q >= d)
     even, hinge = divides & (F.pmod(q, F.greatest(d, F.lit(1))) == 0), divides & F.col("is_hinge")
     cap = ~terminal & (F.col("qty_source") == "needs_cap") & (q > F.col("most"))
+    hands, review = F.col("qty_source") == "rhr_lhr_pair", F.col("qty_source") == "needs_review"
     share = q / F.greatest(d, F.lit(1))
-    new = F.when(even, share).when(hinge, F.ceil(share)).when(divides, F.floor(share + 0.5)).when(cap, F.col("most")).otherwise(q)
-    source = F.when(even | hinge, "divided").when(divides, "flagged").when(cap, "capped").otherwise(F.col("qty_source"))
-    return rows.withColumns({"qty_total": F.when(divides | cap, q), "qty_source": source, "qty": new.cast("long")})
+    new = F.when(hands, 1).when(even, share).when(hinge, F.ceil(share)).when(divides, F.floor(share + 0.5)).when(cap, F.col("most")).otherwise(q)
+    source = F.when(even | hinge | hands, "divided").when(divides | review, "flagged").when(cap, "capped").otherwise(F.col("qty_source"))
+    return rows.withColumns({"qty_total": F.when(divides | cap | hands, q), "qty_source": source, "qty": new.cast("long")})
 
 
 def leaf_rows(items: DataFrame) -> DataFrame:

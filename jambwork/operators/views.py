@@ -82,10 +82,16 @@ def numeric_last(column: Column, sentinel: str = "Unassigned") -> tuple[Column,
     return column == sentinel, F.when(column != sentinel, column.cast("double"))
 
 
-def natural_key(column: Column, width: int = 8) -> Column:
-    """A text that sorts like its column with runs of digits as numbers."""
-    runs = F.regexp_extract_all(column, F.lit("([0-9]+|[^0-9]+)"))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, width, "0")).otherwise(F.lower(x))), "")
+def natural_key(column: Column) -> Column:
+    """An array that sorts like its column with runs of digits as numbers, of any length: for each run (whether it is no number, how many digits, the run in lower case)."""
+    runs = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit("([0-9]+|[^0-9]+)"))
+
+    def run(x: Column) -> Column:
+        digits = x.rlike("^[0-9]")
+        plain = F.when(digits, F.regexp_replace(x, "^0+(?=.)", "")).otherwise(F.lower(x))
+        return F.struct((~digits).alias("word"), F.when(digits, F.length(plain)).otherwise(0).alias("size"), plain.alias("run"))
+
+    return F.transform(runs, run)
 
 
 def legal(before: Column, after: Column) -> Column:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jambwork.operators import boxes, grammar, grids, pages
+from jambwork.operators import annotation, boxes, edits, grammar, grids, pages, quantity
+from jambwork.functions import taxonomy as C
+from jambwork.functions import text as T
 from jambwork.plans.catalog import query
 from jambwork.sources.tables import frame, table
 
@@ -201,3 +203,56 @@ def s11_openings(spark, sf):
     second = o.selectExpr("project_id AS table_id", "r AS row", "concat(100 + r, IF(opening_id % 2 = 0, 'A', '')) AS door_number", "'late' AS hw_set")
     third = o.selectExpr("project_id AS table_id", "r AS row", "'ST-100' AS door_number", "'late' AS hw_set")
     return boxes.openings_by_priority([first, second.unionByName(third)], ["table_id"]).select("table_id", "door_number", "hw_set", "strategy")
+
+
+#: Sets of projects and their openings: by its number, a set's heading says its doors, or openings name it as their heading, by its generic id, or with a hyphen.
+NUMBERED = "SELECT project_id, opening_id, leaf_count, opening_id % 40 AS n, concat('H', lpad(CAST(opening_id % 40 AS STRING), 3, '0')) AS set_id FROM {openings}"
+SETS = "SELECT project_id, set_id, n, CASE WHEN n % 5 = 2 THEN concat('G', n) ELSE set_id END AS generic_id, CASE WHEN n % 5 = 0 THEN count(*) ELSE 0 END AS heading_doors, CASE WHEN n % 5 = 0 THEN CAST(sum(leaf_count) AS BIGINT) ELSE 0 END AS heading_leaves, CASE WHEN n % 7 = 0 THEN 'per_opening' ELSE 'unknown' END AS convention FROM {o} GROUP BY project_id, set_id, n"
+NAMED = "SELECT project_id, leaf_count, CASE WHEN n % 5 = 1 THEN set_id ELSE '' END AS hw_heading, CASE n % 5 WHEN 2 THEN concat('g', n) WHEN 3 THEN concat('h-', substr(set_id, 2), 'x') ELSE NULL END AS hw_set FROM {o}"
+TOTALS = "SELECT project_id, set_id, name, CAST(sum(qty) AS BIGINT) AS qty, min(pos) AS pos FROM (SELECT project_id, set_id, pos, qty, CASE WHEN name = 'Lockset RHR' AND leaf_side <> 'shared' THEN CASE leaf_side WHEN 'active' THEN 'Lockset RHR' ELSE 'Lockset LHR' END ELSE name END AS name FROM {h} JOIN {o} USING (opening_id)) GROUP BY project_id, set_id, name"
+#: Category, the most of it on an opening, and what a set's total is divided by.
+KINDS = "k(name, category, most, pref) AS (VALUES ('Hinge', 'hinge', 5, 'leaf'), ('Hinges', 'hinge', 5, 'leaf'), ('Continuous Hinge', 'continuous_hinge', 2, 'leaf'), ('Lockset RHR', 'lockset', 1, 'opening'), ('Lockset LHR', 'lockset', 1, 'opening'), ('Exit Device 99EO US26D', 'exit_device', 2, 'leaf'), ('Flush Bolt', 'flush_bolt', 2, 'opening_only'), ('Closer LH', 'closer', 2, 'opening'), ('Kick Plate', 'kick_plate', 2, 'leaf'), ('Wall Stop', 'stop', 2, 'leaf'), ('Threshold', 'threshold', 1, 'opening_only'), ('Gasketing', 'seal', 3, 'opening_only'), ('Silencer', 'silencer', 4, 'opening'), ('Coordinator', 'coordinator', 1, 'opening_only'), ('Auto Operator', 'auto_operator', 1, 'opening'), ('Cylinder Housing', 'cylinder', 2, 'opening'), ('Permanent Core', 'cylinder', 2, 'opening'), ('Astragal', 'astragal', 1, 'opening_only'), ('Strike', 'strike', 2, 'opening'))"
+ANNOTATED = f"""no AS ({_sql(NUMBERED, openings='openings')}), st AS ({_sql(SETS, o='no')}), tt AS ({_sql(TOTALS, h='hardware', o='no')}), {KINDS},
+d AS (SELECT project_id, set_id, n, convention, CASE WHEN n % 5 < 4 THEN count(*) ELSE 0 END AS doors, CASE WHEN n % 5 < 4 THEN sum(leaf_count) ELSE 0 END::BIGINT AS leaves, ['heading', 'opening', 'generic', 'crossed', 'none'][n % 5 + 1] AS origin FROM st JOIN no USING (project_id, set_id, n) GROUP BY project_id, set_id, n, convention),
+a AS (SELECT d.project_id, d.set_id, tt.name, pos, qty, origin, category, coalesce(most, 4) AS most, doors, leaves, convention = 'per_opening' AND doors > 1 AS every, doors <= 1 AND leaves <= 1 AS single, CASE WHEN pref = 'leaf' AND leaves > 1 THEN leaves WHEN doors > 1 THEN doors END AS dv FROM tt JOIN d USING (project_id, set_id) LEFT JOIN k USING (name)),
+s AS (SELECT *, CASE WHEN single AND NOT every AND qty > most THEN 'needs_cap' WHEN NOT every AND NOT single AND dv > 1 AND qty >= dv THEN 'needs_division' ELSE 'parsed' END AS src, count(DISTINCT name) FILTER (name LIKE 'Lockset %') OVER (PARTITION BY project_id, set_id) AS hands, bool_or(name = 'Auto Operator') OVER (PARTITION BY project_id, set_id) AS auto FROM a),
+r AS (SELECT *, CASE WHEN src = 'needs_division' AND hands > 1 AND name LIKE 'Lockset %' THEN 'rhr_lhr_pair' WHEN src = 'needs_division' AND auto AND category = 'closer' THEN 'needs_review' ELSE src END AS qty_source, CASE WHEN NOT single OR every OR qty > most THEN qty END AS qty_total, CASE WHEN every THEN doors WHEN single THEN NULL WHEN src = 'needs_division' THEN dv WHEN qty < coalesce(dv, 2) THEN coalesce(dv, nullif(doors, 0)) END AS divisor FROM s)"""
+
+
+def _annotated(spark: SparkSession, sf: str) -> DataFrame:
+    o = spark.sql(NUMBERED, openings=frame(spark, sf, "openings"))
+    items = spark.sql(TOTALS, h=frame(spark, sf, "hardware"), o=o).withColumn("model", F.lit(""))
+    return annotation.annotated(items, spark.sql(SETS, o=o), spark.sql(NAMED, o=o), "project_id")
+
+
+@query(f"WITH {ANNOTATED} SELECT project_id, set_id, name, pos, qty, origin, qty_source, qty_total, divisor FROM r")
+def m04_annotated(spark, sf):
+    """What the quantities of all sets' items are to be divided by, and why."""
+    return _annotated(spark, sf).select("project_id", "set_id", "name", "pos", "qty", "origin", "qty_source", "qty_total", "divisor")
+
+
+@query(f"""WITH {ANNOTATED}, v AS (SELECT *, qty_source = 'needs_division' AS divides, qty % greatest(coalesce(divisor, 1), 1) = 0 AS even, category = 'hinge' AS hinge FROM r)
+SELECT project_id, set_id, name, (CASE WHEN qty_source = 'rhr_lhr_pair' THEN 1 WHEN divides AND even THEN qty // divisor WHEN divides AND coalesce(hinge, false) THEN ceil(qty / divisor) WHEN divides THEN floor(qty / divisor + 0.5) WHEN qty_source = 'needs_cap' THEN most ELSE qty END)::BIGINT AS qty,
+CASE WHEN qty_source = 'rhr_lhr_pair' OR divides AND (even OR coalesce(hinge, false)) THEN 'divided' WHEN divides OR qty_source = 'needs_review' THEN 'flagged' WHEN qty_source = 'needs_cap' THEN 'capped' ELSE qty_source END AS qty_source FROM v""")
+def m05_set_quantities(spark, sf):
+    """Quantities of openings out of the sets' totals."""
+    rows = _annotated(spark, sf).withColumns({"is_hinge": F.coalesce(F.col("category") == "hinge", F.lit(False)), "most": C.most_of(F.col("category"))})
+    return quantity.normalise(rows).select("project_id", "set_id", "name", "qty", "qty_source")
+
+
+@query("SELECT opening_id, CASE opening_id % 6 WHEN 0 THEN '90 MIN' WHEN 1 THEN '1.5HR' WHEN 3 THEN '3 HOURS' WHEN 5 THEN fire_rating ELSE '' END AS rating, CASE opening_id % 6 WHEN 0 THEN concat('Pair  ', hw_set) WHEN 5 THEN concat('20Min ', hw_set) ELSE hw_set END AS heading, CASE opening_id % 6 WHEN 1 THEN trim(concat(location, '  rated')) WHEN 2 THEN '3/4 HOUR' WHEN 3 THEN 'Stair,  door' WHEN 4 THEN '4 hr 1000 min' ELSE location END AS location FROM (SELECT *, CASE WHEN opening_id % 6 = 5 AND fire_rating = '' THEN 'x' ELSE fire_rating END AS fr FROM openings) WHERE opening_id % 6 <> 5 OR fire_rating <> ''")
+def f17_stamped_ratings(spark, sf):
+    """Ratings out of headings, else out of locations, of openings that have none; what is taken is gone from there."""
+    o = frame(spark, sf, "openings").where("opening_id % 6 <> 5 OR fire_rating <> ''")
+    o = o.selectExpr("opening_id", "IF(opening_id % 6 = 5, fire_rating, '') AS rating", "CASE opening_id % 6 WHEN 0 THEN concat('Pair 90 min ', hw_set) WHEN 5 THEN concat('20Min ', hw_set) ELSE hw_set END AS heading", "CASE opening_id % 6 WHEN 1 THEN concat(location, ' 1.5hr rated') WHEN 2 THEN '3/4 HOUR' WHEN 3 THEN 'Stair, 3 hours door' WHEN 4 THEN '4 hr 1000 min' ELSE location END AS location")
+    return edits.stamped_ratings(o, "rating", "heading", "location")
+
+
+SIZES = ["3'0\" x 7'0\"", "opening 6'-4\" X 8'", "3070", "30100", "9999", "36 x 84", "36\" × 84\"", "914 x 2134", "36 x 50", "10 x 84", "1270", ""]
+
+
+@query("SELECT opening_id, [36.0, 76, 36, NULL, 117, 36, 36, 36, NULL, NULL, NULL, NULL][(opening_id % 12)::INT + 1] AS width, [84.0, 96, 84, NULL, 117, 84, 84, 84, NULL, NULL, NULL, NULL][(opening_id % 12)::INT + 1] AS height FROM openings")
+def f15_opening_sizes(spark, sf):
+    """Sizes in all forms, and what only looks like them."""
+    size = T.opening_size(F.element_at(F.array(*map(F.lit, SIZES)), (F.col("opening_id") % 12 + 1).cast("int")))
+    return frame(spark, sf, "openings").select("opening_id", size["width"].alias("width"), size["height"].alias("height"))

@@ -227,12 +227,14 @@ def f34_answered_quantities(spark, sf):
     return frame(spark, sf, "openings").select("opening_id", T.first_quantity(F.expr(ANSWER)).alias("qty"))
 
 
-@query("SELECT opening_id, regexp_replace(door_number, '[^0-9]', '', 'g')::BIGINT AS n, row_number() OVER (ORDER BY lpad(regexp_replace(door_number, '[^0-9]', '', 'g'), 12, '0')) AS place FROM openings WHERE status = 'P'")
+@query("SELECT project_id, opening_id, row_number() OVER (PARTITION BY project_id ORDER BY regexp_replace(door_number, '[^0-9]', '', 'g')::HUGEINT, opening_id) AS place FROM (SELECT project_id, opening_id, concat(door_number, CASE WHEN opening_id % 2 = 0 THEN '000000000' ELSE '' END) AS door_number FROM openings)")
 def x13_natural_order(spark, sf):
+    """Doors of each project in natural order, numbers of any length."""
     from pyspark.sql import Window
 
-    o = frame(spark, sf, "openings").where("status = 'P'").select("opening_id", "door_number")
-    return o.select("opening_id", F.expr("cast(substr(door_number, 2) as bigint)").alias("n"), F.row_number().over(Window.orderBy(views.natural_key(F.col("door_number")))).cast("long").alias("place"))
+    o = frame(spark, sf, "openings").selectExpr("project_id", "opening_id", "concat(door_number, IF(opening_id % 2 = 0, '000000000', '')) AS door_number")
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy(views.natural_key(F.col("door_number")), "opening_id"))
+    return o.select("project_id", "opening_id", place.cast("long").alias("place"))
 
 
 @query(f"WITH {ISSUES_SQL}, k AS (SELECT unnest(['created', 'blocked', 'review']) AS status) SELECT k.status, count(event_id) AS n, min(event_id) AS first, max(event_id) AS last FROM k LEFT JOIN iss USING (status) GROUP BY 1")
