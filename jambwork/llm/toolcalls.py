@@ -79,13 +79,29 @@ def _no_constant(text: str):
     raise ValueError(text)
 
 
+#: Lists and objects within one another that arguments may have; far below what can be written again within a call.
+MOST_DEEP = 200
+
+
+def _deep(value) -> bool:
+    """Whether a value is nested deeper than allowed."""
+    level = [value]
+    for _ in range(MOST_DEEP + 1):
+        level = [y for x in level if isinstance(x, (list, dict)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return False
+    return any(isinstance(x, (list, dict)) for x in level)
+
+
 def parsed(text: str):
-    """The value of a JSON text that can be written again; else a ValueError."""
+    """The value of a JSON text that can be written again, nested at most MOST_DEEP deep; else a ValueError."""
     try:
         value = json.loads(text, parse_float=_number, parse_constant=_no_constant)
-        canonical(value)
     except RecursionError as e:
         raise ValueError("nested too deep") from e
+    if _deep(value):
+        raise ValueError("nested too deep")
+    canonical(value)
     return value
 
 

@@ -373,3 +373,14 @@ def test_anchors_above_the_bound_are_matched_alike(spark, odd):
         keys, out = suffixes.repeats(spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text"), hot=hot)
         got = keys.join(out, ["text_id", "check"]).select("text", "n_removed", "n_spans", "kept_sha256").collect()
         assert {r["text"].encode(): tuple(r)[1:] for r in got} == want and len(got) == len(texts)
+
+
+def test_deep_arguments_are_errors(spark):
+    """Arguments nested to just what a parser bears can't end the job: from MOST_DEEP on they are no JSON."""
+    from jambwork.llm import toolcalls
+
+    nest = lambda n: '{"text":' + "[" * n + "]" * n + "}"
+    depths = [1, toolcalls.MOST_DEEP - 1, toolcalls.MOST_DEEP, 900, 9_990, 100_000]
+    calls = [(1, f"c{n}", 0, "t", nest(n), []) for n in depths]
+    got = {r["call_id"]: r for r in toolcalls.link(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), {"t": {}}).collect()}
+    assert [got[f"c{n}"]["errors"] == [] for n in depths] == [True, True, False, False, False, False]
