@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jambwork.operators import annotation, boxes, edits, grammar, grids, pages, quantity
+from jambwork.operators import annotation, boxes, edits, grammar, grids, healing, pages, quantity
 from jambwork.functions import taxonomy as C
 from jambwork.functions import text as T
 from jambwork.plans.catalog import query
@@ -256,3 +256,19 @@ def f15_opening_sizes(spark, sf):
     """Sizes in all forms, and what only looks like them."""
     size = T.opening_size(F.element_at(F.array(*map(F.lit, SIZES)), (F.col("opening_id") % 12 + 1).cast("int")))
     return frame(spark, sf, "openings").select("opening_id", size["width"].alias("width"), size["height"].alias("height"))
+
+
+#: Makers whose abbreviations end a name.
+ABBREVIATED = ["IV", "LC", "ZE"]
+BROKEN = "SELECT opening_id, pos, n, base, concat(substr(base, 1, length(base) - 2), CASE WHEN base = name THEN ' ' ELSE '' END, substr(base, length(base) - 1)) AS broken FROM (SELECT *, trim(regexp_replace(regexp_replace(name, '[0-9].*$', ''), '[(].*$', '')) AS base, pos % 6 AS n FROM {h})"
+CUT = """SELECT opening_id, pos, CASE n WHEN 0 THEN concat(broken, ' 8400 X 626 IV') WHEN 1 THEN broken WHEN 2 THEN concat(base, ' by others 12 IV') WHEN 3 THEN substr(base, 1, length(base) - 3) WHEN 4 THEN base ELSE concat(base, ' US26D') END AS name,
+CASE n WHEN 3 THEN substr(base, length(base) - 2) WHEN 4 THEN 'LC' ELSE '' END AS manufacturer, CASE n WHEN 3 THEN 'L9010' WHEN 4 THEN '4040XP' ELSE '' END AS model, CASE n WHEN 3 THEN '630' WHEN 4 THEN 'AL' ELSE '' END AS finish FROM {b}"""
+
+
+@query(f"""WITH b AS ({BROKEN.format(h='hardware')}), m AS (SELECT *, CASE WHEN right(base, 2) IN ('me', 'or') AND broken <> base THEN broken ELSE base END AS healed FROM b)
+SELECT opening_id, pos, CASE n WHEN 2 THEN concat(base, ' by others 12 IV') WHEN 4 THEN base WHEN 5 THEN base WHEN 3 THEN CASE WHEN regexp_matches(base, '[a-z]..$') THEN base ELSE trim(left(base, -3)) END ELSE healed END AS name, CASE n WHEN 0 THEN 'IV' WHEN 4 THEN 'LC' ELSE CASE WHEN n = 3 AND NOT regexp_matches(base, '[a-z]..$') THEN right(base, 3) ELSE '' END END AS manufacturer,
+CASE n WHEN 0 THEN '8400 X' WHEN 3 THEN 'L9010' WHEN 4 THEN '4040XP' ELSE '' END AS model, CASE n WHEN 0 THEN '626' WHEN 3 THEN '630' WHEN 4 THEN 'AL' WHEN 5 THEN 'US26D' ELSE '' END AS finish FROM m""")
+def m13_mended_fields(spark, sf):
+    """Broken words, cut fields and joined fields put right."""
+    b = spark.sql(BROKEN, h=frame(spark, sf, "hardware"))
+    return healing.mended(spark.sql(CUT, b=b), ABBREVIATED)
