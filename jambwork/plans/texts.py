@@ -266,7 +266,7 @@ CASE n WHEN 3 THEN substr(base, length(base) - 2) WHEN 4 THEN 'LC' ELSE '' END A
 
 
 @query(f"""WITH b AS ({BROKEN.format(h='hardware')}), m AS (SELECT *, CASE WHEN right(base, 2) IN ('me', 'or') AND broken <> base THEN broken ELSE base END AS healed FROM b)
-SELECT opening_id, pos, CASE n WHEN 2 THEN concat(base, ' by others 12 IV') WHEN 4 THEN base WHEN 5 THEN base WHEN 3 THEN CASE WHEN regexp_matches(base, '[a-z]..$') THEN base ELSE trim(left(base, -3)) END ELSE healed END AS name, CASE n WHEN 0 THEN 'IV' WHEN 4 THEN 'LC' ELSE CASE WHEN n = 3 AND NOT regexp_matches(base, '[a-z]..$') THEN right(base, 3) ELSE '' END END AS manufacturer,
+SELECT opening_id, pos, CASE n WHEN 2 THEN concat(base, ' by others 12 IV') WHEN 4 THEN base WHEN 5 THEN base WHEN 3 THEN CASE WHEN regexp_matches(base, '[a-z]..$| LH$') THEN base ELSE trim(left(base, -3)) END ELSE healed END AS name, CASE n WHEN 0 THEN 'IV' WHEN 4 THEN 'LC' ELSE CASE WHEN n = 3 AND NOT regexp_matches(base, '[a-z]..$| LH$') THEN right(base, 3) ELSE '' END END AS manufacturer,
 CASE n WHEN 0 THEN '8400 X' WHEN 3 THEN 'L9010' WHEN 4 THEN '4040XP' ELSE '' END AS model, CASE n WHEN 0 THEN '626' WHEN 3 THEN '630' WHEN 4 THEN 'AL' WHEN 5 THEN 'US26D' ELSE '' END AS finish FROM m""")
 def m13_mended_fields(spark, sf):
     """Broken words, cut fields and joined fields put right."""

@@ -16,6 +16,10 @@ from jambwork.streaming import progress
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries for what the smallest tables don't have: their rows are of cases that larger ones hold, or that the tests below make.
+RARE = {"j24_typo_pairs", "w03_gap_outliers", "p24_zero_items"}
+
+
 def plain(value):
     return str(round(value, 6) if isinstance(value, float) else value)
 
@@ -24,7 +28,7 @@ def plain(value):
 def test_sql(spark, sf, name):
     df = catalog.QUERIES[name](spark, sf)
     got = df.collect()
-    assert got
+    assert got or name in RARE
     if name not in catalog.ORACLE_SQL:
         return
     con = duckdb.connect()
