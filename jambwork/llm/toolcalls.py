@@ -86,7 +86,7 @@ MOST_DEEP = 200
 def _deep(value) -> bool:
     """Whether a value is nested deeper than allowed."""
     level = [value]
-    for _ in range(MOST_DEEP + 1):
+    for _ in range(MOST_DEEP):
         level = [y for x in level if isinstance(x, (list, dict)) for y in (x.values() if isinstance(x, dict) else x)]
         if not level:
             return False
