@@ -245,3 +245,15 @@ def clean_cell(value: Column) -> Column:
     text = F.when(value.rlike(r"[^\x00-\x7F]"), _repaired(value)).otherwise(value)
     steps = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\(cid:\d+\)", ""), ("[\u2016\u2551]", " "), (r"  +", " "), (r"^\s+|\s+$", ""), ("[\u2014\u2013\u2012-]+$", "")]
     return reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)
+
+
+#: Marks of a leaf before and after a value, and of a column before it.
+LEAF_BEFORE, LEAF_AFTER, COLUMN_MARK = r"^(?:[RL]\)[\s\n]*)+", r"\s+[RL]\)\s*$", r"^x(?:\s+|$)"
+
+
+def without_marks(field: Column, value: Column) -> Column:
+    """A value read for a field, trimmed and without marks of leaves and columns; door numbers and other fields are only trimmed. Null is empty."""
+    text = F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", "")
+    strip = lambda *patterns: reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, text)
+    out = F.when(field == "fire_rating", strip(COLUMN_MARK, LEAF_BEFORE)).when(field == "location", strip(LEAF_BEFORE, LEAF_AFTER)).when(field == "hand", strip(LEAF_BEFORE, COLUMN_MARK))
+    return F.regexp_replace(out.otherwise(text), r"^\s+|\s+$", "")

@@ -208,3 +208,36 @@ def once(rows: DataFrame) -> DataFrame:
     """items without repeats in a section: of equal keys the one with most filled fields, ties to the first; in the place of the first."""
     key = F.concat_ws("\u0001", F.col("page").cast("string"), F.col("section").cast("string"), item_key(F.col("name"), F.col("model")))
     return sets.most_complete(rows, key, ["name", "model", "manufacturer", "finish"], "line").drop("key", "score", "line").withColumnRenamed("first", "line")
+
+
+#: Fixed value: the line that describes a section's openings.
+DESCRIPTION = r"(?i)^\s*opening\s+description\s*[:\-]"
+
+
+def heading_map(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """One row for each door number of listed doors (page, section, line, door_number and more) with the rating of its section.
+
+    The first place of a door number in the order of pages and lines counts. Its rating is the one of the first line that
+    describes openings below it in its section, null if none does; rows are sectioned lines. Doors without a number are left out.
+    """
+    said = rows.where(F.col("text").rlike(DESCRIPTION)).select("page", "section", "line", T.fire_rating(F.col("text")).alias("rating")).where("rating IS NOT NULL")
+    plain = listed.where("door_number IS NOT NULL").withColumn("rating", F.lit(None).cast("string"))
+    below = Window.partitionBy("page", "section").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    both = plain.unionByName(said, allowMissingColumns=True).withColumn("fire_rating", F.first("rating", ignorenulls=True).over(below))
+    kept = [c for c in listed.columns if c != "door_number"] + ["fire_rating"]
+    first = both.where("door_number IS NOT NULL").groupBy("door_number").agg(F.min_by(F.struct(*kept), F.struct("page", "line")).alias("_r"))
+    return first.select("door_number", "_r.*")
+
+
+def set_doors(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """page, section, line, door_number and set_id of doors that sections list, for known sets (set_id, generic_id, position).
+
+    listed has page, section, line, set_id, generic_id and door_number. A section belongs to the first known set with its generic
+    id, where either lacks one with its own; doors of sections without a known set are left out. A door number counts once,
+    in any case, at its first place in the order of pages and lines.
+    """
+    match = lambda: F.coalesce(T.blank_to_null(F.col("generic_id")), F.col("set_id"))
+    first = known.groupBy(match().alias("_m")).agg(F.min_by("set_id", "position").alias("_set"))
+    rows = listed.withColumn("_m", match()).join(first, "_m").groupBy(F.upper("door_number").alias("_d"))
+    rows = rows.agg(F.min_by(F.struct("page", "section", "line", "door_number", F.col("_set").alias("set_id")), F.struct("page", "line")).alias("_r"))
+    return rows.where("_d IS NOT NULL").select("_r.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jambwork.functions import text as T
 from jambwork.operators import linkage, merge, pages, quantity, rollups, sets
-from jambwork.plans import catalog, edits, schedule, texts, views  # noqa: F401
+from jambwork.plans import catalog, edits, live, schedule, texts, views  # noqa: F401
 from jambwork.streaming import progress
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
