@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jambwork.functions import taxonomy as C
 from jambwork.functions import text as T
+from jambwork.sources.sinks import stored
 
 
 def nested(parents: DataFrame, children: DataFrame, key: str, name: str, *columns: str) -> DataFrame:
@@ -78,16 +79,23 @@ def tiered_lookup(keys: DataFrame, known: DataFrame, suffix: str = r"[:\-](WI|EX
     return rows.select("key").join(best, "key", "left").select("key", "m.tier", "m.name", "m.value")
 
 
+#: Length of the pieces by which names meet that hold each other: the shorter of such two has four characters at least.
+PIECE = 4
+#: So many names of a block's smaller side are compared with all of the other.
+FEW = 32
+
+
 def _meeting_keys(name: Column, own: str, other: str) -> Column:
     """Keys that two names share if they share a word, are equal when normalised, or one holds the other and isn't twice as long.
 
-    A name's lower-case text is marked as its own, all its parts of half its length at least as what the other side's text may be.
+    A name's first piece is marked as its own, all its pieces as what the other side's first may be: so keys grow with
+    a name's length. They are hashes; names that meet by chance are told apart when they are compared.
     """
     low = F.lower(name)
-    part = lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.concat(F.lit(other), F.substr(low, i, n)))
-    parts = F.when(F.length(low) >= 8, F.flatten(F.transform(F.sequence(F.floor((F.length(low) + 1) / 2).cast("int"), F.length(low)), part)))
-    words = F.transform(T.tokens(name), lambda t: F.concat(F.lit("t"), t))
-    return F.array_distinct(F.concat(words, F.array(F.concat(F.lit("="), T.item_name(name)), F.concat(F.lit(own), low)), F.coalesce(parts, F.array().cast("array<string>"))))
+    pieces = F.when(F.length(low) >= PIECE, F.transform(F.sequence(F.lit(1), F.length(low) - PIECE + 1), lambda i: F.xxhash64(F.lit(other), F.substr(low, i, F.lit(PIECE)))))
+    words = F.transform(T.tokens(name), lambda t: F.xxhash64(F.lit("t"), t))
+    one = F.array(F.xxhash64(F.lit("="), T.item_name(name)), F.xxhash64(F.lit(own), F.substr(low, F.lit(1), F.lit(PIECE))))
+    return F.array_distinct(F.concat(words, one, F.coalesce(pieces, F.array().cast("array<bigint>"))))
 
 
 def match_names(wanted: DataFrame, offered: DataFrame, block: str) -> DataFrame:
@@ -95,23 +103,33 @@ def match_names(wanted: DataFrame, offered: DataFrame, block: str) -> DataFrame:
 
     Tiers: equal; equal but for case (the first by name); then among names of no other category: normalised; one
     holds the other (the wanted one of 8 characters at least, half as long at least); words' Jaccard above one half.
-    Within the last three the best Jaccard counts. Names are compared once each within a block, and only with names
-    that share a key: an equi-join on (block, key), no product of the sides.
+    Within the last three the best Jaccard counts. Names are compared once each within a block. What is equal but for
+    case is found first; only names that are left, and the blocks that have such, are compared further: with all of a block
+    where one side has FEW at most, which is fewer rows than keys; else with those that share a key. Either grows with the names.
     """
-    a = wanted.select(block, "a").where("a is not null").distinct().withColumn("t", F.explode(_meeting_keys(F.col("a"), "<", ">")))
-    b = offered.select(block, "b").where("b is not null").distinct().withColumn("t", F.explode(_meeting_keys(F.col("b"), ">", "<")))
-    met = a.join(b, [block, "t"]).select(block, "a", "b").distinct()
-    la, lb, ka, kb = F.lower("a"), F.lower("b"), C.keyword(F.col("a")), C.keyword(F.col("b"))
-    score = T.jaccard(T.tokens(F.col("a")), T.tokens(F.col("b")))
+    a = stored(wanted.select(block, "a", F.lower("a").alias("_low")).where("a is not null").distinct())
+    b = stored(offered.select(block, "b", F.lower("b").alias("_low")).where("b is not null").distinct())
+    equal = F.when(F.col("a") == F.col("b"), 1).otherwise(2)
+    same = stored(a.join(b, [block, "_low"]).groupBy(block, "a").agg(F.min(F.struct(equal.alias("tier"), "b")).alias("m"), F.first("_low").alias("_low")))
+    exact = same.select(block, "a", "m.tier", F.round(T.jaccard(T.tokens(F.col("a")), T.tokens(F.col("m.b"))), 6).alias("score"), "m.b")
+    own = lambda d, n: d.select(block, n, F.lower(n).alias(f"l{n}"), C.keyword(F.col(n)).alias(f"k{n}"), T.item_name(F.col(n)).alias(f"i{n}"), T.tokens(F.col(n)).alias(f"w{n}"))
+    a = stored(own(a.join(same.select(block, "a"), [block, "a"], "left_anti"), "a"))
+    b = own(b.join(a.select(block).distinct(), block, "left_semi"), "b")
+    least = a.groupBy(block).agg(F.count("*").alias("n")).join(b.groupBy(block).agg(F.count("*").alias("m")), block).withColumn("least", F.least("n", "m"))
+    few, many = (stored(d.join(least.select(block, "least"), block)) for d in (a, b))
+    met = few.where(f"least <= {FEW}").drop("least").join(many.where(f"least <= {FEW}").drop("least"), block)
+    keyed = few.where(f"least > {FEW}").withColumn("t", F.explode(_meeting_keys(F.col("a"), "<", ">"))).drop("least").join(many.where(f"least > {FEW}").withColumn("t", F.explode(_meeting_keys(F.col("b"), ">", "<"))).drop("least"), [block, "t"])
+    met = met.unionByName(keyed.drop("t").dropDuplicates([block, "a", "b"]))
+    la, lb, alike = F.col("la"), F.col("lb"), F.coalesce(F.col("ka") == F.col("kb"), F.lit(True))
+    score = T.jaccard(F.col("wa"), F.col("wb"))
     short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
     inside = (la.contains(lb) | lb.contains(la)) & (F.length("a") >= 8) & (2 * short >= long)
-    alike = F.coalesce(ka == kb, F.lit(True))
-    tier = F.when(F.col("a") == F.col("b"), 1).when(la == lb, 2).when(alike & (T.item_name(F.col("a")) == T.item_name(F.col("b"))), 3).when(alike & inside, 4).when(alike & (score > 0.5), 5)
+    tier = F.when(alike & (F.col("ia") == F.col("ib")), 3).when(alike & inside, 4).when(alike & (score > 0.5), 5)
     scored = met.select(block, "a", "b", tier.alias("tier"), F.round(score, 6).alias("score")).where("tier is not null")
     top = scored.groupBy(block, "a").agg(F.min("tier").alias("tier"))
     best = scored.join(top, [block, "a", "tier"]).groupBy(block, "a", "tier", "score").agg(F.min("b").alias("b"), F.count("*").alias("n"))
     best = best.groupBy(block, "a", "tier").agg(F.max(F.struct("score", "b", "n")).alias("m"))
-    found = best.where((F.col("tier") <= 2) | (F.col("m.n") == 1)).select(block, "a", "tier", "m.score", "m.b")
+    found = exact.unionByName(best.where("m.n = 1").select(block, "a", "tier", "m.score", "m.b"))
     return wanted.join(found, [block, "a"], "left")
 
 

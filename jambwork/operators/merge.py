@@ -52,13 +52,22 @@ def changes(old: DataFrame, new: DataFrame, key: Column, fields: list[str]) -> D
     return rows.select("key", state.alias("state"), F.when(state == "changed", F.col("fields")).otherwise("").alias("fields"))
 
 
+#: What a cast takes for a number.
+NUMBER = r"(?i)^[\s\p{Cntrl}]*[+-]?(nan|inf(inity)?|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?\d+[df]?|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?[df]?)[\s\p{Cntrl}]*$"
+
+
+def _number(x: Column) -> Column:
+    """A text's number or null; only what looks like one is cast, as each failing cast raises and catches an exception."""
+    return F.when(x.rlike(NUMBER), x.try_cast("double"))
+
+
 def reconciled(a: Column, b: Column, prefer_b: bool) -> Column:
     """(value, confidence, chosen_from) of a field that two sources have."""
     x, y = F.coalesce(F.trim(a.cast("string")), F.lit("")), F.coalesce(F.trim(b.cast("string")), F.lit(""))
-    numbers = F.coalesce(F.expr("try_cast(null as double)"), x.try_cast("double")).eqNullSafe(y.try_cast("double")) & x.try_cast("double").isNotNull()
+    numbers = F.coalesce(_number(x) == _number(y), F.lit(False))
     row = lambda v, c, s: F.struct(v.alias("value"), F.lit(c).alias("confidence"), F.lit(s).alias("chosen_from"))
     clash = row(y, "conflict", "b") if prefer_b else row(x, "conflict", "a")
-    return F.when((x == "") & (y == ""), row(F.lit(""), "conflict", "none")).when(y == "", row(x, "single_source", "a")).when(x == "", row(y, "single_source", "b")).when(numbers | (F.lower(x) == F.lower(y)), row(x, "full", "a")).otherwise(clash)
+    return F.when((x == "") & (y == ""), row(F.lit(""), "conflict", "none")).when(y == "", row(x, "single_source", "a")).when(x == "", row(y, "single_source", "b")).when((F.lower(x) == F.lower(y)) | numbers, row(x, "full", "a")).otherwise(clash)
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, fields: dict[str, bool]) -> DataFrame:
