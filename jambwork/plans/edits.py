@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from jambwork.functions import text as T
 from jambwork.operators import edits, lines, matching, pages, sets, views
 from jambwork.plans.catalog import query
-from jambwork.sources.tables import frame, table
+from jambwork.sources.sinks import stored
+from jambwork.sources.tables import PLACE, frame, table
 
 
 @query("WITH a AS (SELECT opening_id AS k, hand, status FROM openings WHERE opening_id % 10 < 8), b AS (SELECT opening_id AS k, upper(location) AS hand, opening_id % 2 = 0 AS keep FROM openings WHERE opening_id % 10 > 2) SELECT b.k AS opening_id, b.hand, CASE WHEN a.k IS NOT NULL AND keep THEN status END AS status, CASE WHEN a.k IS NULL THEN 'inserted' ELSE 'updated' END AS state FROM b LEFT JOIN a USING (k)")
@@ -115,7 +116,7 @@ f AS (SELECT l.opening_id, l.a_pos, l.b_pos, {', '.join(_field_sql(f, second) fo
 SELECT opening_id, a_pos, b_pos, name, qty, manufacturer, model, finish, ['conflict', 'single_source', 'full'][least(c_name, c_qty, c_manufacturer, c_model, c_finish) + 1] AS overall FROM f""")
 def m08_reconciled_items(spark, sf):
     """Items of two sources, paired by their names and reconciled field by field."""
-    a = spark.sql(ITEMS_A, h=frame(spark, sf, "hardware"))
+    a = stored(spark.sql(ITEMS_A, h=frame(spark, sf, "hardware")))
     got = matching.reconciled_items(a, spark.sql(ITEMS_B, a=a), "opening_id")
     return got.select("opening_id", "a_pos", "b_pos", *(F.col(f)["value"].alias(f) for f in matching.FIELDS), "overall")
 
@@ -264,7 +265,7 @@ def x20_worst_chunk(spark, sf):
 
 @query("WITH p AS (SELECT opening_id, item_id, CASE sort_order % 3 WHEN 0 THEN NULL ELSE sort_order % 3 END AS leaf, sort_order * 1000000 + item_id AS pos, checked FROM items), k AS (SELECT opening_id, coalesce(leaf, 1) AS leaf, arg_min(checked, pos) AS checked FROM p GROUP BY 1, 2) SELECT o.opening_id, l.leaf, k.checked FROM openings o CROSS JOIN (VALUES (1), (2)) l(leaf) LEFT JOIN k ON k.opening_id = o.opening_id AND k.leaf = l.leaf")
 def x22_leaf_progress(spark, sf):
-    p = frame(spark, sf, "items").selectExpr("opening_id", "nullif(sort_order % 3, 0) AS leaf", "sort_order * 1000000 + item_id AS pos", "checked")
+    p = frame(spark, sf, "items", PLACE).selectExpr("opening_id", "nullif(sort_order % 3, 0) AS leaf", "struct(sort_order * 1000000 + item_id, place) AS pos", "checked")
     k = p.groupBy("opening_id", F.coalesce("leaf", F.lit(1)).cast("int").alias("leaf")).agg(F.min_by("checked", "pos").alias("checked"))
     leaves = frame(spark, sf, "openings").select("opening_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("leaf"))
     return leaves.join(k, ["opening_id", "leaf"], "left")

@@ -46,13 +46,18 @@ FRAMES: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+#: The place of a row in its table: settles ties as a scan does that keeps the first.
+PLACE = "struct(_metadata.file_path, _metadata.row_index) AS place"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def frame(spark: SparkSession, sf_dir: str, name: str, *more: str) -> DataFrame:
+    """A frame; more: expressions over its table that it gets as well."""
     source, columns = FRAMES[name]
-    return table(spark, sf_dir, source).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+    return table(spark, sf_dir, source).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()), *more)
 
 
 def frames_sql() -> str:
