@@ -1,13 +1,18 @@
 """Fields of items mended: words with spaces in them, fields cut at the wrong column, all fields in one.
 
-Words are folded over a text's tokens in arrays of one row, so nothing moves. Null
+Each row is mended by itself, so nothing moves; words are folded in Arrow batches, once for equal texts. Null
 fields are empty, and white space between words becomes one space.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from jambwork.operators.grammar import FINISH
 
@@ -23,9 +28,39 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
 
 
-def _last_joined(words: Column, more: Column) -> Column:
-    """words whose last one goes on with more."""
-    return F.concat(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(words, F.lit(-1)), more)))
+_LETTER = ("Lu", "Ll", "Lt", "Lm", "Lo")
+
+
+def _healer():
+    """The function of texts; what it calls lies within it, so that workers need none of these modules."""
+
+    def fragment(last: str, token: str) -> bool:
+        words = token.lower() in WHOLE_WORDS or last.lower() in WHOLE_WORDS
+        return unicodedata.category(token[0]) == "Ll" and token != "x" and not words and (len(last) <= 3 or len(token) <= 3)
+
+    def whole(text: str) -> str:
+        got, out, kept = [], [], ""
+        for t in filter(None, re.split(r"[ \t\n\x0b\f\r]+", text)):
+            if got and fragment(got[-1], t):
+                got[-1] += t
+            else:
+                got.append(t)
+        for t, follows in zip(got, [*got[1:], ""], strict=False):
+            token, kept = kept + t, ""
+            if len(token) == 1 and unicodedata.category(token) in _LETTER and token.lower() != "x":
+                if follows and unicodedata.category(follows[0]) in _LETTER:
+                    kept = token
+                    continue
+                if out and unicodedata.category(out[-1][-1]) in _LETTER:
+                    out[-1] += token
+                    continue
+            out.append(token)
+        return " ".join(out)
+
+    def healed(texts: pd.Series) -> pd.Series:
+        return texts.map({t: whole(t) for t in texts.unique()})  # equal texts of a batch once
+
+    return F.pandas_udf(healed, StringType())
 
 
 def healed(text: Column) -> Column:
@@ -34,25 +69,7 @@ def healed(text: Column) -> Column:
     A token that begins in lower case goes on with the one before it if either has three letters at most and neither is a
     short word of its own; then single letters (but x) go to the next word, or at the end to the last.
     """
-    none = F.array().cast("array<string>")
-    last = lambda got: F.try_element_at(got, F.lit(-1))
-
-    def fragment(got: Column, t: Column) -> Column:
-        short = (F.length(last(got)) <= 3) | (F.length(t) <= 3)
-        return F.coalesce((F.size(got) > 0) & t.rlike(r"^\p{Ll}") & (t != "x") & ~F.lower(t).isin(WHOLE_WORDS) & ~F.lower(last(got)).isin(WHOLE_WORDS) & short, F.lit(False))
-
-    whole = F.aggregate(_words(text), none, lambda got, t: F.when(fragment(got, t), _last_joined(got, t)).otherwise(F.concat(got, F.array(t))))
-    follows = F.transform(whole, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(whole, i + 1), F.lit("")).alias("next")))
-
-    def letters(got: Column, x: Column) -> Column:
-        token = F.concat(got["kept"], x["t"])
-        single = token.rlike(r"^\p{L}$") & (F.lower(token) != "x")
-        to_next = single & x["next"].rlike(r"^\p{L}")
-        to_last = single & F.coalesce(last(got["out"]).rlike(r"\p{L}$"), F.lit(False))
-        out = F.when(to_next, got["out"]).when(to_last, _last_joined(got["out"], token)).otherwise(F.concat(got["out"], F.array(token)))
-        return F.struct(out.alias("out"), F.when(to_next, token).otherwise("").alias("kept"))
-
-    return F.array_join(F.aggregate(follows, F.struct(none.alias("out"), F.lit("").alias("kept")), letters, lambda got: got["out"]), " ")
+    return _healer()(F.coalesce(text, F.lit("")))
 
 
 def reassembled(items: DataFrame, makers: list[str]) -> DataFrame:
