@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from jambwork.operators import matching, quality
+from jambwork.operators import linkage, matching, quality
 
 
 def in_turn(pairs: list[tuple]) -> set:
@@ -64,3 +64,19 @@ def test_leaf_sums_ignore_rows_of_the_opening(spark):
     items = lambda *more: spark.createDataFrame([*rows, *more], "opening_id int, name string, model string, qty int, leaf_side string")
     for own in (items(), items((1, "Hinges", "5BB1 CON TW8", 4, "active"))):
         assert quality.leaf_violations(openings, own).where(F.col("rule") == "per_leaf_qty_sum_mismatch").count() == 1
+
+
+def test_keys_grow_with_names_and_blocks_of_any_size_match_alike(spark, monkeypatch):
+    """A name of 40 characters has fewer keys than two for each; by all of a block or by keys, the same is found."""
+    one = spark.createDataFrame([("x" * 40,)], "a string")
+    assert one.select(F.size(linkage._meeting_keys(F.col("a"), "<", ">")).alias("n")).first()["n"] <= 80
+    r = random.Random(3)
+    word = ["door", "closer", "kickplate", "plate", "hinge (2)", "hinge", "wall", "stop", "lockset 626", "lock"]
+    names = lambda: sorted({" ".join(r.sample(word, r.randrange(1, 4))) for _ in range(60)})
+    wanted = spark.createDataFrame([("s", x) for x in names()], "block string, a string")
+    offered = spark.createDataFrame([("s", x.title()) for x in names()], "block string, b string")
+    every = lambda: sorted(map(str, linkage.match_names(wanted, offered, "block").collect()))
+    monkeypatch.setattr(linkage, "FEW", 1000)
+    first = every()
+    monkeypatch.setattr(linkage, "FEW", 0)
+    assert every() == first and any("tier=4" in x or "tier=5" in x for x in first)
