@@ -276,3 +276,14 @@ def test_first_leaf_and_item_are_the_sql_s(spark, tmp_path):
         want = con.execute(catalog.ORACLE_SQL[query])
         cols = [x[0] for x in want.description]
         assert {tuple(r[c] for c in cols) for r in df.collect()} == set(want.fetchall())
+
+
+def test_patterns_are_literals(spark):
+    """Patterns of categories are compiled once and not for each row; a text may fit several, of which the first counts."""
+    from jambwork.functions import taxonomy as C
+
+    df = spark.createDataFrame([("Continuous Hinge",), ("electric hinge",), ("Door Closer",), ("nothing",), (None,)], "name string")
+    got = df.select(C.set_category(F.col("name")).alias("c"))
+    assert [r["c"] for r in got.collect()] == ["continuous_hinge", "electric_hinge", "closer", None, None]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "RLIKE namedlambda" not in plan.replace("lambda x_", "namedlambda") and "RLIKE lambda" not in plan
