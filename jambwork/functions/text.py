@@ -231,7 +231,7 @@ _WRONG = re.compile("|".join(map(re.escape, sorted(WRONGLY_DECODED, key=len, rev
 
 @F.pandas_udf(StringType())
 def _repaired(texts: pd.Series) -> pd.Series:
-    """Texts with wrongly decoded sequences replaced, in compatibility composition."""
+    """Texts with wrongly decoded sequences replaced, in compatibility composition; null stays null."""
     return texts.str.replace(_WRONG, lambda m: WRONGLY_DECODED[m[0]], regex=True).str.normalize("NFKC")
 
 
@@ -239,10 +239,10 @@ def clean_cell(value: Column) -> Column:
     """A cell's text: wrongly decoded sequences mended, composed for compatibility, without control characters (but tab and
     line ends) and glyph marks; double bars are spaces, spaces are single, and dashes at the end are dropped. Null is empty.
 
-    Only texts with characters outside ASCII go to Python.
+    Only texts with characters outside ASCII go to Python: a branch keeps no row from it, so others are null there.
     """
     value = F.coalesce(value, F.lit(""))
-    text = F.when(value.rlike(r"[^\x00-\x7F]"), _repaired(value)).otherwise(value)
+    text = F.coalesce(_repaired(F.when(value.rlike(r"[^\x00-\x7F]"), value)), value)
     steps = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"\(cid:\d+\)", ""), ("[\u2016\u2551]", " "), (r"  +", " "), (r"^\s+|\s+$", ""), ("[\u2014\u2013\u2012-]+$", "")]
     return reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)
 

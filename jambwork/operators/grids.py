@@ -56,8 +56,9 @@ def one_to_one(candidates: Column, taken: Column | None = None) -> Column:
 def value_scores(cells: DataFrame) -> DataFrame:
     """(table_id, header, col, n, doors, kinds, scores): of each column below each possible header the filled cells, distinct valid doors, distinct values, and each field's share."""
     near = cells.where(F.col("row") < HEADERS + SAMPLE + 1).withColumn("cell", F.trim(T.clean_cell(F.col("cell"))))
-    below = near.withColumn("header", F.explode(F.sequence(F.lit(0), F.lit(HEADERS - 1)))).where("row > header and row <= header + 30 and cell <> ''")
-    fits = looks_like(F.col("cell"))
+    near = near.where("row > 0 and cell <> ''").select("table_id", "row", "col", "cell", *(c.alias(f) for f, c in looks_like(F.col("cell")).items()))  # once a cell, not for each header
+    below = near.withColumn("header", F.explode(F.sequence(F.lit(0), F.lit(HEADERS - 1)))).where("row > header and row <= header + 30")
+    fits = {f: F.col(f) for f in FIELDS}
     counts = below.groupBy("table_id", "header", "col").agg(F.count("*").alias("n"), F.size(F.collect_set(F.when(fits["door_number"], F.upper("cell")))).alias("doors"), F.size(F.collect_set("cell")).alias("kinds"), *(F.count(F.when(c, 1)).alias(f) for f, c in fits.items()))
     share = lambda f: F.when(F.col("n") >= 3, F.expr(f"10000 * {f} div n")).otherwise(0)
     return counts.select("table_id", "header", "col", "n", "doors", "kinds", F.array(*(F.struct(F.lit(k).alias("place"), F.lit(f).alias("field"), share(f).alias("score")) for k, f in enumerate(FIELDS))).alias("scores"))

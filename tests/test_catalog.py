@@ -287,3 +287,10 @@ def test_patterns_are_literals(spark):
     assert [r["c"] for r in got.collect()] == ["continuous_hinge", "electric_hinge", "closer", None, None]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and "RLIKE namedlambda" not in plan.replace("lambda x_", "namedlambda") and "RLIKE lambda" not in plan
+
+
+def test_only_other_characters_go_to_python(spark):
+    """What is in ASCII is null in the batches that go to Python, and stays as it is."""
+    df = spark.createDataFrame([("plain  text",), ("caf\u00c3\u00a9",), (None,)], "v string").select(T.clean_cell(F.col("v")).alias("c"))
+    assert [r["c"] for r in df.collect()] == ["plain text", "caf\u00e9", ""]
+    assert "_repaired(CASE WHEN" in df._jdf.queryExecution().analyzed().toString()
