@@ -25,7 +25,10 @@ very full buckets, by the bucket's count: their lists are spread over tasks.
 
 When rounds no longer pay, all pairs of different classes that the index still
 has and that no bound excludes are compared exactly, so no link between classes
-is missed.
+is missed. Where these could be many, pairs are dealt out by their hashes, into
+shares that grow by four: what a small share links is one class, and is in no
+pair of the larger ones. So a group of alike sets, of which each links with some
+others, takes pairs as many as its sets and not as their square.
 
 Buckets are as many at any size of the corpus, and what tasks get of them is
 their counts, 8 MB. A list outside full buckets has at most `FULL` entries, or
@@ -326,11 +329,12 @@ def _joined(docs: DataFrame, words: int, percent: int, *keys: str) -> DataFrame:
     nameless = _nameless(docs, words).join(sets.where("doc_id is null"), "node", "left_semi")
     texts = stored(_own_text(_pressed(docs).join(near, "doc_id").select("node", "text").unionByName(nameless), words))
     entries = _classes(links, postings)
-    known, rounds, before = sets.drop("doc_id", "v"), 0, math.inf
+    known, rounds, before, many = sets.drop("doc_id", "v"), 0, math.inf, 1.0
     for turn in range(ROUNDS):
         node = F.struct(F.xxhash64("node", F.lit(turn)).alias("k"), F.col("node"), F.col("n"), F.col("pos"))
         by_class = stored(entries.groupBy("token", "class").agg(F.count("*").alias("c"), F.min(node).alias("to")))
         size = by_class.groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.expr("double(c) * c")).alias("alike")).agg(F.sum("all").alias("entries"), F.sum(F.expr("(double(all) * all - alike) / 2")).alias("pairs")).first()
+        many = (size.pairs or 0) / max(1, PAIRS * (size.entries or 0))
         if (size.pairs or 0) <= PAIRS * (size.entries or 0) or size.pairs > (1 - PAID) * before:
             break
         before = size.pairs
@@ -347,9 +351,13 @@ def _joined(docs: DataFrame, words: int, percent: int, *keys: str) -> DataFrame:
         known, rounds = stored(known.join(answers, "node", "left")), rounds + 1
         links = stored(links.unionByName(found.where("linked").select("a", "b")))
         entries = _classes(links, entries)
-    if not entries.isEmpty():
-        pairs = stored(_rest(entries, known, percent, rounds))
-        links = links.unionByName(_verified(pairs, texts, words, percent).where("linked").select("a", "b"))
+    for low, high, mask in _shares(many):
+        if entries.isEmpty():
+            break
+        pairs = stored(_rest(entries, known, percent, rounds, (F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(mask)).between(low, high - 1)))
+        links = stored(links.unionByName(_verified(pairs, texts, words, percent).where("linked").select("a", "b")))
+        if high <= mask:
+            entries = _classes(links, entries)
     root = components(links)
     group = sets.join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = group.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -383,8 +391,14 @@ def _possible(percent: int, n: str = "n", m: str = "m", pos: str = "pos", at: st
     return (F.least(n, m) >= need) & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= need)
 
 
-def _rest(entries: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """All pairs (a, b) of different classes that a list can still link, blocks first, then entries by place, parities and answers."""
+def _shares(many: float) -> list[tuple[int, int, int]]:
+    """(low, high, mask) of the shares of pairs: hashes under the mask from low to below high. The first is one in `many` or less; together they are all."""
+    steps = max(0, math.ceil(math.log(max(many, 1), 4)))
+    return [(4**k // 4, 4**k, 4**steps - 1) for k in range(steps + 1)]
+
+
+def _rest(entries: DataFrame, sets: DataFrame, percent: int, rounds: int, share: Column) -> DataFrame:
+    """All pairs (a, b) of different classes in a share that a list can still link, blocks first, then entries by place, parities and answers."""
     bins = math.ceil(math.log(100 / percent) / math.log(BIN)) + 1  # linked sets' sizes differ by a factor of 100 / percent at most
     block = entries.withColumn("size", F.floor(F.log("n") / math.log(BIN)).cast("int")).withColumn("step", F.floor(8 * F.col("pos") / F.col("n") * 5).cast("int"))
     at = ("size", "step", "low", "high", "least", "left")
@@ -402,7 +416,7 @@ def _rest(entries: DataFrame, sets: DataFrame, percent: int, rounds: int) -> Dat
     own = [c for c in block.columns if c.endswith("_a")]
     x = block.select("token", F.col("size").alias("size1"), F.col("step").alias("step1"), "a", F.col("class").alias("class_a"), F.col("pos").alias("pos_a"), *own)
     y = block.select("token", F.col("size").alias("size2"), F.col("step").alias("step2"), F.col("a").alias("b"), F.col("class").alias("class_b"), F.col("pos").alias("pos_b"), *(F.col(c).alias(f"{c[:-2]}_b") for c in own))
-    pair = kept.join(x, ["token", "size1", "step1"]).join(y, ["token", "size2", "step2"]).where(F.col("class_a") != F.col("class_b"))
+    pair = kept.join(x, ["token", "size1", "step1"]).join(y, ["token", "size2", "step2"]).where(F.col("class_a") != F.col("class_b")).where(share)
     pair = pair.where(_possible(percent, "n_a", "n_b", "pos_a", "pos_b")).where(_open(percent, rounds)).where(~F.arrays_overlap("before_a", "before_b"))
     return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -45,3 +45,28 @@ def test_lower_thresholds_link_sets_of_unlike_size(spark):
     b = " ".join(a.split()[:64])
     got = jaccard.join(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), percent=50).collect()
     assert {r["component_id"] for r in got} == {1}
+
+
+def test_a_group_of_alike_sets_takes_no_square_of_pairs(spark, monkeypatch):
+    """Sets of one group of which each links with some others only, beside a class that has most of them."""
+    r, base, made = random.Random(5), prose(9, 150).split(), []
+    docs = [(k, " ".join(r.choice(WORDS) + str(r.randrange(9)) if i in own else w for i, w in enumerate(base))) for k in range(600) if (own := {r.randrange(150) for _ in range(2)})]
+    verified = jaccard._verified
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    got = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    root = linked(docs, 80)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: root[d] for d, _ in docs}
+    assert sum(made) < 10 * len(docs)
+
+
+@pytest.mark.parametrize("many", [0.0, 1.0, 3.9, 4.1, 77.0, 1e7])
+def test_shares_of_pairs_are_all_of_them_once(many):
+    shares = jaccard._shares(many)
+    assert [low for low, _, _ in shares] == [0, *(high for _, high, _ in shares[:-1])] and shares[-1][1] == shares[-1][2] + 1
+    assert shares[0][1] * many <= max(many, shares[-1][1])
