@@ -13,32 +13,38 @@ from jambwork.functions import text as T
 from jambwork.operators import grids, pages, sets
 
 
-def within(regions: DataFrame, words: DataFrame) -> DataFrame:
-    """region_id and word_id of all words that lie in a region (region_id, page, x0, x1, top, bottom) whole, edges included.
+def within(regions: DataFrame, words: DataFrame, *more: str) -> DataFrame:
+    """region_id, word_id and more columns of all words that lie in a region (region_id, page, x0, x1, top, bottom) whole, edges included.
 
     Pages are cut into squares whose sides are powers of two. A region is in the four squares at most of the first
     size that is not below its sides; a word is in one square of each size that some region has. Pairs of one square
     are tested exactly. So neither a large region among small ones nor many on one page meets more than its surroundings.
+    Words and regions are moved once, by page; words are laid into squares where they have come to.
     """
     side = F.greatest(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top"), F.lit(1.0))
     at = lambda x: F.floor(F.col(x) / F.pow(F.lit(2.0), F.col("size")))
-    own = regions.where("x0 <= x1 and top <= bottom").withColumn("size", F.ceil(F.log2(side)).cast("int"))
+    own = regions.where("page is not null and x0 <= x1 and top <= bottom").withColumn("size", F.ceil(F.log2(side)).cast("int"))
     sizes = [r["size"] for r in own.select("size").distinct().collect()]  # of numbers' magnitudes: some dozens at most
-    if not sizes:
-        return regions.select("region_id").where("false").join(words.select("word_id").where("false"))
+    box = ("x0", "x1", "top", "bottom")
     own = own.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("top"), at("bottom"))))
-    own = own.select("region_id", "page", "size", "gx", "gy", *(F.col(c).alias(f"r_{c}") for c in ("x0", "x1", "top", "bottom")))
-    held = words.select("page", "word_id", "x0", "x1", "top", "bottom", F.explode(F.array(*map(F.lit, sizes))).alias("size")).withColumns({"gx": at("x0"), "gy": at("top")})
-    inside = (F.col("x0") >= F.col("r_x0")) & (F.col("x1") <= F.col("r_x1")) & (F.col("top") >= F.col("r_top")) & (F.col("bottom") <= F.col("r_bottom"))
-    return own.join(held, ["page", "size", "gx", "gy"]).where(inside).select("region_id", "word_id")
+    rest = [c for c in more if c not in ("page", "word_id", *box)]
+    held = words.where("page is not null").select("page", "word_id", *box, *rest)
+    both = held.unionByName(own.select("page", "size", "gx", "gy", F.struct("region_id", *box).alias("region")), allowMissingColumns=True).repartition("page")
+    word = F.col("region").isNull()
+    both = both.withColumn("size", F.explode(F.when(word, F.array(*map(F.lit, sizes)).cast("array<int>")).otherwise(F.array("size"))))
+    both = both.withColumns({"gx": F.when(word, at("x0")).otherwise(F.col("gx")), "gy": F.when(word, at("top")).otherwise(F.col("gy"))})
+    near = F.collect_list("region").over(Window.partitionBy("page", "size", "gx", "gy"))
+    inside = lambda r: (F.col("x0") >= r["x0"]) & (F.col("x1") <= r["x1"]) & (F.col("top") >= r["top"]) & (F.col("bottom") <= r["bottom"])
+    out = both.withColumn("near", near).where("region is null").withColumn("near", F.explode(F.filter("near", inside)))
+    return out.select(F.col("near.region_id").alias("region_id"), "word_id", *more)
 
 
 def region_texts(regions: DataFrame, words: DataFrame, slack: float = 3.0) -> DataFrame:
     """region_id, n and text: a region's words in reading order, its lines parted by line ends."""
-    own = within(regions, words).join(words.select("word_id", "x0", "top", "text"), "word_id").withColumn("page", F.col("region_id"))
-    rows = with_lines(own, slack).groupBy("region_id", "line").agg(F.count("*").alias("n"), _joined().alias("text"))
-    rows = rows.groupBy("region_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
-    return rows.select("region_id", "n", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
+    own = within(regions, words, "x0", "top", "text").where("word_id is not null").withColumnRenamed("region_id", "page")
+    rows = with_lines(own, slack).groupBy("page", "line").agg(F.count("*").alias("n"), _joined().alias("text"))
+    rows = rows.groupBy("page").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    return rows.select(F.col("page").alias("region_id"), "n", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
 
 
 def with_lines(words: DataFrame, slack: float = 3.0) -> DataFrame:

@@ -74,3 +74,13 @@ def test_natural_order(spark):
 @pytest.mark.parametrize(("given", "want"), [("3/4 HOUR", None), ("door, 90 min rated", "90 MIN"), ("1.5 hr", "1.5 HR"), ("4 hours", None), ("20Min", "20MIN"), (None, None)])
 def test_fire_rating(spark, given, want):
     assert value(spark, T.fire_rating(F.lit(given).cast("string"))) == want
+
+
+def test_words_are_moved_once_to_regions(spark):
+    """Words are shuffled by page and laid into squares there, and a region's text needs no second join."""
+    words = spark.createDataFrame([(p, p * 10 + i, 5.0 * i, 5.0 * i + 4, 0.0, 9.0, f"w{i}") for p in (1, 2) for i in range(4)] + [(None, 99, 0.0, 1.0, 0.0, 1.0, "x")], "page long, word_id long, x0 double, x1 double, top double, bottom double, text string")
+    regions = spark.createDataFrame([(7, 1, 0.0, 10.0, 0.0, 9.0), (8, 1, 0.0, 900.0, -1.0, 900.0), (9, 2, 4.0, 15.0, 0.0, 10.0), (6, None, 0.0, 1.0, 0.0, 1.0)], "region_id long, page long, x0 double, x1 double, top double, bottom double")
+    got = boxes.region_texts(regions, words)
+    assert {(x["region_id"], x["n"], x["text"]) for x in got.collect()} == {(7, 2, "w0 w1"), (8, 4, "w0 w1 w2 w3"), (9, 2, "w1 w2")}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
