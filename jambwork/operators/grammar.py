@@ -59,17 +59,22 @@ SHORT = {
 
 def sectioned(rows: DataFrame) -> DataFrame:
     """rows (page, line, text) with format, section (from 1; 0 for what comes before the first of several headings) and the section's set_id and generic_id."""
-    page, so_far = Window.partitionBy("page"), Window.partitionBy("page").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    is_in = lambda pattern: F.max(F.coalesce(F.col("text").rlike(pattern), F.lit(False))).over(page)
-    rows = rows.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).withColumns({"format": F.when(is_in(SPECWORKS_PAGE), "specworks").when(is_in(ESC_PAGE), "esc").otherwise("generic"), "_begins": F.col("text").rlike(SECTION).cast("int")})
-    rows = rows.withColumns({"section": F.sum("_begins").over(so_far), "_headings": F.sum("_begins").over(page)})
+    # all windows are in the order of lines, so that one sort of each kind does for what is asked here and by others
+    by_line = Window.partitionBy("page").orderBy("line")
+    page, so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_line.rowsBetween(Window.unboundedPreceding, 0)
+    text, said = F.col("text"), F.lower("text")
+    rows = rows.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).withColumns({"_heading": said.contains("heading"), "_named": said.contains("heading") | said.contains("set") | said.contains("group")})
+    is_in = lambda pattern: F.max(F.col("_heading") & text.rlike(pattern)).over(page)
+    rows = rows.withColumn("_begins", (F.col("_named") & text.rlike(SECTION)).cast("int"))
+    rows = rows.withColumns({"format": F.when(is_in(SPECWORKS_PAGE), "specworks").when(is_in(ESC_PAGE), "esc").otherwise("generic"), "section": F.sum("_begins").over(so_far), "_headings": F.sum("_begins").over(page)})
     whole = (F.col("format") == "specworks") | (F.col("_headings") < 2)
     rows = rows.withColumn("section", F.when(whole, 1).otherwise(F.col("section")))
-    kinds = F.array(*(L.set_heading_kind(F.col("text"), k) for k in range(len(L.SET_HEADINGS))))
-    rows = rows.withColumn("_kinds", F.when(F.col("text").rlike("(?i)heading|set|group"), F.filter(F.transform(kinds, lambda x, k: F.struct(k.alias("kind"), x.alias("ids"))), lambda x: x["ids"].isNotNull())))
-    best = F.get("_kinds", F.lit(0))
-    found = F.min(F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), "line", best["ids"].alias("ids")))).over(Window.partitionBy("page", "section"))
-    return rows.withColumn("_ids", found["ids"]).withColumns({"set_id": F.col("_ids")["heading_id"], "generic_id": F.col("_ids")["generic_id"]}).drop("_begins", "_headings", "_ids", "_kinds")
+    kinds = F.array(*(L.set_heading_kind(text, k) for k in range(len(L.SET_HEADINGS))))
+    rows = rows.withColumn("_kinds", F.when(F.col("_named"), F.filter(F.transform(kinds, lambda x, k: F.struct(k.alias("kind"), x.alias("ids"))), lambda x: x["ids"].isNotNull())))
+    best, section = F.get("_kinds", F.lit(0)), Window.partitionBy("page", "section").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = F.min(F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), "line", best["ids"].alias("ids")))).over(section)
+    rows = rows.withColumn("_ids", found["ids"]).withColumns({"set_id": F.col("_ids")["heading_id"], "generic_id": F.col("_ids")["generic_id"]})
+    return rows.drop("_begins", "_headings", "_ids", "_kinds", "_heading", "_named")
 
 
 def doors(rows: DataFrame) -> DataFrame:

@@ -95,3 +95,10 @@ def test_as_read_line_by_line(spark):
     got = grammar._opened(frame(spark, pages)).where("item > 0").groupBy("page", "section", "item").agg({"line": "collect_list"}).collect()
     got = sorted((g["page"], *sorted(g["collect_list(line)"])) for g in got)
     assert got == sorted((p, i, *rest) for p, lines in pages.items() for i, rest in automaton(lines))
+
+
+def test_lines_are_sorted_once_for_pages_and_once_for_sections(spark):
+    got = grammar.items(frame(spark, {1: ["HEADING #: A1", "2 EA Hinge 5BB1 626 (HI-1) Ives"], 2: ["Hardware SET B2", "3  Wall Stop  Ives  WS406  626"]}))
+    assert {(r["page"], r["set_id"], r["qty"], r["name"]) for r in got.collect()} == {(1, "A1", 2, "Hinge"), (2, "B2", 3, "Wall Stop")}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Sort [") == 2
