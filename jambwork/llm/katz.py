@@ -1,18 +1,24 @@
 """Language-model scores by Katz backoff.
 
-A bigram model over lower-cased words: Good-Turing discounted counts, and for
-each history a backoff weight that makes its probabilities sum to one exactly.
-Words that training lacks are one type, whose probability is what the unigram
-discounts leave.
+A model of n-grams of any order over lower-cased words: Good-Turing discounted
+counts of each order, and for each history a backoff weight that makes its
+probabilities sum to one exactly. An n-gram that training lacks has its history's
+weight times the probability of the n-gram without its first word, and so on down
+to the words. Words that training lacks are one type, whose probability is what
+the unigram discounts leave. A text begins with one start; a word that has fewer
+words before it than a history takes has the longest history there is.
 
 Counts lie in tables partitioned by a hash of the word or of the history, each
-partition's in sorted arrays. Documents lie in chunks. A chunk asks each table
-partition once for the counts of its distinct words or bigrams, in sorted order;
+partition's in sorted arrays. Documents lie in chunks. Order by order, a chunk asks
+each table partition once for the counts of its distinct n-grams, in sorted order;
 requests carry the chunk's own training counts, from which the partition makes
-its table, and the answers are the counts in the order of the request. So each
+its table, and the answers are the counts in the order of the request. With the
+answers of the orders below, a chunk knows the probabilities to which its n-grams
+fall back, and sends those that training has along, from which the partition sums
+up what a history's weight has to leave out. So each
 distinct n-gram of a chunk is moved once, packed, and no task holds more than a
 chunk or a table partition. Histories that make up more than one in
-`HOT` of all tokens are spread over all partitions by the bigram's hash, and
+`HOT` of all tokens are spread over all partitions by the n-gram's hash, and
 their sums are added up by the chunks.
 
 Null and empty texts are the end token alone. Rows that share a doc_id are texts
@@ -33,6 +39,8 @@ from jambwork.llm.common import arrow_map, bucket_of, parts, stored, table
 
 #: Counts up to this are discounted.
 DISCOUNTED = 5
+#: Order of the query's model.
+ORDER = 2
 HOT = 500
 FOLDS, HELD_OUT = 7, 2
 U64 = np.uint64
@@ -125,7 +133,7 @@ def backoff(stats: np.ndarray, lower: np.ndarray, d: Discounts) -> tuple[np.ndar
 
 
 class Chunk:
-    """A chunk's texts as indexes of sorted distinct words, and its distinct bigrams."""
+    """A chunk's texts as indexes of sorted distinct words."""
 
     def __init__(self, rows: pa.Table):
         press = zstandard.ZstdDecompressor()
@@ -155,39 +163,45 @@ class Chunk:
         self.words, self.token = np.unique(np.concatenate([*words, np.array([START])]), return_inverse=True)
         self.start, self.token = int(self.token[-1]), self.token[:-1]
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
+        self.place = np.arange(len(self.doc)) - (np.cumsum(self.size) - self.size)[self.doc]
         self.train = train[self.doc]
-        self.texts_trained = int(train.sum())
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.token[self.train], minlength=len(self.words))
-
-    def pairs(self) -> None:
-        """Distinct bigrams as (hist, word) indexes, with training counts; pair: that of each token."""
-        h = np.empty_like(self.token)
-        h[1:] = self.token[:-1]
-        h[np.cumsum(self.size) - self.size] = self.start
-        key, self.pair = np.unique(h * len(self.words) + self.token, return_inverse=True)
-        self.hist, self.word = np.divmod(key, len(self.words))
-        self.pair_count = np.bincount(self.pair[self.train], minlength=len(key))
-
-    def asked(self, n: int, total: np.ndarray, tokens: float, texts: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each table partition the histories it is asked for (indexes), the pairs (indexes), and pairs by history; all in its order."""
-        short = (self.words >> U64(16)).astype(np.int64)
-        mixed = (K.mix(self.words[self.hist] * U64(3) + self.words[self.word]) & U64((1 << 40) - 1)).astype(np.int64)
-        hot = total * HOT > tokens
-        hot[self.start] = texts * HOT > tokens
-        part = np.where(hot[self.hist], mixed, short[self.hist]) % n
-        order = np.lexsort((mixed, short[self.hist], part))
+
+
+class Grams:
+    """A chunk's distinct n-grams of an order: index of the history (an n-gram of the order below), hash, and of, that of each token (-1: none)."""
+
+    def __init__(self, c: Chunk, below: Grams | None = None):
+        self.order = below.order + 1 if below else 1
+        if not below:
+            self.of, self.hash = c.token, c.words
+        else:
+            at = np.flatnonzero(c.place >= self.order - 2)
+            hist = below.of[at - 1]
+            if self.order == 2:
+                hist = np.where(c.place[at] == 0, c.start, hist)
+            key, of = np.unique(hist * len(c.words) + c.token[at], return_inverse=True)
+            self.hist, word = np.divmod(key, len(c.words))
+            self.of = np.full(len(c.token), -1)
+            self.of[at] = of
+            self.hash = K.mix(below.hash[self.hist] * U64(3) + c.words[word])
+            self.lower = np.empty(len(key), np.int64)  # the n-gram without its first word
+            self.lower[of] = below.of[at]
+            self.short, self.mixed = (below.hash >> U64(16)).astype(np.int64), (self.hash & U64((1 << 40) - 1)).astype(np.int64)
+        self.count = np.bincount(self.of[c.train & (self.of >= 0)], minlength=len(self.hash))
+
+    def asked(self, n: int, hot: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each table partition the histories it is asked for (indexes), the n-grams (indexes), and n-grams by history; all in its order."""
+        part = np.where(hot[self.hist], self.mixed, self.short[self.hist]) % n
+        order = np.lexsort((self.mixed, self.short[self.hist], part))
         at = np.searchsorted(part[order], np.arange(n + 1))
-        everywhere, self.mixed, self.short = np.flatnonzero(hot), mixed, short
-        out = []
+        everywhere, out = np.flatnonzero(hot), []
         for k in range(n):
-            pairs = order[at[k] : at[k + 1]]
-            hists = np.unique(np.concatenate([self.hist[pairs], everywhere]))
-            hists = hists[np.argsort(short[hists], kind="stable")]
-            rank = np.empty(len(self.words), np.int64)
+            grams = order[at[k] : at[k + 1]]
+            hists = np.unique(np.concatenate([self.hist[grams], everywhere]))
+            hists = hists[np.argsort(self.short[hists], kind="stable")]
+            rank = np.empty(len(self.short), np.int64)
             rank[hists] = np.arange(len(hists))
-            out.append((hists, pairs, np.bincount(rank[self.hist[pairs]], minlength=len(hists))))
+            out.append((hists, grams, np.bincount(rank[self.hist[grams]], minlength=len(hists))))
         return out
 
 
@@ -215,8 +229,47 @@ def _stats(messages: DataFrame) -> np.ndarray:
     return sum(_unpack(x.data)[0] for x in messages.where("chunk = -1").select("data").toLocalIterator())
 
 
-def score(docs: DataFrame, train: str = "train") -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text, train)."""
+class Known:
+    """A chunk's n-grams of one order, their counts in training, and p, their probabilities after their histories."""
+
+    def __init__(self, grams: Grams, total: np.ndarray, p: np.ndarray):
+        self.grams, self.total, self.p = grams, total, p
+
+
+class Model:
+    """What the chunks know of the whole: unigrams, discounts by order, number of table partitions and of training texts."""
+
+    def __init__(self, unigrams: Unigrams, discounts: dict[int, Discounts], n: int, texts: int):
+        self.unigrams, self.discounts, self.n, self.texts = unigrams, discounts, n, texts
+
+    def hot(self, c: Chunk, below: Known) -> np.ndarray:
+        """Histories that make up so much of all tokens that they are spread."""
+        hot = below.total * HOT > self.unigrams.tokens
+        if below.grams.order == 1:
+            hot[c.start] = self.texts * HOT > self.unigrams.tokens
+        return hot
+
+    def known(self, c: Chunk, answers: pa.Table) -> list[Known]:
+        """The chunk's n-grams of each order that has been answered, one from the other: this is the recursion of the backoff."""
+        got = {k: _answers(answers.filter(pa.compute.equal(answers.column("kind"), k))) for k in (1, *self.discounts)}
+        total = _totals(c, got[1], self.n)
+        out = [Known(Grams(c), total, self.unigrams.p(total))]
+        for k, d in self.discounts.items():
+            below = out[-1]
+            g = Grams(c, below.grams)
+            stats, lower, count = np.zeros((len(below.total), DISCOUNTED + 1)), np.zeros(len(below.total)), np.zeros(len(g.hist), np.int64)
+            for part, (hists, grams, _) in enumerate(g.asked(self.n, self.hot(c, below))):
+                counts, each, low = got[k][part]
+                count[grams] = counts
+                stats[hists] += each.reshape(-1, DISCOUNTED + 1)
+                lower[hists] += low
+            weight, scale, _ = backoff(stats, lower, d)
+            out.append(Known(g, count, np.where(count > 0, d.of(count) * scale[g.hist], weight[g.hist] * below.p[g.lower])))
+        return out
+
+
+def score(docs: DataFrame, train: str = "train", order: int = ORDER) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text, train), by n-grams up to an order of 1 or more."""
     n = parts(docs.sparkSession)
 
     def press(batch):
@@ -231,7 +284,7 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
 
     def ask_words(table_: pa.Table) -> pa.Table:
         c = Chunk(table_)
-        count, part, data = c.counts(), (c.words % U64(n)).astype(np.int64), []
+        count, part, data = Grams(c).count, (c.words % U64(n)).astype(np.int64), []
         for k in range(n):
             data.append(_pack(_deltas(c.words[part == k]), count[part == k]))
         return _sent([*range(n)], table_.column("chunk")[0].as_py(), data)
@@ -252,66 +305,68 @@ def score(docs: DataFrame, train: str = "train") -> DataFrame:
     unigrams = Unigrams(np.asarray(stats))
     texts = docs.where(F.col(train)).count()
 
-    def ask_pairs(table_: pa.Table, answers: pa.Table) -> pa.Table:
-        c = Chunk(table_)
-        total = _totals(c, _answers(answers), n)
-        c.pairs()
-        data = []
-        for hists, pairs, many in c.asked(n, total, unigrams.tokens, texts):
-            data.append(_pack(_deltas(c.short[hists]), many, c.mixed[pairs], c.pair_count[pairs], total[c.word[pairs]]))
-        return _sent([*range(n)], table_.column("chunk")[0].as_py(), data)
+    def ask_grams(model: Model):
+        def ask(table_: pa.Table, answers: pa.Table) -> pa.Table:
+            c = Chunk(table_)
+            below = model.known(c, answers)[-1]
+            g, data = Grams(c, below.grams), []
+            back = below.total if below.grams.order == 1 else below.p  # words' counts say their probabilities, in fewer bytes
+            back = np.where(g.count > 0, back[g.lower], 0)
+            for hists, grams, many in g.asked(n, model.hot(c, below)):
+                data.append(_pack(_deltas(g.short[hists]), many, g.mixed[grams], g.count[grams], back[grams]))
+            return _sent([*range(n)], table_.column("chunk")[0].as_py(), data)
 
-    def serve_pairs(asked: pa.Table) -> pa.Table:
+        return ask
+
+    def serve_grams(asked: pa.Table) -> pa.Table:
         got = [_unpack(x) for x in asked.column("data").to_pylist()]
         hists = [np.cumsum(x[0]) for x in got]
         hist, where = np.unique(np.concatenate(hists), return_inverse=True)
         where = np.split(where, np.cumsum([len(x) for x in hists])[:-1])
         h = np.concatenate([np.repeat(w, x[1]) for w, x in zip(where, got, strict=True)])
-        mixed, count, word = (np.concatenate([x[k] for x in got]) for k in (2, 3, 4))
+        mixed, count, back = (np.concatenate([x[k] for x in got]) for k in (2, 3, 4))
         order = np.lexsort((mixed, h))
         new = np.ones(len(order), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (mixed[order][1:] != mixed[order][:-1])
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         total = np.bincount(of, count, int(new.sum())).astype(np.int64)
-        ph, pw = h[order][new], word[order][new]
+        ph = h[order][new]
+        back = np.maximum.reduceat(back[order], np.flatnonzero(new)) if len(order) else back
+        back = unigrams.p(back) if back.dtype.kind in "iu" else back
         seen = total > 0
         few = seen & (total <= DISCOUNTED)
         each = np.zeros((len(hist), DISCOUNTED + 1), np.int64)
         np.add.at(each, (ph[few], total[few] - 1), 1)
         each[:, DISCOUNTED] = np.bincount(ph[seen & ~few], total[seen & ~few], len(hist))
-        lower = np.bincount(ph[seen], unigrams.p(pw[seen]), len(hist))
+        lower = np.bincount(ph[seen], back[seen], len(hist))
         answers = [_pack(t, each[w].ravel(), lower[w]) for t, w in zip(np.split(total[of], np.cumsum([len(x[2]) for x in got])[:-1]), where, strict=True)]
         types = np.bincount(total[seen & (total <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2)[1:]
         part = asked.column("part")[0].as_py()
         return pa.table({"part": pa.array([part] * (len(got) + 1), pa.int32()), "chunk": pa.array([*asked.column("chunk").to_pylist(), -1], pa.int32()), "data": pa.array([*answers, _pack(types)], pa.binary())})
 
-    to_chunks = words.where("chunk >= 0").groupBy("chunk")
-    bigrams = stored(of_chunk.cogroup(to_chunks).applyInArrow(ask_pairs, MESSAGE).groupBy("part").applyInArrow(serve_pairs, MESSAGE))
-    discounts = Discounts(np.asarray(_stats(bigrams) if not bigrams.isEmpty() else np.zeros(DISCOUNTED + 1), float))
-    both = words.where("chunk >= 0").withColumn("kind", F.lit(1)).unionByName(bigrams.where("chunk >= 0").withColumn("kind", F.lit(2)))
+    discounts: dict[int, Discounts] = {}
+    answers = words.where("chunk >= 0").withColumn("kind", F.lit(1))
+    for k in range(2, order + 1):
+        ask = ask_grams(Model(unigrams, dict(discounts), n, texts))
+        grams = stored(of_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(ask, MESSAGE).groupBy("part").applyInArrow(serve_grams, MESSAGE))
+        discounts[k] = Discounts(np.asarray(_stats(grams) if not grams.isEmpty() else np.zeros(DISCOUNTED + 1), float))
+        answers = answers.unionByName(grams.where("chunk >= 0").withColumn("kind", F.lit(k)))
+    model = Model(unigrams, discounts, n, texts)
 
     def evaluate(table_: pa.Table, answers: pa.Table) -> pa.Table:
-        c, kind = Chunk(table_), answers.column("kind")
-        one, two = (_answers(answers.filter(pa.compute.equal(kind, k))) for k in (1, 2))
-        total = _totals(c, one, n)
-        c.pairs()
-        stats, lower = np.zeros((len(c.words), DISCOUNTED + 1)), np.zeros(len(c.words))
-        count = np.zeros(len(c.hist), np.int64)
-        for k, (hists, pairs, _) in enumerate(c.asked(n, total, unigrams.tokens, texts)):
-            got, each, low = two[k]
-            count[pairs] = got
-            stats[hists] += each.reshape(-1, DISCOUNTED + 1)
-            lower[hists] += low
-        weight, scale, _ = backoff(stats, lower, discounts)
-        p1 = unigrams.p(total)
-        p = np.where(count > 0, discounts.of(count) * scale[c.hist], weight[c.hist] * p1[c.word])
+        c = Chunk(table_)
+        known = model.known(c, answers)
+        total, p = known[0].total, np.zeros(len(c.token))
+        for x in known:  # of each token the highest order it has
+            has = x.grams.of >= 0
+            p[has] = x.p[x.grams.of[has]]
         docs_ = len(c.size)
-        log = np.log10(np.maximum(p, 1e-300))[c.pair]
+        log = np.log10(np.maximum(p, 1e-300))
         base = np.log10((total + 1) / (unigrams.tokens + unigrams.types + 1))[c.token]
         return pa.table({"doc_id": c.ids, "n_tokens": c.size, "n_known": np.bincount(c.doc, total[c.token] > 0, docs_).astype(np.int64), "train_tokens": np.full(docs_, int(unigrams.tokens)), "base_score": np.bincount(c.doc, base, docs_), "score": np.bincount(c.doc, log, docs_)})
 
-    return of_chunk.cogroup(both.groupBy("chunk")).applyInArrow(evaluate, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return of_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
