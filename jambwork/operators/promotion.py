@@ -10,10 +10,13 @@ staged ones are left out, production's stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jambwork.sources import versions
+from jambwork.sources.sinks import stored
 
 #: What an opening takes over from a staged one, states of runs that can be promoted, and why others are refused.
 FIELDS = ["hw_set", "hw_heading", "location", "door_type", "frame_type", "fire_rating", "hand", "pdf_page", "leaf_count"]
@@ -43,10 +46,20 @@ def decided(requests: DataFrame, runs: DataFrame, members: DataFrame, staged: Da
     return rows.select("run_id", "user_id", "project_id", why.alias("error"), F.when(F.col("_admin") & ready, F.col("orphan_doors")).alias("orphan_doors"))
 
 
-def _signed(items: DataFrame, qty: Column) -> DataFrame:
+def _sign(items: str, qty) -> Column:
     """What decides whether a door's items differ: their sorted names and quantities; those without either don't count."""
-    sign = F.array_sort(F.collect_list(F.concat("name", F.lit(":"), qty.cast("string"))))
-    return items.groupBy(*KEY).agg(F.array_join(sign, "|").alias("sign"))
+    said = F.transform(items, lambda x: F.concat(x["name"], F.lit(":"), qty(x["qty"]).cast("string")))
+    return F.array_join(F.array_sort(F.filter(said, lambda x: x.isNotNull())), "|")
+
+
+def _by_door(**frames: DataFrame) -> DataFrame:
+    """A row for each door with an array of each frame's rows, all frames moved together, once; rows without a key have one each."""
+    structs = {n: F.struct(*(c for c in d.columns if c not in KEY)) for n, d in frames.items()}
+    types = {n: d.select(structs[n].alias("r")).schema["r"].dataType for n, d in frames.items()}
+    own = [d.select(*KEY, *((structs[n] if m == n else F.lit(None).cast(types[m])).alias(m) for m in frames)) for n, d in frames.items()]
+    rows = reduce(DataFrame.unionByName, own)
+    loose = F.when(reduce(lambda x, y: x | y, (F.col(k).isNull() for k in KEY)), F.monotonically_increasing_id())
+    return rows.withColumn("_loose", loose).groupBy(*KEY, "_loose").agg(*(F.collect_list(n).alias(n) for n in frames)).drop("_loose")
 
 
 def merged(openings: DataFrame, items: DataFrame, accepted: DataFrame, staged: DataFrame, staged_items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,26 +68,31 @@ def merged(openings: DataFrame, items: DataFrame, accepted: DataFrame, staged: D
     Doors are added, updated (other items: replaced), unchanged (only the opening's fields are taken over) or removed: doors of a
     project that aren't staged become inactive, if anything is staged at all, but keep their items. Doors that come
     back are active again. Doors that nothing happens to, those of other projects among them, have no action.
+
+    Old and new openings and items meet by door once; the result is stored, and all three are read from it.
     """
-    own = staged.join(accepted.select("run_id", "project_id"), "run_id").drop("run_id")
-    parts = staged_items.join(accepted.select("run_id", "project_id"), "run_id").drop("run_id").join(own.select(*KEY), KEY, "left_semi")
-    new = own.select(*KEY, *(F.col(f).alias(f"_{f}") for f in FIELDS), F.lit(True).alias("_comes"))
-    new = new.join(_signed(parts, F.coalesce("qty", F.lit(1))).withColumnRenamed("sign", "_new"), KEY, "left")
-    rows = openings.withColumn("_there", F.lit(True)).join(new, KEY, "full_outer").join(_signed(items, F.col("qty")).withColumnRenamed("sign", "_old"), KEY, "left")
-    rows = rows.join(own.groupBy("project_id").agg(F.lit(True).alias("_any")), "project_id", "left")
-    same = F.coalesce("_new", F.lit("")) == F.coalesce("_old", F.lit(""))
-    action = F.when(F.col("_comes") & F.col("_there").isNull(), "added").when(F.col("_comes") & same, "unchanged").when(F.col("_comes"), "updated").when(F.col("_any") & F.col("is_active"), "removed")
-    rows = rows.withColumn("action", action)
-    taken = lambda f: F.coalesce(F.col(f"_{f}"), F.lit(1)) if f == "leaf_count" else F.col(f"_{f}")
-    kept = {f: F.when(F.col("_comes"), taken(f)).otherwise(F.col(f)) for f in FIELDS}
-    after = rows.withColumns(kept | {"is_active": F.when(F.col("_comes"), True).when(F.col("action") == "removed", False).otherwise(F.col("is_active"))})
-    doors = rows.select(*KEY, "action")
-    written = parts.join(doors.where("action IN ('added', 'updated')").select(*KEY), KEY, "left_semi")
-    left = items.join(doors.where("action = 'updated'").select(*KEY), KEY, "left_anti")
+    runs = accepted.select("run_id", "project_id")
+    own = staged.join(runs, "run_id").select(*KEY, *FIELDS)
+    parts = staged_items.join(runs, "run_id").select(*items.columns)
+    any_ = runs.join(staged.select("run_id"), "run_id", "left_semi").select("project_id", F.lit(True).alias("_any")).distinct()
+    doors = _by_door(old=openings.join(any_, "project_id", "left"), new=own, kept=items, parts=parts)
+    comes, there = F.size("new") > 0, F.size("old") > 0
+    same = _sign("parts", lambda q: F.coalesce(q, F.lit(1))) == _sign("kept", lambda q: q)
+    doors = stored(doors.withColumn("action", F.when(comes & ~there, "added").when(comes & same, "unchanged").when(comes, "updated")))
+    rows = doors.where(comes | there).select(*KEY, "action", F.explode_outer("old").alias("old"), "new").withColumn("new", F.explode_outer("new"))
+    rows = rows.withColumn("action", F.coalesce("action", F.when(F.col("old._any") & F.col("old.is_active"), "removed")))
+    new = F.col("new").isNotNull()
+    taken = lambda f: F.coalesce(F.col(f"new.{f}"), F.lit(1)) if f == "leaf_count" else F.col(f"new.{f}")
+    after = {c: F.col(c) if c in KEY else F.col(f"old.{c}") for c in openings.columns}
+    after |= {f: F.when(new, taken(f)).otherwise(F.col(f"old.{f}")) for f in FIELDS}
+    after["is_active"] = F.when(new, True).when(F.col("action") == "removed", False).otherwise(F.col("old.is_active"))
+    of = lambda d, n: d.select(*KEY, F.explode(n).alias("r")).select(*(F.col(c) if c in KEY else F.col(f"r.{c}") for c in items.columns))
+    written = doors.where("action IN ('added', 'updated')")
+    left = doors.where("action IS NULL OR action <> 'updated'")
     count = lambda x: F.coalesce(F.sum((F.col("action") == x).cast("long")), F.lit(0)).alias("deactivated" if x == "removed" else x)
-    counts = doors.where("action IS NOT NULL").groupBy("project_id").agg(*map(count, ("added", "updated", "unchanged", "removed")))
-    counts = accepted.select("run_id", "project_id").join(counts, "project_id", "left").join(written.groupBy("project_id").agg(F.count("*").alias("items_promoted")), "project_id", "left")
-    return after.select(*openings.columns, "action"), left.unionByName(written.select(*items.columns)), counts.fillna(0, ["added", "updated", "unchanged", "deactivated", "items_promoted"])
+    counts = rows.where("action IS NOT NULL").groupBy("project_id").agg(*map(count, ("added", "updated", "unchanged", "removed")))
+    counts = runs.join(counts, "project_id", "left").join(written.groupBy("project_id").agg(F.sum(F.size("parts")).alias("items_promoted")), "project_id", "left")
+    return rows.select(*(x.alias(c) for c, x in after.items()), "action"), of(left, "kept").unionByName(of(written, "parts")), counts.fillna(0, ["added", "updated", "unchanged", "deactivated", "items_promoted"])
 
 
 def _repeated(tables: dict[str, DataFrame]) -> DataFrame:

@@ -71,7 +71,7 @@ RUN = "CASE project_id % 5 WHEN 0 THEN 'promoted' WHEN 1 THEN 'completed_with_is
 def _staged(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Production's openings and items, the runs that are to be promoted and what they stage."""
     o = frame(spark, sf, "openings")
-    h = frame(spark, sf, "hardware").join(o.select("opening_id", "project_id", "door_number"), "opening_id")
+    h = stored(frame(spark, sf, "hardware").join(o.select("opening_id", "project_id", "door_number"), "opening_id").select("opening_id", "project_id", "door_number", "name", "qty", "model", "leaf_side"))
     projects = frame(spark, sf, "projects").select("project_id")
     return {
         "openings": o.where(OLD).selectExpr(*_columns(BEFORE), "is_active"), "items": h.where(OLD).select("project_id", "door_number", "name", "qty", "model"),
