@@ -19,18 +19,18 @@ def exclusive(pairs: DataFrame, by: list[str]) -> DataFrame:
 
     All b's ask at once, an a keeps the first in turn, and whoever comes after it is refused by that a for good; what
     is refused asks its next. When nobody is refused, this is what the turns would give, as no a ever goes back to a
-    later b. Rounds grow with the length of chains of refusals and not with the number of b's, and each round's
-    pairs are stored.
+    later b. Groups of `by` where nobody is refused are done: only the others' pairs go into another round. Rounds
+    grow with the length of chains of refusals and not with the number of b's, and each round's pairs are stored.
     """
-    left = stored(pairs)
-    n = left.count()
+    left, done = stored(pairs), []
     while True:
         asks = left.groupBy(*by, "b", "turn").agg(F.min_by("a", "choice").alias("a"))
-        kept = asks.groupBy(*by, "a").agg(F.min("turn").alias("first"))
-        rest = stored(left.join(kept, [*by, "a"], "left").where("first is null or turn <= first").drop("first"))
-        if (m := rest.count()) == n:
-            return asks.select(*by, "a", "b")
-        left, n = rest, m
+        kept = stored(asks.groupBy(*by, "a").agg(F.min("turn").alias("first"), F.min_by("b", "turn").alias("b"), F.count("*").alias("n")))
+        refused = kept.where("n > 1").select(*by).distinct()
+        done.append(kept.join(refused, by, "left_anti").select(*by, "a", "b"))
+        if refused.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        left = stored(left.join(refused, by, "left_semi").join(kept.select(*by, "a", "first"), [*by, "a"], "left").where("first is null or turn <= first").drop("first"))
 
 
 def matched_sets(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -47,9 +47,9 @@ def matched_sets(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     kx = x.groupBy(*by, T.set_key(F.col("a")).alias("k")).agg(F.max_by("a", "a_pos").alias("a"))
     ky = free(y, "b", one).groupBy(*by, T.set_key(F.col("b")).alias("k")).agg(F.min_by("b", "b_pos").alias("b"))
     two = stored(free(kx.join(ky, [*by, "k"]), "a", one).select(*by, "a", "b", F.lit(2).alias("tier")))
-    words = lambda d, n: free(d, n, one, two).withColumn(f"{n}_words", T.tokens(F.col(f"{n}_heading"))).withColumn("word", F.explode(f"{n}_words"))
-    met = words(x, "a").join(words(y, "b"), [*by, "word"]).drop("word").distinct()
-    scored = met.withColumn("score", T.jaccard(F.col("a_words"), F.col("b_words"))).where("score >= 0.5")
+    words = lambda d, n: free(d, n, one, two).withColumn("word", T.tokens(F.col(f"{n}_heading"))).select(*by, n, f"{n}_pos", F.size("word").alias(f"{n}_size"), F.explode("word").alias("word"))
+    met = words(x, "a").join(words(y, "b"), [*by, "word"]).groupBy(*by, "a", "b").agg(*(F.first(c).alias(c) for c in ("a_pos", "b_pos", "a_size", "b_size")), F.count("*").alias("both"))
+    scored = met.withColumn("score", F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both"))).where("score >= 0.5")
     three = exclusive(scored.select(*by, "a", "b", F.struct("b_pos", "b").alias("turn"), F.struct((-F.col("score")).alias("by"), "a_pos", "a").alias("choice")), by)
     return one.unionByName(two).unionByName(three.withColumn("tier", F.lit(3)))
 
