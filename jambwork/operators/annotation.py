@@ -2,9 +2,10 @@
 
 A cascade: doors and leaves that a set's heading says; else those of the openings that
 name its id as their heading; else those that name its generic id as their set; else
-those whose heading or set begins with its id but for case, spaces and hyphens. Each
-tier is an equi-join that is fed with what the earlier ones left, and `origin` says
-which one it was. Items keep their quantity: qty_source says what is to be done with it.
+those whose heading or set begins with its id but for case, spaces and hyphens. What
+the openings say is counted by name first; sets meet the names of all tiers in one
+equi-join, the first tier that has any counts, and `origin` says which one it was.
+Items keep their quantity: qty_source says what is to be done with it.
 
 Sets, items and openings belong to a project (`by`). Sets without an id, doors or
 openings have no divisor; null quantities are left as they are.
@@ -21,49 +22,43 @@ from jambwork.operators import linkage
 from jambwork.sources.sinks import stored
 
 HANDED = r"(?i)\b(RHR|LHR|RH|LH)\b"
-#: Between a project and an id, so that both are one key.
-SEP = "\u0001"
+#: Origins but for headings and none, the first first.
+ORIGINS = ("opening", "generic", "crossed")
 
 
-def _key(by: str, value: Column) -> Column:
-    return F.when(T.blank_to_null(F.trim(value)).isNotNull(), F.concat(F.col(by).cast("string"), F.lit(SEP), F.upper(F.trim(value))))
+def _id(value: Column) -> Column:
+    return F.upper(T.blank_to_null(F.trim(value)))
 
 
-def _looked_up(sets: DataFrame, openings: DataFrame, by: str, key: Column, column: str) -> DataFrame:
-    """set_id, doors and leaves of sets whose key is an opening's value of a column: equal, without its suffix, or the longest of which one begins with the other."""
-    keys = sets.withColumn("key", key).where("key is not null")
-    known = openings.select(_key(by, F.col(column)).alias("name"), "leaf_count").where("name is not null").groupBy("name").agg(F.struct(F.count("*").alias("doors"), F.sum("leaf_count").cast("long").alias("leaves")).alias("value"))
-    found = linkage.tiered_lookup(keys.select("key"), known).where("value is not null").select("key", "value.doors", "value.leaves")
-    return keys.join(found, "key").select(by, "set_id", "doors", "leaves")
-
-
-def _crossed(sets: DataFrame, openings: DataFrame, by: str) -> DataFrame:
-    """set_id, doors and leaves of sets with whose plain id an opening's plain heading or set begins: the openings' beginnings are listed."""
-    begins = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.substr(c, F.lit(1), i))
-    plain = openings.select(by, "leaf_count", T.set_key(F.coalesce("hw_heading", F.lit(""))).alias("h"), T.set_key(F.coalesce("hw_set", F.lit(""))).alias("s"))
-    met = plain.select(by, "leaf_count", F.explode(F.array_distinct(F.concat(begins(F.col("h")), begins(F.col("s"))))).alias("k")).where("k <> ''")
-    met = met.groupBy(by, "k").agg(F.count("*").alias("doors"), F.sum("leaf_count").cast("long").alias("leaves"))
-    return sets.withColumn("k", T.set_key(F.col("set_id"))).join(met, [by, "k"]).select(by, "set_id", "doors", "leaves")
-
-
-def divisors(sets: DataFrame, openings: DataFrame, by: str) -> DataFrame:
-    """by, set_id, doors, leaves and origin (heading, opening, generic, crossed, none) of each set.
+def divisors(sets: DataFrame, openings: DataFrame, by: str, *more: str) -> DataFrame:
+    """by, set_id, doors, leaves, origin (heading, opening, generic, crossed, none) and more columns of each set.
 
     sets: by, set_id (distinct in it), generic_id, heading_doors, heading_leaves; openings: by, hw_heading, hw_set, leaf_count.
     """
-    own, openings = stored(sets.where("set_id is not null")), stored(openings.select(by, "hw_heading", "hw_set", "leaf_count"))
-    out = own.where("heading_doors > 0").select(by, "set_id", F.col("heading_doors").cast("long").alias("doors"), F.col("heading_leaves").cast("long").alias("leaves"), F.lit("heading").alias("origin"))
-    left = own.where("coalesce(heading_doors, 0) <= 0")
+    own = stored(sets.where("set_id is not null").select(by, "set_id", "generic_id", "heading_doors", "heading_leaves", *more))
+    openings = stored(openings.select(by, "hw_heading", "hw_set", "leaf_count"))
+    said = F.coalesce(F.col("heading_doors") > 0, F.lit(False))
     generic = F.coalesce(T.blank_to_null(F.trim("generic_id")), F.col("set_id"))
-    for origin, find in (
-        ("opening", lambda d: _looked_up(d, openings, by, _key(by, F.col("set_id")), "hw_heading")),
-        ("generic", lambda d: _looked_up(d, openings, by, _key(by, generic), "hw_set")),
-        ("crossed", lambda d: _crossed(d, openings, by)),
-    ):
-        got = stored(find(left))  # what comes next uses it twice
-        out = out.unionByName(got.withColumn("origin", F.lit(origin)))
-        left = stored(left.join(got.select(by, "set_id"), [by, "set_id"], "left_anti"))
-    return out.unionByName(left.select(by, "set_id", F.lit(0).cast("long").alias("doors"), F.coalesce("heading_leaves", F.lit(0)).cast("long").alias("leaves"), F.lit("none").alias("origin")))
+    left = own.where(~said).select(by, "set_id", _id(F.col("set_id")).alias("_opening"), _id(generic).alias("_generic"), T.set_key(F.col("set_id")).alias("_crossed"))
+    bare = lambda c: F.regexp_replace(c, linkage.SUFFIX, "")
+    ids, generics, plain = linkage.lengths(left, bare("_opening"), bare("_generic"), F.nullif("_crossed", F.lit("")))
+    headings, named = linkage.lengths(openings, _id(F.col("hw_heading")), _id(F.col("hw_set")))
+
+    name = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
+    crossed = F.array_distinct(F.concat(*(linkage.begins(T.set_key(F.coalesce(c, F.lit(""))), plain) for c in ("hw_heading", "hw_set"))))
+    names = F.concat(F.array(name(0, _id(F.col("hw_heading"))), name(1, _id(F.col("hw_set")))), F.transform(crossed, lambda x: name(2, x)))
+    known = openings.select(by, "leaf_count", F.inline(names)).where("name is not null").groupBy(by, "kind", "name").agg(F.count("*").alias("doors"), F.sum("leaf_count").cast("long").alias("leaves"))
+    at = F.when(F.col("kind") == 0, linkage.offered(F.col("name"), ids, 0)).when(F.col("kind") == 1, linkage.offered(F.col("name"), generics, 1)).otherwise(linkage.offered(F.col("name"), [], 2))
+    asks = F.concat(linkage.asked(F.col("_opening"), headings, 0), linkage.asked(F.col("_generic"), named, 1), linkage.asked(F.col("_crossed"), plain, 2))
+    asks = F.filter(asks, lambda x: (x["side"] < 4) | (x["tier"] == 1))  # crossed names are beginnings already
+    met = left.select(by, "set_id", F.inline(asks)).join(known.select(by, "kind", "name", "doors", "leaves", F.inline(at)), [by, "side", "meet"])
+    best = met.groupBy(by, "set_id").agg(F.min(F.struct("kind", "tier", -F.length("name"), "name", "doors", "leaves")).alias("_m"))
+    m, none = F.col("_m"), F.lit(0).cast("long")
+    return own.join(best, [by, "set_id"], "left").select(
+        by, "set_id", F.when(said, F.col("heading_doors").cast("long")).otherwise(F.coalesce(m["doors"], none)).alias("doors"),
+        F.when(said, F.col("heading_leaves").cast("long")).when(m.isNotNull(), m["leaves"]).otherwise(F.coalesce(F.col("heading_leaves").cast("long"), none)).alias("leaves"),
+        F.when(said, "heading").otherwise(F.coalesce(F.get(F.array(*map(F.lit, ORIGINS)), m["kind"]), F.lit("none"))).alias("origin"), *more,
+    )
 
 
 def annotated(items: DataFrame, sets: DataFrame, openings: DataFrame, by: str) -> DataFrame:
@@ -74,8 +69,13 @@ def annotated(items: DataFrame, sets: DataFrame, openings: DataFrame, by: str) -
     on leaves and they are known, else by doors. Of these, hands that come both ways are rhr_lhr_pair, and closers
     beside an automatic operator needs_review.
     """
-    per = divisors(sets, openings, by).join(sets.select(by, "set_id", "convention"), [by, "set_id"])
-    rows = items.join(per, [by, "set_id"]).withColumn("category", C.set_category(F.col("name")))
+    bare = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), HANDED, "")))
+    hand = F.upper(F.substring(F.regexp_extract(F.concat_ws(" ", "name", "model"), HANDED, 1), 1, 2))
+    alike, own = Window.partitionBy(by, "set_id", bare(F.col("name")), bare(F.col("model"))), Window.partitionBy(by, "set_id")
+    # before the join, where rows are short, and the finer window first: its order is that of the other and of the join
+    rows = items.withColumn("category", C.set_category(F.col("name"))).withColumn("_both", F.size(F.collect_set(F.when(hand != "", hand)).over(alike)) >= 2)
+    rows = rows.withColumn("_operator", F.max(F.coalesce(F.col("category") == "auto_operator", F.lit(False))).over(own))
+    rows = rows.join(divisors(sets, openings, by, "convention"), [by, "set_id"])
     rows = rows.withColumns({"_most": C.most_of(F.col("category")), "_pref": C.preference(F.col("category"))})
     q, doors, leaves = F.col("qty"), F.col("doors"), F.col("leaves")
     divisor = F.when((F.col("_pref") == "leaf") & (leaves > 1), leaves).when(doors > 1, doors)
@@ -88,12 +88,6 @@ def annotated(items: DataFrame, sets: DataFrame, openings: DataFrame, by: str) -
         "qty_total": F.when(single & ~each & ~F.coalesce(capped, F.lit(False)), none).otherwise(q.cast("long")),
         "divisor": F.when(each, doors).when(single, none).when(F.coalesce(divides, F.lit(False)), divisor).when(F.coalesce(few, F.lit(False)), F.coalesce(divisor, F.nullif(doors, F.lit(0)))).otherwise(none),
     })
-    bare = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), HANDED, "")))
-    hand = F.upper(F.substring(F.regexp_extract(F.concat_ws(" ", "name", "model"), HANDED, 1), 1, 2))
-    alike, own = Window.partitionBy(by, "set_id", bare(F.col("name")), bare(F.col("model"))), Window.partitionBy(by, "set_id")
-    both = F.size(F.collect_set(F.when(hand != "", hand)).over(alike)) >= 2
-    operator = F.max(F.coalesce(F.col("category") == "auto_operator", F.lit(False))).over(own)
     asked = F.col("qty_source") == "needs_division"
-    rows = rows.withColumns({"_both": both, "_operator": operator})
     source = F.when(asked & F.col("_both"), "rhr_lhr_pair").when(asked & F.col("_operator") & (F.col("category") == "closer"), "needs_review").otherwise(F.col("qty_source"))
     return rows.withColumn("qty_source", source).drop("_most", "_pref", "_both", "_operator", "convention")

@@ -62,21 +62,57 @@ def priority_lookup(rows: DataFrame, first: DataFrame, second: DataFrame, key1:
     return out.select(*rows.columns, F.coalesce("_v1", "_v2").alias(value), how.alias("via"))
 
 
-def tiered_lookup(keys: DataFrame, known: DataFrame, suffix: str = r"[:\-](WI|EX|OPP)$") -> DataFrame:
+#: Ends of keys that are left out where no name is equal.
+SUFFIX = r"[:\-](WI|EX|OPP)$"
+
+
+def lengths(rows: DataFrame, *texts: Column) -> list[list[int]]:
+    """The lengths that each of some texts has: one row, of as many numbers as the longest has characters at most."""
+    return list(rows.agg(*(F.collect_set(F.length(t)) for t in texts)).first())
+
+
+def begins(value: Column, of: list[int]) -> Column:
+    """A text's beginnings of given lengths, itself included."""
+    return F.transform(F.filter(F.array(*map(F.lit, sorted(of))).cast("array<int>"), lambda n: n <= F.length(value)), lambda n: F.substr(value, F.lit(1), n))
+
+
+def _rows(*parts: Column) -> Column:
+    return F.concat(*(F.coalesce(p, F.array().cast("array<struct<side:int,meet:string,tier:int>>")) for p in parts))
+
+
+def asked(key: Column, names: list[int], kind: int = 0, suffix: str = SUFFIX) -> Column:
+    """Where a key meets names, as (side, meet, tier): equal, equal without its suffix, or one begins with the other.
+
+    Only beginnings of lengths that names have (`names`) are listed. Texts of different kinds don't meet; nor do two beginnings.
+    """
+    row = lambda side, meet, tier: F.struct(F.lit(2 * kind + side).alias("side"), meet.alias("meet"), F.lit(tier).alias("tier"))
+    bare = F.regexp_replace(key, suffix, "")
+    equal = F.when(F.length(key).isin(names), F.array(row(0, key, 1)))
+    less = F.when(F.length(bare).isin(names) & (bare != key), F.array(row(0, bare, 2)))
+    down = F.transform(F.filter(begins(bare, names), lambda x: x != bare), lambda x: row(0, x, 3))
+    up = F.when(F.length(bare) < max(names, default=0), F.array(row(1, bare, 3)))
+    return _rows(equal, less, down, up)
+
+
+def offered(name: Column, keys: list[int], kind: int = 0) -> Column:
+    """Where a name meets keys, as (side, meet): with all of it, and with its beginnings of lengths that bare keys have."""
+    row = lambda side, meet: F.struct(F.lit(2 * kind + side).alias("side"), meet.alias("meet"), F.lit(0).alias("tier"))
+    up = F.transform(F.filter(begins(name, keys), lambda x: x != name), lambda x: row(1, x))
+    return F.transform(_rows(F.array(row(0, name)), up), lambda x: x.dropFields("tier"))
+
+
+def tiered_lookup(keys: DataFrame, known: DataFrame, suffix: str = SUFFIX) -> DataFrame:
     """For each key the value of the known name that is equal, equal without its suffix, or the longest prefix either way.
 
-    Prefixes are an equi-join: each side's prefixes are listed, which grows with
-    the length of names and not with the product of the sides.
+    One equi-join: the prefixes of each side that are as long as something of the other's
+    are listed, which grows with the length of names and not with the product of the sides.
     """
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, F.lit(1), i))
-    rows = keys.select("key").distinct().where("length(key) > 0").withColumn("bare", F.regexp_replace("key", suffix, ""))
-    known = known.where("length(name) > 0")
-    exact = rows.join(known, F.col("key") == F.col("name")).select("key", F.lit(1).alias("tier"), "name", "value")
-    bare = rows.join(known, F.col("bare") == F.col("name")).select("key", F.lit(2).alias("tier"), "name", "value")
-    down = rows.withColumn("name", F.explode(prefixes(F.col("bare")))).join(known, "name").select("key", F.lit(3).alias("tier"), "name", "value")
-    up = known.withColumn("bare", F.explode(prefixes(F.col("name")))).join(rows, "bare").select("key", F.lit(3).alias("tier"), "name", "value")
-    best = exact.unionByName(bare).unionByName(down).unionByName(up).groupBy("key").agg(F.min_by(F.struct("tier", "name", "value"), F.struct(F.col("tier"), -F.length("name"), F.col("name"))).alias("m"))
-    return rows.select("key").join(best, "key", "left").select("key", "m.tier", "m.name", "m.value")
+    rows = stored(keys.select("key").distinct().where("length(key) > 0"))
+    known = stored(known.select("name", "value").where("length(name) > 0"))
+    (names,), (bare,) = lengths(known, F.col("name")), lengths(rows, F.regexp_replace("key", suffix, ""))
+    met = rows.select("key", F.inline(asked(F.col("key"), names, suffix=suffix))).join(known.select("*", F.inline(offered(F.col("name"), bare))), ["side", "meet"])
+    best = met.groupBy("key").agg(F.min_by(F.struct("tier", "name", "value"), F.struct(F.col("tier"), -F.length("name"), F.col("name"))).alias("m"))
+    return rows.join(best, "key", "left").select("key", "m.tier", "m.name", "m.value")
 
 
 #: Length of the pieces by which names meet that hold each other: the shorter of such two has four characters at least.

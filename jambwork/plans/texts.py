@@ -219,9 +219,17 @@ s AS (SELECT *, CASE WHEN single AND NOT every AND qty > most THEN 'needs_cap' W
 r AS (SELECT *, CASE WHEN src = 'needs_division' AND hands > 1 AND name LIKE 'Lockset %' THEN 'rhr_lhr_pair' WHEN src = 'needs_division' AND auto AND category = 'closer' THEN 'needs_review' ELSE src END AS qty_source, CASE WHEN NOT single OR every OR qty > most THEN qty END AS qty_total, CASE WHEN every THEN doors WHEN single THEN NULL WHEN src = 'needs_division' THEN dv WHEN qty < coalesce(dv, 2) THEN coalesce(dv, nullif(doors, 0)) END AS divisor FROM s)"""
 
 
+def _totals(hardware: DataFrame, o: DataFrame) -> DataFrame:
+    """The rows of TOTALS, moved once to where their set's are, as all that follows is by set."""
+    side = F.when(F.col("leaf_side") == "active", "Lockset RHR").otherwise("Lockset LHR")
+    name = F.when((F.col("name") == "Lockset RHR") & (F.col("leaf_side") != "shared"), side).otherwise(F.col("name"))
+    rows = hardware.select("opening_id", "pos", "qty", name.alias("name")).join(o.select("opening_id", "project_id", "set_id"), "opening_id").drop("opening_id")
+    return rows.repartition("project_id", "set_id").groupBy("project_id", "set_id", "name").agg(F.sum("qty").cast("long").alias("qty"), F.min("pos").alias("pos"))
+
+
 def _annotated(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.sql(NUMBERED, openings=frame(spark, sf, "openings"))
-    items = spark.sql(TOTALS, h=frame(spark, sf, "hardware"), o=o).withColumn("model", F.lit(""))
+    items = _totals(frame(spark, sf, "hardware"), o).withColumn("model", F.lit(""))
     return annotation.annotated(items, spark.sql(SETS, o=o), spark.sql(NAMED, o=o), "project_id")
 
 
