@@ -265,8 +265,8 @@ def x20_worst_chunk(spark, sf):
 
 @query("WITH p AS (SELECT opening_id, item_id, CASE sort_order % 3 WHEN 0 THEN NULL ELSE sort_order % 3 END AS leaf, sort_order * 1000000 + item_id AS pos, checked FROM items), k AS (SELECT opening_id, coalesce(leaf, 1) AS leaf, arg_min(checked, pos) AS checked FROM p GROUP BY 1, 2) SELECT o.opening_id, l.leaf, k.checked FROM openings o CROSS JOIN (VALUES (1), (2)) l(leaf) LEFT JOIN k ON k.opening_id = o.opening_id AND k.leaf = l.leaf")
 def x22_leaf_progress(spark, sf):
-    p = frame(spark, sf, "items", PLACE).selectExpr("opening_id", "nullif(sort_order % 3, 0) AS leaf", "struct(sort_order * 1000000 + item_id, place) AS pos", "checked")
-    k = p.groupBy("opening_id", F.coalesce("leaf", F.lit(1)).cast("int").alias("leaf")).agg(F.min_by("checked", "pos").alias("checked"))
+    p = frame(spark, sf, "items", PLACE).selectExpr("opening_id", "nullif(sort_order % 3, 0) AS leaf", "sort_order * 1000000 + item_id AS pos", "place", "checked").where("pos is not null and checked is not null")
+    k = p.groupBy("opening_id", F.coalesce("leaf", F.lit(1)).cast("int").alias("leaf")).agg(F.min_by("checked", F.struct("pos", "place")).alias("checked"))
     leaves = frame(spark, sf, "openings").select("opening_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("leaf"))
     return leaves.join(k, ["opening_id", "leaf"], "left")
 

@@ -278,6 +278,25 @@ def test_first_leaf_and_item_are_the_sql_s(spark, tmp_path):
         assert {tuple(r[c] for c in cols) for r in df.collect()} == set(want.fetchall())
 
 
+def test_first_leaf_and_item_have_a_position_and_a_value(spark, tmp_path):
+    """Rows without a line, an item or a status are none of which the first is taken, as in the SQL."""
+    import pandas as pd
+
+    rows = [(1, None, 2, "F"), (1, 4, None, "O"), (1, 5, 3, "F"), (2, 1, 1, None), (2, 1, 2, "F"), (3, 1, None, "F"), (4, None, None, "O"), (5, 2, 1, None), (5, 2, 5, "O"), (6, 7, None, "F"), (6, 8, 2, "F")]
+    lines = pd.DataFrame([(o, p, 0, n, 1.0, 0.0, 0.0, 0.0, "N", s, pd.Timestamp("2020-01-01")) for o, p, n, s in rows], columns="l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split())
+    orders = pd.DataFrame([(o, 1, "O", 1.0, pd.Timestamp("2020-01-01"), "1-URGENT") for o in range(1, 8)], columns="o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split())
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    for name, df in (("lineitem", lines), ("orders", orders)):
+        df.astype({c: t for c, t in (("l_partkey", "Int64"), ("l_linenumber", "Int32")) if c in df}).to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    for query in ("x22_leaf_progress", "x23_pairs_from_items"):
+        df = catalog.QUERIES[query](spark, str(tmp_path))
+        want = con.execute(catalog.ORACLE_SQL[query])
+        cols = [x[0] for x in want.description]
+        assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_patterns_are_literals(spark):
     """Patterns of categories are compiled once and not for each row; a text may fit several, of which the first counts."""
     from jambwork.functions import taxonomy as C
