@@ -134,6 +134,53 @@ def _meeting_keys(name: Column, own: str, other: str) -> Column:
     return F.array_distinct(F.concat(words, one, F.coalesce(pieces, F.array().cast("array<bigint>"))))
 
 
+def _traits(name: Column) -> list[Column]:
+    """What two names that aren't equal but for case are compared by."""
+    return [F.lower(name).alias("low"), C.keyword(name).alias("kind"), T.item_name(name).alias("item"), T.tokens(name).alias("words")]
+
+
+def _tier(a: Column, b: Column, x: Column, y: Column, score: Column) -> Column:
+    """How two names with their traits and the Jaccard of their words match; null where they don't."""
+    alike = F.coalesce(x["kind"] == y["kind"], F.lit(True))
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    inside = (x["low"].contains(y["low"]) | y["low"].contains(x["low"])) & (F.length(a) >= 8) & (2 * short >= long)
+    return F.when(alike & (x["item"] == y["item"]), 3).when(alike & inside, 4).when(alike & (score > 0.5), 5)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def matches(wanted: Column, offered: Column) -> Column:
+    """match_names of two arrays of names within one row: (a, b) of each distinct wanted name that has one."""
+    told = lambda names: F.array_distinct(F.filter(names, lambda n: n.isNotNull()))
+
+    def same(a: Column, bs: Column) -> Column:
+        equal = F.filter(bs, lambda b: b["low"] == F.lower(a))
+        return F.array_min(F.transform(equal, lambda b: F.struct((b["b"] != a).alias("tier"), b["b"].alias("b"))))["b"]
+
+    def alike(a: Column, bs: Column) -> Column:
+        common = lambda b: F.size(F.array_intersect(a["words"], b["words"]))
+        score = lambda b: let(common(b), lambda n: let(F.size(a["words"]) + F.size(b["words"]) - n, lambda m: F.when(m == 0, F.lit(1.0)).otherwise(n / F.greatest(m, F.lit(1)))))
+        row = lambda b: let(score(b), lambda s: F.struct(_tier(a["a"], b["b"], a, b, s).alias("tier"), (-F.round(s, 6)).alias("by"), b["b"].alias("b")))
+        best = F.array_sort(F.filter(F.transform(bs, row), lambda x: x["tier"].isNotNull()))
+        tied = lambda x: F.coalesce((F.get(x, F.lit(1))["tier"] == F.get(x, F.lit(0))["tier"]) & (F.get(x, F.lit(1))["by"] == F.get(x, F.lit(0))["by"]), F.lit(False))
+        return let(best, lambda x: F.when(~tied(x), F.get(x, F.lit(0))["b"]))
+
+    def further(names: Column, bs: Column) -> Column:
+        own = lambda d, n: F.transform(d, lambda x: F.struct(x.alias(n), *_traits(x)))
+        return let(own(F.transform(bs, lambda b: b["b"]), "b"), lambda rich: F.transform(own(names, "a"), lambda a: F.struct(a["a"].alias("a"), alike(a, rich).alias("b"))))
+
+    def all_of(bs: Column) -> Column:
+        first = F.transform(told(wanted), lambda a: F.struct(a.alias("a"), same(a, bs).alias("b")))
+        left = lambda x: F.transform(F.filter(x, lambda m: m["b"].isNull()), lambda m: m["a"])
+        return let(first, lambda x: F.when(F.exists(x, lambda m: m["b"].isNull()), F.concat(x, further(left(x), bs))).otherwise(x))
+
+    every = let(F.transform(told(offered), lambda b: F.struct(b.alias("b"), F.lower(b).alias("low"))), all_of)
+    return F.filter(every, lambda m: m["b"].isNotNull())
+
+
 def match_names(wanted: DataFrame, offered: DataFrame, block: str) -> DataFrame:
     """For each wanted (block, a_id, a) the one offered (block, b) of the best tier, or none if that tier ties.
 
@@ -148,7 +195,7 @@ def match_names(wanted: DataFrame, offered: DataFrame, block: str) -> DataFrame:
     equal = F.when(F.col("a") == F.col("b"), 1).otherwise(2)
     same = stored(a.join(b, [block, "_low"]).groupBy(block, "a").agg(F.min(F.struct(equal.alias("tier"), "b")).alias("m"), F.first("_low").alias("_low")))
     exact = same.select(block, "a", "m.tier", F.round(T.jaccard(T.tokens(F.col("a")), T.tokens(F.col("m.b"))), 6).alias("score"), "m.b")
-    own = lambda d, n: d.select(block, n, F.lower(n).alias(f"l{n}"), C.keyword(F.col(n)).alias(f"k{n}"), T.item_name(F.col(n)).alias(f"i{n}"), T.tokens(F.col(n)).alias(f"w{n}"))
+    own = lambda d, n: d.select(block, n, F.struct(*_traits(F.col(n))).alias(f"of_{n}"))
     a = stored(own(a.join(same.select(block, "a"), [block, "a"], "left_anti"), "a"))
     b = own(b.join(a.select(block).distinct(), block, "left_semi"), "b")
     least = a.groupBy(block).agg(F.count("*").alias("n")).join(b.groupBy(block).agg(F.count("*").alias("m")), block).withColumn("least", F.least("n", "m"))
@@ -156,12 +203,8 @@ def match_names(wanted: DataFrame, offered: DataFrame, block: str) -> DataFrame:
     met = few.where(f"least <= {FEW}").drop("least").join(many.where(f"least <= {FEW}").drop("least"), block)
     keyed = few.where(f"least > {FEW}").withColumn("t", F.explode(_meeting_keys(F.col("a"), "<", ">"))).drop("least").join(many.where(f"least > {FEW}").withColumn("t", F.explode(_meeting_keys(F.col("b"), ">", "<"))).drop("least"), [block, "t"])
     met = met.unionByName(keyed.drop("t").dropDuplicates([block, "a", "b"]))
-    la, lb, alike = F.col("la"), F.col("lb"), F.coalesce(F.col("ka") == F.col("kb"), F.lit(True))
-    score = T.jaccard(F.col("wa"), F.col("wb"))
-    short, long = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    inside = (la.contains(lb) | lb.contains(la)) & (F.length("a") >= 8) & (2 * short >= long)
-    tier = F.when(alike & (F.col("ia") == F.col("ib")), 3).when(alike & inside, 4).when(alike & (score > 0.5), 5)
-    scored = met.select(block, "a", "b", tier.alias("tier"), F.round(score, 6).alias("score")).where("tier is not null")
+    score = T.jaccard(F.col("of_a.words"), F.col("of_b.words"))
+    scored = met.select(block, "a", "b", _tier(F.col("a"), F.col("b"), F.col("of_a"), F.col("of_b"), score).alias("tier"), F.round(score, 6).alias("score")).where("tier is not null")
     top = scored.groupBy(block, "a").agg(F.min("tier").alias("tier"))
     best = scored.join(top, [block, "a", "tier"]).groupBy(block, "a", "tier", "score").agg(F.min("b").alias("b"), F.count("*").alias("n"))
     best = best.groupBy(block, "a", "tier").agg(F.max(F.struct("score", "b", "n")).alias("m"))

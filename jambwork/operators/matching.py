@@ -67,20 +67,51 @@ def paired_items(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     return left.groupBy(block, F.col("name").alias("taken")).agg(F.min("pos").alias("a_pos")).join(asks, [block, "taken"]).select(block, "a_pos", "b_pos")
 
 
+#: Blocks of so many items of both sources at most are paired within a row each.
+MANY = 256
+
+
+def _paired_in_rows(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """block, a and b: all items, those that paired_items pairs in one row. A block's items come to one row, which is all that is moved."""
+    rows = left.select(block, F.col("item").alias("x")).unionByName(right.select(block, F.col("item").alias("y")), allowMissingColumns=True)
+    own = rows.groupBy(block).agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    name, pos = (lambda items, f=f: F.transform(items, lambda x: x[f]) for f in ("name", "pos"))
+    at = lambda b: F.array_min(pos(F.filter("xs", lambda x: x["name"] == b)))
+    taken = lambda y, found: F.get(F.filter(found, lambda m: m["a"] == y["name"]), F.lit(0))["b"]
+    asks = linkage.let(linkage.matches(name(F.col("ys")), name(F.col("xs"))), lambda found: F.transform("ys", lambda y: F.struct(y.alias("y"), linkage.let(taken(y, found), at).alias("at"))))
+    own = own.withColumn("asks", asks)
+    of = lambda at: F.transform(F.filter("asks", lambda k: (k["at"] == at) & k["y"]["pos"].isNotNull()), lambda k: k["y"])
+    first = F.transform("xs", lambda x: F.struct(x.alias("a"), F.array_min(of(x["pos"])).alias("b")))
+    rest = F.transform(F.filter("asks", lambda k: F.coalesce(k["y"]["pos"] != F.array_min(pos(of(k["at"]))), F.lit(True))), lambda k: F.struct(F.get("xs", F.lit(-1)).alias("a"), k["y"].alias("b")))
+    return own.select(block, F.inline(F.concat(first, rest)))
+
+
+def _paired_by_joins(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """_paired_in_rows for blocks of any size, and for items without one, which have no pair."""
+    left, right = (d.select(block, F.col("item")["pos"].alias(f"{n}_pos"), F.col("item").alias(n)) for d, n in ((left, "a"), (right, "b")))
+    pairs = paired_items(left.select(block, "a.pos", "a.name"), right.select(block, "b.pos", "b.name"), block)
+    return left.join(pairs, [block, "a_pos"], "left").join(right, [block, "b_pos"], "full_outer").select(block, "a", "b")
+
+
 def reconciled_items(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     """block, a_pos, b_pos, a struct (value, confidence, chosen_from) for each of FIELDS and the worst of their confidences, of all items of both sources.
 
-    Items of one source have its values as single_source. left, right: block, pos (unique in it) and FIELDS.
+    Items of one source have its values as single_source. left, right: block, pos (unique in it) and FIELDS. Blocks of MANY
+    items at most are paired within a row, larger ones by joins, in which no block comes to one task as a whole.
     """
-    pairs = paired_items(left, right, block)
-    a, b = (d.select(block, F.col("pos").alias(f"{n}_pos"), *(F.col(f).cast("string").alias(f"{n}_{f}") for f in FIELDS)) for d, n in ((left, "a"), (right, "b")))
-    rows = a.join(pairs, [block, "a_pos"], "left").join(b, [block, "b_pos"], "full_outer")
-    both = F.col("a_pos").isNotNull() & F.col("b_pos").isNotNull()
+    left, right = (d.select(block, F.struct("pos", *(F.col(f).cast("string").alias(f) for f in FIELDS)).alias("item")) for d in (left, right))
+    large = stored(left.select(block).unionByName(right.select(block)).groupBy(F.col(block).alias("_b")).agg(F.count("*").alias("n")).where(f"n > {MANY} or _b is null").select("_b"))
+    if large.isEmpty():
+        rows = _paired_in_rows(left, right, block)
+    else:
+        part = lambda how: [d.join(large, d[block].eqNullSafe(large["_b"]), how) for d in (left, right)]
+        rows = _paired_in_rows(*part("left_anti"), block).unionByName(_paired_by_joins(*part("left_semi"), block))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
 
     def field(f: str, second: bool) -> Column:
-        one = F.struct(F.coalesce(f"a_{f}", f"b_{f}", F.lit("")).alias("value"), F.lit("single_source").alias("confidence"), F.when(F.col("a_pos").isNotNull(), "a").otherwise("b").alias("chosen_from"))
-        return F.when(both, merge.reconciled(F.col(f"a_{f}"), F.col(f"b_{f}"), second)).otherwise(one).alias(f)
+        one = F.struct(F.coalesce(F.col("a")[f], F.col("b")[f], F.lit("")).alias("value"), F.lit("single_source").alias("confidence"), F.when(F.col("a").isNotNull(), "a").otherwise("b").alias("chosen_from"))
+        return F.when(both, merge.reconciled(F.col("a")[f], F.col("b")[f], second)).otherwise(one).alias(f)
 
-    rows = rows.select(block, "a_pos", "b_pos", *(field(f, second) for f, second in FIELDS.items()))
+    rows = rows.select(block, F.col("a.pos").alias("a_pos"), F.col("b.pos").alias("b_pos"), *(field(f, second) for f, second in FIELDS.items()))
     place = lambda f: F.array_position(F.array(*map(F.lit, LEVELS)), F.col(f)["confidence"])
     return rows.withColumn("overall", F.element_at(F.array(*map(F.lit, LEVELS)), F.least(*map(place, FIELDS)).cast("int")))

@@ -116,7 +116,8 @@ f AS (SELECT l.opening_id, l.a_pos, l.b_pos, {', '.join(_field_sql(f, second) fo
 SELECT opening_id, a_pos, b_pos, name, qty, manufacturer, model, finish, ['conflict', 'single_source', 'full'][least(c_name, c_qty, c_manufacturer, c_model, c_finish) + 1] AS overall FROM f""")
 def m08_reconciled_items(spark, sf):
     """Items of two sources, paired by their names and reconciled field by field."""
-    a = stored(spark.sql(ITEMS_A, h=frame(spark, sf, "hardware")))
+    h = frame(spark, sf, "hardware", by="l_orderkey").select("opening_id", "pos", "name", "qty", "model", "leaf_side")
+    a = sets.first_per_group(h, ["opening_id", "pos"], F.col("name"), F.col("qty")).selectExpr("opening_id", "pos", "name", "qty", "model AS manufacturer", "model", "leaf_side AS finish")
     got = matching.reconciled_items(a, spark.sql(ITEMS_B, a=a), "opening_id")
     return got.select("opening_id", "a_pos", "b_pos", *(F.col(f)["value"].alias(f) for f in matching.FIELDS), "overall")
 

@@ -54,10 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str, *more: str) -> DataFrame:
-    """A frame; more: expressions over its table that it gets as well."""
+def frame(spark: SparkSession, sf_dir: str, name: str, *more: str, by: str | None = None) -> DataFrame:
+    """A frame; more: expressions over its table that it gets as well. by: a column of the table whose equal rows come to one task, before columns are made of them."""
     source, columns = FRAMES[name]
-    return table(spark, sf_dir, source).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()), *more)
+    rows = table(spark, sf_dir, source)
+    return (rows.repartition(by) if by else rows).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()), *more)
 
 
 def frames_sql() -> str:

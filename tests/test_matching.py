@@ -57,6 +57,23 @@ def test_reconciled_items(spark):
     assert one["overall"] == "conflict" and got[2, None]["overall"] == "single_source" and tuple(got[None, 3]["qty"]) == ("", "single_source", "b")
 
 
+def test_items_of_small_blocks_meet_in_rows_as_by_joins(spark, monkeypatch):
+    """Blocks within a row and blocks by joins give the same; items without a block, a name or a position stay, and have no pair."""
+    r = random.Random(5)
+    some = ["Hinge", "HINGE", "Hinge (2)", "Wall Stop", "wall  stop 406", "Kick Plate", "Kick Plate 8400 x 2", "Closer LH", "closer", "Door Closer LH", "Lockset RHR", "zzz", None, "", "Exit Device", "Device Exit 99"]
+    schema = "block int, pos int, name string, qty int, manufacturer string, model string, finish string"
+    side = lambda: [(b, p, r.choice(some), r.choice([1, 2, None]), r.choice(["LCN", "lcn", ""]), r.choice(["x", None]), "") for b in [*range(60), None] for p in range(r.randrange(0, 9))]
+    left, right = (spark.createDataFrame([*side(), *more], schema) for more in ([(70, 1, "Hinge", 1, "", "", "")], [(71, 1, "Hinge", 1, "", "", ""), (72, None, "Hinge", 1, "", "", "")]))
+    every = lambda: sorted(map(str, matching.reconciled_items(left, right, "block").collect()))
+    got = {}
+    for many in (0, 6, 10_000):
+        monkeypatch.setattr(matching, "MANY", many)
+        got[many] = every()
+    assert got[0] == got[6] == got[10_000] and len([x for x in got[0] if "a_pos=None" not in x and "b_pos=None" not in x]) > 40
+    plain = matching.reconciled_items(left.where("block is not null").repartition(4, "block"), right.where("block is not null").repartition(4, "block"), "block")._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plain and "Join" not in plain
+
+
 def test_leaf_sums_ignore_rows_of_the_opening(spark):
     """An electric hinge under the same name doesn't hide three leaves' hinges."""
     openings = spark.createDataFrame([(1, 2)], "opening_id int, leaf_count int")
