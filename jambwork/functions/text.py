@@ -20,6 +20,11 @@ def ladder(value: Column, rules: list[tuple[str, str]], otherwise: str | None =
     return out.otherwise(F.lit(otherwise))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it; f is no part of generated code, which it may make too large to be compiled."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 

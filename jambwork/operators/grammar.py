@@ -4,8 +4,8 @@ Lines are rows (page, line, text), of any number of pages. Every line is classed
 itself; what an automaton would remember between lines (the open section, the open
 item, whether the list of items has begun or ended) is a running count over the lines
 of its page, so a page is one window and pages are spread over all tasks. Lines of one
-page are in memory together; texts without a line break, nulls and blank lines are
-lines like others, and are no items.
+page are in memory together; texts without a line break are lines like others, nulls
+and blank lines are none.
 
 A page's format is that of its headings: `specworks` where one names a set in brackets
 with HW, `esc` where one has "Heading #:", else `generic`. A page of the first is one
@@ -58,23 +58,31 @@ SHORT = {
 
 
 def sectioned(rows: DataFrame) -> DataFrame:
-    """rows (page, line, text) with format, section (from 1; 0 for what comes before the first of several headings) and the section's set_id and generic_id."""
+    """rows (page, line, text) with format, section (from 1; 0 for what comes before the first of several headings) and the section's set_id and generic_id,
+    and list_begins and list_ends, the first lines of its list of items and below it (null if there is none).
+
+    Lines without text say nothing and are left out before anything is moved.
+    """
     # all windows are in the order of lines, so that one sort of each kind does for what is asked here and by others
     by_line = Window.partitionBy("page").orderBy("line")
     page, so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_line.rowsBetween(Window.unboundedPreceding, 0)
-    text, said = F.col("text"), F.lower("text")
-    rows = rows.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).withColumns({"_heading": said.contains("heading"), "_named": said.contains("heading") | said.contains("set") | said.contains("group")})
+    text, said = F.col("text"), F.col("_said")
+    rows = rows.withColumn("text", F.trim("text")).where("text <> ''").withColumn("_said", F.lower("text"))
+    rows = rows.withColumn("_heading", said.contains("heading")).withColumn("_named", F.col("_heading") | said.contains("set") | said.contains("group"))
     is_in = lambda pattern: F.max(F.col("_heading") & text.rlike(pattern)).over(page)
     rows = rows.withColumn("_begins", (F.col("_named") & text.rlike(SECTION)).cast("int"))
     rows = rows.withColumns({"format": F.when(is_in(SPECWORKS_PAGE), "specworks").when(is_in(ESC_PAGE), "esc").otherwise("generic"), "section": F.sum("_begins").over(so_far), "_headings": F.sum("_begins").over(page)})
     whole = (F.col("format") == "specworks") | (F.col("_headings") < 2)
     rows = rows.withColumn("section", F.when(whole, 1).otherwise(F.col("section")))
-    kinds = F.array(*(L.set_heading_kind(text, k) for k in range(len(L.SET_HEADINGS))))
-    rows = rows.withColumn("_kinds", F.when(F.col("_named"), F.filter(F.transform(kinds, lambda x, k: F.struct(k.alias("kind"), x.alias("ids"))), lambda x: x["ids"].isNotNull())))
-    best, section = F.get("_kinds", F.lit(0)), Window.partitionBy("page", "section").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kind = lambda x: F.coalesce(*(F.when(x.rlike(p), F.struct(F.lit(k).alias("kind"), L.set_heading_kind(x, k).alias("ids"))) for k, (p, *_) in enumerate(L.SET_HEADINGS)))
+    rows = rows.withColumn("_best", F.when(F.col("_named"), T.let(text, kind)))
+    best, section = F.col("_best"), Window.partitionBy("page", "section").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = F.min(F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), "line", best["ids"].alias("ids")))).over(section)
-    rows = rows.withColumn("_ids", found["ids"]).withColumns({"set_id": F.col("_ids")["heading_id"], "generic_id": F.col("_ids")["generic_id"]})
-    return rows.drop("_begins", "_headings", "_ids", "_kinds", "_heading", "_named")
+    ends = F.when(F.col("format") == "specworks", text.rlike(SPECWORKS_END)).when(F.col("format") == "esc", text.rlike(ESC_END))
+    first = lambda fits: F.min(F.when(fits, F.col("line"))).over(section)
+    rows = rows.withColumns({"_ids": found["ids"], "list_begins": first((F.col("format") != "specworks") | text.rlike(BEGIN)), "list_ends": first(ends)})
+    rows = rows.withColumns({"set_id": F.col("_ids")["heading_id"], "generic_id": F.col("_ids")["generic_id"]})
+    return rows.drop("_begins", "_headings", "_ids", "_best", "_heading", "_named", "_said")
 
 
 def doors(rows: DataFrame) -> DataFrame:
@@ -107,16 +115,11 @@ def _opened(rows: DataFrame) -> DataFrame:
     kind = F.col("format")
     pick = lambda a, b, c: F.when(kind == "specworks", a).when(kind == "esc", b).otherwise(c)
     text = F.col("text")
-    rows = rows.withColumns({
-        "_end": pick(text.rlike(SPECWORKS_END), text.rlike(ESC_END), F.lit(False)),
-        "_list": pick(text.rlike(BEGIN), F.lit(True), F.lit(True)),
-        "_skip": pick(text.rlike(BEGIN) | text.startswith("HEI:"), text.rlike(ESC_SKIP) | text.rlike(DOOR), ~text.rlike(GENERIC_ITEM)) | (text == ""),
-    })
-    seen = lambda c: F.max(F.col(c)).over(so_far)
-    rows = rows.withColumns({"_over": seen("_end"), "_in": seen("_list")}).where("section > 0 and set_id is not null and _in and not _over and not _skip")
+    skip = pick(text.rlike(BEGIN) | text.startswith("HEI:"), text.rlike(ESC_SKIP) | text.rlike(DOOR), ~text.rlike(GENERIC_ITEM))
+    rows = rows.where("section > 0 and set_id is not null and line >= list_begins and (list_ends is null or line < list_ends)").where(~skip)
     starts = pick(text.rlike(SPECWORKS_ITEM), text.rlike(ESC_ITEM), text.rlike(GENERIC_ITEM) & F.regexp_extract(text, GENERIC_ITEM, 2).rlike(HARDWARE))
     rows = rows.withColumn("starts", starts)
-    return rows.withColumn("item", F.sum(F.col("starts").cast("int")).over(so_far)).drop("_end", "_list", "_skip", "_over", "_in")
+    return rows.withColumn("item", F.sum(F.col("starts").cast("int")).over(so_far))
 
 
 def _first(tokens: Column, test) -> Column:
@@ -181,10 +184,9 @@ def items(rows: DataFrame) -> DataFrame:
     above it in its section; one without an item above is left out.
     """
     own = _opened(rows).where("item > 0")
-    key = ["page", "section", "set_id", "generic_id", "format", "item"]
     line = lambda pick: F.array_sort(F.collect_list(F.when(pick, F.struct("line", "text"))))
-    own = own.groupBy(*key).agg(F.min(F.when(F.col("starts"), F.struct("line", "text"))).alias("_f"), line(~F.col("starts")).alias("_r"))
-    own = own.withColumns({"line": F.col("_f.line"), "text": F.col("_f.text"), "rest": F.transform("_r", lambda x: x["text"])})
+    own = own.groupBy("page", "section", "item").agg(F.min(F.when(F.col("starts"), F.struct("line", "text", "set_id", "generic_id", "format"))).alias("_f"), line(~F.col("starts")).alias("_r"))
+    own = own.select("page", "section", "_f.*", F.transform("_r", lambda x: x["text"]).alias("rest"))
     text, kind = F.col("text"), F.col("format")
     own = own.withColumn("first", F.trim(F.when(kind == "specworks", F.regexp_extract(text, SPECWORKS_ITEM, 4)).when(kind == "esc", F.regexp_extract(text, ESC_ITEM, 3)).otherwise(F.regexp_extract(text, GENERIC_ITEM, 2))))
     qty = F.when(kind == "specworks", F.regexp_extract(text, SPECWORKS_ITEM, 2)).when(kind == "esc", F.regexp_extract(text, ESC_ITEM, 1)).otherwise(F.regexp_extract(text, GENERIC_ITEM, 1))
@@ -199,20 +201,24 @@ def items(rows: DataFrame) -> DataFrame:
 
 def item_key(name: Column, model: Column) -> Column:
     """What makes items of a section the same: the model, else the name without abbreviations."""
-    plain = reduce(lambda c, x: F.regexp_replace(c, rf"\b{_escaped(x[0])}\b", x[1]), SHORT.items(), F.lower(F.trim(name)))
+    said, model = F.lower(F.trim(name)), F.lower(F.trim(model))
+    spelled = lambda text: reduce(lambda c, x: F.regexp_replace(c, rf"\b{_escaped(x[0])}\b", x[1]), SHORT.items(), text)
+    # spelled out are only names that have one of the abbreviations
+    plain = F.when(said.rlike(ANY_SHORT), T.let(said, spelled)).otherwise(said)
     plain = F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"^[ ,;.]+|[ ,;.]+$", "")
-    model = T.blank_to_null(F.trim(F.lower(model)))
-    return F.coalesce(F.concat(F.lit("model:"), model), F.concat(F.lit("name:"), plain))
+    return F.when(model != "", F.concat(F.lit("model:"), model)).otherwise(F.concat(F.lit("name:"), plain))
 
 
 def _escaped(word: str) -> str:
     return word.replace(".", r"\.")
 
 
+ANY_SHORT = rf"\b(?:{'|'.join(map(_escaped, SHORT))})\b"
+
+
 def once(rows: DataFrame) -> DataFrame:
     """items without repeats in a section: of equal keys the one with most filled fields, ties to the first; in the place of the first."""
-    key = F.concat_ws("\u0001", F.col("page").cast("string"), F.col("section").cast("string"), item_key(F.col("name"), F.col("model")))
-    return sets.most_complete(rows, key, ["name", "model", "manufacturer", "finish"], "line").drop("key", "score", "line").withColumnRenamed("first", "line")
+    return sets.most_complete(rows, item_key(F.col("name"), F.col("model")), ["name", "model", "manufacturer", "finish"], "line", by=("page", "section")).drop("key", "score", "line").withColumnRenamed("first", "line")
 
 
 #: Fixed value: the line that describes a section's openings.

@@ -147,11 +147,6 @@ def _tier(a: Column, b: Column, x: Column, y: Column, score: Column) -> Column:
     return F.when(alike & (x["item"] == y["item"]), 3).when(alike & inside, 4).when(alike & (score > 0.5), 5)
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is worked out once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def matches(wanted: Column, offered: Column) -> Column:
     """match_names of two arrays of names within one row: (a, b) of each distinct wanted name that has one."""
     told = lambda names: F.array_distinct(F.filter(names, lambda n: n.isNotNull()))
@@ -162,22 +157,22 @@ def matches(wanted: Column, offered: Column) -> Column:
 
     def alike(a: Column, bs: Column) -> Column:
         common = lambda b: F.size(F.array_intersect(a["words"], b["words"]))
-        score = lambda b: let(common(b), lambda n: let(F.size(a["words"]) + F.size(b["words"]) - n, lambda m: F.when(m == 0, F.lit(1.0)).otherwise(n / F.greatest(m, F.lit(1)))))
-        row = lambda b: let(score(b), lambda s: F.struct(_tier(a["a"], b["b"], a, b, s).alias("tier"), (-F.round(s, 6)).alias("by"), b["b"].alias("b")))
+        score = lambda b: T.let(common(b), lambda n: T.let(F.size(a["words"]) + F.size(b["words"]) - n, lambda m: F.when(m == 0, F.lit(1.0)).otherwise(n / F.greatest(m, F.lit(1)))))
+        row = lambda b: T.let(score(b), lambda s: F.struct(_tier(a["a"], b["b"], a, b, s).alias("tier"), (-F.round(s, 6)).alias("by"), b["b"].alias("b")))
         best = F.array_sort(F.filter(F.transform(bs, row), lambda x: x["tier"].isNotNull()))
         tied = lambda x: F.coalesce((F.get(x, F.lit(1))["tier"] == F.get(x, F.lit(0))["tier"]) & (F.get(x, F.lit(1))["by"] == F.get(x, F.lit(0))["by"]), F.lit(False))
-        return let(best, lambda x: F.when(~tied(x), F.get(x, F.lit(0))["b"]))
+        return T.let(best, lambda x: F.when(~tied(x), F.get(x, F.lit(0))["b"]))
 
     def further(names: Column, bs: Column) -> Column:
         own = lambda d, n: F.transform(d, lambda x: F.struct(x.alias(n), *_traits(x)))
-        return let(own(F.transform(bs, lambda b: b["b"]), "b"), lambda rich: F.transform(own(names, "a"), lambda a: F.struct(a["a"].alias("a"), alike(a, rich).alias("b"))))
+        return T.let(own(F.transform(bs, lambda b: b["b"]), "b"), lambda rich: F.transform(own(names, "a"), lambda a: F.struct(a["a"].alias("a"), alike(a, rich).alias("b"))))
 
     def all_of(bs: Column) -> Column:
         first = F.transform(told(wanted), lambda a: F.struct(a.alias("a"), same(a, bs).alias("b")))
         left = lambda x: F.transform(F.filter(x, lambda m: m["b"].isNull()), lambda m: m["a"])
-        return let(first, lambda x: F.when(F.exists(x, lambda m: m["b"].isNull()), F.concat(x, further(left(x), bs))).otherwise(x))
+        return T.let(first, lambda x: F.when(F.exists(x, lambda m: m["b"].isNull()), F.concat(x, further(left(x), bs))).otherwise(x))
 
-    every = let(F.transform(told(offered), lambda b: F.struct(b.alias("b"), F.lower(b).alias("low"))), all_of)
+    every = T.let(F.transform(told(offered), lambda b: F.struct(b.alias("b"), F.lower(b).alias("low"))), all_of)
     return F.filter(every, lambda m: m["b"].isNotNull())
 
 

@@ -78,7 +78,7 @@ def _paired_in_rows(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     name, pos = (lambda items, f=f: F.transform(items, lambda x: x[f]) for f in ("name", "pos"))
     at = lambda b: F.array_min(pos(F.filter("xs", lambda x: x["name"] == b)))
     taken = lambda y, found: F.get(F.filter(found, lambda m: m["a"] == y["name"]), F.lit(0))["b"]
-    asks = linkage.let(linkage.matches(name(F.col("ys")), name(F.col("xs"))), lambda found: F.transform("ys", lambda y: F.struct(y.alias("y"), linkage.let(taken(y, found), at).alias("at"))))
+    asks = T.let(linkage.matches(name(F.col("ys")), name(F.col("xs"))), lambda found: F.transform("ys", lambda y: F.struct(y.alias("y"), T.let(taken(y, found), at).alias("at"))))
     own = own.withColumn("asks", asks)
     of = lambda at: F.transform(F.filter("asks", lambda k: (k["at"] == at) & k["y"]["pos"].isNotNull()), lambda k: k["y"])
     first = F.transform("xs", lambda x: F.struct(x.alias("a"), F.array_min(of(x["pos"])).alias("b")))

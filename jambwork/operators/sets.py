@@ -32,13 +32,13 @@ def union_by_priority(frames: list[DataFrame], by: list[str], position: str) ->
     return first_per_group(rows, by, F.col("strategy"), F.col(position))
 
 
-def most_complete(rows: DataFrame, key: Column, fields: list[str], position: str) -> DataFrame:
-    """Of rows with one key the one with most filled fields, ties to the first; `first` is where the key first occurs."""
+def most_complete(rows: DataFrame, key: Column, fields: list[str], position: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of rows with one key (within `by`) the one with most filled fields, ties to the first; `first` is where the key first occurs."""
     filled = sum((F.when(T.blank_to_null(F.col(f).cast("string")).isNotNull(), 1).otherwise(0) for f in fields), F.lit(0))
     rows = rows.withColumn("key", key).withColumn("score", filled)
-    rest = [c for c in rows.columns if c != "key"]
-    out = rows.groupBy("key").agg(F.min_by(F.struct(*rest), F.struct(-F.col("score"), F.col(position))).alias("_r"), F.min(position).alias("first"))
-    return out.select("key", "first", *(F.col("_r")[c].alias(c) for c in rest))
+    rest = [c for c in rows.columns if c not in ("key", *by)]
+    out = rows.groupBy(*by, "key").agg(F.min_by(F.struct(*rest), F.struct(-F.col("score"), F.col(position))).alias("_r"), F.min(position).alias("first"))
+    return out.select(*by, "key", "first", *(F.col("_r")[c].alias(c) for c in rest))
 
 
 def merge_chunks(sets: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:

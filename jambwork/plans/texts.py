@@ -31,25 +31,27 @@ FROM (SELECT opening_id, opening_id - opening_id % 2 + CASE WHEN kind = 0 THEN o
 #: Lines of pages: headings, doors, sizes, marks, items, what goes on with them, notes and ends.
 LINES = """
 SELECT opening_id - opening_id % 2 + CASE WHEN kind = 0 THEN opening_id % 2 ELSE 0 END AS page, opening_id % 2 * 100000 + k AS line, text FROM (
-  SELECT opening_id, kind, 1 AS k, CASE kind WHEN 0 THEN concat('Heading ', hw_set, ' (HwSet ', opening_id % 40, 'A)') WHEN 1 THEN concat('Heading #: ', hw_set) ELSE concat('Hardware Set ', hw_set) END AS text FROM {o}
-  UNION ALL SELECT opening_id, kind, 2, CASE WHEN kind = 2 THEN concat('For ', leaf_count, CASE WHEN leaf_count > 1 THEN ' Pair' ELSE ' Single' END, ' Doors #', 100 + opening_id % 900)
-    ELSE concat('1 ', CASE WHEN leaf_count > 1 THEN 'PR' ELSE 'SGL' END, ' DOOR(S)', opening_id % 90 + 1, '.01.E.0', opening_id % 10, 'A Corridor from Lobby ', hand, ' HMD') END FROM {o}
-  UNION ALL SELECT opening_id, kind, 3, CASE kind WHEN 0 THEN '( 2) 3 EA Hinge before the list' WHEN 1 THEN '3'' 0" x 7'' 0" x 1 3/4" HMD' ELSE 'Notes on hinges follow' END FROM {o}
-  UNION ALL SELECT opening_id, kind, 4, CASE kind WHEN 0 THEN 'Totals Each Assembly to have:' ELSE '' END FROM {o}
-  UNION ALL SELECT opening_id, kind, 90000, CASE kind WHEN 0 THEN 'Project: Tower' WHEN 1 THEN 'Phase: 2' ELSE '12 pages' END FROM {o}
-  UNION ALL SELECT opening_id, kind, 90001, CASE kind WHEN 0 THEN '( 9) 9 EA Hinge after the end' ELSE NULL END FROM {o}
-  UNION ALL SELECT opening_id, kind, n * 10 + 100, rtrim(CASE kind WHEN 0 THEN concat('( ', qty * 2, ') ', qty, ' EA ', base, ' ', catalog, ' ', finish, ' ', maker)
-    WHEN 1 THEN concat(qty, ' EA ', base, ' ', catalog, ' ', finish, ' (HI-', n, ') ', maker)
-    ELSE concat(qty, '  ', base, CAST(chr(9) AS STRING), maker, '   ', CASE WHEN catalog = '' THEN '-' ELSE catalog END, '  ', finish) END) FROM {p}
-  UNION ALL SELECT opening_id, kind, n * 10 + 101, more FROM {p}
-  UNION ALL SELECT opening_id, kind, n * 10 + 102, 'HEI: by the editor' FROM {p} WHERE kind = 0
+  SELECT opening_id, kind, stack(6,
+    1, CASE kind WHEN 0 THEN concat('Heading ', hw_set, ' (HwSet ', opening_id % 40, 'A)') WHEN 1 THEN concat('Heading #: ', hw_set) ELSE concat('Hardware Set ', hw_set) END,
+    2, CASE WHEN kind = 2 THEN concat('For ', leaf_count, CASE WHEN leaf_count > 1 THEN ' Pair' ELSE ' Single' END, ' Doors #', 100 + opening_id % 900)
+      ELSE concat('1 ', CASE WHEN leaf_count > 1 THEN 'PR' ELSE 'SGL' END, ' DOOR(S)', opening_id % 90 + 1, '.01.E.0', opening_id % 10, 'A Corridor from Lobby ', hand, ' HMD') END,
+    3, CASE kind WHEN 0 THEN '( 2) 3 EA Hinge before the list' WHEN 1 THEN '3'' 0" x 7'' 0" x 1 3/4" HMD' ELSE 'Notes on hinges follow' END,
+    4, CASE kind WHEN 0 THEN 'Totals Each Assembly to have:' ELSE '' END,
+    90000, CASE kind WHEN 0 THEN 'Project: Tower' WHEN 1 THEN 'Phase: 2' ELSE '12 pages' END,
+    90001, CASE kind WHEN 0 THEN '( 9) 9 EA Hinge after the end' ELSE NULL END) AS (k, text) FROM {o}
+  UNION ALL SELECT opening_id, kind, n * 10 + k, text FROM (SELECT opening_id, kind, n, stack(3,
+    100, rtrim(CASE kind WHEN 0 THEN concat('( ', qty * 2, ') ', qty, ' EA ', base, ' ', catalog, ' ', finish, ' ', maker)
+      WHEN 1 THEN concat(qty, ' EA ', base, ' ', catalog, ' ', finish, ' (HI-', n, ') ', maker)
+      ELSE concat(qty, '  ', base, CAST(chr(9) AS STRING), maker, '   ', CASE WHEN catalog = '' THEN '-' ELSE catalog END, '  ', finish) END),
+    101, more,
+    102, 'HEI: by the editor') AS (k, text) FROM {p}) WHERE k < 102 OR kind = 0
 )
 """
 OPENINGS = "SELECT *, CAST(floor(opening_id / 2) AS BIGINT) % 3 AS kind FROM {openings}"
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(PARTS, hardware=frame(spark, sf, "hardware"))
+    return spark.sql(PARTS, hardware=frame(spark, sf, "hardware", by="l_orderkey"))
 
 
 def schedule(spark: SparkSession, sf: str) -> DataFrame:

@@ -102,3 +102,12 @@ def test_lines_are_sorted_once_for_pages_and_once_for_sections(spark):
     assert {(r["page"], r["set_id"], r["qty"], r["name"]) for r in got.collect()} == {(1, "A1", 2, "Hinge"), (2, "B2", 3, "Wall Stop")}
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Sort [") == 2
+
+
+def test_repeats_are_told_where_the_page_is(spark):
+    """A page's lines are moved once: items are counted by section and key in the partition where they have been read."""
+    lines = {1: ["Hardware Set 4", "", "1 Cont Hinge", None, "2 continuous hinge", "1 Door Closer", "Hardware Set 5", "3 Cont Hinge"], 2: ["Hardware Set 4", "1 Thresh Plate", "1 threshold plate"]}
+    got = grammar.once(grammar.items(frame(spark, lines)))
+    assert sorted((r["page"], r["section"], r["line"], r["qty"], r["name"]) for r in got.collect()) == [(1, 1, 2, 1, "Cont Hinge"), (1, 1, 5, 1, "Door Closer"), (1, 2, 7, 3, "Cont Hinge"), (2, 1, 1, 1, "Thresh Plate")]
+    plan = got.groupBy("page").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
