@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from jambwork.functions import text as T
 from jambwork.operators import edits, lines, matching, pages, sets, views
 from jambwork.plans.catalog import query
-from jambwork.sources.sinks import stored
 from jambwork.sources.tables import PLACE, frame, table
 
 
